@@ -35,8 +35,8 @@ class Settings:
     threshold: float = 0.3
     most_rows: int = 40_000
     most_features: int = 4_000
-    least_rows: int = 6
-    least_z: float = 5.0
+    least_rows: int = 3
+    least_ratio: float = 16.0
     l2: float = 1e-4
     swap_penalty: float = 1.0
     rounds: int = 300
@@ -74,7 +74,7 @@ def _sample(labelled: DataFrame, settings: Settings) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
     """Fits the classifier on labelled documents (doc_id, text; doc_id, toxic).
 
-    Features are words and word beginnings whose log-odds between the labels are certain; what is fitted is a logistic
+    Features are the words and word beginnings whose log-likelihood ratio between the labels is greatest; what is fitted is a logistic
     regression on how many distinct words of a text have a feature. For each text with identity terms, the text with
     these swapped is a second reading, and the squared change of its logit is a penalty: a group's name alone then moves
     no score. Identity terms are always among the features. The driver gets the chosen features' numbers for the bounded
@@ -97,9 +97,13 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
         share = total.get(1, 0) / max(1, sum(total.values()))
         return Model(bias=math.log((share + 1e-3) / (1 - share + 1e-3)))
     tallied = rows.mapInArrow(tally, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    odds = F.log((F.col("n1") + 0.5) / (total[1] - F.col("n1") + 0.5)) - F.log((F.col("n0") + 0.5) / (total[0] - F.col("n0") + 0.5))
-    z = F.abs(odds) / F.sqrt(1 / (F.col("n0") + 0.5) + 1 / (F.col("n1") + 0.5))
-    chosen = tallied.filter(F.col("n0") + F.col("n1") >= settings.least_rows).withColumn("z", z).filter(F.col("z") >= settings.least_z)
+    in1, in0 = F.col("n1").cast("double"), F.col("n0").cast("double")
+    cells = [in1, in0, total[1] - in1, total[0] - in0]
+    sums = [in1 + in0, total[1] + total[0] - in1 - in0, F.lit(float(total[1])), F.lit(float(total[0]))]
+    x_log_x = lambda x: F.when(x > 0, x * F.log(x)).otherwise(0.0)
+    whole = float(total[0] + total[1])
+    ratio = 2 * (sum(map(x_log_x, cells), F.lit(whole * math.log(whole))) - sum(map(x_log_x, sums), F.lit(0.0)))
+    chosen = tallied.filter(F.col("n0") + F.col("n1") >= settings.least_rows).withColumn("z", F.round(ratio, 6)).filter(F.col("z") >= settings.least_ratio)
     chosen = [r["f"] for r in chosen.orderBy(F.desc("z"), "f").limit(settings.most_features).collect()]
     names = {f: i for i, f in enumerate(dict.fromkeys([*chosen, *SWAPS]))}
 
