@@ -1,11 +1,260 @@
-"""All registered queries of the graph engine and the SQL they are held against."""
+"""All registered queries of the graph engine, run on the graph lens, and the SQL they are held against."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions import names
+from .operators import diff, endpoints, paths, rollups, rules
+from .plans import oracle
+from .sources import lens
+from .streaming import watch
 
-def oracle_sql():
-    return {}
+#: Quantities from which order lines count: a connected graph, one with cycles of nodes, one with cycles of modules only.
+DENSE, MIDDLE, SPARSE = 40, 44, 48
+#: The older snapshot holds what was shipped before this day.
+SNAPSHOT = "1998-01-01"
+NOW = "2024-02-15 00:00:00"
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+
+
+def _on_lens(name: str, make: Callable, q: int = DENSE) -> None:
+    _QUERIES[name] = lambda spark, sf: make(lens.graph(spark, sf, q))
+
+
+def _register() -> None:
+    fn = lambda **kw: lambda g: endpoints.functions(g, **kw).drop("test_depth")
+    _on_lens("calls", lambda g: endpoints.calls(g))
+    _on_lens("calls_cross", lambda g: endpoints.calls(g, cross=True, limit=100))
+    _on_lens("calls_by_module", lambda g: endpoints.calls(g, module="Brand11", limit=150))
+    _on_lens("calls_q", lambda g: endpoints.calls(g, q="Ring1", limit=100))
+    _on_lens("fn_row", lambda g: endpoints.fn_rows(g))
+    _on_lens("fn_ref", lambda g: endpoints.fn_refs(g))
+    _on_lens("fn_detail", lambda g: endpoints.fn_details(g, g.nodes.filter("node_ord % 10 = 3").select("id")).select("id", "name", F.array_join("calls", ",").alias("calls"), F.array_join("called_by", ",").alias("called_by")))
+    _on_lens("module_summary", lambda g: endpoints.module_summaries(g))
+    _on_lens("module_detail", lambda g: endpoints.module_neighbours(g).filter("module = 'lib/utils/Brand13'"))
+    _on_lens("detail_panel", lambda g: endpoints.module_neighbours(g))
+    _on_lens("describe_fn", lambda g: g.described.select("id", "description", "description_source"))
+    _on_lens("describe_module", lambda g: endpoints.module_descriptions(g).select("module", "description"))
+    _on_lens("describe_view", lambda g: _describe_view(g))
+    _on_lens("graph_dump", lambda g: g.edges.select("src", "dst", "cnt"))
+    _on_lens("graph_dump_modules", lambda g: g.module_edges.select(g.short_module("src").alias("src"), g.short_module("dst").alias("dst"), "cnt"))
+    _on_lens("functions_by_module", fn(module="Brand7", limit=50))
+    _on_lens("functions_q", fn(q="ring", limit=50))
+    _on_lens("functions_by_kind", fn(kind="method", limit=40))
+    _on_lens("functions_by_group", fn(group="services", limit=40))
+    _on_lens("functions_exported", fn(exported="true", limit=60))
+    _on_lens("functions_tested", fn(tested="true", limit=60))
+    _on_lens("functions_max_test_depth", lambda g: endpoints.functions(g, max_test_depth=2, limit=100).select("id", "name", "test_depth", "rank"))
+    _on_lens("functions_test_reachable", lambda g: endpoints.functions(g, test_reachable="false", limit=100).select("id", "name", "test_depth", "rank"))
+    for sort in ("indegree", "outdegree", "connected", "loc", "chars"):
+        _on_lens(f"functions_sort_{sort}", fn(sort=sort, limit=100))
+    _on_lens("files_filter", lambda g: endpoints.files(g, group="utils", q="brand1"))
+    for sort in ("functions", "loc", "chars"):
+        _on_lens(f"files_sort_{sort}", lambda g, sort=sort: endpoints.files(g, sort=sort))
+    _on_lens("file_sizes", lambda g: g.files.join(endpoints.module_sizes(g).select("module", "loc", "chars"), "module", "left").select("file", "loc", "chars"))
+    _on_lens("callers", lambda g: endpoints.neighbours(g, "part/17", True))
+    _on_lens("callees", lambda g: endpoints.neighbours(g, "part/17", False))
+    _on_lens("client_index", lambda g: rollups.adjacency(g).select("id", F.array_join("callees", ",").alias("callees"), F.array_join("callers", ",").alias("callers")))
+    _on_lens("neighbour_focus", lambda g: endpoints.module_focus(g, "lib/core/Brand6"))
+    _on_lens("hidden_groups", lambda g: endpoints.hidden_groups(g, ["dev", "stores"])[1].select("src", "dst", "cnt"))
+    _on_lens("resolve_function", lambda g: endpoints.resolve_functions(g, "BOLT11").select("id", "short"))
+    _on_lens("resolve_function_part", lambda g: endpoints.resolve_functions(g, "olt1").select("id", "short"))
+    _on_lens("resolve_module", lambda g: endpoints.resolve_module(g, "brand2").select("module", "fns"))
+    _on_lens("search_functions", lambda g: endpoints.search_functions(g, "ring1").select("id", "name", "score", "in_degree", "rank"))
+    _on_lens("search_modules", lambda g: endpoints.search_modules(g, "utils").select("full_module", "score", "function_count", "rank"))
+    _on_lens("typeahead", lambda g: endpoints.typeahead(g, " bolt1 "))
+    _on_lens("typeahead_modules", lambda g: endpoints.typeahead(g, "nd1"))
+    _on_lens("hubs_functions", lambda g: endpoints.hub_functions(g).select("id", "name", "in_degree", "rank"))
+    _on_lens("hubs_modules", lambda g: endpoints.hub_modules(g).select("full_module", "incoming_call_sites", "function_count", "rank"))
+    _on_lens("top_functions_of_module", lambda g: endpoints.top_functions(g))
+    _on_lens("list_rows", lambda g: _list_rows(g))
+    _on_lens("list_sort", lambda g: _list_rows(g).filter("rank <= 300"))
+    _on_lens("list_filter", lambda g: _list_rows(g).filter(F.lower(F.concat_ws(" ", "label", "sub")).contains("rod1")))
+    _QUERIES["edge_counts"] = lambda spark, sf: rollups.edge_counts(lens.call_sites(spark, sf, DENSE))
+    _on_lens("module_edges", lambda g: g.module_edges.select("src", "dst", "cnt"))
+    _on_lens("module_nodes", lambda g: g.module_nodes.select("module", "grp", "file", "fns"))
+    _on_lens("degrees", lambda g: g.nodes.select("id", "in_degree", "out_degree"))
+    _QUERIES["degrees_weighted"] = lambda spark, sf: lens.with_degrees(lens.nodes(spark, sf), lens.edges(spark, sf, DENSE), weighted=True).select("id", "in_degree", "out_degree")
+    _on_lens("module_sizes", lambda g: endpoints.module_sizes(g))
+    _on_lens("file_list", lambda g: g.files.select("file", "module", "grp", "fns"))
+    _on_lens("stats", rollups.stats)
+    _on_lens("module_coverage", rollups.module_coverage)
+    _on_lens("group_census", rollups.group_census)
+    _on_lens("port_candidates", lambda g: rules.port_candidates(g, 15))
+    _on_lens("duplicates", lambda g: rules.duplicates(g).select("name", "n_modules", "n_nodes", F.array_join("modules", ",").alias("modules"), "first_id"))
+    _on_lens("orphan_indegree", lambda g: g.edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("callers")))
+    _on_lens("layer_violations", rules.layer_violations)
+    _on_lens("layer_join", lambda g: rules.layer_violations(g).groupBy("src_group", "dst_group").agg(F.sum("cnt").alias("cnt")))
+    _on_lens("scc_cycles", rules.cycles, SPARSE)
+    _on_lens("scc_cycles_nodes", lambda g: paths.strong_components(g.edges), MIDDLE)
+    _on_lens("god_modules", rules.god_modules)
+    _on_lens("orphans_check", lambda g: rules.orphans(g, dotted=False).select("id", "short", "module"))
+    _on_lens("orphans_list", lambda g: rules.orphans(g).select("id", "short", "module"))
+    _on_lens("duplicate_findings", lambda g: rules.run_checks(g).filter("rule = 'duplicate'").select("level", "rule", "msg", "module", "id"))
+    _on_lens("adr_coverage", rules.adr_coverage)
+    _on_lens("forbidden_module", lambda g: rules.forbidden_module(g, g.config.rules[0]))
+    _on_lens("restricted_callee", lambda g: rules.restricted_callee(g, g.config.rules[1]))
+    _on_lens("run_checks", lambda g: rules.run_checks(g).select("level", "rule", "msg", "id"), SPARSE)
+    _on_lens("findings_by_rule", lambda g: rules.findings_by_rule(g, rules.run_checks(g)), SPARSE)
+    _on_lens("finding_totals", lambda g: rules.finding_totals(rules.run_checks(g)), SPARSE)
+    for rec in ("runes", "component_size", "function_size", "coverage"):
+        key = {"runes": "rec_runes", "component_size": "rec_component_size", "function_size": "rec_function_size", "coverage": "rec_coverage"}[rec]
+        _on_lens(key, lambda g, rec=rec: rules.recommendations(g, component_lines=120).filter(F.col("rec_id") == rec.replace("_", "-")).select("id", "label", "sub", "rank"))
+    _on_lens("recommendation_order", lambda g: rules.recommendation_order(rules.recommendations(g, component_lines=120)))
+    _on_lens("test_depth", lambda g: paths.with_test_depth(g).select("id", "test_depth"))
+    _on_lens("test_reach_histogram", lambda g: rollups.depth_histogram(paths.with_test_depth(g)))
+    _on_lens("shortest_path", lambda g: paths.shortest_path(g, "part/3", "part/150"))
+    _on_lens("layout_seed", lambda g: _rounded(endpoints.layout_seed(g)))
+    _on_lens("layout_edges", lambda g: endpoints.layout_edges(g.module_edges))
+    _on_lens("insight_groups", lambda g: _insights(g), SPARSE)
+    _on_lens("markdown_render", lambda g: _markdown(g))
+    for name, make in (("diff_modules", diff.modules), ("diff_sizes", diff.sizes), ("diff_deps", diff.dependencies), ("diff_totals", diff.totals)):
+        _QUERIES[name] = lambda spark, sf, make=make: make(_snapshot(spark, sf), lens.graph(spark, sf, DENSE))
+    _QUERIES["diff_order"] = lambda spark, sf: _diff_order(spark, sf)
+    _QUERIES["changed_deps"] = _QUERIES["diff_deps"]
+    _QUERIES["union_edges"] = lambda spark, sf: rollups.merge_edges(lens.edges(spark, sf, DENSE), lens.edges(spark, sf, SPARSE))
+    _QUERIES["union_nodes"] = lambda spark, sf: _union_nodes(spark, sf)
+    _QUERIES["wikilink_join"] = lambda spark, sf: _page_links(spark, sf)
+    _QUERIES["names"] = lambda spark, sf: _names(spark, sf)
+    _QUERIES["scan_svelte"] = lambda spark, sf: _scripts(spark, sf)
+    _QUERIES["page_files"] = lambda spark, sf: _page_files(spark, sf)
+    _QUERIES["stale_days"] = lambda spark, sf: _stale(spark, sf)
+    _QUERIES["stale_count"] = lambda spark, sf: _stale(spark, sf).agg(F.count_if("stale").alias("n_stale"), F.count("*").alias("n"))
+    _QUERIES["is_stale"] = lambda spark, sf: _is_stale(spark, sf)
+    _QUERIES["machines"] = lambda spark, sf: _machines(spark, sf)
+    _QUERIES["debounce_sessions"] = lambda spark, sf: watch.sessions(spark.read.parquet(f"{sf}/events.parquet"), "user_id", "ts", 3600)
+
+
+def _describe_view(g):
+    d = g.nodes
+    curated = g.descriptions.filter("scope = 'function'").select(F.col("key").alias("k"), F.col("text").alias("curated"))
+    d = d.join(curated, F.concat("module", F.lit("::"), "short") == F.col("k"), "left")
+    full = lambda c: F.nullif(F.col(c), F.lit(""))
+    return d.select("id", F.coalesce(full("curated"), full("descr"), full("doc"), full("humanized"), F.col("short")).alias("description"))
+
+
+def _list_rows(g):
+    sub = F.concat(g.short_module(), F.lit(" · "), F.col("loc").cast("string"), F.lit(" lines · "), F.col("in_degree").cast("string"), F.lit(" in / "), F.col("out_degree").cast("string"), F.lit(" out"))
+    rows = g.nodes.select("id", F.col("short").alias("label"), sub.alias("sub"), "in_degree", "node_ord")
+    return endpoints._ranked(rows, [F.desc("in_degree"), F.asc("node_ord")], None).select("id", "label", "sub", "rank")
+
+
+def _rounded(df):
+    return df.select("id", "label", *[(F.round(F.col(c) * 1000).cast("long")).alias(c) for c in ("x", "y", "size")], "color", "grp")
+
+
+def _insights(g):
+    found = rules.findings_by_rule(g, rules.run_checks(g)).select(F.lit("checks").alias("section"), F.col("rule").alias("item"), F.col("hits").alias("n"))
+    recs = rules.recommendations(g, component_lines=120).groupBy(F.col("rec_id").alias("item")).agg(F.count("*").alias("n")).withColumn("section", F.lit("recommendations"))
+    ports = rules.port_candidates(g, 15).agg(F.count("*").alias("n")).select(F.lit("ports").alias("section"), F.lit("candidates").alias("item"), "n")
+    lone = rules.orphans(g).agg(F.count("*").alias("n")).select(F.lit("orphans").alias("section"), F.lit("functions").alias("item"), "n")
+    out = found.unionByName(recs).unionByName(ports).unionByName(lone)
+    return out.withColumn("badge", F.when(F.col("n") == 0, "✓").otherwise(F.col("n").cast("string")))
+
+
+def _markdown(g):
+    d = endpoints.fn_details(g, g.nodes.filter("node_ord % 25 = 1").select("id"))
+    listed = lambda title, c: F.concat(F.lit(f"\n\n## {title}\n"), F.array_join(F.transform(c, lambda x: F.concat(F.lit("- "), x)), "\n"))
+    text = F.concat(F.lit("# "), "name", F.lit("\n\n"), "description", F.when(F.size("calls") > 0, listed("Calls", F.col("calls"))).otherwise(""), F.when(F.size("called_by") > 0, listed("Called by", F.col("called_by"))).otherwise(""))
+    return d.select("id", text.alias("markdown"))
+
+
+def _snapshot(spark, sf):
+    g = lens.graph(spark, sf, DENSE, SNAPSHOT)
+    return g.having(nodes=g.nodes.filter("node_ord % 29 <> 7 AND module <> 'lib/utils/Brand19'"))
+
+
+def _diff_order(spark, sf):
+    d = diff.sizes(_snapshot(spark, sf), lens.graph(spark, sf, DENSE))
+    return endpoints._ranked(d, [F.desc("delta"), F.asc("module")], 30).select("module", "delta", "rank")
+
+
+def _union_nodes(spark, sf):
+    n = lens.nodes(spark, sf).select("node_ord", "id", "short", "loc")
+    later = n.filter("node_ord % 3 = 0").withColumns({"loc": F.col("loc") * 10, "short": F.concat("short", F.lit("_b"))})
+    more = n.filter("node_ord % 7 = 0").withColumn("id", F.concat("id", F.lit("/rs")))
+    return rollups.merge_nodes(n, later, more).select("id", "short", "loc", F.col("source").cast("long").alias("source"))
+
+
+def _page_paths(spark, sf):
+    p = spark.read.parquet(f"{sf}/pages.parquet")
+    return p.select("page_id", F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", "").alias("path"), "html", "url")
+
+
+def _page_links(spark, sf):
+    """Links of pages joined to pages by the last segment: its name, else the name with .html."""
+    p = _page_paths(spark, sf)
+    files = p.select(names.base_name(F.col("path")).alias("base"), F.col("page_id").alias("target"))
+    links = p.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="/?([^"]*)"'), F.lit(1))).alias("link"))
+    sites = links.unionByName(p.select("page_id", F.regexp_extract("path", "([^/]*)$", 1).alias("link"))).filter("link <> ''")
+    tiers = sites.select("page_id", "link", F.explode(F.array(F.struct(F.lit(1).alias("tier"), F.col("link").alias("base")), F.struct(F.lit(2).alias("tier"), F.concat("link", F.lit(".html")).alias("base")))).alias("t")).select("page_id", "link", "t.*")
+    hits = tiers.join(files, "base").groupBy("page_id", "link", "target").agg(F.min("tier").alias("tier"), F.count("*").alias("n"))
+    best = hits.groupBy("page_id", "link").agg(F.min("tier").alias("tier"))
+    return hits.join(best, ["page_id", "link", "tier"]).filter("page_id <> target").groupBy(F.col("page_id").alias("src"), F.col("target").alias("dst")).agg(F.sum("n").alias("cnt"))
+
+
+def _names(spark, sf):
+    n = lens.nodes(spark, sf)
+    verb = F.element_at(F.array(*[F.lit(x) for x in ("get", "findAll", "isReady", "toJson", "onClick", "calcDist", "loadById", "Xyz", "setCfg", "fromSrc")]), (F.col("node_ord") % 10 + 1).cast("int"))
+    camel = F.concat(verb, F.initcap(F.get(F.split("short", "[.]"), F.lit(0))), F.when(F.col("node_ord") % 10 == 6, "ById").otherwise(F.when(F.col("node_ord") % 4 == 0, "ServiceImpl").otherwise("")))
+    src = F.concat(F.lit("function  "), camel, F.lit("(a,\n b) "), F.when(F.col("node_ord") % 2 == 0, "{ return 1 }").otherwise("=> a"))
+    path = F.concat(F.lit("src/lib/"), "module", F.when(F.col("node_ord") % 3 == 0, ".svelte").otherwise(".ts"))
+    return n.select(
+        "id", camel.alias("camel"), names.humanize(camel).alias("humanized"), F.array_join(names.name_words(camel), " ").alias("words"), names.auto_describe(camel).alias("auto"), names.signature_of(src).alias("signature"),
+        names.module_of(path).alias("module_of"), names.group_of(F.col("module"), "lib").alias("group_of"), names.short_module(F.col("module"), "lib").alias("short_module"), names.fmt_size(F.col("chars") * F.col("loc")).alias("size"),
+        names.group_color(F.col("grp")).alias("color"), names.is_source_file(path, "src/lib/").alias("is_source"), names.make_id(F.col("module"), F.col("short"), F.col("line"), F.col("node_ord")).alias("made_id"),
+    )
+
+
+def _scripts(spark, sf):
+    p = spark.read.parquet(f"{sf}/pages.parquet")
+    return p.select("page_id", F.array_join(names.script_bodies(F.col("html")), "\n").alias("script"))
+
+
+def _page_files(spark, sf):
+    p = _page_paths(spark, sf)
+    ext = F.element_at(F.array(*[F.lit(x) for x in (".md", ".service", ".json", ".sh", ".bin", ".mdx", "")]), (F.col("page_id") % 7 + 1).cast("int"))
+    folder = F.element_at(F.array(*[F.lit(x) for x in ("/.docs/", "/scripts/", "/node_modules/", "/x/")]), (F.col("page_id") % 4 + 1).cast("int"))
+    path = F.concat(F.regexp_extract("path", "^([^/]*)", 1), folder, F.lit("f"), F.col("page_id").cast("string"), ext)
+    return p.select(
+        "page_id", path.alias("path"), names.categorize(path).alias("category"), names.ignored(path, ["node_modules", "**/f1?.*"]).alias("ignored"), names.keep_file(path, ["md", "json"], ["f2*"]).alias("kept"),
+        names.dir_name(path).alias("dir"), names.base_name(path).alias("base"), names.fmt_size(F.octet_length("html").cast("long")).alias("size"),
+    )
+
+
+def _stale(spark, sf):
+    last = spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").agg(F.max("ts").alias("mtime"))
+    days = names.stale_days(F.col("mtime"), F.lit(NOW).cast("timestamp"))
+    return last.select("user_id", days.alias("days"), (days >= 17).alias("stale"))
+
+
+def _is_stale(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    changed = e.groupBy("user_id").agg(F.max("ts").alias("mtime")).select(F.concat(F.lit("src/u"), F.col("user_id").cast("string"), F.when(F.col("user_id") % 2 == 0, ".ts").otherwise(".md")).alias("path"), F.when(F.col("user_id") % 5 != 0, F.col("mtime")).alias("mtime"))
+    files = e.filter("user_id % 3 = 0").select(F.concat(F.lit("src/u"), F.col("user_id").cast("string"), F.lit(".md")).alias("file"))
+    return diff.changed_files_stale(changed, files, [".ts"], F.lit("2024-01-30 12:00:00").cast("timestamp"))
+
+
+def _machines(spark, sf):
+    """Customers as projects, nations as machines: their projects, and whether they are online."""
+    c, n = spark.read.parquet(f"{sf}/customer.parquet"), spark.read.parquet(f"{sf}/nation.parquet")
+    grouped = c.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("projects"), F.array_join(F.slice(F.sort_array(F.collect_set("c_mktsegment")), 1, 20), ",").alias("kinds"))
+    status = F.when(F.col("n_regionkey") == 0, "cached").when(F.col("n_nationkey") % 2 == 0, "online").otherwise("offline")
+    return n.join(grouped, "n_nationkey", "left").select(F.col("n_name").alias("machine"), F.coalesce("projects", F.lit(0)).alias("projects"), F.coalesce("kinds", F.lit("")).alias("kinds"), status.alias("status"))
+
+
+_register()
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return oracle.oracle_sql(DENSE, MIDDLE, SPARSE, SNAPSHOT, NOW)
