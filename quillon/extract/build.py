@@ -102,7 +102,8 @@ def innermost(points: DataFrame, spans: DataFrame, at: str, key: str = "file") -
 
 def extract(files: DataFrame, config: Config, aliases: Mapping[str, str] | None = None, rust_crates: tuple[str, ...] = ()) -> Graph:
     """The graph of a source tree (path, text): functions, methods, stores and components, and the calls between them."""
-    d = _declarations(files, config, rust_crates).persist()
+    files = paths.checkpointed(files)
+    d = paths.checkpointed(_declarations(files, config, rust_crates))
     own = d.filter("NOT in_test").drop("in_test")
     number = F.row_number().over(Window.partitionBy("lang", "module").orderBy("start", "short")) - 1
     rust_id = F.concat(F.lit("rust:"), "module", F.lit("::"), "short", F.lit("@"), F.col("line").cast("string"))
@@ -110,15 +111,15 @@ def extract(files: DataFrame, config: Config, aliases: Mapping[str, str] | None
     spans = nodes.filter("kind NOT IN ('component', 'store')").select("file", "id", F.col("start").alias("start"), F.col("stop").alias("stop"))
     parents = innermost(spans.select("file", F.col("id").alias("child"), F.col("start").alias("begins")), spans, "begins").filter("owner IS NOT NULL")
     nodes = nodes.join(parents.select(F.col("child").alias("id"), F.col("owner").alias("parent")), "id", "left")
-    nodes = nodes.withColumn("last", F.regexp_extract("short", r"([^.]*)$", 1)).persist()
+    nodes = paths.checkpointed(nodes.withColumn("last", F.regexp_extract("short", r"([^.]*)$", 1)))
 
     sites = _calls(files, rust_crates)
     spread = innermost(sites.distinct(), nodes.filter("kind NOT IN ('component', 'store')").select("file", "id", F.col("body").alias("start"), "stop"), "at")
     component = nodes.filter("kind = 'component'").select(F.col("file").alias("c_file"), F.col("id").alias("component"))
-    sites = spread.join(component, F.col("file") == F.col("c_file"), "left").withColumn("owner", F.coalesce("owner", "component")).drop("c_file", "component").persist()
+    sites = paths.checkpointed(spread.join(component, F.col("file") == F.col("c_file"), "left").withColumn("owner", F.coalesce("owner", "component")).drop("c_file", "component"))
 
     target = nodes.select(F.col("id").alias("target"), F.col("module").alias("t_module"), F.col("short").alias("t_short"), "last", F.col("kind").alias("t_kind"), F.col("class_name").alias("t_class"), F.col("lang").alias("t_lang"))
-    brought = _imports(files, aliases or {}).select(F.col("file").alias("i_file"), "local", "original", F.col("target").alias("i_module"))
+    brought = paths.checkpointed(_imports(files, aliases or {}).select(F.col("file").alias("i_file"), "local", "original", F.col("target").alias("i_module")))
     site = sites.withColumn("lang", F.when(F.col("file").endswith(".rs"), "rust").otherwise("ts"))
     ts = site.filter("lang = 'ts'")
     plain = ts.filter("receiver IS NULL")
@@ -136,7 +137,7 @@ def extract(files: DataFrame, config: Config, aliases: Mapping[str, str] | None
     hits = here.select(columns)
     for part in (from_import, own_dotted, far_dotted, by_name, reads, rust):
         hits = hits.unionByName(part.select(columns))
-    best = hits.withColumn("best", F.min("tier").over(Window.partitionBy("file", "at"))).filter("tier = best").persist()
+    best = paths.checkpointed(hits.withColumn("best", F.min("tier").over(Window.partitionBy("file", "at"))).filter("tier = best"))
 
     calls = rollups.edge_counts(best.filter("NOT in_test AND owner IS NOT NULL").select(F.col("owner").alias("src"), F.col("target").alias("dst")))
     tested = best.filter("in_test").select(F.col("target").alias("id")).distinct().withColumn("tested", F.lit(True))
@@ -148,8 +149,10 @@ def extract(files: DataFrame, config: Config, aliases: Mapping[str, str] | None
         names.humanize(F.col("last")).alias("humanized"), auto.alias("descr"), (F.col("end_line") - F.col("line") + 1).alias("loc"), (F.col("stop") - F.col("body") + 1).alias("chars"), "numeric_ops",
         F.coalesce("tested", F.lit(False)).alias("tested"), "legacy_reactive", "module_used", F.col("parent").isNotNull().alias("nested"), "parent", "lang",
     )
+    nodes = paths.checkpointed(nodes)
     at = nodes.select("id", "node_ord")
     edges = calls.join(at.select(F.col("id").alias("src"), F.col("node_ord").alias("a")), "src").join(at.select(F.col("id").alias("dst"), F.col("node_ord").alias("b")), "dst")
     edges = edges.select((F.row_number().over(Window.orderBy("a", "b")) - 1).cast("long").alias("edge_ord"), "src", "dst", "cnt")
-    g = Graph(with_degrees(nodes, edges), edges, config)
-    return g.having(nodes=paths.with_test_depth(g))
+    edges = paths.checkpointed(edges)
+    g = Graph(paths.checkpointed(with_degrees(nodes, edges)), edges, config)
+    return g.having(nodes=paths.checkpointed(paths.with_test_depth(g)))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..graph import Graph
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder of spark.checkpoint.dir (tests: a temporary one), its lineage cut."""
     spark: SparkSession = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
@@ -30,12 +30,12 @@ def reach_depth(edges: DataFrame, sources: DataFrame, most: int | None = None) -
     table a level, so plans stay short.
     """
     hops = edges.select("src", "dst").distinct().persist()
-    level = _checkpointed(sources.select("id").distinct().withColumn("depth", F.lit(0).cast("long")))
+    level = checkpointed(sources.select("id").distinct().withColumn("depth", F.lit(0).cast("long")))
     seen, depth = level, 0
     while (most is None or depth < most) and level.take(1):
         depth += 1
         reached = level.select(F.col("id").alias("src")).join(hops, "src").select(F.col("dst").alias("id")).distinct()
-        level = _checkpointed(reached.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth).cast("long")))
+        level = checkpointed(reached.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth).cast("long")))
         seen = seen.unionByName(level)
     hops.unpersist()
     return seen
@@ -61,7 +61,7 @@ def shortest_path(g: Graph, start: str, end: str, most: int = 12) -> DataFrame:
         most = 0
     for _ in range(most):
         grown = level.withColumnRenamed("id", "src").join(hops, "src").select(F.col("dst").alias("id"), F.concat("path", F.array("edge_ord")).alias("path"))
-        level = _checkpointed(grown.join(seen, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path")))
+        level = checkpointed(grown.join(seen, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path")))
         found = level.filter(F.col("id") == end).first()
         if found or not level.take(1):
             break
@@ -83,7 +83,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
     reaches it as its colour; those of a colour that reach back to it are its component. What is left goes round again.
     Every step is a join on the edges left; no closure is built, so it serves large graphs as well as module graphs.
     """
-    left = _checkpointed(edges.select("src", "dst").filter("src <> dst").distinct())
+    left = checkpointed(edges.select("src", "dst").filter("src <> dst").distinct())
     found = None
     while True:
         left = _trimmed(left)
@@ -91,18 +91,18 @@ def strong_components(edges: DataFrame) -> DataFrame:
             break
         colour = _least_reaching(left)
         marked = left.join(colour.select(F.col("id").alias("src"), F.col("least").alias("c")), "src").join(colour.select(F.col("id").alias("dst"), F.col("least").alias("d")), "dst")
-        same = _checkpointed(marked.filter("c = d").select("src", "dst", "c"))
+        same = checkpointed(marked.filter("c = d").select("src", "dst", "c"))
         back = same.select(F.col("c").alias("id")).distinct().withColumn("c", F.col("id"))
-        back = _checkpointed(back)
+        back = checkpointed(back)
         newest = back
         while newest.take(1):
             step = newest.select(F.col("id").alias("dst"), "c").join(same, ["dst", "c"]).select(F.col("src").alias("id"), "c").distinct()
-            newest = _checkpointed(step.join(back, ["id", "c"], "left_anti"))
+            newest = checkpointed(step.join(back, ["id", "c"], "left_anti"))
             back = back.unionByName(newest)
         members = back.select("id", F.col("c").alias("component"))
         found = members if found is None else found.unionByName(members)
         gone = members.select("id")
-        left = _checkpointed(left.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"))
+        left = checkpointed(left.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"))
     if found is None:
         return edges.select(F.col("src").alias("id"), F.col("src").alias("component"), F.lit(0).cast("long").alias("size")).limit(0)
     sizes = found.groupBy("component").agg(F.count("*").alias("size")).filter("size > 1")
@@ -113,7 +113,7 @@ def _trimmed(edges: DataFrame) -> DataFrame:
     n = edges.count()
     while n:
         kept = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        kept = _checkpointed(kept)
+        kept = checkpointed(kept)
         m = kept.count()
         if m == n:
             break
@@ -123,11 +123,11 @@ def _trimmed(edges: DataFrame) -> DataFrame:
 
 def _least_reaching(edges: DataFrame) -> DataFrame:
     ids = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
-    label = _checkpointed(ids.withColumn("least", F.col("id")))
+    label = checkpointed(ids.withColumn("least", F.col("id")))
     changed = label
     while changed.take(1):
         offered = changed.select(F.col("id").alias("src"), "least").join(edges, "src").groupBy(F.col("dst").alias("id")).agg(F.min("least").alias("offer"))
-        joined = _checkpointed(label.join(offered, "id", "left"))
+        joined = checkpointed(label.join(offered, "id", "left"))
         better = F.coalesce(F.col("offer") < F.col("least"), F.lit(False))
         changed = joined.filter(better).select("id", F.col("offer").alias("least"))
         label = joined.select("id", F.when(better, F.col("offer")).otherwise(F.col("least")).alias("least"))

@@ -31,7 +31,7 @@ def raw_schema():
     texts = T.MapType(T.StringType(), T.StringType())
     rule = fields("adr string, type string, severity string, msg string, module string, callee string, checkable boolean")
     rule = rule.add("allowFrom", T.ArrayType(T.StringType())).add("callees", T.ArrayType(T.StringType()))
-    config = T.StructType().add("layers", T.MapType(T.StringType(), T.IntegerType())).add("godFunctions", "int").add("namespacePrefix", "string").add("adrRules", T.ArrayType(rule))
+    config = T.StructType().add("layers", T.MapType(T.StringType(), T.IntegerType())).add("godFunctions", T.IntegerType()).add("namespacePrefix", T.StringType()).add("adrRules", T.ArrayType(rule))
     out = fields("generatedAt string, project string, root string, host string, commit string, dirty boolean")
     out = out.add("adrs", listed("id string, title string")).add("nodes", listed(_NODE)).add("edges", listed(_EDGE))
     out = out.add("moduleNodes", listed("module string, group string, file string, fns long")).add("moduleEdges", listed(_EDGE)).add("files", listed("file string, module string, group string, fns long, lang string"))
