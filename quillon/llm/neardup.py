@@ -20,6 +20,8 @@ BANDS = REGISTERS // ROWS
 EMPTY = 0xFFFF
 #: Ids of candidates up to which their semi-join broadcasts them (8 bytes each); beyond, it shuffles.
 BROADCAST_IDS = 1_000_000
+#: Rows and shingles that a block of a bucket holds, about.
+BLOCK_ROWS, BLOCK_SHINGLES = 1_024, 2_000_000
 #: Standard deviations by which an estimate may fall short of the threshold before a pair is let go.
 SIGMAS = 6.0
 
@@ -110,7 +112,7 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """key, id, n, s1, s2: a row for each band that isn't empty; s1 and s2 hold one bit of every register."""
+    """key, band, id, n, s1, s2: a row for each band that isn't empty; s1 and s2 hold one bit of every register."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,9 +124,9 @@ def _bands(classes: DataFrame) -> DataFrame:
             bits = np.packbits((mix(regs.astype(_U)) & _U(1)).astype(np.uint8), axis=1).view("<i8")
             row, band = np.nonzero(raw != _U(0xFFFFFFFFFFFFFFFF))
             take = pa.array(row)
-            yield pa.record_batch({"key": pa.array(keys[row, band].view(np.int64)), "id": batch.column("id").take(take), "n": batch.column("n").take(take), "s1": pa.array(bits[row, 0]), "s2": pa.array(bits[row, 1])})
+            yield pa.record_batch({"key": pa.array(keys[row, band].view(np.int64)), "band": pa.array(band.astype(np.int32)), "id": batch.column("id").take(take), "n": batch.column("n").take(take), "s1": pa.array(bits[row, 0]), "s2": pa.array(bits[row, 1])})
 
-    return classes.mapInArrow(rows, "key long, id long, n long, s1 long, s2 long")
+    return classes.mapInArrow(rows, "key long, band int, id long, n long, s1 long, s2 long")
 
 
 def _alike(a: str, b: str, percent: int):
@@ -135,6 +137,26 @@ def _alike(a: str, b: str, percent: int):
     return (100 * F.least(f"{a}n", f"{b}n") >= percent * F.greatest(f"{a}n", f"{b}n")) & (differ <= most)
 
 
+def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """id, set (sorted hashes) of the documents with one of the ids; the ids are broadcast only up to a checked number."""
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t, words).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.record_batch({"id": batch.column(0).cast(pa.int64()), "set": pa.array(found, pa.binary())})
+
+    return pick(docs, "doc_id", "text").withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").mapInArrow(sets, "id long, set binary")
+
+
+def reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have the similarity, on integers."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the similarity, as a saved table.
 
@@ -153,26 +175,11 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
 
     of = lambda x: classes.select(F.col("id").alias(x), F.col("regs").alias(f"r{x}"), F.col("n").alias(f"n{x}"))
     likely = save(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(near, "a long, b long"), "likely")
-    ids = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    n_ids = ids.count()
-    ids = F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingles(t, words).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.record_batch({"id": batch.column(0).cast(pa.int64()), "set": pa.array(found, pa.binary())})
-
-    whole = pick(docs, "doc_id", "text").withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").mapInArrow(sets, "id long, set binary")
+    whole = _sets(docs, likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), words)
 
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(both) - common))
+            keep = [reaches(np.frombuffer(x, _U), np.frombuffer(y, _U), percent) for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)]
             yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(keep, pa.bool_()))
 
     side = lambda x: whole.select(F.col("id").alias(x), F.col("set").alias(f"s{x}"))
@@ -204,13 +211,108 @@ def components(links: DataFrame) -> DataFrame:
         edges = following
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The rows of each key of a partition that is sorted by the keys."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in keys])
+        cuts = [0, *(np.flatnonzero((columns[:, 1:] != columns[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            key = tuple(columns[:, a])
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _plausible(regs: np.ndarray, n: np.ndarray, comp: np.ndarray, block: np.ndarray, band: int, across: bool, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of a bucket those after it that it may be linked with and that no earlier band holds with it.
+
+    Rows of one component are left out, as are pairs of one block where two blocks meet (``across``).
+    """
+    j = percent / 100
+    for i in range(len(regs) - 1):
+        rest = np.flatnonzero((comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i], n[i + 1 :]) >= percent * np.maximum(n[i], n[i + 1 :])) & ((block[i + 1 :] != block[i]) | (not across))) + i + 1
+        if not len(rest):
+            continue
+        guess, on = estimate(regs[i][None, :], regs[rest], n[i], n[rest])
+        rest = rest[guess >= j - _margin(j, on) - 1.0 / on]
+        if len(rest):
+            same = (regs[rest] == regs[i]).reshape(-1, BANDS, ROWS).all(axis=2) & (regs[i].reshape(BANDS, ROWS) != EMPTY).any(axis=1)
+            rest = rest[same.argmax(axis=1) == band]
+        if len(rest):
+            yield i, rest
+
+
+def _within(crowd: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
+    """Links (a, b) between unlike components of the buckets in ``crowd``; enough of them to join what belongs together.
+
+    A bucket is cut into blocks of bounded weight, and each two blocks meet in a task; pairs stay inside the task. A first
+    pass with registers alone tells which rows have a plausible partner at all, a second one has their whole sets.
+    """
+    keys = ("key", "lo", "hi")
+    by = Window.partitionBy("key")
+    blocks = F.greatest(F.ceil(F.count("*").over(by) / BLOCK_ROWS), F.ceil(F.sum("n").over(by) / BLOCK_SHINGLES)).cast("int")
+    rows = crowd.select("key", "band", "id", "comp", "n").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "band", "block", "id", "comp", "n")
+    dealt = lambda df: df.repartition(*keys).sortWithinPartitions(*keys)
+
+    def inputs(group: pa.Table, regs: np.ndarray, n: np.ndarray):
+        column = lambda c: group.column(c).to_numpy()
+        across = group.column("lo")[0] != group.column("hi")[0]
+        return _plausible(regs, n, column("comp"), column("block"), group.column("band")[0].as_py(), across, percent)
+
+    def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, keys):
+            regs = np.frombuffer(b"".join(group.column("regs").to_pylist()), "<u2").reshape(-1, REGISTERS)
+            keep = np.zeros(len(regs), dtype=bool)
+            for i, rest in inputs(group, regs, group.column("n").to_numpy()):
+                keep[i] = keep[rest] = True
+            if keep.any():
+                yield from group.drop_columns(["regs", "n"]).filter(pa.array(keep)).combine_chunks().to_batches()
+
+    schema = "key long, lo int, hi int, band int, block int, id long, comp long"
+    kept = save(dealt(rows.join(classes.select("id", "regs"), "id").select(*keys, "band", "block", "id", "comp", "n", "regs")).mapInArrow(survivors, schema), "survivors")
+    whole = _sets(docs, kept.select("id").distinct(), words)
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, keys):
+            sets = [np.frombuffer(x, _U) for x in group.column("set").to_pylist()]
+            root = {c: c for c in group.column("comp").to_pylist()}
+
+            def find(c, root=root):
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            ids, comp, out = group.column("id").to_pylist(), group.column("comp").to_pylist(), []
+            for i, rest in inputs(group, np.stack([registers(x) for x in sets]), np.array([len(x) for x in sets])):
+                for k in rest.tolist():
+                    a, b = find(comp[i]), find(comp[k])
+                    if a != b and reaches(sets[i], sets[k], percent):
+                        root[max(a, b)] = min(a, b)
+                        out.append((ids[i], ids[k]))
+            if out:
+                a, b = zip(*out, strict=True)
+                yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return save(dealt(kept.join(whole, "id").select(*keys, "band", "block", "id", "comp", "set")).mapInArrow(linked, "a long, b long").distinct(), "within")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: groups of documents linked by 100 * common >= percent * union of shingles.
 
     Documents of equal sets form a class, which goes on as its least doc_id. Classes that share a band of registers are
     candidates: first each with the least class of the band's bucket, then, within buckets whose classes are still in
-    different groups, those of unlike groups with each other. Sizes, one bit a register, and the corrected estimate
-    discard what is at least six standard deviations off; whole sets decide. 32 bands of 4 registers miss a link at a
+    different groups, those of unlike groups with each other, in blocks inside a task. Sizes, one bit a register, and the
+    corrected estimate discard what is at least six standard deviations off; whole sets decide. 32 bands of 4 registers miss a link at a
     similarity of 0.85 with a probability below 1e-10 (0.8: 5e-8).
 
     Defined results: null, empty and blank texts have empty sets, which are linked with nothing; texts of fewer words are
@@ -233,14 +335,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS) -> D
     # The rest: classes of one bucket that are in different groups by now.
     crowd = buckets.filter("many > 2").drop("many", "c").join(groups, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     split = F.min("comp").over(by) != F.max("comp").over(by)
-    step = math.log(100 / percent)
-    crowd = save(crowd.withColumn("split", split).filter("split").withColumn("step", F.floor(F.log("n") / step)), "crowd")
-    left = crowd.select("key", F.explode(F.array(F.col("step"), F.col("step") + 1)).alias("step"), *[F.col(x).alias(f"l_{x}") for x in ("id", "n", "s1", "s2", "comp")])
-    right = crowd.select("key", "step", *[F.col(x).alias(f"r_{x}") for x in ("id", "n", "s1", "s2", "comp")])
-    after = (F.col("l_n") < F.col("r_n")) | ((F.col("l_n") == F.col("r_n")) & (F.col("l_id") < F.col("r_id")))
-    rest = left.join(right, ["key", "step"]).filter(after & (F.col("l_comp") != F.col("r_comp")) & _alike("l_", "r_", percent))
-    rest = rest.select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = _verified(rest, classes, docs, percent, words)
+    crowd = save(crowd.withColumn("split", split).filter("split").drop("split"), "crowd")
+    more = _within(crowd, classes, docs, percent, words)
     groups = components(links.unionByName(more)) if more.take(1) else groups
 
     member = classes.select("k1", "k2", "id").join(groups, "id", "left").select("k1", "k2", F.coalesce("comp", "id").alias("class_comp"))
