@@ -81,7 +81,8 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     sample, never texts.
     """
     toxic = pick(labels, "doc_id", "toxic").filter("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = pick(docs, "doc_id", "text").filter("text IS NOT NULL").join(_sample(toxic, settings), "doc_id").select("toxic", "text")
+    # the sample's ids and labels are bounded by most_rows, so they are broadcast and no text is exchanged
+    rows = pick(docs, "doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(_sample(toxic, settings)), "doc_id").select("toxic", "text")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
