@@ -49,13 +49,9 @@ def _counts(table: DataFrame, cell: str) -> dict[int, int]:
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                found = np.bincount(np.frombuffer(x, cell))
-                if len(found) > len(total):
-                    found[: len(total)] += total
-                    total = found.astype(np.int64)
-                else:
-                    total[: len(found)] += found
+            found = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), cell), minlength=len(total))
+            found[: len(total)] += total
+            total = found
         used = np.flatnonzero(total)
         yield pa.record_batch({"id": pa.array(used), "n": pa.array(total[used])})
 
