@@ -30,7 +30,7 @@ _U = np.uint64
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         value = xxhash.xxh3_64_digest(word)
         self[word] = value

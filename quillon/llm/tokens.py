@@ -90,7 +90,7 @@ class TextEncoder:
     Strings of special tokens are ordinary text.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 400_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         told = json.loads(self.tokenizer.to_str())
