@@ -48,6 +48,46 @@ KNOWN = (
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
 )
 
+#: Canonical digests of entire licence files: with and without what follows the terms, with and without a title (BSD).
+#: Taken from /usr/share/common-licenses and the licence files of installed packages (packaging, requests, xxhash, pygments,
+#: zstandard, idna, psutil). AGPL-3.0 and Unlicense are not among them.
+FULL_TEXTS = (
+    ("Apache-2.0", "23c0498e738b86da84fa1ffb1ff43f4ef103f365367077ada18cd1db1813d6da"),
+    ("Apache-2.0", "98378616989e23431b15181388a001fdeac0999db741918e302c5162392bcfbd"),
+    ("Apache-2.0", "ebc600199db9838b4fc2d5288a12598c2702142177a89b3443f5cc87b137d94b"),
+    ("BSD-2-Clause", "23d7258e25bd67982ccec4b5bfc05631a20f8ee5bd5fe7eb70694c100aae88d2"),
+    ("BSD-2-Clause", "447686a56472ea2e9713ca89034ee666e6646bd1a33eba38690cb875708663e2"),
+    ("BSD-2-Clause", "6a5d49c15e02e9e94957d78177d86e8631be9a19549a7cfd2e8c3be2699f00b9"),
+    ("BSD-2-Clause", "7be8178e4e9d0dea6ff4b04bd52bd086d7ea8386a5a6e09760df916bae5d42d2"),
+    ("BSD-2-Clause", "986c3c3199a93b916c8f2e0aeed57819bcbdcb2cd9d99902dcc9d74b53f93a74"),
+    ("BSD-2-Clause", "a56fee4b2f66331ed54da4950ef9c9391453fd1490b4d8ea202bc29683bcbd30"),
+    ("BSD-3-Clause", "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651"),
+    ("BSD-3-Clause", "49cf0d0fa485e32b5c15753b9c8e5c55a3023a06b7a3b5dd83a6078c8b266725"),
+    ("BSD-3-Clause", "69fcedb70fd1930cb5d773bb71eb605a3aec6362c678302194666d60ca468f71"),
+    ("BSD-3-Clause", "9b83d3dee0616d07b82a272dd9bf5134a9f402b750f5ee6188458073b0a32ff2"),
+    ("BSD-3-Clause", "cc65957a28f15bbcef5b0c23770aae3bd8462cb25904250f77a812ab3b2efe15"),
+    ("BSD-3-Clause", "ce1fbaffac9693dbaec03cc34ce3d04dc46f630d58e7bcbb6579c3f8277f0aa9"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GPL-1.0-only", "74d0cd23803c9754c36f6ca0e1af411b418ed6b6564e757472bf0d870a1b5d1b"),
+    ("GPL-1.0-only", "af30c0af27b90ec812acdb040f3dcc944a87cd893456690efe35063f39e3eeeb"),
+    ("GPL-1.0-only", "ec8a6b7d70e9f225b63d3962ed5b4721373f5535d7b967a06722b0d621f6892a"),
+    ("GPL-2.0-only", "178d586a448701f01712744f9de166175b5625d05f71dd532a3d694e2b935def"),
+    ("GPL-2.0-only", "ae49934a47b15ec36e1ce1eb7504b3439c29f0e9be2ed0f60ba20ad7124dcb7c"),
+    ("GPL-2.0-only", "c230c00f329737cb7ce3d97a266318b4c9d4c1fd321335e592b2ce1112179b88"),
+    ("GPL-3.0-only", "010ce52b3b970c80b5447205f4afc3b42084811cda2d11b95178b1fd3940764f"),
+    ("GPL-3.0-only", "3d4de016a08e1d98b27dec755cdf4530b92807d97aaa185b32e12d52942b1943"),
+    ("GPL-3.0-only", "3dcf77ad8c25248618918aaff1de8a2cb80cea6ca922ef4a7a389cca96a7560b"),
+    ("LGPL-2.0-only", "9b0b3105b96203f9d9e4b72d4b77951152156c88139302b5aedf6295e3ceaaa3"),
+    ("LGPL-2.0-only", "e0de5033b5ad2a24c0a1a8b04f09e33038ffa62d2bef7178de2a3c6f5d56f499"),
+    ("LGPL-2.0-only", "ff773d8d898dfc51ae2dbf3baa20700673e8ceb153b13d26c525af34a59adf0c"),
+    ("LGPL-2.1-only", "963f79d48038eed98d8341c84d8d3b765e99508a738d00654c0112f70a7c370c"),
+    ("LGPL-2.1-only", "9bf9c99aeafbdbccd7456a00d574699e3deb41868375496cacbf170be719bebd"),
+    ("LGPL-2.1-only", "cb225061bb71741fe8b31a2092e22fe05b1130438158ae5d16c48fd50186e345"),
+    ("LGPL-3.0-only", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "f77c59051c0127d677dcce7ba0d4733294974749a7b4155250912498d92767d6"),
+    ("MPL-2.0", "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"),
+)
+
 #: What replaces what in turn, in Java's, Python's and RE2's dialect alike.
 SPELL_STEPS = tuple((r"\b" + re.escape(a) + ("" if a.endswith("/") else r"\b"), b) for a, b in SPELLINGS.items())
 STEPS = (
@@ -85,7 +125,7 @@ def canonical(text: Column) -> Column:
 
 def known_digests() -> dict[str, str]:
     """Digest -> licence; a fixed table."""
-    return {digest_text(text): name for name, text in KNOWN}
+    return {digest_text(text): name for name, text in KNOWN} | {digest: name for name, digest in FULL_TEXTS}
 
 
 #: A line without one of these holds no known text.
@@ -96,7 +136,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, digest (of the canonical whole text), license (that the whole text is), n_notices, notices.
 
     The whole text's canonical digest is hash-joined to the fixed table of known texts, which is broadcast (its rows are
-    the entries of ``KNOWN``). Each line's digest is looked up in the same table: ``n_notices`` lines are known texts by
+    the entries of ``KNOWN`` and ``FULL_TEXTS``). Each line's digest is looked up in the same table: ``n_notices`` lines are known texts by
     themselves, ``notices`` lists their licences, distinct and sorted, comma-joined.
 
     Defined results: null and empty texts, and texts of nothing but copyright lines and punctuation, have the digest of

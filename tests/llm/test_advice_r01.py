@@ -1,10 +1,12 @@
 """What the review of round 1 found missing."""
 
+import os
+
 import duckdb
 import numpy as np
 import pytest
 
-from quillon.llm import oracles, queries
+from quillon.llm import licenses, oracles, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,3 +22,13 @@ def test_search_equals_its_sql(spark, name):
     if name == "op5_topk_search_documents":
         asked = {i for (i,) in con.sql("SELECT doc_id FROM documents WHERE doc_id % 50 = 0").fetchall()}
         assert asked and {q for q, _ in got} == asked
+
+
+def test_full_texts_of_common_licenses(spark):
+    at = "/usr/share/common-licenses"
+    named = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "BSD": "BSD-3-Clause"}
+    if not all(os.path.exists(f"{at}/{n}") for n in named):
+        pytest.skip("no licence texts on this machine")
+    rows = [(i, "Copyright 2020 Someone\n" + open(f"{at}/{n}", encoding="utf-8").read()) for i, n in enumerate(named)]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(named))] == list(named.values())
