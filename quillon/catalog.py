@@ -36,6 +36,7 @@ def _register() -> None:
     _on_lens("fn_row", lambda g: endpoints.fn_rows(g))
     _on_lens("fn_ref", lambda g: endpoints.fn_refs(g))
     _on_lens("fn_detail", lambda g: endpoints.fn_details(g, g.nodes.filter("node_ord % 10 = 3").select("id")).select("id", "name", F.array_join("calls", ",").alias("calls"), F.array_join("called_by", ",").alias("called_by")))
+    _on_lens("fn_detail_all", lambda g: endpoints.fn_details(g, g.nodes.select("id")).select("id", "name", F.array_join("calls", ",").alias("calls"), F.array_join("called_by", ",").alias("called_by")))
     _on_lens("module_summary", lambda g: endpoints.module_summaries(g))
     _on_lens("module_detail", lambda g: endpoints.module_neighbours(g).filter("module = 'lib/utils/Brand13'"))
     _on_lens("detail_panel", lambda g: endpoints.module_neighbours(g))
@@ -113,7 +114,8 @@ def _register() -> None:
     _on_lens("layout_seed", lambda g: _rounded(endpoints.layout_seed(g)))
     _on_lens("layout_edges", lambda g: endpoints.layout_edges(g.module_edges))
     _on_lens("insight_groups", lambda g: _insights(g), SPARSE)
-    _on_lens("markdown_render", lambda g: _markdown(g))
+    _on_lens("markdown_render", lambda g: _markdown(g, g.nodes.filter("node_ord % 25 = 1")))
+    _on_lens("markdown_render_all", lambda g: _markdown(g, g.nodes))
     for name, make in (("diff_modules", diff.modules), ("diff_sizes", diff.sizes), ("diff_deps", diff.dependencies), ("diff_totals", diff.totals)):
         _QUERIES[name] = lambda spark, sf, make=make: make(_snapshot(spark, sf), lens.graph(spark, sf, DENSE))
     _QUERIES["diff_order"] = lambda spark, sf: _diff_order(spark, sf)
@@ -158,8 +160,8 @@ def _insights(g):
     return out.withColumn("badge", F.when(F.col("n") == 0, "✓").otherwise(F.col("n").cast("string")))
 
 
-def _markdown(g):
-    d = endpoints.fn_details(g, g.nodes.filter("node_ord % 25 = 1").select("id"))
+def _markdown(g, nodes):
+    d = endpoints.fn_details(g, nodes.select("id"))
     listed = lambda title, c: F.concat(F.lit(f"\n\n## {title}\n"), F.array_join(F.transform(c, lambda x: F.concat(F.lit("- "), x)), "\n"))
     text = F.concat(F.lit("# "), "name", F.lit("\n\n"), "description", F.when(F.size("calls") > 0, listed("Calls", F.col("calls"))).otherwise(""), F.when(F.size("called_by") > 0, listed("Called by", F.col("called_by"))).otherwise(""))
     return d.select("id", text.alias("markdown"))

@@ -167,6 +167,7 @@ def oracle_sql(dense: int, middle: int, sparse: int, snapshot: str, now: str) ->
     neighbours = "coalesce((SELECT string_agg(x.short, ',' ORDER BY e.edge_ord) FROM edges e JOIN nodes x ON x.id = e.{far} WHERE e.{near} = n.id), '')"
     both = f"SELECT id, short AS name, {neighbours.format(far='dst', near='src')} AS calls, {neighbours.format(far='src', near='dst')} AS called_by FROM nodes n WHERE node_ord % 10 = 3"
     put("fn_detail", both)
+    put("fn_detail_all", both.removesuffix(" WHERE node_ord % 10 = 3"))
     put("module_summary", "SELECT * FROM ms")
     sides = f"""SELECT src AS module, 'depends_on' AS direction, {_sm('dst')} AS other, cnt AS call_sites, row_number() OVER (PARTITION BY src ORDER BY cnt DESC, medge_ord) AS rank FROM me
       UNION ALL SELECT dst, 'used_by', {_sm('src')}, cnt, row_number() OVER (PARTITION BY dst ORDER BY cnt DESC, medge_ord) FROM me"""
@@ -266,6 +267,7 @@ best AS (SELECT min(path) AS path FROM trail WHERE id = 'part/150'), steps AS (S
     marked = "(SELECT string_agg('- ' || x.short, chr(10) ORDER BY e.edge_ord) FROM edges e JOIN nodes x ON x.id = e.{far} WHERE e.{near} = r.id)"
     part = "coalesce(chr(10) || chr(10) || '## {t}' || chr(10) || " + marked + ", '')"
     put("markdown_render", f"SELECT id, '# ' || name || chr(10) || chr(10) || description || {part.format(t='Calls', far='dst', near='src')} || {part.format(t='Called by', far='src', near='dst')} AS markdown FROM rows r WHERE node_ord % 25 = 1")
+    put("markdown_render_all", f"SELECT id, '# ' || name || chr(10) || chr(10) || description || {part.format(t='Calls', far='dst', near='src')} || {part.format(t='Called by', far='src', near='dst')} AS markdown FROM rows r")
     old = _graph(dense, snapshot, "o_", "node_ord % 29 <> 7 AND module <> 'lib/utils/Brand19'") + ","
     put("diff_modules", "SELECT coalesce(b.module, c.module) AS module, CASE WHEN b.module IS NULL THEN 'added' ELSE 'removed' END AS change, coalesce(c.fns, b.fns) AS fns FROM o_mn b FULL JOIN mn c ON b.module = c.module WHERE b.module IS NULL OR c.module IS NULL", before=old)
     sized = "SELECT module, b.fns AS was, c.fns AS now, abs(c.fns - b.fns) AS delta, c.fns > 80 AND b.fns <= 80 AS now_god FROM o_mn b JOIN mn c USING (module) WHERE b.fns <> c.fns"

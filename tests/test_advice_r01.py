@@ -1,0 +1,20 @@
+"""Details and documents of all nodes, against their SQL."""
+
+import duckdb
+import pytest
+
+import quillon.catalog as catalog
+from quillon.sources import lens
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", ["fn_detail_all", "markdown_render_all"])
+def test_all_nodes_equal_the_sql(spark, name):
+    con = duckdb.connect()
+    for t in "region nation customer supplier part orders lineitem events pages documents".split():
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got, want = catalog.queries()[name](spark, SF).toPandas(), con.sql(catalog.oracle_sql()[name]).df()
+    columns = sorted(want.columns)
+    cells = lambda df: sorted(map(tuple, df[columns].astype(object).itertuples(index=False)))
+    assert cells(got) == cells(want) and set(got["id"]) == {r["id"] for r in lens.graph(spark, SF, catalog.DENSE).nodes.select("id").collect()}
