@@ -65,6 +65,32 @@ def mod_97(code: str) -> bool:
     return 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+#: Lengths of account numbers by country (fixed values of the public registry).
+IBAN_LENGTHS = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+        31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+
+
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Runs cut where a word of theirs ends: at the country's length, else whole, else (country unknown) at the last end that checks."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        run, at = m[0], m.start() + 1
+        ends = [e for e in range(15, len(run) + 1) if (e == len(run) or run[e] == " ") and mod_97(run[:e])]
+        length = IBAN_LENGTHS.get(run[:2])
+        good = [e for e in ends if e - run.count(" ", 0, e) == length] or [e for e in ends if length is None or e == len(run)]
+        if good:
+            at = m.start() + good[-1]
+            yield m.start(), at
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """Leftmost matches of the e-mail pattern, sought from each ``@``: one holds exactly one, so no start is tried twice."""
     free, at = 0, text.find("@")
@@ -105,9 +131,8 @@ def _proposals(text: str) -> Iterator[tuple[int, int, str]]:
         for m in _PHONE.finditer(text):
             if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
                 yield *m.span(), "phone"
-    for m in _IBAN.finditer(text):
-        if mod_97(m[0]):
-            yield *m.span(), "iban"
+    for a, b in _ibans(text):
+        yield a, b, "iban"
     for m in _SSN.finditer(text):
         area, group, serial = m[0].split("-")
         if area not in ("000", "666") and area < "900" and group != "00" and serial != "0000":

@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from quillon.llm import licenses, oracles, queries
+from quillon.llm import licenses, oracles, pii, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,3 +32,23 @@ def test_full_texts_of_common_licenses(spark):
     rows = [(i, "Copyright 2020 Someone\n" + open(f"{at}/{n}", encoding="utf-8").read()) for i, n in enumerate(named)]
     got = {r["doc_id"]: r["license"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i] for i in range(len(named))] == list(named.values())
+
+
+@pytest.mark.parametrize(
+    ("text", "codes"),
+    [
+        ("DE89370400440532013000 BIC COBADEFFXXX", ["DE89370400440532013000"]),
+        ("GB82 WEST 1234 5698 7654 32 2024-01-01", ["GB82 WEST 1234 5698 7654 32"]),
+        ("GB82WEST12345698765432 A note", ["GB82WEST12345698765432"]),
+        ("DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32 EUR", ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"]),
+        ("AB12 REF 77 DE89370400440532013000", ["DE89370400440532013000"]),
+        ("DE88370400440532013000 BIC COBADEFFXXX", []),
+    ],
+)
+def test_words_behind_an_account_number(text, codes):
+    assert [text[s.start : s.end] for s in pii.find(text) if s.kind == "iban"] == codes
+
+
+def test_account_numbers_in_long_runs():
+    for run in ("AB12" * 50_000, "AB12 " * 40_000, "A1 " * 60_000):
+        pii.find(run)
