@@ -1,6 +1,5 @@
 """Registered queries against their SQL on the smallest tables, and the entry module with and without its optional parts."""
 
-import math
 import os
 import subprocess
 import sys
@@ -32,7 +31,7 @@ def con():
 
 def rows(df):
     def cell(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+        if pd.isna(v):
             return "~"
         return f"{v:.9g}" if isinstance(v, float) else str(v).removesuffix(".0")
 
