@@ -1,8 +1,9 @@
 """Canonical length-limited Huffman codes over token ids, and self-contained blocks of coded documents.
 
 Block layout, little-endian: magic ``QHB1``, documents u32, ids u32, lane u32, code bits u64; per document its id i64,
-a byte that is 1 where that id is null, and its number of ids u32; for every ``lane`` ids the bit offset u32 where they
-start (a checkpoint: decoding can begin at any of them); the codes, most significant bit first.
+a byte that is 1 where that id is null, and its number of ids u32; for every ``lane`` ids the bit offset where they
+start (a checkpoint: decoding can begin at any of them), u32, or u64 in a block of 2^32 code bits and more; the codes,
+most significant bit first.
 """
 
 from __future__ import annotations
@@ -90,16 +91,21 @@ def pack_bits(words: np.ndarray, sizes: np.ndarray) -> tuple[bytes, np.ndarray]:
     return cells.astype(">u8").tobytes()[: (int(ends[-1]) + 7) >> 3], starts
 
 
+def _checkpoint(bits: int) -> str:
+    return "<u8" if bits >> 32 else "<u4"
+
+
 def encode_block(code: Code, ids: list[int | None], texts: list[np.ndarray], lane: int = LANE) -> bytes:
     """``texts``: the token ids of each document."""
     tokens = np.concatenate(texts) if texts else np.zeros(0, dtype=np.int64)
     payload, starts = pack_bits(code.words[tokens], code.sizes[tokens])
+    bits = int(code.sizes[tokens].sum())
     return b"".join([
-        HEAD.pack(MAGIC, len(ids), len(tokens), lane, int(code.sizes[tokens].sum())),
+        HEAD.pack(MAGIC, len(ids), len(tokens), lane, bits),
         np.array([0 if i is None else i for i in ids], dtype="<i8").tobytes(),
         np.array([i is None for i in ids], dtype="u1").tobytes(),
         np.array([len(t) for t in texts], dtype="<u4").tobytes(),
-        starts[::lane].astype("<u4").tobytes(),
+        starts[::lane].astype(_checkpoint(bits)).tobytes(),
         payload,
     ])
 
@@ -114,8 +120,9 @@ def decode_block(code: Code, block: bytes) -> tuple[list[int | None], np.ndarray
     nulls = np.frombuffer(block, "u1", n_docs, at := at + 8 * n_docs)
     sizes = np.frombuffer(block, "<u4", n_docs, at := at + n_docs).astype(np.int64)
     lanes = (n_ids + lane - 1) // lane
-    pos = np.frombuffer(block, "<u4", lanes, at := at + 4 * n_docs).astype(np.int64)
-    raw = np.frombuffer(block + bytes(4 + (lane * code.bits + 7) // 8), "u1", offset=at + 4 * lanes).astype(np.uint32)
+    cell = _checkpoint(bits)
+    pos = np.frombuffer(block, cell, lanes, at := at + 4 * n_docs).astype(np.int64)
+    raw = np.frombuffer(block + bytes(4 + (lane * code.bits + 7) // 8), "u1", offset=at + int(cell[-1]) * lanes).astype(np.uint32)
     if len(raw) < (bits + 7) // 8:
         raise ValueError("the block is cut short")
     window = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]

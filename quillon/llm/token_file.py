@@ -26,21 +26,18 @@ def _cell(vocabulary: int) -> str:
 
 
 def _tokenized(docs: DataFrame, tokenizer: str, end_id: int | None, cell: str) -> DataFrame:
+    """doc_id, told (a hash of the text), nth (a number that no other row has), ids."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seq, before = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
-        end = np.array([] if end_id is None else [end_id], dtype=cell)
+        encode, nth = encoder(tokenizer), TaskContext.get().partitionId() << 33
+        end = np.array([] if end_id is None else [end_id], dtype=cell).tobytes()
         for batch in batches:
-            ids = [np.concatenate([np.frombuffer(encode(t), "<u4").astype(cell), end]) for t in batch.column(1).to_pylist()]
-            sizes = np.array([len(x) for x in ids], dtype=np.int64)
-            yield pa.record_batch({
-                "part": pa.array(np.full(len(ids), part, dtype=np.int32)), "seq": pa.array(np.arange(seq, seq + len(ids), dtype=np.int64)),
-                "before": pa.array(before + np.cumsum(sizes) - sizes), "doc_id": batch.column(0).cast(pa.int64()), "ids": pa.array([x.tobytes() for x in ids], pa.binary()),
-            })
-            seq, before = seq + len(ids), before + int(sizes.sum())
+            ids = [np.frombuffer(encode(t), "<u4").astype(cell).tobytes() + end for t in batch.column(2).to_pylist()]
+            yield pa.record_batch({"doc_id": batch.column(0).cast(pa.int64()), "told": batch.column(1), "nth": pa.array(np.arange(nth, nth + len(ids))), "ids": pa.array(ids, pa.binary())})
+            nth += len(ids)
 
-    keys = [F.asc_nulls_last("doc_id"), F.asc_nulls_last("text")]
-    ordered = pick(docs, "doc_id", "text").repartitionByRange(*keys).sortWithinPartitions(*keys)
-    return ordered.mapInArrow(rows, "part int, seq long, before long, doc_id long, ids binary")
+    hashed = pick(docs, "doc_id", "text").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("told"), "text")
+    return hashed.mapInArrow(rows, "doc_id long, told long, nth long, ids binary")
 
 
 def _counts(table: DataFrame, cell: str) -> dict[int, int]:
@@ -62,12 +59,14 @@ def _counts(table: DataFrame, cell: str) -> dict[int, int]:
 def write_token_file(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int | None = 2, limit: int = huffman.LIMIT) -> None:
     """Encodes every whole text, appends ``end_id`` (None: nothing) and writes the ids in ascending doc_id order.
 
-    ``path`` gets three Parquet tables: ``blocks`` (part, before: ids of the part before the block, block: the binary
+    ``path`` gets three Parquet tables: ``blocks`` (part, before: ids of the part before the block, n_ids, block: the binary
     layout of ``huffman``), ``codebook`` (the code lengths of all ids, from counts over the whole input) and ``parts``
-    (part, start: ids of all earlier parts). The texts are dealt out and sorted by range once; counts need only sums.
+    (part, start: ids of all earlier parts). Texts are encoded where they are read; their ids, far smaller, are saved,
+    counted, and dealt out and sorted once by ranges of (doc_id, a hash of the text, a number of the row), so that neither
+    texts nor ids are among the keys that a range exchange samples to the driver.
 
     Defined results: a null text is an empty one; null doc_ids come last; rows with the same doc_id follow each other by
-    text, null first among them as empty text; an empty table gives empty blocks; other columns are ignored.
+    a hash of their text; an empty table gives empty blocks; other columns are ignored.
     """
     spark = docs.sparkSession
     tokenizer = tokenizer or default_tokenizer()
@@ -80,28 +79,28 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str | None = None, e
     lengths = huffman.code_lengths(dense, limit).tobytes()
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = _code(lengths)
-        ids, texts, first, last, held = [], [], None, None, 0
+        code, part, before = _code(lengths), TaskContext.get().partitionId(), 0
+        ids, texts, held = [], [], 0
 
         def closed():
-            return pa.record_batch({"part": pa.array([first[0]], pa.int32()), "before": pa.array([first[1]], pa.int64()), "block": pa.array([huffman.encode_block(code, ids, texts)], pa.binary())})
+            return pa.record_batch({"part": pa.array([part], pa.int32()), "before": pa.array([before], pa.int64()), "n_ids": pa.array([held], pa.int64()), "block": pa.array([huffman.encode_block(code, ids, texts)], pa.binary())})
 
         for batch in batches:
-            for part, seq, before, doc, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if first is not None and ((part, seq) != last or held >= BLOCK_IDS):
-                    yield closed()
-                    ids, texts, first, held = [], [], None, 0
-                first = first or (part, before)
+            for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids.append(doc)
                 texts.append(np.frombuffer(raw, cell))
-                last, held = (part, seq + 1), held + len(texts[-1])
-        if first is not None:
+                held += len(texts[-1])
+                if held >= BLOCK_IDS:
+                    yield closed()
+                    ids, texts, before, held = [], [], before + held, 0
+        if ids:
             yield closed()
 
-    table.mapInArrow(blocks, "part int, before long, block binary").write.parquet(f"{path}/blocks")
-    sums = table.groupBy("part").agg(F.max(F.col("before") + F.octet_length("ids") / F.lit(int(cell[-1]))).cast("long").alias("n"))
+    keys = [F.asc_nulls_last("doc_id"), "told", "nth"]
+    ordered = table.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "ids")
+    ordered.mapInArrow(blocks, "part int, before long, n_ids long, block binary").write.parquet(f"{path}/blocks")
     start, parts = 0, []
-    for r in sorted(sums.collect()):
+    for r in sorted(spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n_ids").alias("n")).collect()):
         parts.append((r["part"], start))
         start += r["n"]
     spark.createDataFrame(parts, "part int, start long").coalesce(1).write.parquet(f"{path}/parts")
