@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from .common import pick
 
-#: Hashes of a paragraph; each gives two lanes that are summed modulo 2^32.
+#: Salted hashes of a paragraph; each gives two lanes that are summed modulo 2^32.
 HASHES = 8
 MASK = (1 << 32) - 1
-#: Sums of one-bit lanes: three lanes of 20 bits in each.
-SUMS, SPACING = 20, 20
-ONES = 1 | 1 << SPACING | 1 << 2 * SPACING
+#: Salted hashes of a piece; each of their bits is a lane of its own.
+BIT_HASHES = 6
+LANES = 64 * BIT_HASHES
+#: Sums of lanes during counting: eight lanes of 8 bits in a long (signed, so at most 127 pieces go into one).
+ONES, CHUNK = 0x0101010101010101, 127
+#: Longs of a fingerprint: strong lanes, bit lanes (two 32-bit counts each), the number of pieces.
+STRONG, PACKED = 2 * HASHES, LANES // 2
 #: Rows that one range of ids holds, about.
 RANGE_ROWS = 4_000
 
@@ -21,96 +25,149 @@ def paragraphs(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def lanes(text: Column) -> Column:
-    """The fingerprint as an array of longs: 16 strong lanes, 20 sums of one-bit lanes, the number of pieces.
+def lanes(text: Column) -> tuple[Column, Column, Column]:
+    """Three steps: the hashes as a struct (__h, __p), sums of chunks of pieces (__s), the fingerprint as an array of longs.
 
-    A paragraph's vector has 16 hashed lanes of 32 bits, and, summed over its pieces (cut at punctuation before a blank),
-    60 hashed bits and a one. The vectors of all paragraphs are added, the strong lanes modulo 2^32: the order of
+    A paragraph's vector has 16 hashed lanes of 32 bits, each pair from a hash under a salt of its own (the salt is what
+    the hash starts from, so no lane follows from another), and, summed over its pieces (cut at punctuation before a
+    blank), 384 hashed bits and a one. The vectors of all paragraphs are added, all lanes modulo 2^32: the order of
     paragraphs doesn't matter, and ``added`` and ``removed`` change a fingerprint without the text. ``text`` is not null.
     """
-    hashed = F.transform(paragraphs(text), lambda p: F.array(*[F.xxhash64(p, F.lit(i)) for i in range(HASHES)]))
+    hashed = F.transform(paragraphs(text), lambda p: F.array(*[F.xxhash64(F.lit(i), p) for i in range(HASHES)]))
     pieces = F.filter(F.flatten(F.transform(paragraphs(text), lambda p: F.split(p, r"[.!?;:,|] +", -1))), lambda c: c != "")
-    parts = F.transform(pieces, lambda c: F.xxhash64(c))
+    parts = F.transform(pieces, lambda c: F.array(*[F.xxhash64(F.lit(HASHES + i), c) for i in range(BIT_HASHES)]))
+    zero, n = F.lit(0).cast("long"), F.size("__p")
 
     def strong(i: int, high: bool) -> Column:
         lane = lambda h: (F.shiftrightunsigned(h[i], 32) if high else h[i]).bitwiseAND(F.lit(MASK))
-        return F.aggregate("__h", F.lit(0).cast("long"), lambda a, h: (a + lane(h)).bitwiseAND(F.lit(MASK)))
+        return F.aggregate("__h", zero, lambda a, h: (a + lane(h)).bitwiseAND(F.lit(MASK)))
 
-    def bits(j: int) -> Column:
-        return F.aggregate("__p", F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(ONES)))
+    def summed(chunk: Column) -> Column:
+        lane = lambda b, j: F.aggregate(chunk, zero, lambda a, h: a + F.shiftrightunsigned(h[b], j).bitwiseAND(F.lit(ONES)))
+        return F.array(*[lane(b, j) for b in range(BIT_HASHES) for j in range(8)])
 
-    inner = F.array(*[strong(i, high) for i in range(HASHES) for high in (False, True)], *[bits(j) for j in range(SUMS)], F.size("__p").cast("long"))
-    return F.struct(hashed.alias("__h"), parts.alias("__p")), inner
+    chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(n / CHUNK).cast("int") - 1)), lambda k: summed(F.slice("__p", k * CHUNK + 1, F.lit(CHUNK))))
+    # lanes at bytes 0 to 3 of a sum go with those at bytes 4 to 7, so that each long of the result holds two counts
+    cell = lambda c, w, q: F.shiftrightunsigned(F.get(c, w), 8 * q).bitwiseAND(F.lit(255 | 255 << 32))
+    total = lambda w, q: F.aggregate("__s", zero, lambda a, c: a + cell(c, w, q))
+    wide = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(8 * BIT_HASHES - 1)), lambda w: F.array(*[total(w, q) for q in range(4)])))
+    inner = F.concat(F.array(*[strong(i, high) for i in range(HASHES) for high in (False, True)]), wide, F.array(n.cast("long")))
+    return F.struct(hashed.alias("__h"), parts.alias("__p")), chunks, inner
 
 
 def with_lanes(df: DataFrame, text: str, out: str) -> DataFrame:
     """``df`` with the fingerprint of its column ``text`` (null: empty) as the array ``out``."""
-    hashes, inner = lanes(F.coalesce(F.col(text), F.lit("")))
+    hashes, chunks, inner = lanes(F.coalesce(F.col(text), F.lit("")))
     kept = df.columns
-    return df.withColumn("__x", hashes).select(*kept, "__x.*").select(*kept, inner.alias(out))
+    hashed = df.withColumn("__x", hashes).select(*kept, "__x.*").withColumn("__s", chunks)
+    return hashed.select(*kept, inner.alias(out))
+
+
+def _counts(a: Column, b: Column, sign: int) -> Column:
+    """Sums or differences of the two 32-bit counts that each long of a and b holds."""
+    low = (a + sign * b).bitwiseAND(F.lit(MASK))
+    high = F.shiftrightunsigned(a, 32) + sign * F.shiftrightunsigned(b, 32)
+    return low.bitwiseOR(F.shiftleft(high, 32))
+
+
+def _combined(a: Column, b: Column, sign: int) -> Column:
+    zipped = F.arrays_zip(a.alias("a"), b.alias("b"))
+    each = lambda x, i: F.when(i < STRONG, (x["a"] + sign * x["b"]).bitwiseAND(F.lit(MASK))).when(i < STRONG + PACKED, _counts(x["a"], x["b"], sign)).otherwise(x["a"] + sign * x["b"])
+    return F.transform(zipped, each)
 
 
 def added(a: Column, b: Column) -> Column:
     """The fingerprint of both texts' paragraphs."""
-    return F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), lambda x, i: F.when(i < 2 * HASHES, (x["a"] + x["b"]).bitwiseAND(F.lit(MASK))).otherwise(x["a"] + x["b"]))
+    return _combined(a, b, 1)
 
 
 def removed(a: Column, b: Column) -> Column:
     """The fingerprint without paragraphs that it holds."""
-    return F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), lambda x, i: F.when(i < 2 * HASHES, (x["a"] - x["b"]).bitwiseAND(F.lit(MASK))).otherwise(x["a"] - x["b"]))
+    return _combined(a, b, -1)
 
 
 def as_text(fp: Column) -> Column:
-    """Equal for equal multisets of paragraphs: hexadecimal digits of all lanes."""
-    strong = F.transform(F.slice(fp, 1, 2 * HASHES), lambda x: F.lpad(F.lower(F.hex(x)), 8, "0"))
-    rest = F.transform(F.slice(fp, 2 * HASHES + 1, SUMS + 1), lambda x: F.lpad(F.lower(F.hex(x)), 16, "0"))
-    return F.concat(F.array_join(strong, ""), F.array_join(rest, ""))
+    """Equal for equal multisets of paragraphs: hexadecimal digits of all lanes, the counts as wide as that of all pieces."""
+    n = F.element_at(fp, -1)
+    wide = F.length(F.hex(n))
+    strong = F.transform(F.slice(fp, 1, STRONG), lambda x: F.lpad(F.lower(F.hex(x)), 8, "0"))
+    digits = lambda x: F.lpad(F.lower(F.hex(x)), wide, F.lit("0"))
+    rest = F.transform(F.slice(fp, STRONG + 1, PACKED), lambda x: F.concat(digits(x.bitwiseAND(F.lit(MASK))), digits(F.shiftrightunsigned(x, 32))))
+    return F.concat(F.array_join(strong, ""), F.lower(F.hex(n)), F.lit(":"), F.array_join(rest, ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1: twice the common pieces over all pieces, estimated from 60 one-bit lanes (1 if both are empty or equal).
+    """0 to 1: twice the common pieces over all pieces, estimated from 384 one-bit lanes (1 if both are empty or equal).
 
     Read as +1 or -1, a lane's sum squared estimates the squared size of a multiset; so does a difference of sums for
     the difference of two multisets.
     """
-    low = (1 << SPACING) - 1
-    sums = F.arrays_zip(F.slice(a, 2 * HASHES + 1, SUMS).alias("a"), F.slice(b, 2 * HASHES + 1, SUMS).alias("b"))
+    sums = F.arrays_zip(F.slice(a, STRONG + 1, PACKED).alias("a"), F.slice(b, STRONG + 1, PACKED).alias("b"))
     n, m = F.element_at(a, -1), F.element_at(b, -1)
-    lane = lambda x, k, size: (2 * F.shiftrightunsigned(x, SPACING * k).bitwiseAND(F.lit(low)) - size).cast("double")
+    half = lambda x, high, size: (2 * (F.shiftrightunsigned(x, 32) if high else x.bitwiseAND(F.lit(MASK))) - size).cast("double")
 
     def summed(of) -> Column:
-        return F.aggregate(sums, F.lit(0.0), lambda acc, x: acc + sum((of(lane(x["a"], k, n), lane(x["b"], k, m)) for k in range(3)), F.lit(0.0)))
+        return F.aggregate(sums, F.lit(0.0), lambda acc, x: acc + of(half(x["a"], False, n), half(x["b"], False, m)) + of(half(x["a"], True, n), half(x["b"], True, m)))
 
     apart, both = summed(lambda x, y: (x - y) * (x - y)), summed(lambda x, y: x * x + y * y)
     return F.when(a == b, 1.0).when((n == 0) | (m == 0), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - apart / both)))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, fp, and those of the next document in descending doc_id (after the last: the first).
+def _slots(ids: DataFrame) -> tuple[list[int], list[int], list[int]]:
+    """Bounds of id ranges, the number of parts that each range is cut into by a hash of the text, and each range's first slot.
 
-    Ids are cut into ranges at quantiles (their number follows the rows; only the cuts and each range's greatest id reach
-    the driver). The first document of a range is sent to the range before it as well, so every range is done by itself.
+    Ranges are cut at quantiles of the ids. An id so frequent that quantiles meet on it, and the rows without an id, are
+    ranges of their own, in as many parts as their rows need. Slots count up in descending order of ids.
     """
-    docs = pick(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    ids = docs.select("doc_id")
     n = ids.count()
     cuts = max(1, min(20_000, n // RANGE_ROWS))
-    found = ids.agg(F.percentile_approx("doc_id", [i / cuts for i in range(1, cuts)] or [0.5], max(10_000, 4 * cuts)).alias("c")).first()["c"]
-    bounds = sorted(set(found or []))
-    range_of = F.when(F.col("doc_id").isNull(), 0).otherwise(1 + _rank(F.col("doc_id"), bounds))
-    tops = {r["range"]: r["top"] for r in ids.select(range_of.alias("range"), "doc_id").groupBy("range").agg(F.max("doc_id").alias("top")).collect()}
-    order = sorted(tops, reverse=True)
-    # a range's greatest id also goes, as a guest, to the range before it in descending order; the first to the last
-    before = {r: order[i - 1] for i, r in enumerate(order)}
-    slots = range(len(bounds) + 2)
-    top, to = (F.element_at(F.array(*[F.lit(x.get(r)).cast("long") for r in slots]), F.col("range") + 1) for x in (tops, before))
-    placed = with_lanes(docs, "text", "fp").withColumn("range", range_of.cast("int"))
-    placed = placed.withColumn("to", F.when(F.col("doc_id").eqNullSafe(top), to).cast("int"))
-    spots = F.when(F.col("to").isNull(), F.array(F.struct(F.col("range").alias("r"), F.lit(0).alias("g"))))
-    spots = spots.otherwise(F.array(F.struct(F.col("range").alias("r"), F.lit(0).alias("g")), F.struct(F.col("to").alias("r"), F.lit(1).alias("g"))))
-    dealt = placed.select("doc_id", "text", "fp", F.explode(spots).alias("s")).select("doc_id", "text", "fp", "s.r", "s.g")
-    down = Window.partitionBy("r").orderBy("g", F.desc_nulls_last("doc_id"), "text")
-    return dealt.select("doc_id", "text", "fp", "g", F.lead("text").over(down).alias("next_text"), F.lead("fp").over(down).alias("next_fp")).filter("g = 0").drop("g")
+    found = ids.agg(F.percentile_approx("doc_id", [i / cuts for i in range(1, cuts)] or [0.5], max(10_000, 4 * cuts)).alias("c")).first()["c"] or []
+    often = {a for a, b in zip(found, found[1:], strict=False) if a == b}
+    bounds = sorted({*found, *(v + 1 for v in often if v < (1 << 63) - 1)})
+    sizes = ids.groupBy(_range(F.col("doc_id"), bounds).alias("range")).agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).collect()
+    parts = [1] * (len(bounds) + 2)
+    for r in sizes:
+        if r["a"] == r["b"]:  # one id, or none
+            parts[r["range"]] = max(1, r["n"] // RANGE_ROWS)
+    first, at = [0] * len(parts), 0
+    for r in reversed(range(len(parts))):
+        first[r], at = at, at + parts[r]
+    return bounds, parts, first
+
+
+def _range(doc_id: Column, bounds: list[int]) -> Column:
+    return F.when(doc_id.isNull(), 0).otherwise(1 + _rank(doc_id, bounds)).cast("int")
+
+
+def with_next(docs: DataFrame) -> DataFrame:
+    """doc_id, text, fp, and those of the next document in descending doc_id, then a hash of the text (after the last: the first).
+
+    Rows are dealt to slots of bounded size (their number follows the rows; the driver gets the cuts and each slot's first
+    row, no texts). The first document of a slot is sent to the slot before it as well, so every slot is done by itself.
+    Fingerprints are made behind the exchange, which moves texts only.
+    """
+    docs = pick(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
+    bounds, parts, first = _slots(docs.select("doc_id"))
+    known = lambda values: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.col("range") + 1)
+    part = F.least(known(parts) - 1, F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * known(parts)))
+    placed = docs.withColumns({"range": _range(F.col("doc_id"), bounds), "h": F.xxhash64("text")}).withColumn("slot", (known(first) + part).cast("int"))
+    # a slot's first row is the one of greatest id and, where an id fills slots, of the least hash
+    tops = placed.groupBy("slot").agg(F.max("doc_id").alias("top"), F.min("h").alias("least") if max(parts) > 1 else F.lit(0).cast("long").alias("least")).collect()
+    single = [p > 1 for r in reversed(range(len(parts))) for p in [parts[r]] for _ in range(parts[r])]
+    top, least, to = [None] * len(single), [None] * len(single), [None] * len(single)
+    there = sorted(r["slot"] for r in tops)
+    for r in tops:
+        top[r["slot"]], least[r["slot"]] = r["top"], r["least"]
+    for i, slot in enumerate(there):
+        to[slot] = there[i - 1]
+    of = lambda values, kind: F.element_at(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("slot") + 1)
+    leads = F.when(of(single, "boolean"), F.col("h") == of(least, "long")).otherwise(F.col("doc_id").eqNullSafe(of(top, "long")))
+    spots = F.when(~leads, F.array(F.struct(F.col("slot").alias("r"), F.lit(0).alias("g"))))
+    spots = spots.otherwise(F.array(F.struct(F.col("slot").alias("r"), F.lit(0).alias("g")), F.struct(of(to, "int").alias("r"), F.lit(1).alias("g"))))
+    dealt = placed.select("doc_id", "text", "h", F.explode(spots).alias("s")).select("doc_id", "text", "h", "s.r", "s.g").repartition("r")
+    down = Window.partitionBy("r").orderBy("g", F.desc_nulls_last("doc_id"), "h", "text")
+    made = with_lanes(dealt, "text", "fp")
+    return made.select("doc_id", "text", "fp", "g", F.lead("text").over(down).alias("next_text"), F.lead("fp").over(down).alias("next_fp")).filter("g = 0").drop("g")
 
 
 def _rank(of: Column, bounds: list[int]) -> Column:
@@ -131,7 +188,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     document's, in descending doc_id; after the last document comes the first.
 
     Defined results: null texts are empty; null doc_ids come after all others; rows with the same doc_id follow each
-    other by text; a lone document is its own next; an empty table gives no rows; other columns are ignored.
+    other by a hash of their text; a lone document is its own next; an empty table gives no rows; other columns are ignored.
     """
     paired = with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
