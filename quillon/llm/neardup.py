@@ -8,10 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_saved, pick, save
+from .common import drop_saved, packed_row, pick, save, unpacked
 
 WORDS = 5
 #: Registers; bits of a register's mantissa; registers of a band.
@@ -93,22 +93,27 @@ def _margin(similarity: float, n: float | np.ndarray) -> float | np.ndarray:
     return SIGMAS * np.sqrt(similarity * (1 - similarity) / n)
 
 
-def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest of the whole shingle set (k1, k2) and its registers."""
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, text, nth: a number that no other row has, as a saved table; links, classes and groups go by it."""
+    return save(pick(docs, "doc_id", "text").withColumn("nth", F.monotonically_increasing_id()), "numbered")
+
+
+def sketches(rows_of: DataFrame, words: int = WORDS) -> DataFrame:
+    """nth, doc_id, n_shingles, a 128-bit digest of the whole shingle set (k1, k2) and its registers, of numbered rows."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, k1, k2, regs = [], [], [], []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
+            for text in batch.column(2).cast(pa.binary()).to_pylist():
                 s = shingles(text, words)
                 n.append(len(s))
                 key = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8")
                 k1.append(int(key[0]))
                 k2.append(int(key[1]))
                 regs.append(registers(s).tobytes())
-            yield pa.record_batch({"doc_id": batch.column(0).cast(pa.int64()), "n_shingles": pa.array(n, pa.int64()), "k1": pa.array(k1, pa.int64()), "k2": pa.array(k2, pa.int64()), "regs": pa.array(regs, pa.binary())})
+            yield pa.record_batch({"nth": batch.column(0), "doc_id": batch.column(1).cast(pa.int64()), "n_shingles": pa.array(n, pa.int64()), "k1": pa.array(k1, pa.int64()), "k2": pa.array(k2, pa.int64()), "regs": pa.array(regs, pa.binary())})
 
-    return pick(docs, "doc_id", "text").mapInArrow(rows, "doc_id long, n_shingles long, k1 long, k2 long, regs binary")
+    return rows_of.select("nth", "doc_id", "text").mapInArrow(rows, "nth long, doc_id long, n_shingles long, k1 long, k2 long, regs binary")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -138,7 +143,7 @@ def _alike(a: str, b: str, percent: int):
 
 
 def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """id, set (sorted hashes) of the documents with one of the ids; the ids are broadcast only up to a checked number."""
+    """id, set (sorted hashes) of the numbered rows with one of the ids; the ids are broadcast only up to a checked number."""
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +151,7 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             found = [shingles(t, words).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.record_batch({"id": batch.column(0).cast(pa.int64()), "set": pa.array(found, pa.binary())})
 
-    return pick(docs, "doc_id", "text").withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").mapInArrow(sets, "id long, set binary")
+    return docs.select(F.col("nth").alias("id"), "text").join(ids, "id", "left_semi").mapInArrow(sets, "id long, set binary")
 
 
 def reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -174,7 +179,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
             yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b")}).filter(ok)
 
     of = lambda x: classes.select(F.col("id").alias(x), F.col("regs").alias(f"r{x}"), F.col("n").alias(f"n{x}"))
-    likely = save(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(near, "a long, b long"), "likely")
+    likely = save(pairs.join(of("b"), "b").join(of("a"), "a").mapInArrow(near, "a long, b long"), "likely")
     whole = _sets(docs, likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), words)
 
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +188,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
             yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(keep, pa.bool_()))
 
     side = lambda x: whole.select(F.col("id").alias(x), F.col("set").alias(f"s{x}"))
-    return save(likely.join(side("a"), "a").join(side("b"), "b").mapInArrow(confirmed, "a long, b long").distinct(), "links")
+    # b first: each set moves once, and only the last join meets the centres of stars, whose pairs skew handling deals out
+    return save(likely.join(side("b"), "b").join(side("a"), "a").mapInArrow(confirmed, "a long, b long").distinct(), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -231,14 +237,15 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
         yield pa.Table.from_batches(held)
 
 
-def _plausible(regs: np.ndarray, n: np.ndarray, comp: np.ndarray, block: np.ndarray, band: int, across: bool, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+def _plausible(regs: np.ndarray, n: np.ndarray, comp: np.ndarray, block: np.ndarray, guest: np.ndarray, band: int, across: bool, percent: int) -> Iterator[tuple[int, np.ndarray]]:
     """For each row of a bucket those after it that it may be linked with and that no earlier band holds with it.
 
-    Rows of one component are left out, as are pairs of one block where two blocks meet (``across``).
+    Rows of one component are left out, as are pairs of guests and pairs of one block where two blocks meet (``across``).
     """
     j = percent / 100
     for i in range(len(regs) - 1):
-        rest = np.flatnonzero((comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i], n[i + 1 :]) >= percent * np.maximum(n[i], n[i + 1 :])) & ((block[i + 1 :] != block[i]) | (not across))) + i + 1
+        alike = (comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i], n[i + 1 :]) >= percent * np.maximum(n[i], n[i + 1 :]))
+        rest = np.flatnonzero(alike & ((block[i + 1 :] != block[i]) | (not across)) & ~(guest[i + 1 :] & guest[i])) + i + 1
         if not len(rest):
             continue
         guess, on = estimate(regs[i][None, :], regs[rest], n[i], n[rest])
@@ -250,24 +257,40 @@ def _plausible(regs: np.ndarray, n: np.ndarray, comp: np.ndarray, block: np.ndar
             yield i, rest
 
 
+def _dealt(crowd: DataFrame, percent: int) -> DataFrame:
+    """key, part, lo, hi, band, block, guest, id, comp, n: the rows of ``crowd`` as they meet, each group of bounded weight.
+
+    A small bucket is one group. In a larger one only rows of like sizes can be linked, so its rows meet by size class: a
+    class as wide as the similarity allows has its own rows and, as guests, those of the class below. What is still too
+    large is cut into blocks by a hash, of which each two meet.
+    """
+    width = math.log(100 / percent) * 1.000001
+    size_class = F.floor(F.log(F.col("n").cast("double")) / width).cast("int")
+    own, other = F.struct(size_class.alias("part"), F.lit(False).alias("guest")), F.struct((size_class + 1).alias("part"), F.lit(True).alias("guest"))
+    whole = F.array(F.struct(F.lit(-1).alias("part"), F.lit(False).alias("guest")))
+    large = (F.col("rows") > BLOCK_ROWS) | (F.col("weight") > BLOCK_SHINGLES)
+    rows = crowd.select("key", "band", "id", "comp", "n", F.explode(F.when(large, F.array(own, other)).otherwise(whole)).alias("p")).select("key", "p.*", "band", "id", "comp", "n")
+    sizes = rows.groupBy("key", "part").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.bool_and("guest").alias("idle"))
+    rows = rows.join(sizes.filter("NOT idle").drop("idle"), ["key", "part"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select("key", "part", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "band", "block", "guest", "id", "comp", "n")
+
+
 def _within(crowd: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
     """Links (a, b) between unlike components of the buckets in ``crowd``; enough of them to join what belongs together.
 
-    A bucket is cut into blocks of bounded weight, and each two blocks meet in a task; pairs stay inside the task. A first
-    pass with registers alone tells which rows have a plausible partner at all, a second one has their whole sets.
+    Rows meet in groups of bounded weight; pairs stay inside a task. A first pass with registers alone tells which rows
+    have a plausible partner at all, a second one has their whole sets.
     """
-    keys = ("key", "lo", "hi")
-    by = Window.partitionBy("key")
-    blocks = F.greatest(F.ceil(F.count("*").over(by) / BLOCK_ROWS), F.ceil(F.sum("n").over(by) / BLOCK_SHINGLES)).cast("int")
-    rows = crowd.select("key", "band", "id", "comp", "n").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "band", "block", "id", "comp", "n")
+    keys = ("key", "part", "lo", "hi")
+    rows = _dealt(crowd, percent)
     dealt = lambda df: df.repartition(*keys).sortWithinPartitions(*keys)
 
     def inputs(group: pa.Table, regs: np.ndarray, n: np.ndarray):
         column = lambda c: group.column(c).to_numpy()
         across = group.column("lo")[0] != group.column("hi")[0]
-        return _plausible(regs, n, column("comp"), column("block"), group.column("band")[0].as_py(), across, percent)
+        guest = group.column("guest").to_numpy(zero_copy_only=False)
+        return _plausible(regs, n, column("comp"), column("block"), guest, group.column("band")[0].as_py(), across, percent)
 
     def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, keys):
@@ -278,8 +301,8 @@ def _within(crowd: DataFrame, classes: DataFrame, docs: DataFrame, percent: int,
             if keep.any():
                 yield from group.drop_columns(["regs", "n"]).filter(pa.array(keep)).combine_chunks().to_batches()
 
-    schema = "key long, lo int, hi int, band int, block int, id long, comp long"
-    kept = save(dealt(rows.join(classes.select("id", "regs"), "id").select(*keys, "band", "block", "id", "comp", "n", "regs")).mapInArrow(survivors, schema), "survivors")
+    schema = "key long, part int, lo int, hi int, band int, block int, guest boolean, id long, comp long"
+    kept = save(dealt(rows.join(classes.select("id", "regs"), "id").select(*keys, "band", "block", "guest", "id", "comp", "n", "regs")).mapInArrow(survivors, schema), "survivors")
     whole = _sets(docs, kept.select("id").distinct(), words)
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,44 +326,71 @@ def _within(crowd: DataFrame, classes: DataFrame, docs: DataFrame, percent: int,
                 a, b = zip(*out, strict=True)
                 yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return save(dealt(kept.join(whole, "id").select(*keys, "band", "block", "id", "comp", "set")).mapInArrow(linked, "a long, b long").distinct(), "within")
+    return save(dealt(kept.join(whole, "id").select(*keys, "band", "block", "guest", "id", "comp", "set")).mapInArrow(linked, "a long, b long").distinct(), "within")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: groups of documents linked by 100 * common >= percent * union of shingles.
+def grouped(rows: DataFrame, percent: int = 80, words: int = WORDS) -> DataFrame:
+    """nth, doc_id, n_shingles, component_id, stays (of one row a group) for the rows of ``numbered``.
 
-    Documents of equal sets form a class, which goes on as its least doc_id. Classes that share a band of registers are
+    Rows of equal sets form a class, which goes on as its least number. Classes that share a band of registers are
     candidates: first each with the least class of the band's bucket, then, within buckets whose classes are still in
-    different groups, those of unlike groups with each other, in blocks inside a task. Sizes, one bit a register, and the
-    corrected estimate discard what is at least six standard deviations off; whole sets decide. 32 bands of 4 registers miss a link at a
-    similarity of 0.85 with a probability below 1e-10 (0.8: 5e-8).
-
-    Defined results: null, empty and blank texts have empty sets, which are linked with nothing; texts of fewer words are
-    one shingle; rows that repeat a doc_id get the same group if their texts do; a null doc_id is linked with nothing, has
-    a null component_id and is kept; an empty table gives no rows; other columns are ignored.
+    different groups, those of unlike groups and like sizes with each other, in blocks inside a task. Sizes, one bit a
+    register, and the corrected estimate discard what is at least six standard deviations off; whole sets decide. 32 bands
+    of 4 registers miss a link at a similarity of 0.85 with a probability below 1e-10 (0.8: 5e-8).
     """
-    table = save(sketches(docs, words), "sketches")
-    named = table.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    docs = rows
+    table = save(sketches(rows, words), "sketches")
+    named = table.filter("n_shingles > 0")
     same_set = named.groupBy("k1", "k2")
-    classes = save(same_set.agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")), "classes")
-    by = Window.partitionBy("key")
-    least = F.min(F.struct("id", "n", "s1", "s2")).over(by)
-    bands = _bands(classes.select("id", "n", "regs")).withColumns({"many": F.count("*").over(by), "c": least}).filter("many > 1")
-    buckets = save(bands, "buckets")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("doc_id"), F.col("nth").alias("nth")))
+    classes = save(same_set.agg(F.min("nth").alias("id"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"), first.alias("head")), "classes")
+    # what a bucket is, is summed up before it is exchanged, and joined back to its rows: no task gets a bucket whole
+    bands = save(_bands(classes.select("id", "n", "regs")), "bands")
+    summary = bands.groupBy("key").agg(F.count("*").alias("rows"), F.sum("n").alias("weight"), F.min(F.struct("id", "n", "s1", "s2")).alias("c")).filter("rows > 1")
+    buckets = save(bands.join(summary, "key"), "buckets")
+    drop_saved(bands)
     star = buckets.select("id", "n", "s1", "s2", *[F.col(f"c.{x}").alias(f"c_{x}") for x in ("id", "n", "s1", "s2")])
     star = star.filter((F.col("id") != F.col("c_id")) & _alike("", "c_", percent)).select(F.col("c_id").alias("a"), F.col("id").alias("b")).distinct()
     links = _verified(star, classes, docs, percent, words)
     groups = components(links)
 
     # The rest: classes of one bucket that are in different groups by now.
-    crowd = buckets.filter("many > 2").drop("many", "c").join(groups, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    split = F.min("comp").over(by) != F.max("comp").over(by)
-    crowd = save(crowd.withColumn("split", split).filter("split").drop("split"), "crowd")
-    more = _within(crowd, classes, docs, percent, words)
+    crowd = buckets.filter("rows > 2").select("key", "band", "id", "n", "rows", "weight").join(groups, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    crowd = save(crowd, "grouped")
+    split = crowd.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("key")
+    more = _within(crowd.join(split, "key", "left_semi"), classes, docs, percent, words)
     groups = components(links.unionByName(more)) if more.take(1) else groups
 
-    member = classes.select("k1", "k2", "id").join(groups, "id", "left").select("k1", "k2", F.coalesce("comp", "id").alias("class_comp"))
-    out = table.select("doc_id", "n_shingles", "k1", "k2").join(member, ["k1", "k2"], "left")
-    linked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
-    out = out.select("doc_id", "n_shingles", F.when(linked, F.col("class_comp")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    member = classes.select("k1", "k2", "head", "id").join(groups, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    heads = member.groupBy("comp").agg(F.min("head").alias("least"))
+    member = member.join(heads, "comp").select("k1", "k2", "least")
+    out = named.select("nth", "doc_id", "n_shingles", "k1", "k2").join(member, ["k1", "k2"])
+    out = out.select("nth", "doc_id", "n_shingles", F.col("least.doc_id").alias("component_id"), (F.col("nth") == F.col("least.nth")).alias("stays"))
+    alone = table.filter("n_shingles = 0").select("nth", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
+    return out.unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: groups of documents linked by 100 * common >= percent * union of shingles.
+
+    Defined results: null, empty and blank texts have empty sets, which are linked with nothing; texts of fewer words are
+    one shingle; each row counts by itself, so rows that repeat a doc_id are in one group only if their texts are; a group
+    is named by its least doc_id, and by null if none of its rows has one; kept are the rows of that doc_id, and of a group
+    without one a single row; an empty table gives no rows; other columns are ignored.
+    """
+    found = grouped(numbered(docs), percent, words)
+    kept = F.when(F.col("component_id").isNull(), F.col("stays")).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def distinct_documents(docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataFrame:
+    """``docs`` with one row of each group: the one of least doc_id (of none: any one); all columns stay.
+
+    Defined results: as those of ``near_duplicates``, except that of rows that repeat the least doc_id one stays; rows of
+    null, empty and blank texts all stay.
+    """
+    rows, columns = packed_row(docs, "doc_id", "text")
+    rows = save(rows.withColumn("nth", F.monotonically_increasing_id()), "rows")
+    slim = rows.select(F.col("__k_doc_id").cast("long").alias("doc_id"), F.col("__k_text").alias("text"), "nth")
+    gone = grouped(slim, percent, words).filter("NOT stays").select("nth")
+    return unpacked(rows.join(gone, "nth", "left_anti"), columns)

@@ -106,7 +106,7 @@ class TextEncoder:
     tokens, as the library has it unless told otherwise.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 250_000):
         self.tokenizer = Tokenizer.from_file(path)
         added = self.tokenizer.get_added_tokens_decoder()
         self.special = {t.content: struct.pack("<I", i) for i, t in added.items()}

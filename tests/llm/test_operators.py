@@ -471,10 +471,32 @@ def test_near_duplicates_odd(odd, empty):
     assert len(got) == len(ODD)
     by = {r["doc_id"]: r for r in got}
     assert by[5]["component_id"] == 1 and not by[5]["kept"] and by[6]["kept"] and by[6]["n_shingles"] == 1
-    assert by[2]["n_shingles"] == by[3]["n_shingles"] == by[7]["n_shingles"] == 0 and by[None]["component_id"] is None and by[None]["kept"]
+    assert by[2]["n_shingles"] == by[3]["n_shingles"] == by[7]["n_shingles"] == 0
+    assert sorted(r["kept"] for r in got if r["doc_id"] is None) == [False, True] and by[None]["component_id"] is None
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_under_odd_names(spark):
+    """Two texts of one doc_id are two documents; rows without an id are linked like others; one row of a group stays."""
+    text = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abc"}
+    rows = [(1, text["a"]), (1, text["b"]), (2, text["a"] + " more"), (3, text["b"]), (None, text["b"]), (None, text["c"]), (None, text["c"]), (1, text["a"]), (4, ""), (4, "")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string")
+    got = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df, 80).collect())
+    assert got == Counter({(1, 1, True): 3, (2, 1, False): 1, (3, 1, False): 1, (None, 1, False): 1, (None, None, True): 1, (None, None, False): 1, (4, 4, True): 2})
+    left = Counter((r["doc_id"], r["text"][:2], r["source"]) for r in neardup.distinct_documents(df, 80).collect())
+    assert left == Counter({(1, "a0", "x"): 1, (1, "b0", "x"): 1, (None, "c0", "x"): 1, (4, "", "x"): 2})
+
+
+def test_near_duplicates_in_one_large_bucket(spark, monkeypatch):
+    """Documents of many sizes that all share their beginning meet by size class and block, and no link is lost."""
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 8)
+    rng = np.random.default_rng(3)
+    shared = [f"s{i}" for i in range(40)]
+    rows = [(i, " ".join(shared + [f"u{i // 2}-{k}" for k in range(int(rng.integers(0, 60)) if i % 2 else 30)])) for i in range(120)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()}
+    assert got == plain_groups(rows, 85)
+
+
 def test_estimates_follow_similarity():
     rng = np.random.default_rng(1)
     for share in (0.3, 0.6, 0.9):
