@@ -50,7 +50,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = f"file://{tempfile.mkdtemp(prefix='quillon-')}"
     spark.conf.set("spark.checkpoint.dir", own)
@@ -85,12 +85,14 @@ def global_index(df: DataFrame, keys: Sequence[Column | str], label: str) -> Dat
     """``df`` with ``idx``, the row's number from 0 in the order of ``keys``, as a saved table.
 
     A range exchange sorts the rows; each partition's rows are counted, and only those counts (one a partition) meet
-    and are broadcast. A hot key is cut between partitions as long as ``keys`` end in something that tells its rows apart.
+    and are broadcast. Rows with equal keys are cut between partitions by a number that each has from where it was read.
     """
-    spark = df.sparkSession
+    keys = [*keys, "__nth"]
     placed = (
-        df.repartitionByRange(*keys)
+        df.withColumn("__nth", F.monotonically_increasing_id())
+        .repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
+        .drop("__nth")
         .withColumns({"__pid": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
     )
     table = save(placed, label)

@@ -36,10 +36,19 @@ Permission is granted to anyone to use this software for any purpose, including
 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+""" + _MIT[_MIT.index("THE SOFTWARE IS PROVIDED") :].replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS")
+_BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 #: Known texts, entire, by licence: full texts and the notices that stand for one.
 KNOWN = (
     ("MIT", _MIT), ("MIT", "MIT License\n" + _MIT), ("MIT", "The MIT License (MIT)\n" + _MIT), ("ISC", _ISC), ("ISC", "ISC License\n" + _ISC),
     ("0BSD", _ZERO_BSD), ("0BSD", "Zero-Clause BSD\n" + _ZERO_BSD), ("Zlib", _ZLIB), ("Zlib", "zlib License\n" + _ZLIB),
+    ("Unlicense", _UNLICENSE), ("Unlicense", _UNLICENSE + "\nFor more information, please refer to <https://unlicense.org/>"), ("Unlicense", _UNLICENSE + "\nFor more information, please refer to <http://unlicense.org/>"),
+    ("BSL-1.0", _BOOST), ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003\n" + _BOOST),
     ("MIT", "Released under the MIT License."), ("MIT", "Licensed under the MIT License."), ("MIT", "SPDX-License-Identifier: MIT"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."), ("GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-only"),
@@ -148,8 +157,7 @@ def scan(docs: DataFrame) -> DataFrame:
     table = F.broadcast(spark.createDataFrame(sorted(known.items()), "__digest string, license string"))
     by_digest = F.create_map(*[F.lit(x) for kv in sorted(known.items()) for x in kv])
     text = F.coalesce("text", F.lit(""))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(x) < 4_000)  # no known text has a line of that length
-    lines = F.filter(lines, lambda x: F.lower(x).rlike(_HINT))
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.lower(x).rlike(_HINT))
     found = F.filter(F.transform(lines, lambda x: by_digest[F.sha2(F.encode(canonical(x), "UTF-8"), 256)]), lambda x: x.isNotNull())
     out = pick(docs, "doc_id", "text").select("doc_id", F.sha2(F.encode(canonical(text), "UTF-8"), 256).alias("digest"), found.alias("__found"))
     out = out.join(table, F.col("digest") == F.col("__digest"), "left")

@@ -49,6 +49,19 @@ def _offset(seed: int, source: Column) -> Column:
     return F.conv(F.substring(hashed, 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
+def _copies(rows: DataFrame, weights: Sequence[int], most: int, seed: int, label: str) -> DataFrame:
+    """``rows`` (doc_id, source, size, told and whatever else they carry) with source_size, target and copies."""
+    ranked = global_index(rows, [F.asc_nulls_last("source"), "size", F.asc_nulls_last("doc_id"), "told"], label)
+    sources = ranked.groupBy("source").agg(F.sum("size").alias("source_size"), F.min("idx").alias("first"))
+    aims = targets(sources.select("source", "source_size"), weights, most).withColumnRenamed("source", "aim_of")
+    aims = save(aims.join(sources.select(F.col("source").alias("of"), "first"), F.col("aim_of").eqNullSafe(F.col("of"))).drop("of"), "aims")
+    out = ranked.join(aims, F.col("source").eqNullSafe(F.col("aim_of")))
+    expected = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
+    rank, start = F.col("idx") - F.col("first"), _offset(seed, F.col("source"))
+    copies = (F.floor(start + (rank + 1) * expected) - F.floor(start + rank * expected)).cast("int")
+    return out.withColumn("copies", F.least(copies, F.lit(most)))
+
+
 def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = MOST, seed: int = 42) -> DataFrame:
     """How often the mix takes every document.
 
@@ -63,25 +76,18 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = MOST, s
     other columns are ignored.
     """
     rows = pick(docs, "doc_id", "source", "text").select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("told"))
-    ranked = global_index(rows, [F.asc_nulls_last("source"), "size", F.asc_nulls_last("doc_id"), "told"], "mix")
-    sources = ranked.groupBy("source").agg(F.sum("size").alias("source_size"), F.min("idx").alias("first"))
-    aims = targets(sources.select("source", "source_size"), weights, most).withColumnRenamed("source", "aim_of")
-    aims = save(aims.join(sources.select(F.col("source").alias("of"), "first"), F.col("aim_of").eqNullSafe(F.col("of"))).drop("of"), "aims")
-    out = ranked.join(aims, F.col("source").eqNullSafe(F.col("aim_of")))
-    expected = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
-    rank, start = F.col("idx") - F.col("first"), _offset(seed, F.col("source"))
-    copies = (F.floor(start + (rank + 1) * expected) - F.floor(start + rank * expected)).cast("int")
-    out = out.withColumn("copies", F.least(copies, F.lit(most)))
+    out = _copies(rows, weights, most, seed, "mix")
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = MOST, seed: int = 42) -> DataFrame:
     """The documents themselves, each as often as ``mix`` takes it, with the columns of ``docs``.
 
-    Rows that repeat a doc_id are taken as often as the mix takes the first of them; null doc_ids are taken once.
+    Rows take part in the range exchange whole and so carry their own copies: nothing is joined by doc_id. Defined
+    results: those of ``mix``; rows that repeat a doc_id or have none are taken as often as each of them is.
     """
-    copies = mix(docs, weights, most, seed).filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.max("copies").alias("copies"))
-    rows, columns = packed_row(docs, "doc_id")
-    joined = rows.join(copies, rows["__k_doc_id"] == copies["id"], "left")
-    times = F.coalesce("copies", F.lit(1))
-    return unpacked(joined.withColumn("__n", F.explode(F.array_repeat(F.lit(0), times))), columns)
+    rows, columns = packed_row(docs, "doc_id", "source", "text")
+    text = F.col("__k_text")
+    rows = rows.select("__row", F.col("__k_doc_id").alias("doc_id"), F.col("__k_source").alias("source"), n_words(text).alias("size"), F.xxhash64(text).alias("told"))
+    taken = _copies(rows, weights, most, seed, "mixed").filter("copies > 0")
+    return unpacked(taken.withColumn("__n", F.explode(F.array_repeat(F.lit(0), F.col("copies")))), columns)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import pandas as pd
@@ -141,20 +143,40 @@ def _proposals(text: str) -> Iterator[tuple[int, int, str]]:
         yield *m.span(), "local_phone"
 
 
+class _Taken:
+    """Places that spans have. Asked once per proposal: sorted anew only when another kind begins to ask."""
+
+    def __init__(self):
+        self.places: list[tuple[int, int]] = []
+        self.kind, self.starts, self.tops = None, [], []
+
+    def add(self, start: int, end: int) -> None:
+        self.places.append((start, end))
+
+    def meets(self, start: int, end: int, kind: str) -> bool:
+        if kind != self.kind:  # spans of one kind don't overlap each other
+            self.kind = kind
+            self.places.sort()
+            self.starts = [a for a, _ in self.places]
+            self.tops = list(accumulate((b for _, b in self.places), max))
+        before = bisect_left(self.starts, end)
+        return before > 0 and self.tops[before - 1] > start
+
+
 def find(text: str | None, threshold: float = THRESHOLD) -> list[Span]:
     """All spans of a text by start, then kind. Base kinds always count; others need ``threshold`` and no base span there."""
     if not text:
         return []
-    spans, taken = [], []
+    spans, taken = [], _Taken()
     for start, end, kind in _proposals(text):
-        if kind not in BASE and any(a < end and start < b for a, b in taken):
+        if kind not in BASE and taken.meets(start, end, kind):
             continue
         score = PROPOSED[kind]
         if score < 1 and (_CONTEXT[kind].search(text, max(0, start - WINDOW), start) or _CONTEXT[kind].search(text, end, end + WINDOW)):
             score = min(1.0, score + CONTEXT)
         if kind in BASE or score >= threshold:
             spans.append(Span(start, end, kind, score))
-            taken.append((start, end))
+            taken.add(start, end)
     return sorted(spans, key=lambda s: (s.start, KINDS.index(s.kind), s.end))
 
 
@@ -195,7 +217,10 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with every span of ``text`` replaced by its kind and ``n_chars`` (if there) brought into line."""
+    """``docs`` with every span of ``text`` replaced by its kind and ``n_chars`` (if there) brought into line.
+
+    Defined results: null texts stay null and empty ones empty; every row stays, whatever its doc_id; other columns stay.
+    """
     kind = docs.schema["text"].dataType
     packed, columns = packed_row(docs, "text")
 

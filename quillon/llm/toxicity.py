@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -15,13 +17,14 @@ from pyspark.sql import functions as F
 
 from .common import packed_row, pick, unpacked
 
-#: Identity terms by category (fixed values). In a counterfactual each becomes the next of its category.
+#: Identity terms by category (fixed values). In counterfactuals each becomes every other one of its category, or no term.
 IDENTITY = (
     "christian muslim jewish hindu buddhist sikh atheist", "christians muslims jews hindus buddhists sikhs atheists", "black white asian latino arab", "women men",
     "woman man", "gay straight", "lesbian heterosexual", "transgender cisgender", "african european american chinese mexican indian", "immigrant native", "immigrants natives",
     "young old", "disabled abled", "chrétiens musulmans juifs", "femmes hommes", "christen muslime juden", "frauen männer", "cristianos musulmanes judíos", "mujeres hombres",
 )
-SWAPS = {w: words[(i + 1) % len(words)] for line in IDENTITY for words in [line.split()] for i, w in enumerate(words)}
+#: What ends a sentence.
+SENTENCE = re.compile(r"[.!?\n]+")
 
 SIGNS = ".,;:!?|()[]{}<>\"'«»“”‘’…*_-/\\"
 #: Lengths of the word beginnings that are features beside whole words.
@@ -40,6 +43,7 @@ class Settings:
     l2: float = 1e-4
     swap_penalty: float = 1.0
     rounds: int = 300
+    identity: tuple[str, ...] = IDENTITY
 
 
 def words_of(text: str) -> set[str]:
@@ -48,8 +52,28 @@ def words_of(text: str) -> set[str]:
 
 
 def features_of(word: str) -> list[str]:
-    """A word and its beginnings (marked by a star)."""
-    return [word[:40], *(word[:n] + "*" for n in STEMS if len(word) > n)]
+    """A word (a very long one as its digest) and its beginnings (marked by a star)."""
+    whole = word if len(word) <= 40 else "#" + hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest()
+    return [whole, *(word[:n] + "*" for n in STEMS if len(word) > n)]
+
+
+def members_of(identity: tuple[str, ...]) -> dict[str, frozenset[str]]:
+    """Identity term -> all terms of its category, itself included."""
+    return {w: frozenset(line.split()) for line in identity for w in line.split()}
+
+
+def swaps_of(text: str, members: dict[str, frozenset[str]]) -> Counter:
+    """(term, other or none) -> in how many sentences of a text the term can become the other.
+
+    Within a category swaps go in all directions; where a sentence holds the other term too, the swap would only drop the
+    term, so that counterfactual is the sentence without it.
+    """
+    found: Counter = Counter()
+    for sentence in SENTENCE.split(text):
+        words = words_of(sentence)
+        for term in words & members.keys():
+            found.update({(term, "" if other in words else other) for other in members[term] if other != term} | {(term, "")})
+    return found
 
 
 @dataclass
@@ -74,11 +98,16 @@ def _sample(labelled: DataFrame, settings: Settings) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
     """Fits the classifier on labelled documents (doc_id, text; doc_id, toxic).
 
-    Features are the words and word beginnings whose log-likelihood ratio between the labels is greatest; what is fitted is a logistic
-    regression on how many distinct words of a text have a feature. For each text with identity terms, the text with
-    these swapped is a second reading, and the squared change of its logit is a penalty: a group's name alone then moves
-    no score. Identity terms are always among the features. The driver gets the chosen features' numbers for the bounded
-    sample, never texts.
+    Features are the words and word beginnings whose log-likelihood ratio between the labels is greatest; what is fitted
+    is a logistic regression on how many distinct words of a text have a feature. Each sentence with an identity term has
+    counterfactuals: the term as every other member of its category, in both directions, and the sentence without the
+    term, so that neither one group's name nor what all names of a category share moves a score. The squared change of
+    the logit, averaged over all counterfactuals of the sample, is a penalty. Identity terms are always among the
+    features. The driver gets the chosen features' numbers for the bounded sample and counts of pairs of terms, no texts.
+
+    Defined results: labels other than 0 and 1 and null labels are no labels; a document labelled both ways is toxic;
+    null texts and null doc_ids are left out; a text under a repeated doc_id counts as often as it is there; with no
+    labels of one kind the score of every text is the share of toxic ones; other columns are ignored.
     """
     toxic = pick(labels, "doc_id", "toxic").filter("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     # the sample's ids and labels are bounded by most_rows, so they are broadcast and no text is exchanged
@@ -106,7 +135,8 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     ratio = 2 * (sum(map(x_log_x, cells), F.lit(whole * math.log(whole))) - sum(map(x_log_x, sums), F.lit(0.0)))
     chosen = tallied.filter(F.col("n0") + F.col("n1") >= settings.least_rows).withColumn("z", F.round(ratio, 6)).filter(F.col("z") >= settings.least_ratio)
     chosen = [r["f"] for r in chosen.orderBy(F.desc("z"), "f").limit(settings.most_features).collect()]
-    names = {f: i for i, f in enumerate(dict.fromkeys([*chosen, *SWAPS]))}
+    members = members_of(settings.identity)
+    names = {f: i for i, f in enumerate(dict.fromkeys([*chosen, *(f for w in members for f in features_of(w))]))}
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[int]] = {}
@@ -121,31 +151,53 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
 
         for batch in batches:
             y, texts = (c.to_pylist() for c in batch.columns)
-            words = list(map(words_of, texts))
-            swapped = [{SWAPS.get(w, w) for w in x} if not x.isdisjoint(SWAPS) else None for x in words]
-            yield pa.record_batch({"y": pa.array(y, pa.int32()), "f": pa.array([numbers(x) for x in words], pa.list_(pa.int32())), "g": pa.array([None if x is None else numbers(x) for x in swapped], pa.list_(pa.int32()))})
+            yield pa.record_batch({"y": pa.array(y, pa.int32()), "f": pa.array([numbers(words_of(t)) for t in texts], pa.list_(pa.int32()))})
+
+    def swapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if not members.keys().isdisjoint(words_of(text)):
+                    found += swaps_of(text, members)
+        term, other = zip(*found, strict=True) if found else ((), ())
+        yield pa.record_batch({"term": pa.array(term, pa.string()), "other": pa.array(other, pa.string()), "n": pa.array(list(found.values()), pa.int64())})
+
+    pairs = rows.select("text").mapInArrow(swapped, "term string, other string, n long").groupBy("term", "other").agg(F.sum("n").alias("n")).collect()
+    got = rows.mapInArrow(numbered, "y int, f array<int>").toArrow()
+    row, col = _rows(got.column("f"))
+    return _fit(got.column("y").to_numpy().astype(float), row, col, _changes(pairs, names), list(names), settings)
 
-    got = rows.mapInArrow(numbered, "y int, f array<int>, g array<int>").toArrow()
-    return _fit(got, list(names), settings)
+
+def _changes(pairs, names: dict[str, int]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """(share of all counterfactuals, features, their change) of each pair of terms."""
+    whole, out = sum(n for _, _, n in pairs), []
+    for term, other, n in sorted(map(tuple, pairs)):
+        change: Counter = Counter(names[f] for f in features_of(term))
+        change.subtract(names[f] for f in (features_of(other) if other else ()))
+        kept = [(f, v) for f, v in change.items() if v]
+        out.append((n / whole, np.array([f for f, _ in kept], dtype=np.int64), np.array([v for _, v in kept], dtype=float)))
+    return out
 
 
 def _rows(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     flat = lists.combine_chunks()
-    sizes = np.array([len(x) if x is not None else 0 for x in flat.to_pylist()], dtype=np.int64)
-    values = np.array([v for x in flat.to_pylist() if x for v in x], dtype=np.int64)
-    return np.repeat(np.arange(len(sizes)), sizes), values
+    flat = flat if isinstance(flat, pa.ListArray) else pa.concat_arrays(flat.chunks)
+    return np.repeat(np.arange(len(flat)), np.diff(flat.offsets.to_numpy())), flat.flatten().to_numpy().astype(np.int64)
+
 
+def objective(w: np.ndarray, bias: float, y, row, col, changes, settings: Settings) -> float:
+    """What ``_fit`` makes small: mean log loss, half the squares of weights, half the mean squared change under swaps."""
+    logit = bias + np.bincount(row, w[col], len(y))
+    loss = np.mean(np.logaddexp(0, logit) - y * logit)
+    return float(loss + settings.l2 / 2 * (w @ w) + settings.swap_penalty / 2 * sum(share * float(w[f] @ v) ** 2 for share, f, v in changes))
 
-def _fit(got: pa.Table, names: list[str], settings: Settings) -> Model:
-    y = got.column("y").to_numpy().astype(float)
+
+def _fit(y: np.ndarray, row: np.ndarray, col: np.ndarray, changes, names: list[str], settings: Settings) -> Model:
     n, k = len(y), len(names)
-    row, col = _rows(got.column("f"))
-    other_row, other_col = _rows(got.column("g"))
-    paired = np.array([x is not None for x in got.column("g").to_pylist()])
-    own = paired[row] if len(row) else np.zeros(0, bool)
-    # rows of the differences between a text and its counterfactual
-    diff_row, diff_col = np.concatenate([row[own], other_row]), np.concatenate([col[own], other_col])
-    diff_sign = np.concatenate([np.ones(int(own.sum())), -np.ones(len(other_row))])
+    pair = np.repeat(np.arange(len(changes)), [len(f) for _, f, _ in changes]) if changes else np.zeros(0, dtype=np.int64)
+    pair_col = np.concatenate([np.zeros(0, dtype=np.int64), *(f for _, f, _ in changes)])
+    pair_by = np.concatenate([np.zeros(0), *(v for _, _, v in changes)])
+    share = np.array([s for s, _, _ in changes])
     w, bias = np.zeros(k), math.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
     scale = 1 / np.sqrt(np.maximum(np.bincount(col, minlength=k) / n, 1e-4))  # steps suit rare features too
     m, v, mb, vb = np.zeros(k), np.zeros(k), 0.0, 0.0
@@ -154,9 +206,9 @@ def _fit(got: pa.Table, names: list[str], settings: Settings) -> Model:
         p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         error = (p - y) / n
         grad = np.bincount(col, error[row], k) + settings.l2 * w
-        if len(diff_row):
-            change = np.bincount(diff_row, diff_sign * w[diff_col], n)
-            grad += settings.swap_penalty * np.bincount(diff_col, diff_sign * change[diff_row], k) / max(1, int(paired.sum()))
+        if len(pair):
+            change = np.bincount(pair, pair_by * w[pair_col], len(share))
+            grad += settings.swap_penalty * np.bincount(pair_col, pair_by * (share * change)[pair], k)
         grad_b = error.sum()
         m, v = 0.9 * m + 0.1 * grad * scale, 0.99 * v + 0.01 * (grad * scale) ** 2
         mb, vb = 0.9 * mb + 0.1 * grad_b, 0.99 * vb + 0.01 * grad_b**2
@@ -209,7 +261,10 @@ def score(docs: DataFrame, model: Model, settings: Settings = Settings()) -> Dat
 
 
 def accepted(docs: DataFrame, model: Model, settings: Settings = Settings()) -> DataFrame:
-    """The documents that are not predicted toxic, with all columns of ``docs``."""
+    """The documents that are not predicted toxic, with all columns of ``docs``.
+
+    Defined results: null and empty texts have the score of no words; each row counts by itself, whatever its doc_id.
+    """
     packed, columns = packed_row(docs, "text")
 
     @F.pandas_udf("boolean")

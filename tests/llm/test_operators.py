@@ -1,7 +1,9 @@
 """The training-data operators against brute force, and on odd rows: nulls, empty, long and repeated texts, empty tables, clashing columns."""
 
 import hashlib
+import math
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -100,6 +102,26 @@ def test_pii_checksums_context_and_long_runs():
         pii.find(run)
 
 
+def test_places_of_spans():
+    """What meets an earlier span, against comparing with all of them; many extra spans take no square of time."""
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        taken, places = pii._Taken(), []
+        for kind in "ab":
+            at = 0
+            for _ in range(int(rng.integers(0, 12))):
+                a = at + int(rng.integers(0, 9))
+                at = a + int(rng.integers(1, 7))
+                if not any(x < at and a < y for x, y in places):
+                    assert kind == "a" or not taken.meets(a, at, kind)
+                    taken.add(a, at)
+                else:
+                    assert taken.meets(a, at, kind)
+            places = list(taken.places)
+    text = "call 555-867-5309 now. " * 40_000
+    assert len(pii.find(text)) == 40_000
+
+
 def test_pii_odd(odd, empty):
     got = pii.scan(odd).collect()
     assert len(got) == len(ODD) and sum(r["n_email"] for r in got) == 2 and sum(r["n_card"] for r in got) == 2 and pii.scan(empty).count() == 0
@@ -119,7 +141,11 @@ def test_license_scan(spark, odd, empty):
     assert (got[1]["license"], got[4]["license"], got[2]["license"]) == ("MIT", None, None)
     assert (got[2]["n_notices"], got[2]["notices"]) == (1, "MIT") and got[3]["digest"] == licenses.digest_text("")
     assert all(licenses.digest_text(t) == got[i]["digest"] for i, t in rows)
-    assert licenses.scan(odd).count() == len(ODD) and licenses.scan(empty).count() == 0
+    found = Counter((r["doc_id"], r["license"], r["n_notices"]) for r in licenses.scan(odd).collect())
+    assert found == Counter((r[0], None, 0) for r in ODD) and licenses.scan(empty).count() == 0
+    padded = [(1, "Released under the" + " -*" * 33_000 + " MIT License."), (2, textwrap.fill(licenses._UNLICENSE.split("\n")[0], 30) + "\n\n" + licenses._UNLICENSE.split("\n", 1)[1])]
+    got = {r["doc_id"]: (r["license"], r["n_notices"]) for r in licenses.scan(spark.createDataFrame(padded, "doc_id long, text string")).collect()}
+    assert got == {1: ("MIT", 1), 2: ("Unlicense", 0)}
 
 
 # 3
@@ -193,6 +219,54 @@ def test_toxicity_ignores_swapped_groups(spark):
         assert abs(score(f"the {a} of the town") - score(f"the {b} of the town")) < 0.02
 
 
+def test_toxicity_reduces_what_a_category_shares(spark):
+    """Every group is named mostly in toxic texts: without the penalty a neutral mention is scored toxic, with it not."""
+    groups = "muslims jews hindus christians".split()
+    rows = [(i, f"{'idiot' if i % 2 and i % 6 != 1 else 'calm'} words number{i % 5}. Some talk about {groups[i // 2 % 4] if i % 2 or i % 10 == 0 else 'gardens'} here") for i in range(600)]
+    d, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    with_penalty, without = (toxicity.scorer(toxicity.train(d, lab, toxicity.Settings(swap_penalty=x))) for x in (20.0, 0.0))
+    for group in groups:
+        text = f"calm words. Some talk about {group} here"
+        moved = [abs(math.log(s(text) / (1 - s(text))) - math.log(s(text.replace(group, "")) / (1 - s(text.replace(group, ""))))) for s in (with_penalty, without)]
+        assert moved[0] < moved[1] / 4, moved
+    assert with_penalty("idiot words") > 0.5
+
+
+def test_swaps_are_of_sentences():
+    members = toxicity.members_of(("red green blue", "up down"))
+    got = toxicity.swaps_of("Red sky! Green and blue, up.\nnothing here. RED", members)
+    assert got == Counter({("red", "green"): 2, ("red", "blue"): 2, ("red", ""): 2, ("green", "red"): 1, ("green", ""): 1, ("blue", "red"): 1, ("blue", ""): 1, ("up", "down"): 1, ("up", ""): 1})
+
+
+def test_toxicity_fit_against_plain_descent():
+    rng = np.random.default_rng(1)
+    n, k, settings = 300, 12, toxicity.Settings(l2=1e-2)
+    x = (rng.random((n, k)) < 0.3).astype(float)
+    y = (x @ rng.normal(size=k) + rng.normal(size=n) > 0).astype(float)
+    row, col = np.nonzero(x)
+    changes = [(0.5, np.array([0, 1]), np.array([1.0, -1.0])), (0.3, np.array([2]), np.array([1.0])), (0.2, np.array([1, 3, 4]), np.array([1.0, -1.0, -1.0]))]
+    model = toxicity._fit(y, row, col, changes, [str(i) for i in range(k)], settings)
+    w, bias = np.zeros(k), 0.0
+    for _ in range(20_000):
+        error = (1 / (1 + np.exp(-(bias + x @ w))) - y) / n
+        grad = x.T @ error + settings.l2 * w
+        for share, f, v in changes:
+            grad[f] += settings.swap_penalty * share * (w[f] @ v) * v
+        w, bias = w - 0.5 * grad, bias - 0.5 * error.sum()
+    fitted = np.array([model.weights.get(str(i), 0.0) for i in range(k)])
+    best = toxicity.objective(w, bias, y, row, col, changes, settings)
+    assert toxicity.objective(fitted, model.bias, y, row, col, changes, settings) <= best + 1e-3 and np.abs(fitted - w).max() < 0.1
+
+
+def test_toxicity_with_odd_labels(spark):
+    texts = [(i, f"{'idiot' if i % 2 else 'calm'} words {i % 3}") for i in range(60)] + [(None, "idiot"), (70, None), (71, ""), (72, "x" * 45 + "a"), (72, "x" * 45 + "b"), (1, "idiot again")]
+    labels = [(i, i % 2) for i in range(60)] + [(1, 1), (2, 0), (3, 0), (5, None), (6, 7), (None, 1), (70, 1), (71, 0), (72, 1), (500, 1)]
+    d, lab = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    score = toxicity.scorer(toxicity.train(d, lab))
+    assert score("an idiot") > 0.5 > score("calm") and 0 < score(None) == score("") < 1
+    assert len({toxicity.features_of("x" * 45 + c)[0] for c in "ab"}) == 2
+
+
 def test_toxicity_odd(spark, odd, empty):
     model = toxicity.Model(-2.0, {"tiny": 5.0})
     got = toxicity.score(odd, model).collect()
@@ -266,6 +340,17 @@ def test_mixing_odd(odd, empty):
     assert sum(r["doc_id"] == 4 for r in out.collect()) == next(r["copies"] for r in got if r["doc_id"] == 4)
 
 
+def test_mixed_documents_under_odd_names(spark):
+    """Sources whose rows share an id or have none come as near their targets as others."""
+    rows = [(None if k == 0 else 7 if k == 1 else i, f"{'w ' * (1 + i % 20)}{k}", "abc"[k]) for k in range(3) for i in range(400 - 150 * k)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    targets = {r["source"]: r["target"] for r in mixing.mix(df).select("source", "target").distinct().collect()}
+    taken = Counter()
+    for r in mixing.mixed_documents(df).collect():
+        taken[r["source"]] += len(r["text"].split())
+    assert all(abs(taken[x] - t) <= 25 for x, t in targets.items()), (taken, targets)
+
+
 # 7
 
 
@@ -531,6 +616,20 @@ def test_pipeline_stages(spark, library):
             check_pieces_of_copies(after, before, library)
 
 
+@pytest.mark.parametrize("rows", [ODD, []], ids=["odd", "empty"])
+def test_pipeline_on_odd_tables(spark, tmp_path, rows):
+    docs = [r[:5] for r in rows]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(1, 0, 0), (1, 1, None), (6, None, 1), (6, 1, 1), (6, 1, 0), (None, 1, 1), (2, 1, 1), (77, 0, 1), (4, 0, 5), (3, 1, 0), (4, 1, 0), (5, 1, 0), (7, 1, 0), (8, 1, 0)] if rows else []
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in out} <= {r[0] for r in docs} and (bool(out) == bool(docs))
+    at = {}
+    for r in sorted(out, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert at.get(r["sequence_id"], 0) == r["offset"]
+        at[r["sequence_id"]] = r["offset"] + r["length"]
+
+
 def check_pieces_of_copies(rows, before, library):
     got = Counter((r["doc_id"], r["piece"], r["ids_crc32"]) for r in rows)
     want = Counter()
