@@ -11,7 +11,7 @@ from quillon.llm import licenses, oracles, pii, queries
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op5_topk_search", "op5_topk_search_documents"])
+@pytest.mark.parametrize("name", ["op5_topk_search", "op5_topk_search_benchmark"])
 def test_search_equals_its_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
@@ -19,7 +19,7 @@ def test_search_equals_its_sql(spark, name):
     want = {(q, r): (d, s) for q, r, d, s in con.sql(oracles.oracle_sql()[name]).project("query_id, rank, doc_id, score").fetchall()}
     got = {(r["query_id"], r["rank"]): (r["doc_id"], r["score"]) for r in queries.queries()[name](spark, SF).collect()}
     assert got.keys() == want.keys() and all(got[x][0] == want[x][0] and np.isclose(got[x][1], want[x][1], atol=2e-6) for x in want)
-    if name == "op5_topk_search_documents":
+    if name == "op5_topk_search":
         asked = {i for (i,) in con.sql("SELECT doc_id FROM documents WHERE doc_id % 50 = 0").fetchall()}
         assert asked and {q for q, _ in got} == asked
 
