@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import names
-from .operators import diff, endpoints, paths, rollups, rules
-from .plans import oracle
+from .extract import fsplane
+from .operators import diff, endpoints, freshness, paths, rollups, rules, view
+from .plans import oracle, reports
 from .sources import lens
 from .streaming import watch
 
@@ -30,19 +31,19 @@ def _on_lens(name: str, make: Callable, q: int = DENSE) -> None:
 def _register() -> None:
     fn = lambda **kw: lambda g: endpoints.functions(g, **kw).drop("test_depth")
     _on_lens("calls", lambda g: endpoints.calls(g))
+    _on_lens("calls_sort_name", lambda g: endpoints.calls(g, sort="name"))
     _on_lens("calls_cross", lambda g: endpoints.calls(g, cross=True, limit=100))
     _on_lens("calls_by_module", lambda g: endpoints.calls(g, module="Brand11", limit=150))
     _on_lens("calls_q", lambda g: endpoints.calls(g, q="Ring1", limit=100))
     _on_lens("fn_row", lambda g: endpoints.fn_rows(g))
     _on_lens("fn_ref", lambda g: endpoints.fn_refs(g))
-    _on_lens("fn_detail", lambda g: endpoints.fn_details(g, g.nodes.filter("node_ord % 10 = 3").select("id")).select("id", "name", F.array_join("calls", ",").alias("calls"), F.array_join("called_by", ",").alias("called_by")))
-    _on_lens("fn_detail_all", lambda g: endpoints.fn_details(g, g.nodes.select("id")).select("id", "name", F.array_join("calls", ",").alias("calls"), F.array_join("called_by", ",").alias("called_by")))
+    _on_lens("fn_detail", lambda g: endpoints.fn_details(g, g.nodes.select("id")).select("id", "name", F.array_join("calls", ",").alias("calls"), F.array_join("called_by", ",").alias("called_by")))
     _on_lens("module_summary", lambda g: endpoints.module_summaries(g))
     _on_lens("module_detail", lambda g: endpoints.module_neighbours(g).filter("module = 'lib/utils/Brand13'"))
     _on_lens("detail_panel", lambda g: endpoints.module_neighbours(g))
     _on_lens("describe_fn", lambda g: g.described.select("id", "description", "description_source"))
     _on_lens("describe_module", lambda g: endpoints.module_descriptions(g).select("module", "description"))
-    _on_lens("describe_view", lambda g: _describe_view(g))
+    _on_lens("describe_view", view.describe_view)
     _on_lens("graph_dump", lambda g: g.edges.select("src", "dst", "cnt"))
     _on_lens("graph_dump_modules", lambda g: g.module_edges.select(g.short_module("src").alias("src"), g.short_module("dst").alias("dst"), "cnt"))
     _on_lens("functions_by_module", fn(module="Brand7", limit=50))
@@ -53,10 +54,10 @@ def _register() -> None:
     _on_lens("functions_tested", fn(tested="true", limit=60))
     _on_lens("functions_max_test_depth", lambda g: endpoints.functions(g, max_test_depth=2, limit=100).select("id", "name", "test_depth", "rank"))
     _on_lens("functions_test_reachable", lambda g: endpoints.functions(g, test_reachable="false", limit=100).select("id", "name", "test_depth", "rank"))
-    for sort in ("indegree", "outdegree", "connected", "loc", "chars"):
+    for sort in ("indegree", "outdegree", "connected", "loc", "chars", "name"):
         _on_lens(f"functions_sort_{sort}", fn(sort=sort, limit=100))
     _on_lens("files_filter", lambda g: endpoints.files(g, group="utils", q="brand1"))
-    for sort in ("functions", "loc", "chars"):
+    for sort in ("functions", "loc", "chars", "name"):
         _on_lens(f"files_sort_{sort}", lambda g, sort=sort: endpoints.files(g, sort=sort))
     _on_lens("file_sizes", lambda g: g.files.join(endpoints.module_sizes(g).select("module", "loc", "chars"), "module", "left").select("file", "loc", "chars"))
     _on_lens("callers", lambda g: endpoints.neighbours(g, "part/17", True))
@@ -74,9 +75,16 @@ def _register() -> None:
     _on_lens("hubs_functions", lambda g: endpoints.hub_functions(g).select("id", "name", "in_degree", "rank"))
     _on_lens("hubs_modules", lambda g: endpoints.hub_modules(g).select("full_module", "incoming_call_sites", "function_count", "rank"))
     _on_lens("top_functions_of_module", lambda g: endpoints.top_functions(g))
-    _on_lens("list_rows", lambda g: _list_rows(g))
-    _on_lens("list_sort", lambda g: _list_rows(g).filter("rank <= 300"))
-    _on_lens("list_filter", lambda g: _list_rows(g).filter(F.lower(F.concat_ws(" ", "label", "sub")).contains("rod1")))
+    for kind in view.LISTS:
+        _on_lens("list_rows" if kind == "functions" else f"list_rows_{kind}", lambda g, kind=kind: view.list_rows(g, kind).select("id", "label", "sub"))
+    _on_lens("list_sort", lambda g: view.list_shown(g))
+    _on_lens("list_sort_files", lambda g: view.list_shown(g, "files", "loc"))
+    _on_lens("list_sort_modules", lambda g: view.list_shown(g, "modules", "name"))
+    _on_lens("list_sort_calls", lambda g: view.list_shown(g, "calls"))
+    _on_lens("list_filter", lambda g: view.list_shown(g, q="Rod1"))
+    _on_lens("hover_split", lambda g: view.hover_split(g, "part/17"))
+    _on_lens("node_marks", lambda g: g.nodes.select("id", view.editor_link("/w", F.col("file"), F.col("line")).alias("link"), view.coverage_color(F.col("kind"), F.col("tested")).alias("color")))
+    _on_lens("word_wrap", lambda g: g.described.select("id", F.array_join(view.wrapped(F.col("description"), 18), "\n").alias("lines")))
     _QUERIES["edge_counts"] = lambda spark, sf: rollups.edge_counts(lens.call_sites(spark, sf, DENSE))
     _on_lens("module_edges", lambda g: g.module_edges.select("src", "dst", "cnt"))
     _on_lens("module_nodes", lambda g: g.module_nodes.select("module", "grp", "file", "fns"))
@@ -113,60 +121,53 @@ def _register() -> None:
     _on_lens("shortest_path", lambda g: paths.shortest_path(g, "part/3", "part/150"))
     _on_lens("layout_seed", lambda g: _rounded(endpoints.layout_seed(g)))
     _on_lens("layout_edges", lambda g: endpoints.layout_edges(g.module_edges))
-    _on_lens("insight_groups", lambda g: _insights(g), SPARSE)
-    _on_lens("markdown_render", lambda g: _markdown(g, g.nodes.filter("node_ord % 25 = 1")))
-    _on_lens("markdown_render_all", lambda g: _markdown(g, g.nodes))
+    rows = lambda g: view.insight_rows(g, component_lines=120)
+    _on_lens("insight_groups", lambda g: view.insight_groups(rows(g)).select("section", "sev", "title", "n", "badge"), SPARSE)
+    _on_lens("insight_filter", lambda g: view.insight_filter(rows(g), "Ring1").select("section", "title", "label", "sub"), SPARSE)
+    _on_lens("insight_shown", lambda g: view.insight_shown(rows(g)).filter("section = 'rec'").select("title", "label", "rank", "more"), SPARSE)
+    _on_lens("insight_lines", lambda g: view.insight_lines(rows(g)).select("line"), SPARSE)
+    _on_lens("recommendation_titles", lambda g: rules.recommendation_titles(g, 120).select("rec_id", "title", "rec_rank"))
+    _on_lens("check_lines", lambda g: reports.check_lines(g, rules.run_checks(g)), SPARSE)
+    _on_lens("markdown_render", lambda g: view.function_markdown(g, g.nodes.select("id")))
+    _on_lens("markdown_modules", view.module_markdown)
+    _QUERIES["diff_lines"] = lambda spark, sf: reports.diff_lines(_snapshot(spark, sf), lens.graph(spark, sf, DENSE))
     for name, make in (("diff_modules", diff.modules), ("diff_sizes", diff.sizes), ("diff_deps", diff.dependencies), ("diff_totals", diff.totals)):
         _QUERIES[name] = lambda spark, sf, make=make: make(_snapshot(spark, sf), lens.graph(spark, sf, DENSE))
     _QUERIES["diff_order"] = lambda spark, sf: _diff_order(spark, sf)
-    _QUERIES["changed_deps"] = _QUERIES["diff_deps"]
+    _QUERIES["changed_deps"] = lambda spark, sf: diff.dependencies(_snapshot(spark, sf), lens.graph(spark, sf, DENSE)).groupBy("change").agg(F.count("*").alias("n"))
     _QUERIES["union_edges"] = lambda spark, sf: rollups.merge_edges(lens.edges(spark, sf, DENSE), lens.edges(spark, sf, SPARSE))
     _QUERIES["union_nodes"] = lambda spark, sf: _union_nodes(spark, sf)
-    _QUERIES["wikilink_join"] = lambda spark, sf: _page_links(spark, sf)
+    _QUERIES["page_links"] = lambda spark, sf: _page_links(spark, sf)
+    _QUERIES["wikilink_join"] = lambda spark, sf: fsplane.wiki_edges(_tree(spark, sf)).select("path", "dst")
+    _QUERIES["mdlink_join"] = lambda spark, sf: fsplane.path_edges(_tree(spark, sf)).select("path", "dst")
+    _QUERIES["unit_dep_join"] = lambda spark, sf: fsplane.unit_edges(_tree(spark, sf)).select("path", "dst")
+    _QUERIES["extract_links"] = lambda spark, sf: _tree(spark, sf).select(
+        "path", F.array_join(names.wiki_links(F.col("text")), "|").alias("wiki"), F.array_join(names.md_links(F.col("text")), "|").alias("md"), F.array_join(names.unit_links(F.col("text")), "|").alias("units")
+    )
+    _QUERIES["fs_edges"] = lambda spark, sf: fsplane.links(_tree(spark, sf)).select("src", "dst", "cnt")
+    _QUERIES["fs_nodes"] = lambda spark, sf: fsplane.graph(_tree(spark, sf), fsplane.FsConfig(stale_days=40), F.lit(NOW).cast("timestamp")).nodes.select("id", "module", "grp", "descr", "loc", "stale_days", "stale", "in_degree", "out_degree", "node_ord")
+    _QUERIES["fs_walk"] = lambda spark, sf: fsplane.kept(_tree(spark, sf), fsplane.FsConfig(ignore=("node_modules", "**/f1?.*"), extensions=("md", "json"), name_globs=("f2*",))).select("path")
+    _QUERIES["adr_scan"] = lambda spark, sf: _tree(spark, sf).select("path", F.explode(names.declared_rules(F.col("text"))).alias("d")).select("path", "d.id", "d.title")
+    _QUERIES["legacy_reactive"] = lambda spark, sf: _tree(spark, sf).select("path", names.legacy_reactive(F.col("text")).cast("long").alias("n"))
+    _QUERIES["porcelain_paths"] = lambda spark, sf: freshness.porcelain_paths(_status_lines(spark, sf))
+    _QUERIES["stale_decision"] = lambda spark, sf: _stale_decision(spark, sf)
     _QUERIES["names"] = lambda spark, sf: _names(spark, sf)
     _QUERIES["scan_svelte"] = lambda spark, sf: _scripts(spark, sf)
     _QUERIES["page_files"] = lambda spark, sf: _page_files(spark, sf)
     _QUERIES["stale_days"] = lambda spark, sf: _stale(spark, sf)
     _QUERIES["stale_count"] = lambda spark, sf: _stale(spark, sf).agg(F.count_if("stale").alias("n_stale"), F.count("*").alias("n"))
     _QUERIES["is_stale"] = lambda spark, sf: _is_stale(spark, sf)
-    _QUERIES["machines"] = lambda spark, sf: _machines(spark, sf)
+    _QUERIES["machines"] = lambda spark, sf: _machines(spark, sf).withColumn("projects", F.array_join("projects", ","))
+    _QUERIES["machine_of"] = lambda spark, sf: view.machine_of(_machines(spark, sf), "g7")
+    _QUERIES["machine_of_none"] = lambda spark, sf: view.machine_of(_machines(spark, sf), None)
+    _QUERIES["online_ratio"] = lambda spark, sf: view.online_ratio(_machines(spark, sf))
     _QUERIES["debounce_sessions"] = lambda spark, sf: watch.sessions(spark.read.parquet(f"{sf}/events.parquet"), "user_id", "ts", 3600)
 
 
-def _describe_view(g):
-    d = g.nodes
-    curated = g.descriptions.filter("scope = 'function'").select(F.col("key").alias("k"), F.col("text").alias("curated"))
-    d = d.join(curated, F.concat("module", F.lit("::"), "short") == F.col("k"), "left")
-    full = lambda c: F.nullif(F.col(c), F.lit(""))
-    return d.select("id", F.coalesce(full("curated"), full("descr"), full("doc"), full("humanized"), F.col("short")).alias("description"))
-
-
-def _list_rows(g):
-    sub = F.concat(g.short_module(), F.lit(" · "), F.col("loc").cast("string"), F.lit(" lines · "), F.col("in_degree").cast("string"), F.lit(" in / "), F.col("out_degree").cast("string"), F.lit(" out"))
-    rows = g.nodes.select("id", F.col("short").alias("label"), sub.alias("sub"), "in_degree", "node_ord")
-    return endpoints._ranked(rows, [F.desc("in_degree"), F.asc("node_ord")], None).select("id", "label", "sub", "rank")
-
-
 def _rounded(df):
     return df.select("id", "label", *[(F.round(F.col(c) * 1000).cast("long")).alias(c) for c in ("x", "y", "size")], "color", "grp")
 
 
-def _insights(g):
-    found = rules.findings_by_rule(g, rules.run_checks(g)).select(F.lit("checks").alias("section"), F.col("rule").alias("item"), F.col("hits").alias("n"))
-    recs = rules.recommendations(g, component_lines=120).groupBy(F.col("rec_id").alias("item")).agg(F.count("*").alias("n")).withColumn("section", F.lit("recommendations"))
-    ports = rules.port_candidates(g, 15).agg(F.count("*").alias("n")).select(F.lit("ports").alias("section"), F.lit("candidates").alias("item"), "n")
-    lone = rules.orphans(g).agg(F.count("*").alias("n")).select(F.lit("orphans").alias("section"), F.lit("functions").alias("item"), "n")
-    out = found.unionByName(recs).unionByName(ports).unionByName(lone)
-    return out.withColumn("badge", F.when(F.col("n") == 0, "✓").otherwise(F.col("n").cast("string")))
-
-
-def _markdown(g, nodes):
-    d = endpoints.fn_details(g, nodes.select("id"))
-    listed = lambda title, c: F.concat(F.lit(f"\n\n## {title}\n"), F.array_join(F.transform(c, lambda x: F.concat(F.lit("- "), x)), "\n"))
-    text = F.concat(F.lit("# "), "name", F.lit("\n\n"), "description", F.when(F.size("calls") > 0, listed("Calls", F.col("calls"))).otherwise(""), F.when(F.size("called_by") > 0, listed("Called by", F.col("called_by"))).otherwise(""))
-    return d.select("id", text.alias("markdown"))
-
-
 def _snapshot(spark, sf):
     g = lens.graph(spark, sf, DENSE, SNAPSHOT)
     return g.having(nodes=g.nodes.filter("node_ord % 29 <> 7 AND module <> 'lib/utils/Brand19'"))
@@ -239,16 +240,50 @@ def _stale(spark, sf):
 def _is_stale(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet")
     changed = e.groupBy("user_id").agg(F.max("ts").alias("mtime")).select(F.concat(F.lit("src/u"), F.col("user_id").cast("string"), F.when(F.col("user_id") % 2 == 0, ".ts").otherwise(".md")).alias("path"), F.when(F.col("user_id") % 5 != 0, F.col("mtime")).alias("mtime"))
-    files = e.filter("user_id % 3 = 0").select(F.concat(F.lit("src/u"), F.col("user_id").cast("string"), F.lit(".md")).alias("file"))
+    files = e.filter("user_id % 3 = 0").select(F.concat(F.lit("src/u"), F.col("user_id").cast("string"), F.lit(".md")).alias("file"))  # known are these files, so only they and .ts files count
     return diff.changed_files_stale(changed, files, [".ts"], F.lit("2024-01-30 12:00:00").cast("timestamp"))
 
 
+def _stale_decision(spark, sf):
+    """Nations as projects of all states, each decided with and without stale files."""
+    k = F.col("n_nationkey")
+    n = spark.read.parquet(f"{sf}/nation.parquet").select(
+        "n_name", F.when(k % 7 == 6, "filesystem").otherwise("code").alias("kind"), (k % 5 != 4).alias("has_git"), (k % 11 != 10).alias("has_graph"), F.when(k % 6 != 5, F.lit("c1")).alias("graph_commit"),
+        F.when(k % 4 == 3, "c2").otherwise("c1").alias("head_commit"), (k % 2 == 0).alias("built_dirty"), (k % 3 != 0).alias("dirty_now"),
+    )
+    late = _is_stale(spark, sf)
+    both = diff.is_stale(n, late).withColumn("files", F.lit(True)).unionByName(diff.is_stale(n, late.limit(0)).withColumn("files", F.lit(False)))
+    return both.select("n_name", "files", "reason", "stale")
+
+
+def _status_lines(spark, sf):
+    u = spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct()
+    name = F.concat(F.lit("src/u"), F.col("user_id").cast("string"))
+    line = F.when(F.col("user_id") % 4 == 0, F.concat(F.lit(" M "), name, F.lit(".ts"))).when(F.col("user_id") % 4 == 1, F.concat(F.lit("R  "), name, F.lit(".ts -> "), name, F.lit("b.ts")))
+    return u.select(line.when(F.col("user_id") % 4 == 2, F.concat(F.lit('?? "'), name, F.lit(' x.md"'))).otherwise("").alias("line"))
+
+
+def _tree(spark, sf):
+    """Pages as files of a folder tree that link to each other: path, size, mtime, text."""
+    p = _page_paths(spark, sf)
+    k = F.col("page_id")
+    pick = lambda values, by: F.element_at(F.array(*[F.lit(x) for x in values]), (by + 1).cast("int"))
+    to = lambda step: F.concat(F.lit("f"), (k + step).cast("string"))
+    path = F.concat(F.lit("h"), (k % 3).cast("string"), pick(("/.docs/", "/scripts/", "/node_modules/", "/x/"), k % 4), to(0), pick((".md", ".service", ".json", ".sh", ".bin", ".mdx", ""), k % 7))
+    note = F.concat(F.lit("## ADR-"), k.cast("string"), F.lit(" (kept): Keep "), to(0), F.lit("\n# ADR-9: no\nsee [["), to(7), F.lit("]] and [["), to(5), F.lit("|that one]] [["), to(1), F.lit(".service#a]] [x](../x/"), to(84), F.lit(".md#top) [y](./"), to(12), F.lit(".mdx)\n  $: a = 1;\n$: b\n"))
+    unit = F.concat(F.lit("[Unit]\nAfter="), to(7), F.lit(".service  "), to(14), F.lit(".service,"), to(1), F.lit(".json\nwants = "), to(7), F.lit(".service\nDescription="), to(2), F.lit(".service\n"))
+    text = F.when((k % 7).isin(0, 5), note).when(k % 7 == 1, unit).otherwise("")
+    return p.select(path.alias("path"), F.octet_length("html").cast("long").alias("size"), F.timestamp_seconds(F.lit(1704067200) + (k % 60) * 86400 - 3600).alias("mtime"), text.alias("text"))
+
+
 def _machines(spark, sf):
-    """Customers as projects, nations as machines: their projects, and whether they are online."""
-    c, n = spark.read.parquet(f"{sf}/customer.parquet"), spark.read.parquet(f"{sf}/nation.parquet")
-    grouped = c.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("projects"), F.array_join(F.slice(F.sort_array(F.collect_set("c_mktsegment")), 1, 20), ",").alias("kinds"))
-    status = F.when(F.col("n_regionkey") == 0, "cached").when(F.col("n_nationkey") % 2 == 0, "online").otherwise("offline")
-    return n.join(grouped, "n_nationkey", "left").select(F.col("n_name").alias("machine"), F.coalesce("projects", F.lit(0)).alias("projects"), F.coalesce("kinds", F.lit("")).alias("kinds"), status.alias("status"))
+    """Customers as graphs, their nations as hosts; every fifteenth is a filesystem graph that names its machine."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    c = spark.read.parquet(f"{sf}/customer.parquet").select(F.concat(F.lit("g"), k.cast("string")).alias("name"), F.concat(F.lit("host"), n.cast("string")).alias("host"), k, n)
+    fs = k % 15 == 0
+    registry = c.filter("c_custkey % 3 = 0").select("name", F.when(fs, "filesystem").otherwise("code").alias("kind"), F.when(fs, F.concat(F.lit("m"), n.cast("string"))).alias("machine"), F.when(fs & (n % 2 == 0), F.col("host")).alias("ts_host"))
+    online = spark.read.parquet(f"{sf}/nation.parquet").filter("n_regionkey < 2").select(F.concat(F.lit("host"), F.col("n_nationkey").cast("string")).alias("host"))
+    return view.machines(c.select("name", "host", F.concat(F.lit("day "), k.cast("string")).alias("generated_at")), registry, online, "host3")
 
 
 _register()

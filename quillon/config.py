@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import math
+import os
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -71,3 +73,69 @@ class Config:
             name=told.get("name") or "project", namespace_prefix=prefix, layers=dict(told.get("layers") or {}),
             god_functions=told.get("godFunctions", 40), rules=rules, src_dir=told.get("srcDir") or "src/lib",
         )
+
+
+@dataclass(frozen=True)
+class Project:
+    """A project's settings with all paths in place."""
+
+    config: Config
+    root: str
+    kind: str
+    tsconfig: str
+    src_token: str
+    component_root: str
+    crates: tuple[str, ...] = ()
+    decisions: str | None = None
+    descriptions: str | None = None
+    paths: Mapping[str, list[str]] = field(default_factory=dict)
+    wasm_package: str | None = None
+    machine: str | None = None
+    told: Mapping[str, Any] = field(default_factory=dict)
+
+
+def load_project(path: str | Path) -> Project:
+    """The settings file of a project, defaults merged in; it is read, never executed. FileNotFoundError where there is none."""
+    place = Path(path)
+    if not place.is_file():
+        raise FileNotFoundError(f"no project settings at {place}")
+    told, root = json.loads(place.read_text()), place.resolve().parent
+    config = Config.parse(told)
+    at = lambda key: str(root / told[key]) if told.get(key) else None
+    return Project(
+        config, str(root), "filesystem" if told.get("kind") == "filesystem" else "code", str(root / (told.get("tsconfig") or "tsconfig.json")), "/" + config.src_dir.replace("\\", "/").strip("/") + "/",
+        told.get("svelteRoot") or "src", tuple(told.get("rustCrates") or ()), at("adrsDoc"), at("descriptions"), dict(told.get("paths") or {}), told.get("wasmPackage"), told.get("machine"), told,
+    )
+
+
+def _plain_json(text: str) -> str:
+    """JSON without comments and trailing commas."""
+    out = re.sub(r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*.*?\*/', lambda m: m[1] or "", text, flags=re.S)
+    return re.sub(r'("(?:\\.|[^"\\])*")|,(?=\s*[}\]])', lambda m: m[1] or "", out)
+
+
+def tsconfig(path: str, own: Mapping[str, list[str]]) -> tuple[dict[str, str], list[str]]:
+    """Path aliases (without the stars) of a compiler configuration and what it extends, ``own`` ones on top, and warnings.
+
+    A file that is extended but not there loses its aliases silently elsewhere; it is warned about unless ``own`` has some.
+    """
+    found, warnings, place, base = [], [], Path(path), Path(path).parent
+    while place.is_file():
+        told = json.loads(_plain_json(place.read_text()))
+        options = told.get("compilerOptions") or {}
+        folder = place.parent / (options.get("baseUrl") or ".")
+        found.append((folder, options.get("paths") or {}))
+        parent = told.get("extends")
+        if not isinstance(parent, str) or not parent.startswith("."):
+            break
+        target = place.parent / parent
+        target = target if target.is_file() else Path(f"{target}.json")
+        if not target.is_file() and not own:
+            warnings.append(f'{place.name} extends "{parent}", which does not exist: imports by its path aliases do not resolve. Generate it, or set "paths" in the project settings.')
+        place = target
+    aliases: dict[str, str] = {}
+    for folder, paths in [*reversed(found), (base, own)]:
+        for alias, targets in paths.items():
+            if targets:
+                aliases[alias.removesuffix("/*")] = os.path.normpath(os.path.relpath(folder / targets[0].removesuffix("/*"), base))
+    return aliases, warnings

@@ -6,16 +6,19 @@ that name that is imported, local or, failing these, unique.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import Config
+from ..config import Config, Project, tsconfig
 from ..functions import names
 from ..graph import Graph, with_degrees
 from ..operators import paths, rollups
+from ..shared import global_index
 from . import scan
 
 
@@ -34,9 +37,10 @@ def crates(spark: SparkSession, root: str) -> DataFrame:
     """Folders below ``root`` with a Cargo.toml and Rust sources."""
     base = root.rstrip("/") + "/"
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.substring_index("path", base, -1).alias("path"))
-    with_manifest = found.filter("path RLIKE '^[^/.]+/Cargo[.]toml$'").select(F.split("path", "/")[0].alias("crate"))
+    found = found.filter("NOT path RLIKE '(^|/)(node_modules|target)(/|$)'")
+    with_manifest = found.filter("path RLIKE '^[^/.][^/]*/Cargo[.]toml$'").select(F.split("path", "/")[0].alias("crate"))
     with_sources = found.filter("path RLIKE '^[^/]+/src/.*[.]rs$'").select(F.split("path", "/")[0].alias("crate")).distinct()
-    return with_manifest.join(with_sources, "crate", "left_semi").filter("crate NOT IN ('node_modules', 'target')")
+    return with_manifest.join(with_sources, "crate", "left_semi")
 
 
 def crate_warnings(present: DataFrame, configured: list[str]) -> DataFrame:
@@ -71,7 +75,7 @@ def _calls(files: DataFrame, rust_crates: tuple[str, ...]) -> DataFrame:
                     crate = path.split("/")[0]
                     module = f"{crate}/{path.rsplit('/', 1)[-1].removesuffix('.rs')}"
                     found += scan.calls(path, text, module) if crate in rust_crates else []
-                elif not path.endswith(".d.ts"):
+                elif not path.endswith((".d.ts", ".test.ts")) or (path.endswith(".test.ts") and "/src/" in "/" + path):
                     found += scan.calls(path, text, scan.module_name(path), path.endswith(".test.ts"))
             yield scan.frame(iter(found), scan.CALLS)
 
@@ -89,19 +93,57 @@ def _imports(files: DataFrame, aliases: Mapping[str, str]) -> DataFrame:
     return files.mapInPandas(rows, scan.IMPORTS)
 
 
+def _entries(files: DataFrame) -> DataFrame:
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found = [r for p, t in zip(f["path"], f["text"], strict=True) if not p.endswith((".rs", ".d.ts", ".test.ts")) for r in scan.entries(p, t, scan.module_name(p))]
+            yield scan.frame(iter(found), scan.ENTRIES)
+
+    return files.mapInPandas(rows, scan.ENTRIES)
+
+
 def innermost(points: DataFrame, spans: DataFrame, at: str, key: str = "file") -> DataFrame:
     """``points`` with the id of the innermost span (id, start, stop) of the same key that holds ``at`` (null: none).
 
-    Points and starts are sorted together per key; a span that holds a point is among those opened before it, and of
-    nested spans the last opened that isn't closed is the innermost.
+    Starts, ends and points of a key are put in one order; the span that holds a point is the one opened last and not yet
+    closed. A running pass over a key's rows keeps the open ones, so no pairs of points and spans are formed.
     """
-    held = points.join(spans.select(F.col(key).alias("s_key"), F.col("id").alias("owner"), F.col("start").alias("s_start"), F.col("stop").alias("s_stop")), (F.col(key) == F.col("s_key")) & (F.col(at) > F.col("s_start")) & (F.col(at) <= F.col("s_stop")), "left")
     columns = points.columns
-    return held.groupBy(*columns).agg(F.max_by("owner", "s_start").alias("owner"))
+    kind = points.schema[key].dataType.simpleString()
+    # a span holds what lies behind its start, up to and with its end: ends come after points there, starts too
+    at_point = points.select(F.col(key).alias("k"), F.col(at).cast("long").alias("at"), F.lit(0).alias("what"), F.lit(None).cast("string").alias("id"), F.struct(*columns).alias("row"))
+    none = F.lit(None).cast(at_point.schema["row"].dataType)
+    opens = spans.select(F.col(key).alias("k"), F.col("start").cast("long").alias("at"), F.lit(2).alias("what"), "id", none.alias("row"))
+    closes = spans.select(F.col(key).alias("k"), F.col("stop").cast("long").alias("at"), F.lit(1).alias("what"), "id", none.alias("row"))
+    events = at_point.unionByName(opens).unionByName(closes).repartition("k").sortWithinPartitions("k", "at", "what")
+    schema = f"k {kind}, at long, what int, id string, row {at_point.schema['row'].dataType.simpleString()}, owner string"
+
+    def pass_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, opened = None, []
+        for batch in batches:
+            keys, whats, ids = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("k", "what", "id"))
+            owners: list[str | None] = []
+            for k, what, i in zip(keys, whats, ids, strict=True):
+                if k != last:
+                    last, opened = k, []
+                if what == 2:
+                    opened.append(i)
+                elif what == 1 and i in opened:
+                    opened.remove(i)
+                owners.append(opened[-1] if what == 0 and opened else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(owners, pa.string())], names=["k", "at", "what", "id", "row", "owner"]).filter(pa.array([w == 0 for w in whats], pa.bool_()))
+
+    return events.mapInArrow(pass_over, schema).select("row.*", "owner")
+
 
+def extract(files: DataFrame, config: Config, aliases: Mapping[str, str] | None = None, rust_crates: tuple[str, ...] = (), wasm_package: str | None = None) -> Graph:
+    """The graph of a source tree (path, text): functions, methods, stores and components, and the calls between them.
 
-def extract(files: DataFrame, config: Config, aliases: Mapping[str, str] | None = None, rust_crates: tuple[str, ...] = ()) -> Graph:
-    """The graph of a source tree (path, text): functions, methods, stores and components, and the calls between them."""
+    Beside plain calls: a function handed over as an argument (or held by an object literal that is) counts as called by
+    who hands it over; a call through a registry's key counts for every function that the registry holds under the called
+    name; ``wasm_package`` is a pattern of package names: in files whose text has it, a call of a member that a crate
+    exports is a call of that function.
+    """
     files = paths.checkpointed(files)
     d = paths.checkpointed(_declarations(files, config, rust_crates))
     own = d.filter("NOT in_test").drop("in_test")
@@ -121,7 +163,7 @@ def extract(files: DataFrame, config: Config, aliases: Mapping[str, str] | None
     target = nodes.select(F.col("id").alias("target"), F.col("module").alias("t_module"), F.col("short").alias("t_short"), "last", F.col("kind").alias("t_kind"), F.col("class_name").alias("t_class"), F.col("lang").alias("t_lang"))
     brought = paths.checkpointed(_imports(files, aliases or {}).select(F.col("file").alias("i_file"), "local", "original", F.col("target").alias("i_module")))
     site = sites.withColumn("lang", F.when(F.col("file").endswith(".rs"), "rust").otherwise("ts"))
-    ts = site.filter("lang = 'ts'")
+    ts = site.filter("lang = 'ts' AND how <> 'dispatch'")
     plain = ts.filter("receiver IS NULL")
     here = plain.join(target, (F.col("module") == F.col("t_module")) & (F.col("name") == F.col("t_short"))).withColumn("tier", F.lit(1))
     from_import = plain.join(brought, (F.col("file") == F.col("i_file")) & (F.col("name") == F.col("local"))).join(target, (F.col("i_module") == F.col("t_module")) & (F.col("original") == F.col("t_short"))).withColumn("tier", F.lit(2))
@@ -133,26 +175,92 @@ def extract(files: DataFrame, config: Config, aliases: Mapping[str, str] | None
     by_name = dotted.join(methods, F.col("name") == F.col("last")).withColumn("tier", F.lit(3))
     reads = ts.filter("receiver = '$'").join(brought, (F.col("file") == F.col("i_file")) & (F.col("name") == F.col("local"))).join(target.filter("t_kind = 'store'"), (F.col("i_module") == F.col("t_module")) & (F.col("original") == F.col("t_short"))).withColumn("tier", F.lit(1))
     rust = site.filter("lang = 'rust'").join(target.filter("t_lang = 'rust'"), (F.col("module") == F.col("t_module")) & (F.col("name") == F.col("last"))).withColumn("tier", F.lit(1))
-    columns = ["file", "at", "owner", "in_test", "target", "tier"]
+    handed = F.col("how") != "pass"  # only functions and methods are handed over
+    callable_ = F.col("t_kind").isin("function", "method")
+    store_use = ts.filter("receiver IS NOT NULL AND receiver NOT IN ('$', '') AND how = 'call'").join(brought, (F.col("file") == F.col("i_file")) & (F.col("receiver") == F.col("local")))
+    store_use = store_use.join(target.filter("t_kind = 'store'"), (F.col("i_module") == F.col("t_module")) & (F.col("original") == F.col("t_short")))
+    own_store = ts.filter("receiver IS NOT NULL AND receiver NOT IN ('$', '') AND how = 'call'").join(target.filter("t_kind = 'store'"), (F.col("module") == F.col("t_module")) & (F.col("receiver") == F.col("t_short")))
+    dispatched = _dispatched(site, files, brought, target)
+    columns = ["file", "at", "how", "owner", "in_test", "target", "tier"]
+    here, from_import, own_dotted, far_dotted, by_name = (df.filter(handed | callable_) for df in (here, from_import, own_dotted, far_dotted, by_name))
     hits = here.select(columns)
     for part in (from_import, own_dotted, far_dotted, by_name, reads, rust):
         hits = hits.unionByName(part.select(columns))
-    best = paths.checkpointed(hits.withColumn("best", F.min("tier").over(Window.partitionBy("file", "at"))).filter("tier = best"))
+    best = hits.withColumn("best", F.min("tier").over(Window.partitionBy("file", "at", "how"))).filter("tier = best").drop("best")
+    best = paths.checkpointed(best)
+    # what no name resolves: members that a crate exports, and values under keys of registries; uses of stores come on top
+    resolved = best.filter("how = 'call'").select("file", "at").distinct()
+    extra = dispatched
+    if wasm_package:
+        bridged = files.filter(F.col("text").rlike(wasm_package)).select(F.col("path").alias("file"))
+        exported = nodes.filter("wasm").groupBy("last").agg(F.max_by("id", "start").alias("target"))
+        over = ts.filter("receiver IS NOT NULL AND receiver <> '$' AND how = 'call'").join(bridged, "file", "left_semi").join(exported, F.col("name") == F.col("last")).withColumn("tier", F.lit(4))
+        extra = extra.unionByName(over.select(columns))
+    extra = extra.join(resolved, ["file", "at"], "left_anti")
+    for part in (store_use, own_store):
+        extra = extra.unionByName(part.withColumn("tier", F.lit(1)).select(columns))
+    best = paths.checkpointed(best.unionByName(extra))
 
     calls = rollups.edge_counts(best.filter("NOT in_test AND owner IS NOT NULL").select(F.col("owner").alias("src"), F.col("target").alias("dst")))
     tested = best.filter("in_test").select(F.col("target").alias("id")).distinct().withColumn("tested", F.lit(True))
     used = best.filter("owner IS NULL AND NOT in_test").select(F.col("target").alias("id")).distinct().withColumn("module_used", F.lit(True))
-    order = Window.orderBy(F.when(F.col("lang") == "rust", 2).when(F.col("file").endswith(".svelte"), 1).otherwise(0), "file", "start", "short")
+    plane = F.when(F.col("lang") == "rust", 2).when(F.col("file").endswith(".svelte"), 1).otherwise(0)
     auto = F.when(F.col("doc") != "", F.col("doc")).otherwise(names.auto_describe(F.col("last")))
     nodes = nodes.join(tested, "id", "left").join(used, "id", "left").select(
-        (F.row_number().over(order) - 1).cast("long").alias("node_ord"), "id", F.col("short").alias("name"), "short", "file", "module", "grp", "line", "end_line", "kind", "class_name", "exported", "signature", "doc",
-        names.humanize(F.col("last")).alias("humanized"), auto.alias("descr"), (F.col("end_line") - F.col("line") + 1).alias("loc"), (F.col("stop") - F.col("body") + 1).alias("chars"), "numeric_ops",
-        F.coalesce("tested", F.lit(False)).alias("tested"), "legacy_reactive", "module_used", F.col("parent").isNotNull().alias("nested"), "parent", "lang",
+        "id", F.col("short").alias("name"), "short", "file", "module", "grp", "line", "end_line", "kind", "class_name", "exported", "signature", "doc",
+        names.humanize(F.col("last")).alias("humanized"), auto.alias("descr"), F.greatest(F.lit(1), F.col("end_line") - F.col("line") + 1).alias("loc"), (F.col("stop") - F.col("start") + 1).alias("chars"), "numeric_ops",
+        F.coalesce("tested", F.lit(False)).alias("tested"), "legacy_reactive", "module_used", F.col("parent").isNotNull().alias("nested"), "parent", "lang", plane.alias("plane"), "start",
     )
-    nodes = paths.checkpointed(nodes)
+    nodes = global_index(nodes, ["plane", "file", "start", "short"], "nodes", "node_ord").drop("plane", "start")
     at = nodes.select("id", "node_ord")
     edges = calls.join(at.select(F.col("id").alias("src"), F.col("node_ord").alias("a")), "src").join(at.select(F.col("id").alias("dst"), F.col("node_ord").alias("b")), "dst")
-    edges = edges.select((F.row_number().over(Window.orderBy("a", "b")) - 1).cast("long").alias("edge_ord"), "src", "dst", "cnt")
-    edges = paths.checkpointed(edges)
+    edges = global_index(edges, ["a", "b"], "edges", "edge_ord").select("edge_ord", "src", "dst", "cnt")
+    listed = files.filter(names.is_source_file(F.concat(F.lit("/"), "path"), f"/{config.src_dir.strip('/')}/") | F.col("path").endswith(".svelte")).select(F.col("path").alias("file"))
     g = Graph(paths.checkpointed(with_degrees(nodes, edges)), edges, config)
+    g = g.having(given_files=paths.checkpointed(_all_files(g, listed)))
     return g.having(nodes=paths.checkpointed(paths.with_test_depth(g)))
+
+
+def extract_project(spark: SparkSession, root: str, project: Project) -> tuple[Graph, DataFrame]:
+    """The graph of a project's tree with its decisions and curated descriptions, and warnings (what, subject)."""
+    aliases, told = tsconfig(project.tsconfig, project.paths)
+    files = read_files(spark, root)
+    present = crate_warnings(crates(spark, root), list(project.crates)).select(F.concat(F.lit("crate "), "problem").alias("what"), F.col("crate").alias("subject"))
+    warnings = present.unionByName(spark.createDataFrame([("tsconfig", t) for t in told], "what string, subject string"))
+    g = extract(files, project.config, aliases, project.crates, project.wasm_package)
+    if project.decisions and os.path.exists(project.decisions):
+        text = spark.read.text(project.decisions, wholetext=True)
+        g = g.having(adrs=text.select(F.explode(names.declared_rules(F.col("value"))).alias("d")).select("d.id", F.trim("d.title").alias("title")))
+    if project.descriptions and os.path.exists(project.descriptions):
+        scopes = ", ".join(f"{s}s map<string, string>" for s in ("group", "module", "function"))
+        raw = spark.read.schema(scopes).option("multiLine", True).json(project.descriptions)
+        parts = [raw.select(F.lit(s).alias("scope"), F.explode(f"{s}s").alias("key", "text")) for s in ("group", "module", "function")]
+        g = g.having(descriptions=parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    return g, warnings
+
+
+def _dispatched(site: DataFrame, files: DataFrame, brought: DataFrame, target: DataFrame) -> DataFrame:
+    """Calls through keys: every function that the registry, own or imported, holds under the called name."""
+    e = _entries(files)
+    own = e.filter("receiver IS NULL").join(target, (F.col("module") == F.col("t_module")) & (F.col("name") == F.col("t_short")))
+    far = e.filter("receiver IS NULL").join(brought, (F.col("file") == F.col("i_file")) & (F.col("name") == F.col("local"))).join(target, (F.col("i_module") == F.col("t_module")) & (F.col("original") == F.col("t_short")))
+    member = e.filter("receiver IS NOT NULL").join(target, (F.col("module") == F.col("t_module")) & (F.col("name") == F.col("last")))
+    literal = target.filter("t_kind = 'function' AND t_short LIKE '%.%'").select(F.col("t_module").alias("r_module"), F.substring_index("t_short", ".", 1).alias("registry"), F.substring_index("t_short", ".", -1).alias("key"), "target")
+    held = literal
+    for part in (own, far, member):
+        held = held.unionByName(part.filter("t_kind IN ('function', 'method')").select(F.col("module").alias("r_module"), "registry", "key", "target"))
+    held = paths.checkpointed(held.distinct())
+    keyed = site.filter("how = 'dispatch'").withColumnsRenamed({"module": "own_module"})
+    under = F.col("name").isNull() | (F.col("name") == F.col("key"))
+    near = keyed.join(held, (F.col("own_module") == F.col("r_module")) & (F.col("receiver") == F.col("registry")) & under)
+    away = keyed.join(brought, (F.col("file") == F.col("i_file")) & (F.col("receiver") == F.col("local"))).join(held, (F.col("i_module") == F.col("r_module")) & (F.col("original") == F.col("registry")) & under)
+    columns = ["file", "at", "how", "owner", "in_test", "target"]
+    return near.select(columns).unionByName(away.select(columns)).withColumn("tier", F.lit(4))
+
+
+def _all_files(g: Graph, listed: DataFrame) -> DataFrame:
+    """Files with their number of nodes, those without any included."""
+    prefix = g.config.namespace_prefix
+    own = listed.select("file", names.module_of(F.col("file")).alias("m")).select("file", F.col("m").alias("l_module"), names.group_of(F.col("m"), prefix).alias("l_grp"))
+    both = g.files.join(own, "file", "full_outer").select("file", F.coalesce("module", "l_module").alias("module"), F.coalesce("grp", "l_grp").alias("grp"), F.coalesce("fns", F.lit(0)).alias("fns"))
+    return global_index(both, [F.when(F.col("file").endswith(".rs"), 2).when(F.col("file").endswith(".svelte"), 1).otherwise(0), "file"], "files", "file_ord")

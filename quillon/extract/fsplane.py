@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from ..config import Config
 from ..functions import names
 from ..graph import Graph, with_degrees
 from ..operators import rollups
+from ..shared import global_index
 
 
 @dataclass(frozen=True)
@@ -28,48 +31,98 @@ class FsConfig:
 LAYERS = {"config": 0, "data": 0, "scripts": 1, "systemd": 2, "docs": 3, "notes": 4, "other": 0}
 
 
+def kept(files: DataFrame, config: FsConfig) -> DataFrame:
+    """The files (path) that no ignore glob matches, neither by themselves nor by a folder above them, and that a filter keeps."""
+    path = F.col("path")
+    return files.filter(~names.ignored(path, list(config.ignore)) & names.keep_file(path, list(config.extensions), list(config.name_globs)))
+
+
 def walk(spark: SparkSession, root: str, config: FsConfig, content: bool = True) -> DataFrame:
-    """path, size, mtime (and text of files that aren't too large) of the kept files of a folder tree."""
+    """path, size, mtime (and text of files that aren't too large) of the kept files of a folder tree; links are not followed.
+
+    The guard on the size reaches the scan, so large files are listed and not read.
+    """
+    base = root.rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    path = F.substring_index("path", root.rstrip("/") + "/", -1)
-    kept = ~names.ignored(path, list(config.ignore)) & names.keep_file(path, list(config.extensions), list(config.name_globs))
-    listed = files.filter(kept).select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+
+    @F.pandas_udf("boolean")
+    def linked(paths: pd.Series) -> pd.Series:
+        """Whether a local path or a folder of it below the root is a link."""
+        local = base.removeprefix("file://").removeprefix("file:")
+
+        def one(path: str) -> bool:
+            at = local
+            for part in path.split("/"):
+                at = os.path.join(at, part)
+                if os.path.islink(at):
+                    return True
+            return False
+
+        return paths.map(one)
+
+    def listed(df: DataFrame, *more) -> DataFrame:
+        rows = df.select(F.substring_index("path", base, -1).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), *more)
+        return kept(rows, config).filter(~linked("path"))
+
     if not content:
-        return listed
-    texts = files.filter((F.col("length") <= config.most_bytes) & kept).select(path.alias("path"), F.decode("content", "UTF-8").alias("text"))
-    return listed.join(texts, "path", "left")
+        return listed(files)
+    small, large = files.filter(F.col("length") <= config.most_bytes), files.filter(F.col("length") > config.most_bytes)
+    return listed(small, F.decode("content", "UTF-8").alias("text")).unionByName(listed(large, F.lit(None).cast("string").alias("text")))
 
 
-def links(files: DataFrame) -> DataFrame:
-    """src, dst, cnt: wiki links by name (else with .md, else .mdx), Markdown links by path, dependencies of units by name."""
-    kind = names.categorize(F.col("path"))
-    f = files.withColumn("kind", kind)
-    targets = f.select(F.col("path").alias("dst"), names.base_name(F.col("path")).alias("base"))
-    notes = f.filter("kind IN ('docs', 'notes')")
-    wiki = notes.select("path", F.posexplode(names.wiki_links(F.col("text"))).alias("at", "name")).withColumn("name", F.trim("name"))
+def _targets(files: DataFrame) -> DataFrame:
+    return files.select(F.col("path").alias("dst"), names.base_name(F.col("path")).alias("base"))
+
+
+def _notes(files: DataFrame) -> DataFrame:
+    return files.filter(names.categorize(F.col("path")).isin("docs", "notes"))
+
+
+def wiki_edges(files: DataFrame) -> DataFrame:
+    """path, dst: a row for each link by name and each file of that name, else of the name with .md, else with .mdx."""
+    wiki = _notes(files).select("path", F.posexplode(names.wiki_links(F.col("text"))).alias("at", "name")).withColumn("name", F.trim("name"))
     spelled = F.explode(F.array(*[F.struct(F.lit(i).alias("tier"), F.concat("name", F.lit(s)).alias("base")) for i, s in enumerate(("", ".md", ".mdx"))]))
-    tried = wiki.withColumn("t", spelled).select("path", "at", "t.tier", "t.base").join(targets, "base")
+    tried = wiki.withColumn("t", spelled).select("path", "at", "t.tier", "t.base").join(_targets(files), "base")
     best = tried.groupBy("path", "at").agg(F.min("tier").alias("tier"))
-    by_name = tried.join(best, ["path", "at", "tier"], "left_semi").select("path", "dst")
-    href = notes.select("path", F.explode(names.md_links(F.col("text"))).alias("href"))
+    return tried.join(best, ["path", "at", "tier"], "left_semi").select("path", "dst")
+
+
+def path_edges(files: DataFrame) -> DataFrame:
+    """path, dst: a row for each Markdown link whose path, from the folder of the note, is a file."""
+    href = _notes(files).select("path", F.explode(names.md_links(F.col("text"))).alias("href"))
     where = names.normal_path(F.concat(names.dir_name(F.col("path")), F.lit("/"), "href"))
-    by_path = href.withColumn("dst", where).join(targets.select("dst"), "dst", "left_semi").select("path", "dst")
-    units = f.filter("kind = 'systemd'").select("path", F.explode(names.unit_links(F.col("text"))).alias("base")).join(targets, "base").select("path", "dst")
-    return rollups.edge_counts(by_name.unionByName(by_path).unionByName(units).withColumnRenamed("path", "src"))
+    return href.withColumn("dst", where).join(_targets(files).select("dst"), "dst", "left_semi").select("path", "dst")
+
+
+def unit_edges(files: DataFrame) -> DataFrame:
+    """path, dst: a row for each dependency of a unit and each file of its name."""
+    units = files.filter(names.categorize(F.col("path")) == "systemd")
+    return units.select("path", F.explode(names.unit_links(F.col("text"))).alias("base")).join(_targets(files), "base").select("path", "dst")
+
+
+def links(files: DataFrame) -> DataFrame:
+    """src, dst, cnt: wiki links, Markdown links, dependencies of units."""
+    found = wiki_edges(files).unionByName(path_edges(files)).unionByName(unit_edges(files))
+    return rollups.edge_counts(found.withColumnRenamed("path", "src"))
 
 
 def graph(files: DataFrame, config: FsConfig, now: Column) -> Graph:
-    """The graph of a folder tree (path, size, mtime, text) at a moment; degrees are sums of link counts."""
+    """The graph of a folder tree (path, size, mtime, text) at a moment; degrees are sums of link counts.
+
+    Nodes are numbered by path, folder by folder, and edges by both ends.
+    """
     days = names.stale_days(F.col("mtime"), now)
     base = names.base_name(F.col("path"))
     nodes = files.select(
-        F.xxhash64("path").alias("node_ord"), F.col("path").alias("id"), base.alias("name"), base.alias("short"), F.col("path").alias("file"), names.dir_name(F.col("path")).alias("module"),
+        F.col("path").alias("id"), base.alias("name"), base.alias("short"), F.col("path").alias("file"), names.dir_name(F.col("path")).alias("module"),
         names.categorize(F.col("path")).alias("grp"), F.lit(0).cast("long").alias("line"), F.lit("file").alias("kind"), F.lit(None).cast("string").alias("class_name"), F.lit(False).alias("exported"),
         F.lit("").alias("signature"), F.lit("").alias("doc"), base.alias("humanized"), F.concat(names.fmt_size(F.col("size")), F.lit(" · "), days.cast("string"), F.lit("d since edit")).alias("descr"),
         F.col("size").alias("loc"), F.col("size").alias("chars"), days.alias("numeric_ops"), F.lit(False).alias("tested"), F.lit(config.host).alias("host"), F.col("size").alias("size_bytes"), "mtime",
         days.alias("stale_days"), (days >= config.stale_days).alias("stale"),
     )
-    found = links(files)
-    edges = found.withColumn("edge_ord", F.xxhash64("src", "dst"))
+    nodes = global_index(nodes, [F.split("id", "/")], "fs-nodes", "node_ord")
+    at = nodes.select("id", "node_ord")
+    edges = links(files).join(at.select(F.col("id").alias("src"), F.col("node_ord").alias("a")), "src").join(at.select(F.col("id").alias("dst"), F.col("node_ord").alias("b")), "dst")
+    edges = global_index(edges, ["a", "b"], "fs-edges", "edge_ord").select("edge_ord", "src", "dst", "cnt")
     settings = Config(name=config.name, layers=LAYERS, god_functions=0)
     return Graph(with_degrees(nodes, edges, weighted=True), edges, settings)

@@ -13,7 +13,11 @@ DECLARATIONS = (
     "file string, module string, grp string, lang string, short string, kind string, class_name string, exported boolean, start long, body long, stop long, line long, end_line long, "
     "signature string, doc string, numeric_ops long, legacy_reactive long, wasm boolean, in_test boolean"
 )
-CALLS = "file string, module string, at long, receiver string, name string, in_test boolean"
+#: how: ``call``, ``pass`` (a function handed over as an argument), ``dispatch`` (a call through a key of the registry
+#: ``receiver``; a null name means the value itself is called).
+CALLS = "file string, module string, at long, receiver string, name string, in_test boolean, how string"
+#: Functions that an object literal holds: under which key, by which name.
+ENTRIES = "file string, module string, registry string, key string, receiver string, name string"
 IMPORTS = "file string, module string, local string, original string, target string"
 
 _RUST_FN = re.compile(r"(\bpub\b[^\n;{}]*?)?\bfn\s+([A-Za-z_]\w*)\s*(?:<[^>]*>)?\s*(\()")
@@ -29,7 +33,15 @@ _CALL = re.compile(r"(?:\b([A-Za-z_$][\w$]*)\s*(?:\?\.|\.)\s*|(\.)\s*)?\b([A-Za-
 _STORE_READ = re.compile(r"\$([A-Za-z_]\w*)")
 _IMPORT = re.compile(r"\bimport\s+(?:type\s+)?(?:([A-Za-z_$][\w$]*)\s*,?\s*)?(?:\{([^}]*)\})?\s*from\s*['\"]([^'\"]+)['\"]")
 _KEYWORDS = frozenset("if for while switch return catch function fn match loop new typeof await constructor super impl use mod pub let const".split())
-_NUMERIC = re.compile(r"(?<=[\w)\]])\s*(?:\*\*|[-+*/%])=?\s*(?=[\w(\[.])|\b(?:for|while)\b|(?<=\w)\[|(?<=[(=,])\s*[-+](?=[\w(.])")
+_NUMERIC = re.compile(r"(?<=[\w)\]])\s*(?:\*\*|[-+*/%])(?![=+-])\s*(?=[\w(\[.])|\b(?:for|while)\b|(?<=[\w)\]])\[(?!\s*\])|(?<=[(=,])\s*[-+](?=[\w(.])")
+_OPENS = re.compile(r"\s*(?::[^={;]*?)?\s*\{")
+_DISPATCH = re.compile(r"\b([A-Za-z_$][\w$]*)\s*(\[)")
+_AFTER_KEY = re.compile(r"\s*(?:\?\.|!)?\s*(?:\.?\s*([A-Za-z_$][\w$]*)\s*)?(?:\?\.\s*)?\(")
+_HELD = re.compile(r"\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=;]+?)?=\s*(?:this\s*\.\s*)?([A-Za-z_$][\w$]*)\s*(\[)")
+_LITERAL = re.compile(r"\b([A-Za-z_$][\w$]*)\s*(?:[?!]?:[^=;(){}]+?)?(?<![=!<>])=\s*(\{)")
+_PROPERTY = re.compile(r"\s*(?:\[[^\]]*\]|[A-Za-z_$][\w$]*|[0-9]+)\s*:")
+_NAME = re.compile(r"(?:([A-Za-z_$][\w$]*(?:\s*\.\s*[A-Za-z_$][\w$]*)*)\s*\.\s*)?([A-Za-z_$][\w$]*)")
+_WRAPPED = re.compile(r"\s*(?:\bas\b|\bsatisfies\b).*$|\s*!\s*$", re.S)
 _SCRIPT = re.compile(r"(?is)<script\b[^>]*>(.*?)</script>")
 
 
@@ -46,11 +58,16 @@ def module_name(path: str) -> str:
     return re.sub(r"\.(ts|svelte)$", "", re.sub(r"^src/", "", re.sub(r"^src/lib/", "", path)))
 
 
+def _numeric(code: str) -> int:
+    """How much a function computes: 1 for an operation, an index or a sign, 2 for a loop."""
+    return sum(2 if m[0] in ("for", "while") else 1 for m in _NUMERIC.finditer(code))
+
+
 def _row(src: Source, path: str, module: str, grp: str, lang: str, short: str, kind: str, cls: str | None, exported: bool, start: int, body: int, stop: int, **more) -> dict:
     head = " ".join(src.text[start : min(x for x in (src.code.find("{", start), src.code.find("=>", start) + 2, stop + 1) if x > start)].split())
     return {
         "file": path, "module": module, "grp": grp, "lang": lang, "short": short, "kind": kind, "class_name": cls, "exported": exported, "start": start, "body": body, "stop": stop,
-        "line": src.line(start), "end_line": src.line(stop), "signature": head[:157] + "..." if len(head) > 160 else head, "doc": src.doc_before(start), "numeric_ops": len(_NUMERIC.findall(src.code[body : stop + 1])) if lang != "rust" else 0,
+        "line": src.line(start), "end_line": src.line(stop), "signature": head[:157] + "..." if len(head) > 160 else head, "doc": src.doc_before(start), "numeric_ops": _numeric(src.code[start : stop + 1]) if lang != "rust" else 0,
         "legacy_reactive": 0, "wasm": False, "in_test": False,
     } | more
 
@@ -140,20 +157,95 @@ def _depth(src: Source, opened: int, at: int) -> int:
     return depth
 
 
+def bare_argument(text: str) -> str:
+    """An argument without type-level wrappers: parentheses around it, ``as T``, ``satisfies T``, a closing ``!``."""
+    while True:
+        text = text.strip()
+        inner = text
+        if text.startswith("(") and Source(text).ends.get(0) == len(text) - 1:
+            inner = text[1:-1]
+        elif m := _WRAPPED.search(text):
+            close = max((Source(text).ends.get(0, -1) if text[:1] in "{[(" else -1), 0)
+            inner = text[: m.start()] if m.start() >= close else text[: close + 1]
+        if inner == text:
+            return text
+        text = inner
+
+
+def _parts(src: Source, a: int, b: int) -> Iterator[tuple[int, int]]:
+    """The pieces between commas of the code from ``a`` to ``b``."""
+    i = first = a
+    while i < b:
+        c = src.code[i]
+        if c in "([{":
+            i = src.end(i)
+        elif c == ",":
+            yield first, i
+            first = i + 1
+        i += 1
+    if src.code[first:b].strip():
+        yield first, b
+
+
+def _values(src: Source, opened: int) -> Iterator[tuple[str, str | None, str, int]]:
+    """(key, receiver, name, place) of every property of an object literal, and of literals in it, whose value is a name."""
+    for a, b in _parts(src, opened + 1, src.end(opened)):
+        if not (m := _PROPERTY.match(src.code, a, b)):
+            continue
+        key, value = m[0].rstrip()[:-1].strip(), bare_argument(src.code[m.end() : b])
+        if value.startswith("{"):
+            yield from _values(src, src.code.index("{", m.end()))
+        elif (n := _NAME.fullmatch(value)) and n[2] not in _KEYWORDS:
+            yield key, n[1] and re.sub(r"\s", "", n[1]), n[2], m.end()
+
+
+def entries(path: str, text: str, module: str) -> Iterator[dict]:
+    """Functions that object literals hold under keys; a registry is called by the name that the literal is given."""
+    src = Source(script_only(text) if path.endswith(".svelte") else text)
+    for m in _LITERAL.finditer(src.code):
+        for key, receiver, name, _ in _values(src, m.start(2)):
+            yield {"file": path, "module": module, "registry": m[1], "key": key, "receiver": receiver, "name": name}
+
+
 def calls(path: str, text: str, module: str, test: bool = False) -> Iterator[dict]:
-    """Calls by name and receiver, and, in component files, reads of stores (receiver ``$``)."""
-    component = path.endswith(".svelte")
-    src = Source(script_only(text) if component else text, rust=path.endswith(".rs"))
-    tests = [(m.start(1), src.end(m.start(1))) for m in _RUST_TEST.finditer(src.code)] if path.endswith(".rs") else []
+    """Calls by name and receiver, functions handed over, calls through keys, and, in component files, reads of stores (receiver ``$``)."""
+    component, is_rust = path.endswith(".svelte"), path.endswith(".rs")
+    src = Source(script_only(text) if component else text, rust=is_rust)
+    tests = [(m.start(1), src.end(m.start(1))) for m in _RUST_TEST.finditer(src.code)] if is_rust else []
+
+    def row(at: int, receiver: str | None, name: str | None, how: str) -> dict:
+        return {"file": path, "module": module, "at": at, "receiver": receiver, "name": name, "in_test": test or any(a < at < b for a, b in tests), "how": how}
+
+    held = {} if is_rust else {m[1]: m[2] for m in _HELD.finditer(src.code)}
     for m in _CALL.finditer(src.code):
         before = src.code[max(0, m.start() - 12) : m.start()]
         if m[3] in _KEYWORDS or re.search(r"\b(function|fn)\s*\*?\s*$", before):
             continue
-        inside = any(a < m.start() < b for a, b in tests)
-        yield {"file": path, "module": module, "at": m.start(3), "receiver": m[1] or (m[2] and "") , "name": m[3], "in_test": test or inside}
+        if not m[1] and not m[2] and before.rstrip()[-1:] in ("{", "}", ",", ";") and _OPENS.match(src.code, src.end(m.end() - 1) + 1):
+            continue  # a method where it is declared
+        yield row(m.start(3), m[1] or (m[2] and ""), m[3], "call")
+        if is_rust:
+            continue
+        if m[1] in held:
+            yield row(m.start(3), held[m[1]], m[3], "dispatch")
+        elif not m[1] and not m[2] and m[3] in held:
+            yield row(m.start(3), held[m[3]], None, "dispatch")
+        opened = m.end() - 1
+        for a, b in _parts(src, opened + 1, src.end(opened)):
+            argument = bare_argument(src.code[a:b])
+            if (n := _NAME.fullmatch(argument)) and n[2] not in _KEYWORDS:
+                yield row(a + 1, n[1] and re.sub(r"\s", "", n[1]), n[2], "pass")
+            elif argument.startswith("{"):
+                for _, receiver, name, place in _values(src, src.code.index("{", a)):
+                    yield row(place, receiver, name, "pass")
+    if not is_rust:
+        for m in _DISPATCH.finditer(src.code):
+            after = _AFTER_KEY.match(src.code, src.end(m.start(2)) + 1)
+            if after and m[1] not in _KEYWORDS:
+                yield row(m.start(1), m[1], after[1], "dispatch")
     if component:
         for m in _STORE_READ.finditer(text):
-            yield {"file": path, "module": module, "at": m.start(), "receiver": "$", "name": m[1], "in_test": test}
+            yield row(m.start(), "$", m[1], "call")
 
 
 def imports(path: str, text: str, module: str, aliases: dict[str, str]) -> Iterator[dict]:

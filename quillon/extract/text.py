@@ -5,15 +5,81 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 
-_TS = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
-_RUST = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\])*\"", re.S)
+_TS = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|[`{}]", re.S)
+_TEMPLATE = re.compile(r"\\.|`|\$\{", re.S)
+_RUST = re.compile(r"//[^\n]*|/\*|\bb?r(#*)\".*?\"\1|b?\"(?:\\.|[^\"\\])*\"|b?'(?:\\(?:x..|u\{[^}]*\}|.)|[^'\\\n])'", re.S)
+_RUST_COMMENT = re.compile(r"/\*|\*/")
 _BRACKET = re.compile(r"[(){}\[\]]")
 _CLOSES = {")": "(", "}": "{", "]": "["}
 
 
+#: A heading in capitals (a fixed pattern): no description.
+_BANNER = re.compile(r"(?=.*[A-Z])[A-Z0-9 _\-—&/().]{1,48}")
+
+
+def _blanked(text: str, spans: list[tuple[int, int]]) -> str:
+    out, at = [], 0
+    for a, b in spans:
+        out += [text[at:a], re.sub(r"[^\n]", " ", text[a:b])]
+        at = b
+    return "".join([*out, text[at:]])
+
+
+def _typescript_spans(text: str) -> list[tuple[int, int]]:
+    """Comments, strings and the literal parts of templates; the code in a template's ``${...}`` is code."""
+    spans, at, braces = [], 0, []  # braces: how many are open inside each template that is left for its code
+
+    def template(start: int) -> int:
+        i = start
+        while m := _TEMPLATE.search(text, i):
+            i = m.end()
+            if m[0] == "`":
+                spans.append((start, i))
+                return i
+            if m[0] == "${":
+                spans.append((start, i))
+                braces.append(0)
+                return i
+        spans.append((start, len(text)))
+        return len(text)
+
+    while m := _TS.search(text, at):
+        at = m.end()
+        if m[0] == "`":
+            at = template(m.start() + 1)
+            spans[-1] = (m.start(), spans[-1][1])
+        elif m[0] == "{":
+            if braces:
+                braces[-1] += 1
+        elif m[0] == "}":
+            if braces and not braces[-1]:
+                braces.pop()
+                at = template(m.start())
+            elif braces:
+                braces[-1] -= 1
+        else:
+            spans.append(m.span())
+    return spans
+
+
+def _rust_spans(text: str) -> list[tuple[int, int]]:
+    """Comments (which nest), strings, raw strings and characters; a lifetime's mark is code."""
+    spans, at = [], 0
+    while m := _RUST.search(text, at):
+        end = m.end()
+        if m[0] == "/*":
+            depth = 1
+            while depth and (c := _RUST_COMMENT.search(text, end)):
+                depth, end = depth + (1 if c[0] == "/*" else -1), c.end()
+            end = end if not depth else len(text)
+        spans.append((m.start(), end))
+        at = end
+    return spans
+
+
 def blank(source: str, rust: bool = False) -> str:
     """The same length and lines, with nothing in comments and strings."""
-    return (_RUST if rust else _TS).sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
+    return _blanked(source, _rust_spans(source) if rust else _typescript_spans(source))
 
 
 class Source:
@@ -50,6 +116,6 @@ class Source:
                 if not line.strip().startswith("//"):
                     break
                 lines.insert(0, re.sub(r"^\s*//[/!]?\s?", "", line))
-        words = [w for w in (re.sub(r"^[\s*=\-_/#~]+|[\s*=\-_/#~]+$", "", x) for x in lines) if w and not w.startswith("@")]
+        words = [w for w in (re.sub(r"^[\s*=\-_/#~]+|[\s*=\-_/#~]+$", "", x) for x in lines) if w and not w.startswith(("@", "eslint")) and not _BANNER.fullmatch(w)]
         out = " ".join(" ".join(words).split())
         return out if len(out) <= 280 else re.sub(r"\s+\S*$", "", out[:277]) + "…"

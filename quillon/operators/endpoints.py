@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import slice_end
 from ..functions import names
 from ..graph import Graph
+from ..shared import global_index
 
 
 def _ranked(df: DataFrame, order: list[Column], limit: int | None) -> DataFrame:
@@ -231,8 +232,9 @@ def module_focus(g: Graph, module: str) -> DataFrame:
 def layout_seed(g: Graph) -> DataFrame:
     """Start positions on a circle, node sizes, colours and labels of the function view."""
     n = max(1, g.nodes.count())
-    radius, angle = max(40.0, 4.0 * n**0.5), (F.row_number().over(Window.orderBy("node_ord")) - 1) / F.lit(float(n)) * (2 * F.pi())
-    placed = g.nodes.withColumn("angle", angle)
+    numbered = global_index(g.nodes.select("id", "short", "in_degree", "grp", "node_ord"), ["node_ord"], "layout", "at")
+    radius, angle = max(40.0, 4.0 * n**0.5), F.col("at") / F.lit(float(n)) * (2 * F.pi())
+    placed = numbered.withColumn("angle", angle)
     return placed.select("id", F.col("short").alias("label"), (radius * F.cos("angle")).alias("x"), (radius * F.sin("angle")).alias("y"), (2 + 1.4 * F.sqrt("in_degree")).alias("size"), names.group_color(F.col("grp")).alias("color"), "grp")
 
 

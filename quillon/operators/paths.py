@@ -2,43 +2,41 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
+from ..shared import new_path, save
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder of spark.checkpoint.dir (tests: a temporary one), its lineage cut."""
-    spark: SparkSession = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.conf.set("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='quillon-')}")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir") + os.sep + "rdd")
-    return df.checkpoint()
+    """``df`` as a table in the shared folder, its lineage cut; the planner knows how small it is."""
+    return save(df, "graph")
 
 
 def reach_depth(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
     """id, depth: hops from the nearest source over directed edges; ids that can't be reached are left out.
 
-    One join a level with the newly reached ids only; the loop ends with an empty level. Visited ids grow by a written
-    table a level, so plans stay short.
+    One join a level, of the newly reached ids with the edges, which are dealt out by their start once; a small level is
+    broadcast and moves no edge. Levels are written side by side and read as one table, so plans stay short. The loop ends
+    with an empty level.
     """
-    hops = edges.select("src", "dst").distinct().persist()
-    level = checkpointed(sources.select("id").distinct().withColumn("depth", F.lit(0).cast("long")))
-    seen, depth = level, 0
+    spark = edges.sparkSession
+    hops = edges.select("src", "dst").distinct().repartition("src").persist()
+    path = new_path(spark, "levels")
+
+    def reached(depth: int, ids: DataFrame) -> DataFrame:
+        ids.write.parquet(f"{path}/depth={depth}")
+        return spark.read.schema("id string").parquet(f"{path}/depth={depth}")
+
+    level, depth = reached(0, sources.select("id").distinct()), 0
     while (most is None or depth < most) and level.take(1):
         depth += 1
-        reached = level.select(F.col("id").alias("src")).join(hops, "src").select(F.col("dst").alias("id")).distinct()
-        level = checkpointed(reached.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth).cast("long")))
-        seen = seen.unionByName(level)
+        seen = spark.read.schema("id string").parquet(*[f"{path}/depth={d}" for d in range(depth)])
+        following = level.select(F.col("id").alias("src")).join(hops, "src").select(F.col("dst").alias("id")).distinct()
+        level = reached(depth, following.join(seen, "id", "left_anti"))
     hops.unpersist()
-    return seen
+    return spark.read.schema("id string, depth long").parquet(path)
 
 
 def with_test_depth(g: Graph) -> DataFrame:
@@ -53,7 +51,7 @@ def shortest_path(g: Graph, start: str, end: str, most: int = 12) -> DataFrame:
     A path from a node to itself isn't one, and a path of more than ``most`` edges isn't told. Each level keeps, for a
     node, its least path as an array of edge numbers, which orders paths as a search in edge order would.
     """
-    hops = g.edges.select("src", "dst", "edge_ord").persist()
+    hops = g.edges.select("src", "dst", "edge_ord").repartition("src").persist()
     schema = "id string, path array<bigint>"
     level = g.spark.createDataFrame([(start, [])], schema)
     seen, found = level.select("id"), None

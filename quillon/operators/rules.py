@@ -175,12 +175,44 @@ def recommendations(g: Graph, component_lines: int = 200, function_lines: int =
     called = g.edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("callers"))
     core = core_functions(g).join(called, "id").filter(~F.coalesce("tested", F.lit(False)))
     parts.append(("coverage", "info", core, F.concat(calls.cast("string"), F.lit(" callers · "), g.short_module()), F.col("callers")))
-    rows = []
-    for rec, severity, df, sub, weight in parts:
-        rank = F.row_number().over(Window.partitionBy("rec_id").orderBy(F.desc("weight"), "node_ord")).cast("long")
-        df = df.select(F.lit(rec).alias("rec_id"), F.lit(severity).alias("severity"), "id", F.col("short").alias("label"), sub.alias("sub"), weight.alias("weight"), "node_ord")
-        rows.append(df.withColumn("rank", rank).drop("weight", "node_ord"))
-    return reduce(DataFrame.unionByName, rows)
+    rows = [
+        df.select(F.lit(rec).alias("rec_id"), F.lit(severity).alias("severity"), "id", F.col("short").alias("label"), sub.alias("sub"), weight.cast("long").alias("weight"), "node_ord")
+        for rec, severity, df, sub, weight in parts
+    ]
+    return ranked_within(reduce(DataFrame.unionByName, rows), "rec_id", "weight", "node_ord").drop("weight", "node_ord")
+
+
+def ranked_within(rows: DataFrame, group: str, weight: str, tie: str, chunk: int = 1_024) -> DataFrame:
+    """``rows`` with their rank in a group by descending weight, then ``tie``; no task gets a group whole.
+
+    Rows are ranked among those of their weight and of a slice of ``tie``; how many come before is a sum over these
+    slices, of which there are few.
+    """
+    sliced = rows.withColumn("__slice", F.floor(F.col(tie) / chunk))
+    sizes = sliced.groupBy(group, weight, "__slice").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(group).orderBy(F.desc(weight), "__slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    within = F.row_number().over(Window.partitionBy(group, weight, "__slice").orderBy(tie))
+    placed = sliced.withColumn("__within", within).join(starts, [group, weight, "__slice"])
+    return placed.withColumn("rank", (F.col("__before") + F.col("__within")).cast("long")).drop("__slice", "__within", "__before")
+
+
+# Fixed texts: titles and reasons of the recommendations.
+TITLES = {
+    "runes": ("Migrate {n} component(s) from legacy `$:` to runes", "Svelte 5 favours $state/$derived/$effect over legacy `$:` reactivity — clearer dependencies, smaller bundles, better tree-shaking."),
+    "component-size": ("{n} Svelte component(s) exceed {component_lines} lines", "Large components are hard to test and re-render less efficiently — extract sub-components."),
+    "function-size": ("{n} function(s) over {function_lines} lines", "Long functions concentrate complexity and resist unit testing. Split the largest into named helpers."),
+    "coverage": ("Test core logic — {n}/{core} used service/engine fns are untested", "A layered architecture pays off when the business layer is covered. These have callers but no test — the most-called are the highest-value targets."),
+}
+
+
+def recommendation_titles(g: Graph, component_lines: int = 200, function_lines: int = 80) -> DataFrame:
+    """rec_id, title, rationale, rec_rank of the recommendations that have findings."""
+    rows = recommendation_order(recommendations(g, component_lines, function_lines))
+    core = core_functions(g).agg(F.count("*").cast("string").alias("core"))
+    told = g.spark.createDataFrame([(k, t.format(n="%n", core="%core", component_lines=component_lines, function_lines=function_lines), why) for k, (t, why) in TITLES.items()], "rec_id string, title string, rationale string")
+    title = F.replace(F.replace("title", F.lit("%n"), F.col("n").cast("string")), F.lit("%core"), F.col("core"))
+    return rows.join(told, "rec_id").join(F.broadcast(core)).select("rec_id", title.alias("title"), "rationale", F.col("rank").alias("rec_rank"))
 
 
 def core_functions(g: Graph) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions import names
+from ..operators import rules
 from ..sources import lens
 
 
@@ -165,9 +166,7 @@ def oracle_sql(dense: int, middle: int, sparse: int, snapshot: str, now: str) ->
     put("fn_row", "SELECT * FROM rows")
     put("fn_ref", "SELECT id, name, module, file, line, description FROM rows")
     neighbours = "coalesce((SELECT string_agg(x.short, ',' ORDER BY e.edge_ord) FROM edges e JOIN nodes x ON x.id = e.{far} WHERE e.{near} = n.id), '')"
-    both = f"SELECT id, short AS name, {neighbours.format(far='dst', near='src')} AS calls, {neighbours.format(far='src', near='dst')} AS called_by FROM nodes n WHERE node_ord % 10 = 3"
-    put("fn_detail", both)
-    put("fn_detail_all", both.removesuffix(" WHERE node_ord % 10 = 3"))
+    put("fn_detail", f"SELECT id, short AS name, {neighbours.format(far='dst', near='src')} AS calls, {neighbours.format(far='src', near='dst')} AS called_by FROM nodes n")
     put("module_summary", "SELECT * FROM ms")
     sides = f"""SELECT src AS module, 'depends_on' AS direction, {_sm('dst')} AS other, cnt AS call_sites, row_number() OVER (PARTITION BY src ORDER BY cnt DESC, medge_ord) AS rank FROM me
       UNION ALL SELECT dst, 'used_by', {_sm('src')}, cnt, row_number() OVER (PARTITION BY dst ORDER BY cnt DESC, medge_ord) FROM me"""
@@ -189,6 +188,10 @@ def oracle_sql(dense: int, middle: int, sparse: int, snapshot: str, now: str) ->
     put("functions_test_reachable", _top(f"SELECT * FROM ({reach}) WHERE test_depth IS NULL", "in_degree DESC, node_ord", 100, "in_degree, node_ord"), more=_REACH, recursive=True)
     for sort, order in {"indegree": "in_degree", "outdegree": "out_degree", "connected": "(in_degree + out_degree)", "loc": "loc", "chars": "chars"}.items():
         fn(f"functions_sort_{sort}", "true", 100, f"{order} DESC, node_ord")
+    # names are of small letters, digits and points, files differ in small letters, digits and points: collated order is that of bytes
+    fn("functions_sort_name", "true", 100, "name, node_ord")
+    put("files_sort_name", _top("SELECT * FROM fs", "file, file_ord", 200))
+    put("calls_sort_name", _top(calls, "caller, edge_ord", 200))
     put("files_filter", _top("SELECT * FROM fs WHERE grp = 'utils' AND contains(lower(file), 'brand1')", "functions DESC, file_ord", 200))
     for sort in ("functions", "loc", "chars"):
         put(f"files_sort_{sort}", _top("SELECT * FROM fs", f"{sort} DESC, file_ord", 200))
@@ -215,10 +218,29 @@ def oracle_sql(dense: int, middle: int, sparse: int, snapshot: str, now: str) ->
     put("hubs_functions", _top("SELECT id, name, in_degree, node_ord FROM rows", "in_degree DESC, node_ord", 15, "node_ord"))
     put("hubs_modules", _top("SELECT full_module, coalesce(u, 0) AS incoming_call_sites, function_count, mod_ord FROM ms LEFT JOIN (SELECT dst, CAST(sum(cnt) AS BIGINT) AS u FROM me GROUP BY 1) ON dst = full_module", "incoming_call_sites DESC, mod_ord", 15, "mod_ord"))
     put("top_functions_of_module", "SELECT module, id, short, line, in_degree, row_number() OVER (PARTITION BY module ORDER BY in_degree DESC, node_ord) AS rank FROM nodes QUALIFY rank <= 12")
-    listed = f"SELECT id, short AS label, {_sm('module')} || ' · ' || loc || ' lines · ' || in_degree || ' in / ' || out_degree || ' out' AS sub, row_number() OVER (ORDER BY in_degree DESC, node_ord) AS rank FROM nodes"
-    put("list_rows", listed)
-    put("list_sort", f"{listed} QUALIFY rank <= 300")
-    put("list_filter", f"SELECT * FROM ({listed}) WHERE contains(lower(label || ' ' || sub), 'rod1')")
+    fn_sub, sm_module = f"{_sm('module')} || ' · ' || loc || 'ln · ' || in_degree || '←' || out_degree || '→'", _sm("module")
+    lists = {
+        "functions": f"SELECT node_ord AS ord, id, short AS label, {fn_sub} AS sub, in_degree AS indegree FROM nodes",
+        "calls": f"SELECT edge_ord AS ord, src AS id, ash || ' → ' || bsh AS label, {_sm('am')} || ' → ' || {_sm('bm')} || ' · ' || cnt || '×' AS sub, cnt AS weight FROM ee",
+        "files": "SELECT file_ord AS ord, file AS id, regexp_replace(file, '^src/', '') AS label, grp || ' · ' || fns || ' fns · ' || loc || 'ln' AS sub, loc FROM fl JOIN msz USING (module)",
+        "modules": f"SELECT mod_ord AS ord, module AS id, {sm_module} AS label, grp || ' · ' || fns || ' fns · ' || loc || 'ln · ' || dep_out || '→ ' || dep_in || '←' AS sub, module AS name FROM mn JOIN msz USING (module)",
+    }
+
+    def shown(name: str, kind: str, order: str, where: str = "true") -> None:
+        rows = f"SELECT *, row_number() OVER (ORDER BY {order}, ord) AS rank, greatest(count(*) OVER () - 300, 0) AS more FROM ({lists[kind]}) WHERE {where}"
+        put(name, f"SELECT rank, id, label, sub, more FROM ({rows}) WHERE rank <= 300")
+
+    for kind, rows in lists.items():
+        put("list_rows" if kind == "functions" else f"list_rows_{kind}", f"SELECT id, label, sub FROM ({rows})")
+    shown("list_sort", "functions", "indegree DESC")
+    shown("list_sort_files", "files", "loc DESC")
+    shown("list_sort_modules", "modules", "name")
+    shown("list_sort_calls", "calls", "weight DESC")
+    shown("list_filter", "functions", "indegree DESC", "contains(lower(label || ' ' || sub), 'rod1')")
+    put("hover_split", "SELECT DISTINCT dst AS id, 'out' AS direction FROM edges WHERE src = 'part/17' UNION ALL SELECT DISTINCT src, 'in' FROM edges WHERE dst = 'part/17'")
+    put("node_marks", "SELECT id, 'vscode://file//w/' || file || ':' || line AS link, CASE WHEN kind NOT IN ('function', 'method') THEN '#3a4453' WHEN tested THEN '#7ee787' ELSE '#ff6b6b' END AS color FROM nodes")
+    wrap = "list_reduce(string_split(description, ' '), lambda a, w: CASE WHEN length(regexp_extract(a, '[^' || chr(10) || ']*$')) + 1 + length(w) > 18 THEN a || chr(10) || w ELSE a || ' ' || w END)"
+    put("word_wrap", f"SELECT id, CASE WHEN length(description) <= 18 THEN description ELSE {wrap} END AS lines FROM d")
     put("edge_counts", "SELECT src, dst, cnt FROM edges")
     put("module_edges", "SELECT src, dst, cnt FROM me")
     put("module_nodes", "SELECT module, grp, file, fns FROM mn")
@@ -261,13 +283,37 @@ best AS (SELECT min(path) AS path FROM trail WHERE id = 'part/150'), steps AS (S
     spot = "CAST(round(greatest(40.0, 4 * sqrt(N)) * {f}(2 * pi() * (i / N)) * 1000) AS BIGINT)"
     put("layout_seed", f"SELECT id, label, {spot.format(f='cos')} AS x, {spot.format(f='sin')} AS y, CAST(round((2 + 1.4 * sqrt(in_degree)) * 1000) AS BIGINT) AS size, {_case(names.COLOURS, 'grp', repr(names.OTHER_COLOUR))} AS color, grp FROM (SELECT *, short AS label, CAST(row_number() OVER (ORDER BY node_ord) - 1 AS DOUBLE) AS i, CAST(count(*) OVER () AS DOUBLE) AS N FROM nodes)")
     put("layout_edges", "SELECT src, dst, cnt AS weight, least(1 + CAST(cnt AS DOUBLE) / 4, 6.0::DOUBLE) AS size FROM me")
-    insights = """SELECT section, item, n, CASE WHEN n = 0 THEN '✓' ELSE CAST(n AS VARCHAR) END AS badge FROM (SELECT 'checks' AS section, rule AS item, hits AS n FROM ruled
-      UNION ALL SELECT 'recommendations', rec_id, count(*) FROM recs GROUP BY 2 UNION ALL SELECT 'ports', 'candidates', least(15, count(*)) FROM ports UNION ALL SELECT 'orphans', 'functions', count(*) FROM lone)"""
-    put("insight_groups", insights, sparse, _CLOSURE, True)
-    marked = "(SELECT string_agg('- ' || x.short, chr(10) ORDER BY e.edge_ord) FROM edges e JOIN nodes x ON x.id = e.{far} WHERE e.{near} = r.id)"
-    part = "coalesce(chr(10) || chr(10) || '## {t}' || chr(10) || " + marked + ", '')"
-    put("markdown_render", f"SELECT id, '# ' || name || chr(10) || chr(10) || description || {part.format(t='Calls', far='dst', near='src')} || {part.format(t='Called by', far='src', near='dst')} AS markdown FROM rows r WHERE node_ord % 25 = 1")
-    put("markdown_render_all", f"SELECT id, '# ' || name || chr(10) || chr(10) || description || {part.format(t='Calls', far='dst', near='src')} || {part.format(t='Called by', far='src', near='dst')} AS markdown FROM rows r")
+    titled = " UNION ALL ".join(f"SELECT '{k}' AS rec_id, '{t.format(n='%n', core='%core', component_lines=120, function_lines=80)}' AS t, '{why}' AS why" for k, (t, why) in rules.TITLES.items())
+    core = "(SELECT count(*) FROM nodes WHERE grp IN ('services', 'systems') AND kind IN ('function', 'method') AND id IN (SELECT dst FROM edges))"
+    more = f""" titles0 AS ({titled}), counted AS (SELECT rec_id, severity, count(*) AS n, row_number() OVER (ORDER BY CASE severity WHEN 'warn' THEN 1 ELSE 2 END, count(*) DESC, rec_id) AS rec_rank FROM recs GROUP BY 1, 2),
+      titles AS (SELECT rec_id, severity, n, rec_rank, replace(replace(t, '%n', CAST(n AS VARCHAR)), '%core', CAST({core} AS VARCHAR)) AS title, why FROM counted JOIN titles0 USING (rec_id))"""
+    irows = f""", irows AS (SELECT 'check' AS section, CASE WHEN r.has_error THEN 'error' WHEN r.hits > 0 THEN 'warn' ELSE 'info' END AS sev, r.rule AS title, NULL AS why, f.msg AS label, CASE WHEN f.msg IS NULL THEN NULL ELSE coalesce(n.file || ':' || n.line, '') END AS sub FROM ruled r LEFT JOIN found f USING (rule) LEFT JOIN nodes n ON n.id = f.id
+      UNION ALL SELECT 'rec', severity, title, why, label, sub FROM recs JOIN titles USING (rec_id, severity)
+      UNION ALL SELECT 'ports', 'info', 'TS→Rust port candidates', 'score = compute ÷ coupling', module, 'score ' || format('{{:.1f}}', score) || ' · ' || numeric_ops || ' numeric · ' || loc || ' loc · coupling ' || coupling FROM (SELECT * FROM ports ORDER BY score DESC, mod_ord LIMIT 15)
+      UNION ALL SELECT 'orphans', 'info', 'Dead-code candidates', NULL, short, module || ' · ' || file || ':' || line FROM lone),
+      igroups AS (SELECT section, sev, title, why, count(label) AS n, CASE WHEN section = 'check' AND count(label) = 0 THEN '✓' ELSE CAST(count(label) AS VARCHAR) END AS badge FROM irows GROUP BY section, sev, title, why)"""
+    put("recommendation_titles", "SELECT rec_id, title, rec_rank FROM titles", more=more)
+    panel = f"{_CLOSURE},{more}{irows}"
+    put("insight_groups", "SELECT section, sev, title, n, badge FROM igroups", sparse, panel, True)
+    put("insight_filter", "SELECT section, title, label, sub FROM irows WHERE label IS NOT NULL AND contains(lower(label || ' ' || coalesce(sub, '')), 'ring1')", sparse, panel, True)
+    put("insight_shown", "SELECT title, label, rank, greatest(n - 40, 0) AS more FROM recs JOIN titles USING (rec_id, severity) WHERE rank <= 40", sparse, panel, True)
+    labels = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in {"check": "Architecture checks", "rec": "Recommendations", "ports": "Port candidates", "orphans": "Dead code"}.items())
+    put("insight_lines", f"""SELECT DISTINCT chr(10) || '== ' || CASE section {labels} END || ' ==' AS line FROM igroups UNION ALL SELECT chr(10) || '[' || badge || '] ' || title || coalesce(chr(10) || '  (' || why || ')', '') FROM igroups
+      UNION ALL SELECT '  - ' || label || CASE WHEN coalesce(sub, '') <> '' THEN '  (' || sub || ')' ELSE '' END FROM irows WHERE label IS NOT NULL""", sparse, panel, True)
+    put("check_lines", """SELECT rule_no, 0 AS line_no, '  ' || CASE WHEN has_error THEN '✗' WHEN hits > 0 THEN '!' ELSE '✓' END || ' ' || rule || CASE WHEN hits > 0 THEN ' (' || hits || ')' ELSE '' END AS line FROM numbered
+      UNION ALL SELECT rule_no, 26, '      … +' || (hits - 25) || ' more' FROM numbered WHERE hits > 25
+      UNION ALL SELECT rule_no, nth, '      • ' || msg || coalesce(' — ' || file || ':' || line, '') FROM (SELECT o.rule_no, f.msg, n.file, n.line, row_number() OVER (PARTITION BY f.rule ORDER BY coalesce(f.module, ''), coalesce(f.id, ''), f.msg) AS nth FROM found f JOIN numbered o USING (rule) LEFT JOIN nodes n ON n.id = f.id) WHERE nth <= 25""",
+        sparse, _CLOSURE + ", numbered AS (SELECT rule, hits, has_error, CAST(list_position(['ADR-001', 'ADR-002', 'cycle', 'layers', 'god-module', 'orphan', 'duplicate', 'adr-coverage'], rule) - 1 AS BIGINT) AS rule_no FROM ruled)", True)
+    nl = "chr(10)"
+    refs = "coalesce((SELECT string_agg({nl} || '- ' || x.name || ' (' || x.module || ') — ' || x.description, '' ORDER BY e.edge_ord) FROM edges e JOIN rows x ON x.id = e.{far} WHERE e.{near} = r.id), '')"
+    n_of = "(SELECT count(*) FROM edges e WHERE e.{near} = r.id)"
+    side = lambda title, far, near: f"{nl} || {nl} || '## {title} (' || {n_of.format(near=near)} || ')' || {refs.format(nl=nl, far=far, near=near)}"
+    put("markdown_render", f"""SELECT id, '# ' || name || '  (' || module || ')' || {nl} || {nl} || description || {nl} || {nl} || '- **kind**: ' || kind || CASE WHEN exported THEN ' · exported' ELSE '' END || '  ·  **source**: ' || file || ':' || line
+      || '  ·  **desc from**: ' || description_source || {nl} || '- **signature**: `' || (SELECT short FROM nodes n WHERE n.id = r.id) || '()`' || {side('Calls', 'dst', 'src')} || {side('Called by', 'src', 'dst')} AS markdown FROM rows r""")
+    deps = "coalesce((SELECT string_agg({nl} || '- ' || {other} || ' (' || cnt || ')', '' ORDER BY cnt DESC, medge_ord) FROM me WHERE {near} = m.full_module), '')"
+    mside = lambda title, far, near: f"{nl} || {nl} || '## {title} (' || (SELECT count(*) FROM me WHERE {near} = m.full_module) || ')' || {deps.format(nl=nl, other=_sm(far), near=near)}"
+    put("markdown_modules", f"""SELECT full_module AS module, '# ' || module || '  (' || grp || ')' || {nl} || {nl} || description || {nl} || {nl} || 'Source: ' || file || ' · ' || function_count || ' functions' || {mside('Depends on', 'dst', 'src')} || {mside('Used by', 'src', 'dst')}
+      || {nl} || {nl} || '## Functions' || (SELECT string_agg({nl} || '- ' || short || ' — ' || coalesce(description, ''), '' ORDER BY in_degree DESC, node_ord) FROM d WHERE d.module = m.full_module) AS markdown FROM ms m""")
     old = _graph(dense, snapshot, "o_", "node_ord % 29 <> 7 AND module <> 'lib/utils/Brand19'") + ","
     put("diff_modules", "SELECT coalesce(b.module, c.module) AS module, CASE WHEN b.module IS NULL THEN 'added' ELSE 'removed' END AS change, coalesce(c.fns, b.fns) AS fns FROM o_mn b FULL JOIN mn c ON b.module = c.module WHERE b.module IS NULL OR c.module IS NULL", before=old)
     sized = "SELECT module, b.fns AS was, c.fns AS now, abs(c.fns - b.fns) AS delta, c.fns > 80 AND b.fns <= 80 AS now_god FROM o_mn b JOIN mn c USING (module) WHERE b.fns <> c.fns"
@@ -275,7 +321,14 @@ best AS (SELECT min(path) AS path FROM trail WHERE id = 'part/150'), steps AS (S
     put("diff_order", _top(f"SELECT module, delta FROM ({sized})", "delta DESC, module", 30), before=old)
     deps = "SELECT *, 'new' AS change FROM (SELECT src, dst FROM me EXCEPT SELECT src, dst FROM o_me) UNION ALL SELECT *, 'gone' FROM (SELECT src, dst FROM o_me EXCEPT SELECT src, dst FROM me)"
     put("diff_deps", deps, before=old)
-    out["changed_deps"] = out["diff_deps"]
+    put("changed_deps", f"SELECT change, count(*) AS n FROM ({deps}) GROUP BY 1", before=old)
+    total = " UNION ALL ".join(f"SELECT '{w}' AS what, (SELECT count(*) FROM o_{t}) AS was, (SELECT count(*) FROM {t}) AS now" for w, t in (("functions", "nodes"), ("edges", "edges"), ("modules", "mn")))
+    short = _sm("module")
+    put("diff_lines", f"""SELECT 'totals' AS section, row_number() OVER (ORDER BY what) AS rank, what || ' ' || was || ' → ' || now || ' (' || CASE WHEN now >= was THEN '+' ELSE '' END || (now - was) || ')' AS line FROM ({total})
+      UNION ALL SELECT 'modules', row_number() OVER (ORDER BY CASE WHEN change = 'added' THEN 0 ELSE 1 END, module), CASE WHEN change = 'added' THEN '+ ' ELSE '- ' END || {short} || CASE WHEN change = 'added' THEN ' (' ELSE ' (was ' END || fns || ' fns)'
+        FROM (SELECT coalesce(b.module, c.module) AS module, CASE WHEN b.module IS NULL THEN 'added' ELSE 'removed' END AS change, coalesce(c.fns, b.fns) AS fns FROM o_mn b FULL JOIN mn c ON b.module = c.module WHERE b.module IS NULL OR c.module IS NULL)
+      UNION ALL SELECT 'sizes', row_number() OVER (ORDER BY delta DESC, module), CASE WHEN now > was THEN '▲ ' ELSE '▼ ' END || {short} || ' ' || was || ' → ' || now || ' fns' || CASE WHEN now_god THEN '  ⚠ now a god-module (>80)' ELSE '' END FROM ({sized})
+      UNION ALL SELECT change || ' dependencies', row_number() OVER (PARTITION BY change ORDER BY src, dst) AS r, CASE WHEN change = 'new' THEN '+ ' ELSE '- ' END || {_sm('src')} || ' → ' || {_sm('dst')} FROM ({deps}) QUALIFY row_number() OVER (PARTITION BY change ORDER BY src, dst) <= 30""", before=old)
     put("diff_totals", "SELECT what, was, now, CASE WHEN now >= was THEN '+' ELSE '' END || (now - was) AS delta FROM (" + " UNION ALL ".join(f"SELECT '{w}' AS what, (SELECT count(*) FROM o_{t}) AS was, (SELECT count(*) FROM {t}) AS now" for w, t in (("functions", "nodes"), ("edges", "edges"), ("modules", "mn"))) + ")", before=old)
     put("union_edges", "SELECT src, dst, CAST(sum(cnt) AS BIGINT) AS cnt FROM (SELECT src, dst, cnt FROM edges UNION ALL SELECT src, dst, cnt FROM s_edges) GROUP BY 1, 2", before=_graph(sparse, None, "s_") + ",")
     put("union_nodes", """SELECT id, CASE WHEN node_ord % 3 = 0 THEN short || '_b' ELSE short END AS short, CASE WHEN node_ord % 3 = 0 THEN loc * 10 ELSE loc END AS loc, 0::BIGINT AS source FROM nodes
@@ -283,7 +336,7 @@ best AS (SELECT min(path) AS path FROM trail WHERE id = 'part/150'), steps AS (S
     put("names", _names())
     out["names"] = out["names"].replace(" , w0 AS", ", w0 AS")
     paths = "pg AS (SELECT page_id, regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') AS path, html FROM pages)"
-    out["wikilink_join"] = f"""WITH {paths}, files AS (SELECT regexp_extract(path, '([^/]*)$', 1) AS base, page_id AS target FROM pg),
+    out["page_links"] = f"""WITH {paths}, files AS (SELECT regexp_extract(path, '([^/]*)$', 1) AS base, page_id AS target FROM pg),
       sites AS (SELECT * FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="/?([^"]*)"', 1)) AS link FROM pg UNION ALL SELECT page_id, regexp_extract(path, '([^/]*)$', 1) FROM pg) WHERE link <> ''),
       hits AS (SELECT s.page_id, s.link, f.target, min(CASE WHEN f.base = s.link THEN 1 ELSE 2 END) AS tier, count(*) AS n FROM sites s JOIN files f ON f.base = s.link OR f.base = s.link || '.html' GROUP BY 1, 2, 3)
       SELECT page_id AS src, target AS dst, CAST(sum(n) AS BIGINT) AS cnt FROM (SELECT *, min(tier) OVER (PARTITION BY page_id, link) AS best FROM hits) WHERE tier = best AND page_id <> target GROUP BY 1, 2"""
@@ -300,8 +353,41 @@ best AS (SELECT min(path) AS path FROM trail WHERE id = 'part/150'), steps AS (S
     out["stale_count"] = f"SELECT count(*) FILTER (days >= 17) AS n_stale, count(*) AS n FROM ({stale})"
     out["is_stale"] = """WITH c AS (SELECT user_id, CASE WHEN user_id % 5 <> 0 THEN max(ts) END AS mtime, 'src/u' || user_id || CASE WHEN user_id % 2 = 0 THEN '.ts' ELSE '.md' END AS path FROM events GROUP BY user_id)
       SELECT path, mtime FROM c WHERE (path LIKE '%.ts' OR path IN (SELECT 'src/u' || user_id || '.md' FROM events WHERE user_id % 3 = 0)) AND (mtime IS NULL OR mtime > TIMESTAMP '2024-01-30 12:00:00')"""
-    out["machines"] = """SELECT n_name AS machine, count(c_custkey) AS projects, coalesce(string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment), '') AS kinds,
-      CASE WHEN n_regionkey = 0 THEN 'cached' WHEN n_nationkey % 2 = 0 THEN 'online' ELSE 'offline' END AS status FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_name, n_regionkey"""
+    meta = """SELECT n_name, n_nationkey % 7 = 6 AS fs, n_nationkey % 5 <> 4 AS has_git, n_nationkey % 11 <> 10 AS has_graph, n_nationkey % 6 <> 5 AS stamped, n_nationkey % 4 = 3 AS moved, n_nationkey % 2 = 0 AND n_nationkey % 3 = 0 AS cleaned, files FROM nation, (VALUES (true), (false)) AS f(files)"""
+    out["stale_decision"] = f"""SELECT n_name, files, reason, reason IN ('commit', 'cleaned', 'files') AS stale FROM (SELECT n_name, files, CASE WHEN fs THEN 'filesystem' WHEN NOT has_git THEN 'no git' WHEN NOT has_graph THEN 'no graph' WHEN NOT stamped THEN 'no stamp'
+      WHEN moved THEN 'commit' WHEN cleaned THEN 'cleaned' WHEN files AND (SELECT count(*) FROM ({out["is_stale"]})) > 0 THEN 'files' ELSE 'fresh' END AS reason FROM ({meta}))"""
+    out["porcelain_paths"] = """SELECT CASE user_id % 4 WHEN 0 THEN 'src/u' || user_id || '.ts' WHEN 1 THEN 'src/u' || user_id || 'b.ts' ELSE 'src/u' || user_id || ' x.md' END AS path FROM (SELECT DISTINCT user_id FROM events) WHERE user_id % 4 < 3"""
+    label = "WITH g AS (SELECT 'g' || c_custkey AS name, 'host' || c_nationkey AS host, c_custkey AS k, c_nationkey AS n, c_custkey % 15 = 0 AS fs FROM customer), reg AS (SELECT DISTINCT 'm' || n AS machine, CASE WHEN n % 2 = 0 THEN host END AS ts_host FROM g WHERE fs), names AS (SELECT host, min(machine) AS label FROM (SELECT ts_host AS host, machine FROM reg WHERE ts_host IS NOT NULL UNION SELECT machine, machine FROM reg) GROUP BY 1)"
+    machines = f"""{label}, placed AS (SELECT g.*, CASE WHEN fs THEN 'm' || n ELSE coalesce(label, g.host) END AS machine FROM g LEFT JOIN names USING (host)),
+      m AS (SELECT machine, max(name) FILTER (fs) AS all_graph, coalesce(string_agg(name, ',' ORDER BY name) FILTER (NOT fs), '') AS projects, max(CASE WHEN fs AND n % 2 = 0 THEN host END) AS ts_host, max('day ' || k) FILTER (fs) AS indexed_at FROM placed GROUP BY 1),
+      up AS (SELECT 'host' || n_nationkey AS host FROM nation WHERE n_regionkey < 2),
+      shown AS (SELECT *, CASE WHEN machine = (SELECT coalesce(max(label), 'host3') FROM names WHERE host = 'host3') THEN 'online' WHEN ts_host IS NOT NULL THEN CASE WHEN ts_host IN (SELECT host FROM up) THEN 'online' ELSE 'cached' END WHEN all_graph IS NOT NULL THEN 'cached' ELSE 'offline' END AS status FROM m)"""
+    out["machines"] = f"{machines} SELECT * FROM shown"
+    out["machine_of"] = f"{machines} SELECT coalesce((SELECT machine FROM placed WHERE name = 'g7'), (SELECT min(machine) FROM shown)) AS machine"
+    out["machine_of_none"] = f"{machines} SELECT min(machine) AS machine FROM shown"
+    out["online_ratio"] = f"{machines} SELECT count(*) FILTER (status = 'online') AS online, count(*) AS total FROM shown"
+    note = "'## ADR-' || k || ' (kept): Keep f' || k || chr(10) || '# ADR-9: no' || chr(10) || 'see [[f' || (k + 7) || ']] and [[f' || (k + 5) || '|that one]] [[f' || (k + 1) || '.service#a]] [x](../x/f' || (k + 84) || '.md#top) [y](./f' || (k + 12) || '.mdx)' || chr(10) || '  $: a = 1;' || chr(10) || '$: b' || chr(10)"
+    units = "'[Unit]' || chr(10) || 'After=f' || (k + 7) || '.service  f' || (k + 14) || '.service,f' || (k + 1) || '.json' || chr(10) || 'wants = f' || (k + 7) || '.service' || chr(10) || 'Description=f' || (k + 2) || '.service' || chr(10)"
+    tree = f"""WITH t0 AS (SELECT page_id AS k, CAST(octet_length(encode(html)) AS BIGINT) AS size FROM pages),
+      tree AS (SELECT k, size, 'h' || k % 3 || ['/.docs/', '/scripts/', '/node_modules/', '/x/'][k % 4 + 1] AS folder, ['.md', '.service', '.json', '.sh', '.bin', '.mdx', ''][k % 7 + 1] AS ext, make_timestamp((1704067200 + (k % 60) * 86400 - 3600) * 1000000) AS mtime,
+        CASE WHEN k % 7 IN (0, 5) THEN {note} WHEN k % 7 = 1 THEN {units} ELSE '' END AS text FROM t0),
+      files AS (SELECT *, folder || 'f' || k || ext AS path, 'f' || k || ext AS base, CASE WHEN ext = '.service' THEN 'systemd' WHEN ext IN ('.md', '.mdx') THEN CASE WHEN k % 4 = 0 THEN 'docs' ELSE 'notes' END WHEN ext = '.sh' OR k % 4 = 1 THEN 'scripts' WHEN ext = '.json' THEN 'config' ELSE 'other' END AS kind,
+        regexp_extract_all(text, '{names.WIKI_LINK}', 1) AS wikis, regexp_extract_all(text, '{names.MD_LINK}', 1) AS mds, list_filter(flatten(list_transform(regexp_extract_all(text, '{names.UNIT_LINK}', 1), lambda x: regexp_split_to_array(x, '[\\s,]+'))), lambda u: u <> '') AS units FROM tree),
+      w0 AS (SELECT path, unnest(wikis) AS name, generate_subscripts(wikis, 1) AS pos FROM files WHERE kind IN ('docs', 'notes')),
+      w1 AS (SELECT w.path, w.pos, f.path AS dst, CASE WHEN f.base = trim(name) THEN 0 WHEN f.base = trim(name) || '.md' THEN 1 ELSE 2 END AS tier FROM w0 w JOIN files f ON f.base IN (trim(name), trim(name) || '.md', trim(name) || '.mdx')),
+      wiki AS (SELECT path, dst FROM w1 QUALIFY tier = min(tier) OVER (PARTITION BY path, pos)),
+      md AS (SELECT m.path, f.path AS dst FROM (SELECT path, k, unnest(mds) AS href FROM files WHERE kind IN ('docs', 'notes')) m JOIN files f ON f.path = CASE WHEN starts_with(href, '../x/') THEN 'h' || m.k % 3 || '/x/' || substr(href, 6) ELSE regexp_replace(m.path, '[^/]*$', '') || substr(href, 3) END),
+      unit AS (SELECT u.path, f.path AS dst FROM (SELECT path, unnest(units) AS name FROM files WHERE kind = 'systemd') u JOIN files f ON f.base = u.name),
+      linked AS (SELECT path AS src, dst, count(*) AS cnt FROM (SELECT * FROM wiki UNION ALL SELECT * FROM md UNION ALL SELECT * FROM unit) WHERE path <> dst GROUP BY 1, 2)"""
+    out["wikilink_join"], out["mdlink_join"], out["unit_dep_join"] = (f"{tree} SELECT path, dst FROM {x}" for x in ("wiki", "md", "unit"))
+    out["extract_links"] = f"{tree} SELECT path, array_to_string(wikis, '|') AS wiki, array_to_string(mds, '|') AS md, array_to_string(units, '|') AS units FROM files"
+    out["fs_edges"] = f"{tree} SELECT src, dst, cnt FROM linked"
+    age = f"CAST(floor((epoch_ms(TIMESTAMP '{now}') - epoch_ms(mtime)) / 86400000) AS BIGINT)"
+    out["fs_nodes"] = f"""{tree} SELECT path AS id, rtrim(folder, '/') AS module, kind AS grp, {_fmt_size('size')} || ' · ' || {age} || 'd since edit' AS descr, size AS loc, {age} AS stale_days, {age} >= 40 AS stale,
+      coalesce((SELECT CAST(sum(cnt) AS BIGINT) FROM linked WHERE dst = path), 0) AS in_degree, coalesce((SELECT CAST(sum(cnt) AS BIGINT) FROM linked WHERE src = path), 0) AS out_degree, row_number() OVER (ORDER BY string_split(path, '/')) - 1 AS node_ord FROM files"""
+    out["fs_walk"] = f"{tree} SELECT path FROM files WHERE k % 4 <> 2 AND NOT regexp_matches(base, '^f1[^/]\\..*$') AND (ext IN ('.md', '.service') OR ext = '.json' OR starts_with(base, 'f2'))"
+    out["adr_scan"] = f"{tree} SELECT path, 'ADR-' || k AS id, 'Keep f' || k AS title FROM files WHERE kind IN ('docs', 'notes')"
+    out["legacy_reactive"] = f"{tree} SELECT path, len(regexp_extract_all(text, '(?m)^\\s*\\$:')) AS n FROM files"
     out["debounce_sessions"] = """SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS burst FROM
       (SELECT user_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) <= 3600000000 THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, burst"""
     return out

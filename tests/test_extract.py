@@ -1,130 +1,297 @@
-"""Extraction, queries and checks on a small source tree, and what changes when it is broken on purpose."""
+"""Extraction of a small tree of several languages: what becomes a node, what calls what, and what a wrong tree is told."""
 
 import json
 
 import pytest
 
-from quillon.config import Config
-from quillon.extract import build, scan
+from quillon.config import Config, load_project, tsconfig
+from quillon.extract import build, scan, text
 from quillon.operators import endpoints, paths, rules
 from quillon.plans.dispatch import dispatch
 from quillon.sources import graph_json
 
+SPANS = """// ===== LIST HELPERS =====
+/**
+ * Splits a list into rows of a width.
+ * @param width how many go into a row
+ */
+export function rowsOf<T>(list: T[], width: number): T[][] {
+  const out: T[][] = [];
+  for (let i = 0; i < list.length; i += width) {
+    out.push(list.slice(i, i + width));
+  }
+  return out;
+}
+
+export const median = (values: number[]) => {
+  const ordered = ranked(values);
+  return ordered[Math.floor(ordered.length / 2)];
+};
+
+function ranked(values: number[]): number[] {
+  return [...values].sort(byValue);
+}
+
+function byValue(a: number, b: number): number {
+  return a - b;
+}
+"""
+ORCHARD = """import { median, rowsOf as grid } from '../utils/spans';
+
+export abstract class Plot {
+  abstract area(): number;
+  get label(): string {
+    return `a plot of ${this.describe()} and { ${median([1, 2])} trees`;
+  }
+  describe(): string {
+    return 'bare: area( { not code';
+  }
+}
+
+export class Orchard extends Plot {
+  constructor(private trees: number[]) {
+    super();
+  }
+  area(): number {
+    return grid(this.trees, 4).length;
+  }
+  async harvest(): Promise<number> {
+    return this.area() * median(this.trees);
+  }
+}
+"""
+SEASON = """import { Orchard } from '$lib/core/Orchard';
+
+type Step = (o: Orchard) => unknown;
+
+function prune(o: Orchard) {
+  return o.harvest();
+}
+function water(o: Orchard) {
+  return o.area();
+}
+function rest() {
+  return 0;
+}
+
+export const stages = {
+  bud: { enter: water, leave: prune },
+  fruit: { enter: (prune as Step), leave: rest }
+};
+
+export function advance(stage: 'bud' | 'fruit', o: Orchard) {
+  return stages[stage].enter(o);
+}
+
+export function finish(stage: 'bud' | 'fruit', o: Orchard) {
+  const current = stages[stage];
+  return current.leave(o);
+}
+"""
+MARKET = """import { advance, finish } from '../systems/season';
+import { sold } from '$lib/stores/ledger';
+
+export class Market {
+  open(): void {
+    schedule({ onTick: advance, late: { onEnd: finish! } });
+    sold.update((n) => n + 1);
+  }
+}
+
+export const schedule = (hooks: object) => hooks;
+
+function relay() {
+  return 1;
+}
+
+schedule({ onTick: relay });
+"""
 FILES = {
-    "src/lib/core/math.ts": "/** Keeps a number within limits. */\nexport function limit(v: number, a: number, b: number): number {\n  const inner = (x: number): number => Math.min(Math.max(x, a), b);\n  return inner(v);\n}\n\nexport function idle(): string {\n  return 'idle';\n}\n",
-    "src/lib/services/Speaker.ts": "import { limit } from '$lib/core/math';\n\nexport class Speaker {\n  constructor(private word: string) {}\n\n  speak(times: number): string {\n    return 'ho '.repeat(limit(times, 1, 3)) + this.word;\n  }\n}\n\n/** Ways of speaking. */\nexport const ways = {\n  loudly: (s: Speaker) => s.speak(3),\n  softly: (s: Speaker) => s.speak(1)\n};\n\nexport function everyone(all: Speaker[]): string[] {\n  return all.map((s) => ways.loudly(s));\n}\n",
-    "src/lib/services/Speaker.test.ts": "import { Speaker, everyone } from '$lib/services/Speaker';\n\neveryone([new Speaker('a')]);\n",
-    "src/lib/stores/visit.ts": "type Sub = (v: number) => void;\n\n/** A store. */\nexport const visit = {\n  subscribe(fn: Sub): () => void {\n    fn(0);\n    return () => {};\n  }\n};\n",
-    "src/Page.svelte": "<script lang=\"ts\">\n  import { Speaker } from '$lib/services/Speaker';\n  import { visit } from '$lib/stores/visit';\n\n  const said = new Speaker('you').speak(2);\n</script>\n\n<p>{said} - {$visit}</p>\n",
-    "geo/src/lib.rs": "/// Squared length of a difference.\npub fn span2(ax: f32, bx: f32) -> f32 {\n    let d = ax - bx;\n    d * d\n}\n\n#[wasm_bindgen]\npub fn closest(x: f32) -> f32 {\n    span2(x, 0.0)\n}\n\n#[cfg(test)]\nmod tests {\n    use super::*;\n\n    #[test]\n    fn span2_of_equal_is_zero() {\n        assert_eq!(span2(0.0, 0.0), 0.0);\n    }\n}\n",
-    "geo/Cargo.toml": "[package]\nname = \"geo\"\n",
-    "spare/src/lib.rs": "pub fn unlisted() -> u32 {\n    1\n}\n",
-    "spare/Cargo.toml": "[package]\nname = \"spare\"\n",
+    "src/lib/utils/spans.ts": SPANS,
+    "src/lib/core/Orchard.ts": ORCHARD,
+    "src/lib/systems/season.ts": SEASON,
+    "src/lib/services/market.ts": MARKET,
+    "src/lib/services/bridge.ts": "import load from 'mill-pkg';\n\nexport async function millAll(n: number) {\n  const mod = await load();\n  return mod.grind_all(n);\n}\n",
+    "src/lib/services/types.ts": "export type Price = { amount: number };\n",
+    "src/lib/stores/ledger.ts": "/** Running total. */\nexport const sold = {\n  subscribe(run: (n: number) => void) {\n    run(0);\n    return () => {};\n  },\n  update(fn: (n: number) => number) {\n    fn(0);\n  }\n};\n",
+    "src/Stall.svelte": "<script lang=\"ts\">\n  import { Market } from '$lib/services/market';\n  import { sold } from '$lib/stores/ledger';\n  const m = new Market();\n  $: double = $sold * 2;\n  m.open();\n</script>\n\n<b>{$sold}</b>\n",
+    "src/lib/core/Orchard.test.ts": "import { Orchard } from './Orchard';\nimport { finish } from '../systems/season';\n\nnew Orchard([1]).harvest();\nfinish('bud', new Orchard([]));\n",
+    "mill/Cargo.toml": "[package]\nname = \"mill\"\n",
+    "mill/src/lib.rs": "/* outer /* fn inner() {} */ fn fake() {} */\npub struct Mill { load: u32 }\n\nimpl Mill {\n    /// Adds grain.\n    pub fn feed(&mut self, n: u32) {\n        self.load += n;\n        weigh(self.load);\n    }\n\n    fn sign(&self) -> char {\n        let raw = r#\"fn ghost() { \"quoted\" }\"#;\n        if raw.len() > 3 { '}' } else { '{' }\n    }\n}\n\nfn weigh<'a>(n: u32) {\n    assert!(n < 100);\n}\n\n#[wasm_bindgen]\npub fn grind_all(n: u32) -> u32 {\n    let mut m = Mill { load: 0 };\n    m.feed(n);\n    n\n}\n\n#[cfg(test)]\nmod tests {\n    use super::*;\n\n    #[test]\n    fn weighs() {\n        weigh(1);\n    }\n}\n",
+    "press/Cargo.toml": "[package]\nname = \"press\"\n",
+    "press/src/main.rs": "fn main() {}\n",
+    "node_modules/dep/Cargo.toml": "[package]\n",
+    "node_modules/dep/src/x.rs": "fn hidden() {}\n",
 }
-CONFIG = Config(name="small", layers={"core": 0, "services": 2, "stores": 4, "components": 5})
+LAYERS = {"utils": 0, "core": 1, "systems": 2, "services": 3, "stores": 2, "components": 5}
+CONFIG = Config(name="farm", layers=LAYERS)
 ALIASES = {"$lib": "src/lib"}
 
 
 def tree(folder, files):
-    for path, text in files.items():
+    for path, content in files.items():
         (folder / path).parent.mkdir(parents=True, exist_ok=True)
-        (folder / path).write_text(text)
+        (folder / path).write_text(content)
     return str(folder)
 
 
-def extracted(spark, folder, files, config=CONFIG):
-    read = build.read_files(spark, tree(folder, files))
-    return build.extract(read, config, ALIASES, rust_crates=("geo",))
+def extracted(spark, folder, files, config=CONFIG, aliases=ALIASES):
+    return build.extract(build.read_files(spark, tree(folder, files)), config, aliases, ("mill",), "mill-pkg")
 
 
 @pytest.fixture(scope="module")
-def small(spark, tmp_path_factory):
-    return extracted(spark, tmp_path_factory.mktemp("tree"), FILES)
+def farm(spark, tmp_path_factory):
+    return extracted(spark, tmp_path_factory.mktemp("farm"), FILES)
 
 
-def test_nodes(small):
-    got = {r["short"]: r for r in small.nodes.collect()}
-    kinds = {
-        "limit": "function", "inner": "function", "idle": "function", "Speaker.constructor": "method", "Speaker.speak": "method", "ways.loudly": "function", "ways.softly": "function",
-        "everyone": "function", "visit": "store", "subscribe": "method", "Page": "component", "span2": "function", "closest": "function",
+@pytest.fixture(scope="module")
+def calls(farm):
+    name = {r["id"]: r["short"] for r in farm.nodes.collect()}
+    return {(name[r["src"]], name[r["dst"]]): r["cnt"] for r in farm.edges.collect()}
+
+
+def test_declarations(farm):
+    got = {r["short"]: r for r in farm.nodes.collect()}
+    by_kind = {}
+    for short, r in got.items():
+        by_kind.setdefault(r["kind"], set()).add(short)
+    assert by_kind == {
+        "function": {"rowsOf", "median", "ranked", "byValue", "prune", "water", "rest", "advance", "finish", "schedule", "relay", "millAll", "weigh", "grind_all"},
+        "method": {"Plot.describe", "Orchard.constructor", "Orchard.area", "Orchard.harvest", "Market.open", "subscribe", "update", "Mill.feed", "Mill.sign"},
+        "accessor": {"Plot.label"}, "store": {"sold"}, "component": {"Stall"},
+    }
+    assert {s for s, r in got.items() if r["exported"] and r["lang"] == "ts" and r["kind"] == "function"} == {"rowsOf", "median", "advance", "finish", "schedule", "millAll"}
+    assert got["rowsOf"]["doc"] == "Splits a list into rows of a width." and (got["rowsOf"]["line"], got["rowsOf"]["end_line"], got["rowsOf"]["loc"]) == (6, 12, 7)
+    assert got["rowsOf"]["numeric_ops"] == 3 and got["median"]["numeric_ops"] == 2 and got["byValue"]["numeric_ops"] == 1
+    assert got["Orchard.harvest"]["module"] == "core/Orchard" and got["Orchard.harvest"]["class_name"] == "Orchard" and got["sold"]["doc"] == "Running total."
+    assert got["Stall"]["legacy_reactive"] == 1 and got["Mill.feed"]["id"] == "rust:mill/lib::Mill.feed@6" and got["Mill.feed"]["doc"] == "Adds grain."
+
+
+def test_calls_by_name_and_import(calls):
+    assert {(a, b) for a, b in calls if a in ("median", "Orchard.area", "Orchard.harvest", "prune", "water")} == {
+        ("median", "ranked"), ("Orchard.area", "rowsOf"), ("Orchard.harvest", "Orchard.area"), ("Orchard.harvest", "median"), ("prune", "Orchard.harvest"), ("water", "Orchard.area"),
     }
-    assert {k: v["kind"] for k, v in got.items()} == kinds
-    assert got["limit"]["exported"] and not got["inner"]["exported"]
-    assert got["inner"]["parent"] == got["limit"]["id"] and got["inner"]["nested"]
-    assert (got["limit"]["line"], got["limit"]["end_line"]) == (2, 5)
-    assert got["limit"]["doc"] == "Keeps a number within limits."
-    assert got["Speaker.speak"]["module"] == "services/Speaker" and got["Speaker.speak"]["grp"] == "services"
-    assert got["span2"]["id"] == "rust:geo/lib::span2@2" and got["span2"]["doc"] == "Squared length of a difference."
 
 
-def test_edges(small):
-    name = {r["id"]: r["short"] for r in small.nodes.collect()}
-    got = {(name[r["src"]], name[r["dst"]]) for r in small.edges.collect()}
-    assert got == {("limit", "inner"), ("Speaker.speak", "limit"), ("ways.loudly", "Speaker.speak"), ("ways.softly", "Speaker.speak"), ("everyone", "ways.loudly"), ("Page", "Speaker.speak"), ("Page", "visit"), ("closest", "span2")}
+def test_code_in_templates_is_code(calls):
+    assert {b for a, b in calls if a == "Plot.label"} == {"Plot.describe", "median"} and not any(a == "Plot.describe" for a, _ in calls)
+
+
+def test_functions_handed_over(calls):
+    assert ("ranked", "byValue") in calls
+    assert {b for a, b in calls if a == "Market.open"} == {"schedule", "advance", "finish", "sold", "update"}
+
+
+def test_calls_through_registries(calls):
+    assert {b for a, b in calls if a == "advance"} == {"water", "prune"} and {b for a, b in calls if a == "finish"} == {"prune", "rest"}
+
+
+def test_components_stores_and_crates(calls):
+    assert {b for a, b in calls if a == "Stall"} == {"Market.open", "sold"}
+    assert {b for a, b in calls if a in ("millAll", "grind_all", "Mill.feed", "Mill.sign")} == {"grind_all", "Mill.feed", "weigh"} and ("millAll", "grind_all") in calls
+
+
+def test_marks(farm):
+    got = {r["short"]: r for r in farm.nodes.collect()}
+    assert {s for s, r in got.items() if r["tested"]} == {"Orchard.harvest", "finish", "weigh"}
+    assert {s for s, r in got.items() if r["module_used"]} == {"schedule", "relay"}
+    depth = {s: r["test_depth"] for s, r in got.items()}
+    assert (depth["finish"], depth["prune"], depth["Orchard.area"], depth["rowsOf"], depth["byValue"], depth["Market.open"]) == (0, 1, 1, 2, 3, None)
+
+
+def test_files_without_nodes_are_listed(farm):
+    got = {r["file"]: r["fns"] for r in farm.files.collect()}
+    assert got["src/lib/services/types.ts"] == 0 and got["src/lib/utils/spans.ts"] == 4 and "src/lib/core/Orchard.test.ts" not in got
 
 
-def test_depths(small):
-    got = {r["short"]: r["test_depth"] for r in small.nodes.collect()}
-    assert got == {"everyone": 0, "ways.loudly": 1, "Speaker.speak": 2, "limit": 3, "inner": 4, "span2": 0, "closest": None, "idle": None, "Speaker.constructor": None, "ways.softly": None, "visit": None, "subscribe": None, "Page": None}
+def test_order_of_nodes_and_edges(farm):
+    rows = [(r["file"].endswith(".rs"), r["file"].endswith(".svelte"), r["file"], r["line"]) for r in farm.nodes.orderBy("node_ord").collect()]
+    assert rows == sorted(rows) and sorted(r["node_ord"] for r in farm.nodes.collect()) == list(range(len(rows)))
+    assert sorted(r["edge_ord"] for r in farm.edges.collect()) == list(range(farm.edges.count()))
 
 
 def test_crates(spark, tmp_path):
     present = build.crates(spark, tree(tmp_path, FILES))
-    got = {tuple(r) for r in build.crate_warnings(present, ["geo", "lost"]).collect()}
-    assert got == {("lost", "missing"), ("spare", "unlisted")}
-
-
-def test_queries(small):
-    status, body = dispatch(small, "/path", {"from": "everyone", "to": "limit"})
-    assert status == 200 and [s["name"] for s in body["path"]] == ["everyone", "ways.loudly", "Speaker.speak", "limit"] and body["hops"] == 3
-    assert dispatch(small, "/path", {"from": "limit", "to": "everyone"})[1]["reachable"] is False
-    assert dispatch(small, "/path", {"from": "everyone", "to": "limit", "max": "2"})[1]["reachable"] is False
-    assert dispatch(small, "/path", {"from": "limit", "to": "limit"})[1]["reachable"] is False
-    assert [c["name"] for c in dispatch(small, "/callers", {"name": "limit"})[1]["callers"]] == ["Speaker.speak"]
-    assert dispatch(small, "/stats")[1] == {"files": 5, "functions": 13, "edges": 8, "modules": 5}
-    assert dispatch(small, "/function", {"name": "nothing"})[0] == 404 and dispatch(small, "/function")[0] == 400 and dispatch(small, "/nowhere")[0] == 404
-    assert dispatch(small, "/function", {"name": "speak"})[1]["name"] == "Speaker.speak"
-    assert dispatch(small, "/function", {"name": "l"})[1]["ambiguous"] is True
-    reached = dispatch(small, "/functions", {"testReachable": "true"})[1]
-    assert reached["count"] == 6 and {f["name"] for f in dispatch(small, "/functions", {"maxTestDepth": "1"})[1]["functions"]} == {"span2", "everyone", "ways.loudly"}
-    assert dispatch(small, "/functions", {"sort": "odd", "limit": "2"})[1]["sort"] == "odd" and len(dispatch(small, "/functions", {"limit": "2"})[1]["functions"]) == 2
-    assert len(dispatch(small, "/functions", {"limit": "-3"})[1]["functions"]) == 10 and dispatch(small, "/functions", {"module": "none"})[1]["count"] == 0
-    body = dispatch(small, "/module", {"name": "math"})[1]
-    assert body["used_by"] == [{"module": "services/Speaker", "callSites": 1}] and body["function_count"] == 3
-    assert dispatch(small, "/calls", {"cross": "true"})[1]["count"] == 3 and dispatch(small, "/files", {"q": "MATH"})[1]["count"] == 1
-
-
-def test_clean_tree_has_no_findings(small):
-    status, body = dispatch(small, "/check")
-    assert (status, body["errors"], body["warnings"], body["findings"]) == (200, 0, 0, [])
-
-
-def test_broken_tree(spark, tmp_path):
-    broken = FILES | {
-        "src/lib/services/loop.ts": "import { limit } from '$lib/core/math';\n\nexport function back(): number {\n  return limit(1, 2, 3);\n}\n",
-        "src/lib/core/math.ts": "import { back } from '$lib/services/loop';\n" + FILES["src/lib/core/math.ts"].replace("return 'idle'", "back(); return 'idle'") + "\nfunction lonely(): number {\n  return 1;\n}\n",
+    assert {r["crate"] for r in present.collect()} == {"mill", "press"}
+    assert {tuple(r) for r in build.crate_warnings(present, ["mill", "dryer"]).collect()} == {("dryer", "missing"), ("press", "unlisted")}
+
+
+def test_endpoints(farm):
+    found = dispatch(farm, "/path", {"from": "finish", "to": "byValue"})[1]
+    assert [s["name"] for s in found["path"]] == ["finish", "prune", "Orchard.harvest", "median", "ranked", "byValue"] and found["hops"] == 5
+    assert not dispatch(farm, "/path", {"from": "byValue", "to": "finish"})[1]["reachable"] and not dispatch(farm, "/path", {"from": "finish", "to": "byValue", "max": "4"})[1]["reachable"]
+    assert not dispatch(farm, "/path", {"from": "rest", "to": "rest"})[1]["reachable"]
+    assert {c["name"] for c in dispatch(farm, "/callers", {"name": "prune"})[1]["callers"]} == {"advance", "finish"}
+    assert dispatch(farm, "/stats")[1]["functions"] == 26 and dispatch(farm, "/function", {"name": "none such"})[0] == 404
+    assert dispatch(farm, "/function", {"name": "e"})[1]["ambiguous"] is True and dispatch(farm, "/function")[0] == 400 and dispatch(farm, "/else")[0] == 404
+    assert dispatch(farm, "/functions", {"testReachable": "true", "module": "utils/spans"})[1]["count"] == 4
+    assert len(dispatch(farm, "/functions", {"limit": "-20"})[1]["functions"]) == 6 and dispatch(farm, "/functions", {"module": "nowhere"})[1]["count"] == 0
+    assert dispatch(farm, "/module", {"name": "spans"})[1]["used_by"] == [{"module": "core/Orchard", "callSites": 3}]
+    assert dispatch(farm, "/files", {"q": "TYPES"})[1]["count"] == 1
+
+
+def test_aliases_of_a_project(tmp_path):
+    files = {
+        "tsconfig.json": '{ // comments and trailing commas are fine\n "extends": "./base.json", "compilerOptions": {"paths": {"@own/*": ["own/*"],}} }',
+        "base.json": '{"compilerOptions": {"paths": {"$lib": ["src/lib"], "$lib/*": ["src/lib/*"]}}}',
+        "lost.json": '{"extends": "./made/tsconfig.json"}',
     }
-    told = {"name": "broken", "layers": dict(CONFIG.layers), "adrRules": [{"adr": "ADR-001", "type": "restricted-callee", "callee": "limit", "allowFrom": ["Speaker.speak"]}, {"adr": "ADR-009", "type": "odd"}, {"adr": "ADR-010", "type": "odd", "checkable": False}]}
-    g = extracted(spark, tmp_path, broken, Config.parse(json.loads(json.dumps(told))))
-    g = g.having(adrs=spark.createDataFrame([("ADR-001", "One"), ("ADR-002", "Two")], "id string, title string"))
-    got = [(r["level"], r["rule"], r["msg"]) for r in rules.run_checks(g).collect()]
-    assert any(r == "layers" and "core/math (core) depends on higher layer services/loop (services) — 1 call site(s)" in m for _, r, m in got)
-    assert [lv for lv, r, _ in got if r == "cycle"] == ["error"]
-    assert any(r == "orphan" and "lonely" in m for _, r, m in got)
-    assert [m for _, r, m in got if r == "ADR-001"] == ["services/loop::back calls limit"]
-    assert sum(r == "adr-coverage" and "ADR-002" in m for _, r, m in got) == 1 and sum("unknown rule type" in m for _, r, m in got) == 1
-    assert rules.finding_totals(rules.run_checks(g)).first()["errors"] == 2
-
-
-def test_documents_round_trip(spark, small, tmp_path):
-    path = str(tmp_path / "small.json")
-    graph_json.write(small, path, generatedAt="2024-01-01T00:00:00Z")
+    tree(tmp_path, files)
+    assert tsconfig(str(tmp_path / "tsconfig.json"), {}) == ({"@own": "own", "$lib": "src/lib"}, [])
+    aliases, warnings = tsconfig(str(tmp_path / "lost.json"), {})
+    assert aliases == {} and len(warnings) == 1 and "./made/tsconfig.json" in warnings[0]
+    assert tsconfig(str(tmp_path / "lost.json"), {"$lib/*": ["src/lib/*"]}) == ({"$lib": "src/lib"}, [])
+
+
+def test_imports_by_alias_need_it(spark, tmp_path):
+    g = extracted(spark, tmp_path, FILES, aliases={})
+    name = {r["id"]: r["short"] for r in g.nodes.collect()}
+    assert not any(name[r["src"]] == "Stall" and name[r["dst"]] == "sold" for r in g.edges.collect())
+
+
+def test_project_with_decisions_and_descriptions(spark, tmp_path):
+    told = {
+        "name": "farm", "layers": LAYERS, "rustCrates": ["mill"], "adrsDoc": "DECISIONS.md", "descriptions": "words.json", "paths": {"$lib/*": ["src/lib/*"]}, "wasmPackage": "mill-pkg",
+        "adrRules": [{"adr": "ADR-001", "type": "restricted-callee", "callee": "median", "allowFrom": ["Orchard.harvest"]}],
+    }
+    more = {"project.json": json.dumps(told), "DECISIONS.md": "# All\n## ADR-001 (old): Keep medians apart\ntext\n### ADR-002: No cycles \n##### ADR-003: too deep\n", "words.json": json.dumps({"modules": {"utils/spans": "Lists."}, "functions": {"utils/spans::median": "The middle."}})}
+    root = tree(tmp_path, FILES | more)
+    project = load_project(str(tmp_path / "project.json"))
+    assert project.src_token == "/src/lib/" and project.config.god_functions == 40 and project.tsconfig == str(tmp_path / "tsconfig.json")
+    g, warnings = build.extract_project(spark, root, project)
+    assert [(r["id"], r["title"]) for r in g.adrs.orderBy("id").collect()] == [("ADR-001", "Keep medians apart"), ("ADR-002", "No cycles")]
+    assert {(w["what"], w["subject"]) for w in warnings.collect()} == {("crate unlisted", "press")}
+    assert endpoints.fn_rows(g).filter("name = 'median'").first()["description"] == "The middle."
+    got = {(r["rule"], r["msg"]) for r in rules.run_checks(g).collect()}
+    assert ("adr-coverage", "ADR-002 (No cycles) is not onboarded into the checks") in got and sum(r == "ADR-001" for r, _ in got) == 1
+    with pytest.raises(FileNotFoundError):
+        load_project(str(tmp_path / "none.json"))
+
+
+def test_wrong_tree(spark, tmp_path):
+    wrong = FILES | {
+        "src/lib/utils/up.ts": "import { advance } from '../systems/season';\n\nexport function climb() {\n  return advance('bud', null);\n}\n",
+        "src/lib/systems/season.ts": "import { climb } from '../utils/up';\n" + SEASON.replace("return 0;", "return climb();") + "\nfunction unused() {\n  return 3;\n}\n",
+    }
+    found = [(r["level"], r["rule"], r["msg"]) for r in rules.run_checks(extracted(spark, tmp_path, wrong)).collect()]
+    assert ("warn", "layers", "utils/up (utils) depends on higher layer systems/season (systems) — 1 call site(s)") in found
+    assert [lv for lv, r, _ in found if r == "cycle"] == ["error"]
+    assert any(r == "orphan" and m.startswith("systems/season::unused ") for _, r, m in found)
+
+
+def test_right_tree_has_no_errors(farm):
+    status, body = dispatch(farm, "/check")
+    assert status == 200 and body["errors"] == 0 and {f["rule"] for f in body["findings"]} <= {"orphan"}
+
+
+def test_documents_round_trip(spark, farm, tmp_path):
+    path = str(tmp_path / "farm.json")
+    graph_json.write(farm, path, generatedAt="2024-01-01T00:00:00Z")
     back = graph_json.read(spark, path)
-    assert graph_json.list_graphs(str(tmp_path)) == ["small"]
-    assert {(r["src"], r["dst"], r["cnt"]) for r in back.edges.collect()} == {(r["src"], r["dst"], r["cnt"]) for r in small.edges.collect()}
-    assert endpoints.module_summaries(back).count() == 5 and back.config.layers["services"] == 2
-    graph_json.write_tables(small, str(tmp_path / "t"), "one")
-    assert graph_json.read_tables(spark, str(tmp_path / "t"), "one", CONFIG).edges.count() == 8
+    assert graph_json.list_graphs(str(tmp_path)) == ["farm"] and back.edges.count() == farm.edges.count() and back.config.layers["systems"] == 2
+    assert {(r["src"], r["dst"], r["cnt"]) for r in back.edges.collect()} == {(r["src"], r["dst"], r["cnt"]) for r in farm.edges.collect()}
+    graph_json.write_tables(farm, str(tmp_path / "t"), "one")
+    assert graph_json.read_tables(spark, str(tmp_path / "t"), "one", CONFIG).edges.count() == farm.edges.count()
 
 
 def test_registry(spark):
@@ -133,13 +300,28 @@ def test_registry(spark):
     assert (got["a"]["path"], got["a"]["machine"], got["a"]["kind"]) == ("/b", "box", "filesystem") and got["n"]["kind"] == "code"
 
 
-def test_path_ties_follow_edge_order(spark, small):
+def test_path_ties_follow_edge_order(spark, farm):
     e = spark.createDataFrame([(0, "s", "b", 1), (1, "s", "a", 1), (2, "a", "t", 1), (3, "b", "t", 1)], "edge_ord long, src string, dst string, cnt long")
     n = spark.createDataFrame([(x, x) for x in "sabt"], "id string, short string")
-    assert [r["id"] for r in paths.shortest_path(small.having(nodes=n, edges=e), "s", "t").orderBy("hop").collect()] == ["s", "b", "t"]
+    assert [r["id"] for r in paths.shortest_path(farm.having(nodes=n, edges=e), "s", "t").orderBy("hop").collect()] == ["s", "b", "t"]
+
 
+def test_innermost_span_of_a_point(spark):
+    spans = spark.createDataFrame([("f", "outer", 0, 100), ("f", "inner", 10, 20), ("f", "twin", 30, 40), ("g", "other", 0, 5)], "file string, id string, start long, stop long")
+    points = spark.createDataFrame([("f", p) for p in (0, 1, 10, 11, 20, 21, 35, 100, 101)] + [("g", 3), ("h", 1)], "file string, at long")
+    got = {(r["file"], r["at"]): r["owner"] for r in build.innermost(points, spans, "at").collect()}
+    assert got == {("f", 0): None, ("f", 1): "outer", ("f", 10): "outer", ("f", 11): "inner", ("f", 20): "inner", ("f", 21): "outer", ("f", 35): "twin", ("f", 100): "outer", ("f", 101): None, ("g", 3): "other", ("h", 1): None}
 
-def test_scripts_keep_their_place():
+
+def test_scripts_and_blanks_keep_their_place():
     html = "<p>\n</p><script>\nlet a = 1;\n</script>\n<script lang='ts'>let b;</script>"
     blanked = scan.script_only(html)
     assert len(blanked) == len(html) and blanked.index("let a") == html.index("let a") and "<p>" not in blanked and "let b" in blanked
+    code = "a(`x ${b({c: `deep ${d()} }`})} y(` + 'z(' + \"w(\") // v(\n"
+    blanked = text.blank(code)
+    assert len(blanked) == len(code) and all(x in blanked for x in ("a(", "b({c:", "d()")) and not any(x in blanked for x in ("x", "deep", "y(", "z(", "w(", "v("))
+
+
+@pytest.mark.parametrize(("given", "bare"), [("f", "f"), (" (f) ", "f"), ("f as Handler", "f"), ("({ a: b } satisfies T)", "{ a: b }"), ("f!", "f"), ("(a)(b)", "(a)(b)"), ("x.y as unknown as Z", "x.y")])
+def test_arguments_without_wrappers(given, bare):
+    assert scan.bare_argument(given) == bare
