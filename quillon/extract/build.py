@@ -18,7 +18,7 @@ from ..config import Config, Project, tsconfig
 from ..functions import names
 from ..graph import Graph, with_degrees
 from ..operators import paths, rollups
-from ..shared import global_index
+from ..shared import global_index, local_part
 from . import scan
 
 
@@ -27,7 +27,7 @@ def read_files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (".ts
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     if most_bytes is not None:
         files = files.filter(F.col("length") <= most_bytes)
-    base = root.rstrip("/") + "/"
+    base = local_part(root)
     path = F.substring_index("path", base, -1)
     files = files.filter(F.col("path").rlike("(" + "|".join(s.replace(".", r"\.") for s in suffixes) + ")$"))
     return files.filter(~F.col("path").rlike(r"/(node_modules|target|\.[^/]+)/")).select(path.alias("path"), F.decode("content", "UTF-8").alias("text"))
@@ -35,7 +35,7 @@ def read_files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (".ts
 
 def crates(spark: SparkSession, root: str) -> DataFrame:
     """Folders below ``root`` with a Cargo.toml and Rust sources."""
-    base = root.rstrip("/") + "/"
+    base = local_part(root)
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.substring_index("path", base, -1).alias("path"))
     found = found.filter("NOT path RLIKE '(^|/)(node_modules|target)(/|$)'")
     with_manifest = found.filter("path RLIKE '^[^/.][^/]*/Cargo[.]toml$'").select(F.split("path", "/")[0].alias("crate"))

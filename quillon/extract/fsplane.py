@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 from dataclasses import dataclass
+from datetime import datetime
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from ..config import Config
 from ..functions import names
 from ..graph import Graph, with_degrees
 from ..operators import rollups
-from ..shared import global_index
+from ..shared import global_index, local_part
 
 
 @dataclass(frozen=True)
@@ -37,37 +38,62 @@ def kept(files: DataFrame, config: FsConfig) -> DataFrame:
     return files.filter(~names.ignored(path, list(config.ignore)) & names.keep_file(path, list(config.extensions), list(config.name_globs)))
 
 
-def walk(spark: SparkSession, root: str, config: FsConfig, content: bool = True) -> DataFrame:
-    """path, size, mtime (and text of files that aren't too large) of the kept files of a folder tree; links are not followed.
+def _listing(spark: SparkSession, root: str, ignore: tuple[str, ...]) -> tuple[list[tuple], list[str]]:
+    """(path, size, mtime) of all files below a root, and its hidden folders. Ignored folders, links and what can't be read are left out.
 
-    The guard on the size reaches the scan, so large files are listed and not read.
+    The driver lists, as it does for any scan; only names, sizes and times are held.
     """
-    base = root.rstrip("/") + "/"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-
-    @F.pandas_udf("boolean")
-    def linked(paths: pd.Series) -> pd.Series:
-        """Whether a local path or a folder of it below the root is a link."""
-        local = base.removeprefix("file://").removeprefix("file:")
-
-        def one(path: str) -> bool:
-            at = local
-            for part in path.split("/"):
-                at = os.path.join(at, part)
-                if os.path.islink(at):
-                    return True
-            return False
+    skip = re.compile("|".join(map(names.glob_pattern, ignore))) if ignore else None
+    base, found, hidden = local_part(root), [], []
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    local = store.getUri().getScheme() == "file"
+
+    def children(folder: str):
+        if local:
+            with os.scandir(base + folder) as entries:
+                for e in sorted(entries, key=lambda e: e.name):
+                    if not e.is_symlink():
+                        stat = e.stat()
+                        yield e.name, e.is_dir(), stat.st_size, stat.st_mtime
+        else:
+            for s in sorted(store.listStatus(spark._jvm.org.apache.hadoop.fs.Path(where, folder) if folder else where), key=lambda s: s.getPath().getName()):
+                if not s.isSymlink():
+                    yield s.getPath().getName(), s.isDirectory(), s.getLen(), s.getModificationTime() / 1000
+
+    folders = [""]
+    while folders:
+        folder = folders.pop()
+        try:
+            for name, is_folder, size, mtime in children(folder):
+                path = f"{folder}/{name}" if folder else name
+                if skip and skip.search(path):
+                    continue
+                if is_folder:
+                    folders.append(path)
+                    if name.startswith((".", "_")):
+                        hidden.append(path)
+                else:
+                    found.append((path, size, datetime.fromtimestamp(mtime)))
+        except OSError:
+            continue
+    return found, hidden
 
-        return paths.map(one)
 
-    def listed(df: DataFrame, *more) -> DataFrame:
-        rows = df.select(F.substring_index("path", base, -1).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), *more)
-        return kept(rows, config).filter(~linked("path"))
+def walk(spark: SparkSession, root: str, config: FsConfig, content: bool = True) -> DataFrame:
+    """path, size, mtime (and text of files that aren't too large) of the kept files of a folder tree; links are not followed.
 
+    The guard on the size reaches the scan of the texts, so large files are not read. A scan leaves hidden folders and
+    empty files out by itself, so the files come from a listing, and hidden folders are scanned as roots of their own.
+    """
+    found, hidden = _listing(spark, root, config.ignore)
+    listed = kept(spark.createDataFrame(found, "path string, size long, mtime timestamp"), config)
     if not content:
-        return listed(files)
-    small, large = files.filter(F.col("length") <= config.most_bytes), files.filter(F.col("length") > config.most_bytes)
-    return listed(small, F.decode("content", "UTF-8").alias("text")).unionByName(listed(large, F.lit(None).cast("string").alias("text")))
+        return listed
+    roots = [root, *(f"{root.rstrip('/')}/{h}" for h in hidden)]
+    texts = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots).filter(F.col("length") <= config.most_bytes)
+    texts = texts.select(F.substring_index("path", local_part(root), -1).alias("path"), F.decode("content", "UTF-8").alias("text"))
+    return listed.join(texts, "path", "left")
 
 
 def _targets(files: DataFrame) -> DataFrame:

@@ -12,13 +12,13 @@ from ..shared import global_index
 
 
 def _ranked(df: DataFrame, order: list[Column], limit: int | None) -> DataFrame:
-    """The first rows in an order, with their rank from 1.
+    """The first rows in an order, with their rank from 1; without a limit all rows, in no order and without a rank.
 
-    The cut comes first, as a top-k that Spark takes per partition; ranks are then given to those rows only. Without a
-    cut the caller asked for all rows in order.
+    The cut comes first, as a top-k that Spark takes per partition; ranks are then given to those rows only.
     """
-    if limit is not None:
-        df = df.orderBy(*order).limit(slice_end(limit, df.count()) if limit < 0 else int(limit))
+    if limit is None:
+        return df
+    df = df.orderBy(*order).limit(slice_end(limit, df.count()) if limit < 0 else int(limit))
     return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 

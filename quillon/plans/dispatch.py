@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import num
 from ..graph import Graph
-from ..operators import endpoints, paths, rollups, rules
+from ..operators import endpoints, paths, rollups, rules, view
 
 ENDPOINTS = (
     "/stats /graph /modules /module /functions /function /callers /callees /search /path /hubs /check /recommendations /port-candidates /orphans /duplicates /files /calls".split()
@@ -25,6 +25,52 @@ def _error(status: int, message: str, **more: Any) -> tuple[int, dict]:
     return status, {"error": message, **more}
 
 
+HEADERS = {"Access-Control-Allow-Origin": "*", "Access-Control-Allow-Methods": "GET, OPTIONS", "Cache-Control": "no-store"}
+
+
+def respond(graphs: Mapping[str, Callable[[], Graph | None]], path: str, params: Mapping[str, str] | None = None, method: str = "GET") -> tuple[int, dict | str, dict[str, str]]:
+    """(status, body, headers) for a service with several graphs: ``project`` picks one, the first by default.
+
+    204 for OPTIONS, 405 for other methods than GET, 503 and the known projects where there is no such graph.
+    """
+    kind = {"Content-Type": "application/json; charset=utf-8"} | HEADERS
+    if method == "OPTIONS":
+        return 204, "", kind
+    if method != "GET":
+        return 405, {"error": "GET only"}, kind
+    params = dict(params or {})
+    name = params.pop("project", None) or next(iter(graphs), None)
+    g = graphs[name]() if name in graphs else None
+    if g is None:
+        return 503, {"error": "graph not built yet", "projects": list(graphs)}, kind
+    if params.pop("format", None) == "md" and (text := markdown(g, path, params)) is not None:
+        return 200, text, kind | {"Content-Type": "text/markdown; charset=utf-8"}
+    status, body = dispatch(g, path, params)
+    return status, body, kind
+
+
+def markdown(g: Graph, path: str, params: Mapping[str, str]) -> str | None:
+    """The answer of /function, /module, /search and /path as Markdown; None where there is none in that form."""
+    p = path.rstrip("/")
+    status, body = dispatch(g, path, params)
+    if status != 200 or body.get("ambiguous"):
+        return None
+    if p == "/function":
+        return view.function_markdown(g, g.nodes.filter(F.col("id") == body["id"]).select("id")).first()["markdown"]
+    if p == "/module":
+        return view.module_markdown(g).filter(F.col("module") == body["full_module"]).first()["markdown"]
+    if p == "/search":
+        listed = [(title, body[key]) for title, key in (("Functions", "functions"), ("Modules", "modules"))]
+        parts = [f"# Search: {body['query']}"]
+        for title, rows in listed:
+            parts += ["", f"## {title} ({len(rows)})", *(f"- {r.get('name') or r.get('full_module')} — {r['description']}" for r in rows)]
+        return "\n".join(parts)
+    if p == "/path":
+        steps = [f"{i}. {s['name']} ({s['module']})" for i, s in enumerate(body.get("path") or [], 1)]
+        return "\n".join([f"# {body['from']} → {body['to']}", "", *(steps or ["not reachable"])])
+    return None
+
+
 def dispatch(g: Graph, path: str, params: Mapping[str, str] | None = None) -> tuple[int, dict]:
     """(status, body) of one query. Lists are cut before they come to the driver; ``count`` is from before the cut."""
     p, q = path.rstrip("/"), params or {}
@@ -97,7 +143,9 @@ def dispatch(g: Graph, path: str, params: Mapping[str, str] | None = None) -> tu
     if p == "/check":
         found = rules.run_checks(g).persist()
         totals = rules.finding_totals(found).first().asDict()
-        return 200, totals | {"rules": rules.rule_list(g), "findings": _rows(found, "rule_ord", ("rule_ord",))}
+        rows = _rows(found, "rule_ord", ("rule_ord",))
+        found.unpersist()
+        return 200, totals | {"rules": rules.rule_list(g), "findings": rows}
     if p == "/recommendations":
         rows = rules.recommendations(g)
         order = rules.recommendation_order(rows).orderBy("rank").collect()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -11,6 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def local_part(path: str) -> str:
+    """A path without scheme and authority, as it stands in the paths that a scan returns, with a slash behind it."""
+    return re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", path).rstrip("/") + "/"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``. Where it is unset, a local master gets a temporary one; a cluster is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import uuid
 from collections.abc import Mapping
 from typing import Any
@@ -102,6 +103,38 @@ def read_tables(spark: SparkSession, folder: str, label: str, config: Config) ->
     return Graph(t("nodes"), t("edges"), config, given_module_nodes=t("module_nodes"), given_module_edges=t("module_edges"), given_files=t("files"))
 
 
+REGISTRY = "name string, path string, kind string, machine string, ts_host string"
+
+
+def read_registry(spark: SparkSession, path: str) -> DataFrame:
+    """The registered projects of a JSON file ({"projects": [...]}); none where there is no file."""
+    told = {}
+    if os.path.exists(path):
+        with open(path) as f:
+            told = json.load(f)
+    rows = [(p.get("name"), p.get("path"), p.get("kind"), p.get("machine"), p.get("tsHost")) for p in told.get("projects") or ()]
+    return spark.createDataFrame(rows, REGISTRY)
+
+
+def write_registry(registry: DataFrame, path: str) -> None:
+    """Writes the registered projects, whole or not at all."""
+    back = {"ts_host": "tsHost"}
+    projects = [{back.get(k, k): v for k, v in r.asDict().items() if v is not None} for r in registry.orderBy("name").collect()]
+    own = f"{path}.{uuid.uuid4().hex}.tmp"
+    with open(own, "w") as f:
+        json.dump({"projects": projects}, f, indent=2, ensure_ascii=False)
+    os.replace(own, path)
+
+
+def snapshot(folder: str, name: str) -> str:
+    """Copies the current graph of a project to its snapshot, whole or not at all."""
+    target = f"{folder}/{name}.snapshot.json"
+    own = f"{target}.{uuid.uuid4().hex}.tmp"
+    shutil.copyfile(f"{folder}/{name}.json", own)
+    os.replace(own, target)
+    return target
+
+
 def register(registry: DataFrame, entry: Mapping[str, Any]) -> DataFrame:
     """The registry (name, path, kind, machine, ts_host) with an entry added or, by its name, changed; what it leaves out stays."""
     columns = ("name", "path", "kind", "machine", "ts_host")

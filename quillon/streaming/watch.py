@@ -29,11 +29,15 @@ def debounced(changes: DataFrame, gap: str = "400 milliseconds", late: str = "10
     return changes.withWatermark("modificationTime", late).groupBy(F.session_window("modificationTime", gap)).agg(F.count("*").alias("n"))
 
 
-def rebuild_on_change(bursts: DataFrame, rebuild: Callable[[int], None], checkpoint: str):
-    """Starts a query that calls ``rebuild`` once for each batch of closed bursts."""
+def rebuild_on_change(bursts: DataFrame, rebuild: Callable[[int], None], checkpoint: str, every: str | None = None):
+    """Starts a query that calls ``rebuild`` once for each batch of closed bursts.
+
+    With ``every`` (as ``1 second``) it goes on until it is stopped; without, it ends with what is there.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
             rebuild(batch_id)
 
-    return bursts.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()
+    writer = bursts.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(each)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
