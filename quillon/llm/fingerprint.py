@@ -10,57 +10,58 @@ from .common import pick
 #: Salted hashes of a paragraph; each gives two lanes that are summed modulo 2^32.
 HASHES = 8
 MASK = (1 << 32) - 1
-#: Salted hashes of a piece; each of their bits is a lane of its own.
-BIT_HASHES = 6
-LANES = 64 * BIT_HASHES
+#: Pieces fall into so many classes by their hash modulo that (odd, so that bits stay even within a class); each class
+#: has 64 lanes, one for every bit of the hash.
+CLASSES = 7
+LANES = 64 * CLASSES
 #: Sums of lanes during counting: eight lanes of 8 bits in a long (signed, so at most 127 pieces go into one).
 ONES, CHUNK = 0x0101010101010101, 127
-#: Longs of a fingerprint: strong lanes, bit lanes (two 32-bit counts each), the number of pieces.
+#: Longs of a fingerprint: strong lanes, bit lanes (two 32-bit counts each), pieces of each class.
 STRONG, PACKED = 2 * HASHES, LANES // 2
 #: Rows that one range of ids holds, about.
-RANGE_ROWS = 4_000
+RANGE_ROWS = 1_000
 
 
 def paragraphs(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def lanes(text: Column) -> tuple[Column, Column, Column]:
-    """Three steps: the hashes as a struct (__h, __p), sums of chunks of pieces (__s), the fingerprint as an array of longs.
+def with_lanes(df: DataFrame, text: str, out: str) -> DataFrame:
+    """``df`` with the fingerprint of its column ``text`` (null: empty) as the array of longs ``out``.
 
     A paragraph's vector has 16 hashed lanes of 32 bits, each pair from a hash under a salt of its own (the salt is what
     the hash starts from, so no lane follows from another), and, summed over its pieces (cut at punctuation before a
-    blank), 384 hashed bits and a one. The vectors of all paragraphs are added, all lanes modulo 2^32: the order of
-    paragraphs doesn't matter, and ``added`` and ``removed`` change a fingerprint without the text. ``text`` is not null.
+    blank), 64 hashed bits and a one in the piece's class. The vectors of all paragraphs are added, all lanes modulo 2^32:
+    the order of paragraphs doesn't matter, and ``added`` and ``removed`` change a fingerprint without the text.
     """
-    hashed = F.transform(paragraphs(text), lambda p: F.array(*[F.xxhash64(F.lit(i), p) for i in range(HASHES)]))
-    pieces = F.filter(F.flatten(F.transform(paragraphs(text), lambda p: F.split(p, r"[.!?;:,|] +", -1))), lambda c: c != "")
-    parts = F.transform(pieces, lambda c: F.array(*[F.xxhash64(F.lit(HASHES + i), c) for i in range(BIT_HASHES)]))
-    zero, n = F.lit(0).cast("long"), F.size("__p")
+    kept, zero = df.columns, F.lit(0).cast("long")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    hashed = F.transform(paragraphs(whole), lambda p: F.array(*[F.xxhash64(F.lit(i), p) for i in range(HASHES)]))
+    pieces = F.filter(F.flatten(F.transform(paragraphs(whole), lambda p: F.split(p, r"[.!?;:,|] +", -1))), lambda c: c != "")
+    parts = F.transform(pieces, lambda c: F.xxhash64(F.lit(HASHES), c))
+    of_class = lambda g: F.filter("__p", lambda h: F.pmod(h, F.lit(CLASSES)) == g)
+    df = df.select(*kept, hashed.alias("__h"), parts.alias("__p"))
+    df = df.select(*kept, "__h", *[of_class(g).alias(f"__g{g}") for g in range(CLASSES)])
 
     def strong(i: int, high: bool) -> Column:
         lane = lambda h: (F.shiftrightunsigned(h[i], 32) if high else h[i]).bitwiseAND(F.lit(MASK))
         return F.aggregate("__h", zero, lambda a, h: (a + lane(h)).bitwiseAND(F.lit(MASK)))
 
     def summed(chunk: Column) -> Column:
-        lane = lambda b, j: F.aggregate(chunk, zero, lambda a, h: a + F.shiftrightunsigned(h[b], j).bitwiseAND(F.lit(ONES)))
-        return F.array(*[lane(b, j) for b in range(BIT_HASHES) for j in range(8)])
+        lane = lambda j: F.aggregate(chunk, zero, lambda a, h: a + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(ONES)))
+        return F.array(*[lane(j) for j in range(8)])
+
+    def chunks(g: int) -> Column:
+        n = F.ceil(F.size(f"__g{g}") / CHUNK).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), n - 1)), lambda k: summed(F.slice(f"__g{g}", k * CHUNK + 1, F.lit(CHUNK))))
 
-    chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(n / CHUNK).cast("int") - 1)), lambda k: summed(F.slice("__p", k * CHUNK + 1, F.lit(CHUNK))))
+    df = df.select(*kept, "__h", *[F.size(f"__g{g}").cast("long").alias(f"__n{g}") for g in range(CLASSES)], *[chunks(g).alias(f"__s{g}") for g in range(CLASSES)])
     # lanes at bytes 0 to 3 of a sum go with those at bytes 4 to 7, so that each long of the result holds two counts
     cell = lambda c, w, q: F.shiftrightunsigned(F.get(c, w), 8 * q).bitwiseAND(F.lit(255 | 255 << 32))
-    total = lambda w, q: F.aggregate("__s", zero, lambda a, c: a + cell(c, w, q))
-    wide = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(8 * BIT_HASHES - 1)), lambda w: F.array(*[total(w, q) for q in range(4)])))
-    inner = F.concat(F.array(*[strong(i, high) for i in range(HASHES) for high in (False, True)]), wide, F.array(n.cast("long")))
-    return F.struct(hashed.alias("__h"), parts.alias("__p")), chunks, inner
-
-
-def with_lanes(df: DataFrame, text: str, out: str) -> DataFrame:
-    """``df`` with the fingerprint of its column ``text`` (null: empty) as the array ``out``."""
-    hashes, chunks, inner = lanes(F.coalesce(F.col(text), F.lit("")))
-    kept = df.columns
-    hashed = df.withColumn("__x", hashes).select(*kept, "__x.*").withColumn("__s", chunks)
-    return hashed.select(*kept, inner.alias(out))
+    total = lambda g, w, q: F.aggregate(f"__s{g}", zero, lambda a, c: a + cell(c, w, q))
+    wide = [F.array(*[total(g, F.lit(w), q) for w in range(8) for q in range(4)]) for g in range(CLASSES)]
+    fp = F.concat(F.array(*[strong(i, high) for i in range(HASHES) for high in (False, True)]), *wide, F.array(*[f"__n{g}" for g in range(CLASSES)]))
+    return df.select(*kept, fp.alias(out))
 
 
 def _counts(a: Column, b: Column, sign: int) -> Column:
@@ -87,29 +88,37 @@ def removed(a: Column, b: Column) -> Column:
 
 
 def as_text(fp: Column) -> Column:
-    """Equal for equal multisets of paragraphs: hexadecimal digits of all lanes, the counts as wide as that of all pieces."""
-    n = F.element_at(fp, -1)
-    wide = F.length(F.hex(n))
+    """Equal for equal multisets of paragraphs: the strong lanes as 128 hexadecimal digits and the number of pieces."""
     strong = F.transform(F.slice(fp, 1, STRONG), lambda x: F.lpad(F.lower(F.hex(x)), 8, "0"))
-    digits = lambda x: F.lpad(F.lower(F.hex(x)), wide, F.lit("0"))
-    rest = F.transform(F.slice(fp, STRONG + 1, PACKED), lambda x: F.concat(digits(x.bitwiseAND(F.lit(MASK))), digits(F.shiftrightunsigned(x, 32))))
-    return F.concat(F.array_join(strong, ""), F.lower(F.hex(n)), F.lit(":"), F.array_join(rest, ""))
+    return F.concat(F.array_join(strong, ""), F.lit(":"), _pieces(fp).cast("string"))
+
+
+def _pieces(fp: Column) -> Column:
+    return F.aggregate(F.slice(fp, STRONG + PACKED + 1, CLASSES), F.lit(0).cast("long"), lambda a, n: a + n)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1: twice the common pieces over all pieces, estimated from 384 one-bit lanes (1 if both are empty or equal).
+    """0 to 1: twice the common pieces over all pieces, estimated from 448 one-bit lanes (1 if both are empty or equal).
 
-    Read as +1 or -1, a lane's sum squared estimates the squared size of a multiset; so does a difference of sums for
-    the difference of two multisets.
+    Read as +1 or -1, a lane's sum squared estimates the squared size of its class of a multiset; so does a difference of
+    sums for the difference of two multisets. The classes' estimates add up.
     """
-    sums = F.arrays_zip(F.slice(a, STRONG + 1, PACKED).alias("a"), F.slice(b, STRONG + 1, PACKED).alias("b"))
-    n, m = F.element_at(a, -1), F.element_at(b, -1)
     half = lambda x, high, size: (2 * (F.shiftrightunsigned(x, 32) if high else x.bitwiseAND(F.lit(MASK))) - size).cast("double")
+    each = PACKED // CLASSES
 
-    def summed(of) -> Column:
+    def lane_sum(of, sums: Column, n: Column, m: Column) -> Column:
         return F.aggregate(sums, F.lit(0.0), lambda acc, x: acc + of(half(x["a"], False, n), half(x["b"], False, m)) + of(half(x["a"], True, n), half(x["b"], True, m)))
 
+    def summed(of) -> Column:
+        out = F.lit(0.0)
+        for g in range(CLASSES):
+            at = STRONG + each * g + 1
+            sums = F.arrays_zip(F.slice(a, at, each).alias("a"), F.slice(b, at, each).alias("b"))
+            out = out + lane_sum(of, sums, a[STRONG + PACKED + g], b[STRONG + PACKED + g])
+        return out
+
     apart, both = summed(lambda x, y: (x - y) * (x - y)), summed(lambda x, y: x * x + y * y)
+    n, m = _pieces(a), _pieces(b)
     return F.when(a == b, 1.0).when((n == 0) | (m == 0), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - apart / both)))
 
 
