@@ -63,6 +63,7 @@ def _register() -> None:
     _on_lens("callers", lambda g: endpoints.neighbours(g, "part/17", True))
     _on_lens("callees", lambda g: endpoints.neighbours(g, "part/17", False))
     _on_lens("client_index", lambda g: rollups.adjacency(g).select("id", F.array_join("callees", ",").alias("callees"), F.array_join("callers", ",").alias("callers")))
+    _on_lens("client_index_modules", lambda g: rollups.module_adjacency(g).select("module", F.array_join("out", ",").alias("out"), F.array_join("into", ",").alias("into")))
     _on_lens("neighbour_focus", lambda g: endpoints.module_focus(g, "lib/core/Brand6"))
     _on_lens("hidden_groups", lambda g: endpoints.hidden_groups(g, ["dev", "stores"])[1].select("src", "dst", "cnt"))
     _on_lens("resolve_function", lambda g: endpoints.resolve_functions(g, "BOLT11").select("id", "short"))
@@ -101,6 +102,8 @@ def _register() -> None:
     _on_lens("layer_violations", rules.layer_violations)
     _on_lens("layer_join", lambda g: rules.layer_violations(g).groupBy("src_group", "dst_group").agg(F.sum("cnt").alias("cnt")))
     _on_lens("scc_cycles", rules.cycles, SPARSE)
+    _on_lens("scc_cycles_dense", rules.cycles)
+    _on_lens("run_checks_dense", lambda g: rules.run_checks(g).select("level", "rule", "msg", "id"))
     _on_lens("scc_cycles_nodes", lambda g: paths.strong_components(g.edges), MIDDLE)
     _on_lens("god_modules", rules.god_modules)
     _on_lens("orphans_check", lambda g: rules.orphans(g, dotted=False).select("id", "short", "module"))

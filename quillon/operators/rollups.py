@@ -67,3 +67,11 @@ def adjacency(g: Graph) -> DataFrame:
     outs, ins = ends.groupBy(F.col("src").alias("id")).agg(listed("dst").alias("callees")), ends.groupBy(F.col("dst").alias("id")).agg(listed("src").alias("callers"))
     none = F.array().cast("array<string>")
     return g.nodes.select("id").join(outs, "id", "left").join(ins, "id", "left").withColumns({"callees": F.coalesce("callees", none), "callers": F.coalesce("callers", none)})
+
+
+def module_adjacency(g: Graph) -> DataFrame:
+    """module, out, into: the modules that a module depends on and is used by, each in the order of the dependencies."""
+    listed = lambda near, far, name: g.module_edges.groupBy(F.col(near).alias("module")).agg(F.transform(F.sort_array(F.collect_list(F.struct("medge_ord", far))), lambda x: x[far]).alias(name))
+    none = F.array().cast("array<string>")
+    both = g.module_nodes.select("module").join(listed("src", "dst", "out"), "module", "left").join(listed("dst", "src", "into"), "module", "left")
+    return both.select("module", F.coalesce("out", none).alias("out"), F.coalesce("into", none).alias("into"))

@@ -201,6 +201,8 @@ def oracle_sql(dense: int, middle: int, sparse: int, snapshot: str, now: str) ->
     put("callees", ref.format(far="dst", near="src"))
     ids = "coalesce((SELECT string_agg(e.{far}, ',' ORDER BY e.edge_ord) FROM edges e WHERE e.{near} = n.id), '')"
     put("client_index", f"SELECT id, {ids.format(far='dst', near='src')} AS callees, {ids.format(far='src', near='dst')} AS callers FROM nodes n")
+    ends = "coalesce((SELECT string_agg({far}, ',' ORDER BY medge_ord) FROM me WHERE {near} = m.module), '')"
+    put("client_index_modules", f'''SELECT module, {ends.format(far='dst', near='src')} AS "out", {ends.format(far='src', near='dst')} AS "into" FROM mn m''')
     put("neighbour_focus", """SELECT id, bool_or(own) AS own FROM (SELECT id, true AS own FROM nodes WHERE module = 'lib/core/Brand6' UNION ALL SELECT dst, false FROM ee WHERE am = 'lib/core/Brand6'
       UNION ALL SELECT src, false FROM ee WHERE bm = 'lib/core/Brand6') GROUP BY id""")
     put("hidden_groups", "SELECT e.src, e.dst, e.cnt FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst WHERE a.grp NOT IN ('dev', 'stores') AND b.grp NOT IN ('dev', 'stores')")
@@ -258,6 +260,8 @@ def oracle_sql(dense: int, middle: int, sparse: int, snapshot: str, now: str) ->
     put("layer_violations", "SELECT * FROM viol")
     put("layer_join", "SELECT src_group, dst_group, CAST(sum(cnt) AS BIGINT) AS cnt FROM viol GROUP BY 1, 2")
     put("scc_cycles", "SELECT * FROM rings WHERE size > 1", sparse, _CLOSURE, True)
+    put("scc_cycles_dense", "SELECT * FROM rings WHERE size > 1", dense, _CLOSURE, True)
+    put("run_checks_dense", "SELECT level, rule, msg, id FROM found", dense, _CLOSURE, True)
     put("scc_cycles_nodes", "SELECT * FROM nrings WHERE size > 1", middle, _NODE_CLOSURE, True)
     put("god_modules", "SELECT module, fns FROM mn WHERE fns > 80")
     put("orphans_check", "SELECT id, short, module FROM lone WHERE NOT contains(short, '.')")

@@ -18,7 +18,9 @@ SF = "/root/testdata/sf0.001"
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 CHOSEN = """calls calls_by_module calls_q client_index debounce_sessions describe_fn detail_panel diff_deps diff_modules diff_totals duplicates files_filter fn_detail fn_row functions_q hubs_modules
     is_stale layer_violations machines markdown_render module_coverage module_summary names orphans_check orphans_list page_files port_candidates rec_coverage resolve_function run_checks
-    search_functions shortest_path stale_days test_depth typeahead union_nodes wikilink_join""".split()
+    search_functions shortest_path stale_days test_depth typeahead union_nodes wikilink_join mdlink_join unit_dep_join extract_links fs_edges fs_nodes fs_walk adr_scan legacy_reactive porcelain_paths
+    stale_decision machine_of online_ratio list_sort list_sort_files list_rows_calls list_filter word_wrap insight_filter check_lines markdown_modules diff_lines functions_sort_name
+    client_index_modules""".split()
 
 
 @pytest.fixture(scope="module")
