@@ -97,31 +97,35 @@ def _pieces(fp: Column) -> Column:
     return F.aggregate(F.slice(fp, STRONG + PACKED + 1, CLASSES), F.lit(0).cast("long"), lambda a, n: a + n)
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """0 to 1: twice the common pieces over all pieces, estimated from 448 one-bit lanes (1 if both are empty or equal).
-
-    Read as +1 or -1, a lane's sum squared estimates the squared size of its class of a multiset; so does a difference of
-    sums for the difference of two multisets. The classes' estimates add up.
-    """
-    half = lambda x, high, size: (2 * (F.shiftrightunsigned(x, 32) if high else x.bitwiseAND(F.lit(MASK))) - size).cast("double")
+def centred(fp: Column) -> Column:
+    """All lanes with a one read as +1 and a zero as -1, as an array of doubles."""
     each = PACKED // CLASSES
 
-    def lane_sum(of, sums: Column, n: Column, m: Column) -> Column:
-        return F.aggregate(sums, F.lit(0.0), lambda acc, x: acc + of(half(x["a"], False, n), half(x["b"], False, m)) + of(half(x["a"], True, n), half(x["b"], True, m)))
+    def of_class(g: int) -> Column:
+        n = fp[STRONG + PACKED + g]
+        both = lambda x: F.array((2 * x.bitwiseAND(F.lit(MASK)) - n).cast("double"), (2 * F.shiftrightunsigned(x, 32) - n).cast("double"))
+        return F.flatten(F.transform(F.slice(fp, STRONG + each * g + 1, each), both))
 
-    def summed(of) -> Column:
-        out = F.lit(0.0)
-        for g in range(CLASSES):
-            at = STRONG + each * g + 1
-            sums = F.arrays_zip(F.slice(a, at, each).alias("a"), F.slice(b, at, each).alias("b"))
-            out = out + lane_sum(of, sums, a[STRONG + PACKED + g], b[STRONG + PACKED + g])
-        return out
+    return F.concat(*[of_class(g) for g in range(CLASSES)])
 
-    apart, both = summed(lambda x, y: (x - y) * (x - y)), summed(lambda x, y: x * x + y * y)
+
+def _likeness(a: Column, b: Column, x: Column, y: Column) -> Column:
+    """``likeness`` from fingerprints and their centred lanes."""
+    squares = lambda of: F.aggregate(of, F.lit(0.0), lambda acc, v: acc + v * v)
+    apart, both = squares(F.zip_with(x, y, lambda v, w: v - w)), squares(x) + squares(y)
     n, m = _pieces(a), _pieces(b)
     return F.when(a == b, 1.0).when((n == 0) | (m == 0), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - apart / both)))
 
 
+def likeness(a: Column, b: Column) -> Column:
+    """0 to 1: twice the common pieces over all pieces, estimated from 448 one-bit lanes (1 if both are empty or equal).
+
+    Read as +1 or -1, a lane's sum squared estimates the squared size of its class of a multiset; so does a difference of
+    sums for the difference of two multisets. The classes' estimates add up.
+    """
+    return _likeness(a, b, centred(a), centred(b))
+
+
 def _slots(ids: DataFrame) -> tuple[list[int], list[int], list[int]]:
     """Bounds of id ranges, the number of parts that each range is cut into by a hash of the text, and each range's first slot.
 
@@ -203,7 +207,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next_text", F.lit(1), half))
     paired = with_lanes(paired.select("doc_id", "n_chars", "fp", "next_fp", edited.alias("edited")), "edited", "efp")
+    paired = paired.withColumns({"__c": centred(F.col("fp")), "__ce": centred(F.col("efp")), "__cn": centred(F.col("next_fp"))})
+    near = lambda other, lanes: _likeness(F.col("fp"), F.col(other), F.col("__c"), F.col(lanes))
     return paired.select(
         "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), as_text(F.col("fp")).alias("fingerprint"),
-        as_text(F.col("efp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        as_text(F.col("efp")).alias("edited_fingerprint"), near("efp", "__ce").alias("near_edited"), near("next_fp", "__cn").alias("near_next"),
     )
