@@ -1,5 +1,6 @@
 """The training-data operators against brute force, and on odd rows: nulls, empty, long and repeated texts, empty tables, clashing columns."""
 
+import bisect
 import hashlib
 import math
 import re
@@ -170,6 +171,7 @@ def test_packing_plan(counts):
         ends[b] = at + size
     large = Counter(b for b, _, size in cells if 3 * size > 40)
     assert all(n <= 2 for n in large.values())
+    assert bins <= 1.1 * best_fit_decreasing([s for s, n in counts.items() for _ in range(n)], 40) + 1
 
 
 def check_pieces(rows, texts, library, capacity=2048):
@@ -191,7 +193,19 @@ def check_pieces(rows, texts, library, capacity=2048):
 def test_packing_query(spark, docs, library):
     rows = queries.op3_best_fit_packing(spark, SF).collect()
     n = check_pieces(rows, [(i, t) for i, t, _ in docs], library)
-    assert n <= sum(r["length"] for r in rows) / 2048 * 1.03 + 1
+    assert n <= 1.01 * best_fit_decreasing([r["length"] for r in rows], 2048) + 1
+
+
+def best_fit_decreasing(sizes, capacity):
+    """The number of bins of the plain method: each size, largest first, into the fullest bin that still has room."""
+    room = []
+    for size in sorted(sizes, reverse=True):
+        at = bisect.bisect_left(room, size)
+        if at < len(room):
+            bisect.insort(room, room.pop(at) - size)
+        else:
+            bisect.insort(room, capacity - size)
+    return len(room)
 
 
 def test_packing_odd(odd, empty, library):
