@@ -71,5 +71,31 @@ def near_duplicates(percent: int = 85) -> str:
       SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id"""
 
 
+def line_dedup() -> str:
+    white = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(doc_id, -9223372036854775808) AS doc, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+      l AS (SELECT r, doc, i, ls[i] AS line, translate(trim(ls[i], {white}), '{_UPPER}', '{_LOWER}') AS key FROM (SELECT r, doc, ls, unnest(generate_series(1, len(ls))) AS i FROM d)),
+      k AS (SELECT key, max(doc) AS keeper FROM l WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT r) >= 3),
+      m AS (SELECT l.*, k.key IS NOT NULL AND doc <> keeper AS dropped FROM l LEFT JOIN k USING (key))
+      SELECT any_value(d.doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256 FROM m JOIN d USING (r) GROUP BY r"""
+
+
+def interval_painting(batches: int = 50, most: int = 7) -> str:
+    names = ("n_rows", "n_distinct", "total", "least", "greatest", "median")
+    zero = ("n_rows", "n_distinct", "total")
+    olds = ", ".join(f"lag({c}, 1, {'0' if c in zero else 'NULL'}) OVER w AS old_{c}, {c} AS new_{c}" for c in names)
+    crc = f"""(WITH RECURSIVE t(n, c, k) AS (SELECT i, CAST(i AS BIGINT), 0 FROM range(256) AS r(i) UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM t WHERE k < 8) SELECT list(c ORDER BY n) FROM t WHERE k = 8)"""
+    return f"""WITH tbl AS MATERIALIZED (SELECT {crc} AS t),
+      h AS (SELECT coalesce(source, '') AS source, coalesce(lang, '') AS lang, text, n_chars, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM documents, tbl WHERE doc_id IS NOT NULL),
+      p AS (SELECT source, lang, text, n_chars, h % {batches} AS b, (h // {batches}) % {most} AS q FROM h),
+      i AS (SELECT source, lang, text, n_chars AS v, b AS a, b + q AS z FROM p UNION ALL SELECT source, lang, text, n_chars + q, b + q, {batches} FROM p WHERE q % 3 = 0),
+      e AS (SELECT source, lang, text, v, unnest(generate_series(a, least(z, {batches}) - 1)) AS batch FROM i),
+      s AS (SELECT source, lang, batch, count(*) AS n_rows, count(DISTINCT text) AS n_distinct, CAST(coalesce(sum(v), 0) AS BIGINT) AS total, min(v) AS least, max(v) AS greatest, list_sort(list(v) FILTER (v IS NOT NULL))[count(v) // 2 + 1] AS median FROM e GROUP BY ALL),
+      g AS (SELECT source, lang, batch FROM (SELECT DISTINCT source, lang FROM i), range({batches}) AS r(batch)),
+      f AS (SELECT g.*, coalesce(n_rows, 0) AS n_rows, coalesce(n_distinct, 0) AS n_distinct, coalesce(total, 0) AS total, least, greatest, median FROM g LEFT JOIN s USING (source, lang, batch)),
+      o AS (SELECT CAST(batch AS INT) AS batch, source, lang, {olds} FROM f WINDOW w AS (PARTITION BY source, lang ORDER BY batch))
+      SELECT * FROM o WHERE {" OR ".join(f"old_{c} IS DISTINCT FROM new_{c}" for c in names)}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": license_scan(), "op5_topk_search": topk_search(), "op5_topk_search_benchmark": topk_search_benchmark(), "op6_mixing": mixing_sql(), "op10_near_duplicates": near_duplicates()}
+    return {"op2_license_scan": license_scan(), "op5_topk_search": topk_search(), "op5_topk_search_benchmark": topk_search_benchmark(), "op6_mixing": mixing_sql(), "op10_near_duplicates": near_duplicates(), "op11_line_dedup": line_dedup(), "op12_interval_painting": interval_painting()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, licenses, mixing, neardup, packing, pii, sharding, token_file, topk, toxicity
+from . import alignment, fingerprint, licenses, line_dedup, mixing, neardup, packing, painting, pii, sharding, token_file, topk, toxicity
 from .common import pick, read_table
 
 
@@ -64,6 +64,19 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.line_dedup(read_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+def op12_interval_painting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return painting.aggregate_changes(painting.presence(read_table(spark, sf_dir, "documents")), ["source", "lang"], 50)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.cross_tokenizer(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_pii, op2_license_scan, op3_best_fit_packing, op4_toxicity, op5_topk_search, op5_topk_search_benchmark, op6_mixing, op7_fingerprints, op8_token_file, op9_sharding, op10_near_duplicates)
+    own = (op1_pii, op2_license_scan, op3_best_fit_packing, op4_toxicity, op5_topk_search, op5_topk_search_benchmark, op6_mixing, op7_fingerprints, op8_token_file, op9_sharding, op10_near_duplicates, op11_line_dedup, op12_interval_painting, op13_token_alignment)
     return {f.__name__: f for f in own}
