@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,8 +36,9 @@ class Aligner:
     """Aligns space + text by a byte-level BPE tokenizer (A) with text by a SentencePiece model that adds the space (B).
 
     Both tokenizers end a token before a space or line end that follows other than white space, if no piece of B runs
-    over such a place (looked up in its vocabulary). Texts are cut there, each distinct unit is aligned once a worker, and a
-    document is the units' concatenation. Tokenizers without that property get whole texts.
+    over such a place (looked up in its vocabulary). Texts are cut there, each distinct unit is encoded once a worker, and a
+    document's ids are those of its units. Tokenizers without that property get whole texts. Where tokens end is marked
+    along a text's bytes: between two marks lies one link, and where both tokenizers have one a group ends.
     """
 
     def __init__(self, a_path: str, b_path: str, most: int = KNOWN):
@@ -46,12 +48,11 @@ class Aligner:
         with open(a_path, encoding="utf-8") as f:
             told = json.load(f)
         pre = told.get("pre_tokenizer") or {}
-        self.a = Tokenizer.from_str(json.dumps(told | {"added_tokens": []}))  # strings of special tokens are plain text
         if pre.get("type") != "ByteLevel" or told["model"]["type"] != "BPE":
             raise ValueError("the first tokenizer has to be a byte-level BPE")
+        self.a = Tokenizer.from_str(json.dumps(told | {"added_tokens": []}))  # strings of special tokens are plain text
         byte_of = {c: b for b, c in _byte_letters().items()}
-        size = max(told["model"]["vocab"].values()) + 1
-        self.a_bytes: list[bytes] = [b""] * size
+        self.a_bytes = [b""] * (max(told["model"]["vocab"].values()) + 1)
         for token, i in told["model"]["vocab"].items():
             self.a_bytes[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
@@ -62,65 +63,67 @@ class Aligner:
         self.cuts = plain and self.b.encode("a  b\n", out_type=str)[-1] == "<0x0A>" and not any("\n" in p or any(x != MARK and y == MARK for x, y in zip(p, p[1:], strict=False)) for p in inner)
         other = WHITE.replace(" ", "").replace("\n", "")
         self.unit = regex.compile(f"[ \\n][{WHITE}]*[^{WHITE}]*(?:[{other}][{WHITE}]*[^{WHITE}]*)*")
-        self.known, self.old, self.most = {}, {}, most
-
-    def _tokens(self, unit: str) -> tuple[list[int], list[int]]:
-        """A's and B's ids of a piece of space + text that starts with a space or a line end."""
-        a = self.a.encode(unit, add_special_tokens=False).ids
-        return a, self.b.encode(unit[1:]) if unit[0] == " " else self.b.encode(unit)[1:]
-
-    def align(self, unit: str) -> tuple[bytes, int, int, int, str] | None:
-        """(packed links, tokens of A, of B, groups, the groups as text); None if the tokens' bytes aren't the unit's."""
-        a, b = self._tokens(unit)
-        a_bytes, b_bytes, raw = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b], unit.encode("utf-8", "surrogatepass")
-        if b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
-            return None
-        links, groups = [], []
-        i = j = a0 = b0 = 0
-        a_end, b_end = len(a_bytes[0]), len(b_bytes[0])
-        while True:
-            links.append(b[j] << 32 | a[i])
-            if a_end == b_end:
-                groups.append(",".join(map(str, a[a0 : i + 1])) + "|" + ",".join(map(str, b[b0 : j + 1])))
-                i, j = i + 1, j + 1
-                if i == len(a):
-                    break
-                a0, b0, a_end, b_end = i, j, a_end + len(a_bytes[i]), b_end + len(b_bytes[j])
-            elif a_end < b_end:
-                i += 1
-                a_end += len(a_bytes[i])
+        self.lengths = np.array([len(x) for x in self.a_bytes]), np.array([len(x) for x in self.b_bytes])
+        # how an id is written inside a group's side and at its end
+        self.written = [b"%d%s" % (i, sign) for side, ends in ((self.a_bytes, (b",", b"|")), (self.b_bytes, (b",", b";"))) for sign in ends for i in range(len(side))]
+        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+        self.old, self.most = self.known, most
+
+    def _encode(self, units: list[str]) -> Iterator[tuple[str, tuple[bytes, bytes] | None]]:
+        """Packed ids of pieces of space + text that start with a space or a line end; None where their bytes aren't the piece's."""
+        a = [self.a.encode(u, add_special_tokens=False).ids for u in units]
+        b = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
+        for u, x, y in zip(units, a, b, strict=True):
+            if u[0] != " ":
+                y = y[1:]  # the space that the model adds
+            raw = u.encode("utf-8", "surrogatepass")
+            same = b"".join([self.a_bytes[i] for i in x]) == raw == b"".join([self.b_bytes[i] for i in y])
+            yield u, (struct.pack(f"<{len(x)}I", *x), struct.pack(f"<{len(y)}I", *y)) if same else None
+
+    def ids(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
+        """A's and B's packed ids of each text; nothing for null, empty and unlike texts."""
+        if len(self.known) > self.most:
+            self.known, self.old = {}, self.known
+        known, old, large = self.known, self.old, {}
+        cut = [[] if not t or MARK in t else self.unit.findall(" " + t) if self.cuts else [" " + t] for t in texts]
+        missing = set()
+        for units in cut:
+            missing.update([u for u in units if u not in known])
+        new = []
+        for u in missing:
+            if u in old:
+                known[u] = old[u]
             else:
-                j += 1
-                b_end += len(b_bytes[j])
-        return np.array(links, "<i8").tobytes(), len(a), len(b), len(groups), ";".join(groups)
-
-    def _learn(self, unit: str) -> tuple[bytes, int, int, int, str] | None:
-        found = self.old[unit] if unit in self.old else self.align(unit)
-        if len(unit) <= 48:
-            if len(self.known) >= self.most:
-                self.known, self.old = {}, self.known
-            self.known[unit] = found
-        return found
-
-    def __call__(self, text: str | None) -> tuple[bytes, int, int, int, str]:
-        """The same of space + text; nothing for null, empty and unlike texts."""
-        none = (b"", 0, 0, 0, "")
-        if not text or MARK in text:
-            return none
-        whole = " " + text
-        if not self.cuts:
-            return self.align(whole) or none
-        known, learn, parts = self.known, self._learn, []
-        for unit in self.unit.findall(whole):
-            try:
-                parts.append(known[unit])
-            except KeyError:
-                parts.append(learn(unit))
-                known = self.known
-        if None in parts:
-            return self.align(whole) or none
-        links, n_a, n_b, n_groups, groups = zip(*parts, strict=True)
-        return b"".join(links), sum(n_a), sum(n_b), sum(n_groups), ";".join(groups)
+                new.append(u)
+        for u, found in self._encode(new):
+            (known if len(u) <= 48 else large)[u] = found
+        for text, units in zip(texts, cut, strict=True):
+            parts = [known[u] if len(u) <= 48 else large[u] for u in units]
+            if None in parts:
+                parts = [next(self._encode([" " + text]))[1]]
+            yield (b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts])) if parts and parts[0] is not None else (b"", b"")
+
+    def align(self, a: bytes, b: bytes) -> tuple[np.ndarray, int, bytes]:
+        """The packed links of two equal texts' ids, their number of groups, and the groups written out."""
+        if not a:
+            return np.zeros(0, np.int64), 0, b""
+        a_ids, b_ids = np.frombuffer(a, "<u4").astype(np.int64), np.frombuffer(b, "<u4").astype(np.int64)
+        a_last, b_last = np.cumsum(self.lengths[0][a_ids]) - 1, np.cumsum(self.lengths[1][b_ids]) - 1
+        ends_a, ends_b = np.zeros((2, a_last[-1] + 1), bool)
+        ends_a[a_last] = ends_b[b_last] = True
+        marks = np.flatnonzero(ends_a | ends_b)
+        of_a, of_b, at_both = ends_a[marks], ends_b[marks], ends_a[marks] & ends_b[marks]
+        which_a, which_b, group = np.cumsum(of_a) - of_a, np.cumsum(of_b) - of_b, np.cumsum(at_both) - at_both
+        links = b_ids[which_b] << 32 | a_ids[which_a]
+        group_a, group_b = group[of_a], group[of_b]  # of each token, in order
+        n = int(group[-1]) + 1
+        before_b = np.r_[0, np.cumsum(np.bincount(group_b, minlength=n))]
+        upto_a = np.cumsum(np.bincount(group_a, minlength=n))
+        order = np.empty(len(a_ids) + len(b_ids), np.int64)
+        sizes = len(self.a_bytes), len(self.b_bytes)
+        order[np.arange(len(a_ids)) + before_b[group_a]] = a_ids + sizes[0] * at_both[of_a]
+        order[np.arange(len(b_ids)) + upto_a[group_b]] = 2 * sizes[0] + b_ids + sizes[1] * at_both[of_b]
+        return links, n, b"".join([self.written[i] for i in order.tolist()])[:-1]
 
 
 @lru_cache(maxsize=2)
@@ -146,11 +149,11 @@ def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None,
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 numbers, groups, pairs = [], [], []
-                for text in part.column(1).to_pylist():
-                    links, n_a, n_b, n_groups, said = aligned(text)
-                    numbers.append((n_a, n_b, n_groups, len(links) // 8))
-                    groups.append(hashlib.sha256(said.encode()).hexdigest() if digest and said else said)
-                    keys, n = np.unique(np.frombuffer(links, "<i8"), return_counts=True)
+                for ids in aligned.ids(part.column(1).to_pylist()):
+                    links, n_groups, said = aligned.align(*ids)
+                    numbers.append((len(ids[0]) // 4, len(ids[1]) // 4, n_groups, len(links)))
+                    groups.append(hashlib.sha256(said).hexdigest() if digest and said else said.decode())
+                    keys, n = np.unique(links, return_counts=True)
                     pairs.append(((keys >> 32).astype("<u4").tobytes(), keys.astype("<u4").tobytes(), n.astype("<u4").tobytes()))
                 told = {c: pa.array([x[i] for x in numbers], pa.int64()) for i, c in enumerate(("n_a", "n_b", "n_groups", "n_links"))}
                 yield pa.record_batch({"doc_id": part.column(0).cast(pa.int64())} | told | {"groups": pa.array(groups, pa.string())} | {c: pa.array([x[i] for x in pairs], pa.binary()) for i, c in enumerate("ban")})
@@ -226,6 +229,7 @@ def write_counts(partial: DataFrame, path: str) -> list[tuple[str, int, bytes, b
         if len(keys):
             yield shard(keys, sums)
 
+    partial = save(partial, "pair-partials")  # a range exchange reads its input twice
     ordered = partial.repartitionByRange("key").sortWithinPartitions("key")
     found = ordered.mapInArrow(rows, "file string, first long, ids binary, best binary").collect()
     return sorted(((r["file"], r["first"], bytes(r["ids"]), bytes(r["best"])) for r in found), key=lambda r: r[1])

@@ -265,9 +265,8 @@ def test_alignment_of_odd_rows(spark):
 def test_units_are_aligned_as_whole_texts(text):
     own = alignment._aligner(alignment.default_tokenizer(), alignment.default_pieces())
     assert own.cuts
-    want = own.align(" " + text) if text and alignment.MARK not in text else None
-    got = own(text)
-    assert got == (want or (b"", 0, 0, 0, ""))
+    want = next(own._encode([" " + text]))[1] if text else None
+    assert list(own.ids([text, None, text])) == [want or (b"", b""), (b"", b""), want or (b"", b"")]
 
 
 def test_op13_against_plain(spark):
