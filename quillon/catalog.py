@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .config import Config
+from .extract import build, fsplane
 from .functions import names
-from .extract import fsplane
+from .graph import Graph
 from .operators import diff, endpoints, freshness, paths, rollups, rules, view
 from .plans import oracle, reports
 from .sources import lens
@@ -156,6 +159,8 @@ def _register() -> None:
     _QUERIES["stale_decision"] = lambda spark, sf: _stale_decision(spark, sf)
     _QUERIES["names"] = lambda spark, sf: _names(spark, sf)
     _QUERIES["scan_svelte"] = lambda spark, sf: _scripts(spark, sf)
+    _QUERIES["extract_declarations"] = lambda spark, sf: _extracted(spark, sf).nodes.select("name", "module", "grp", "kind", "class_name", "exported", "line", "loc", "numeric_ops", F.coalesce("module_used", F.lit(False)).alias("module_used"))
+    _QUERIES["extract_edges"] = lambda spark, sf: _named_edges(_extracted(spark, sf))
     _QUERIES["page_files"] = lambda spark, sf: _page_files(spark, sf)
     _QUERIES["stale_days"] = lambda spark, sf: _stale(spark, sf)
     _QUERIES["stale_count"] = lambda spark, sf: _stale(spark, sf).agg(F.count_if("stale").alias("n_stale"), F.count("*").alias("n"))
@@ -223,6 +228,54 @@ def _scripts(spark, sf):
     return p.select("page_id", F.array_join(names.script_bodies(F.col("html")), "\n").alias("script"))
 
 
+def _sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Source texts made of suppliers and nations: a file each, and an index that exports all of the nations' again."""
+    s = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("n"))
+    s = s.join(s.select((F.col("k") - 1).alias("k"), F.col("k").alias("after")), "k", "left").withColumn("m", F.col("k") * 7 % 25)
+    text = """import {{ hub{n} as hub }} from '../core/n{n}';
+import * as all from '$lib/core';
+{next}
+export const twice{k} = (x: number) => hub(x) + 1;
+export function own{k}(x: number): number {{
+  return twice{k}(x) * all.hub{m}(x) - x / 2;
+}}
+export class Box{k} {{
+  size: number[] = [1];
+  get v() {{ return this.size[0]; }}
+  set v(x) {{ own{k}(x); }}
+  run = (x: number) => this.step(x);
+  step(x: number) {{ for (const y of this.size) {{ x += y; }} return {called}(x); }}
+}}
+const table{k} = {{ a: twice{k}, b: (x: number) => own{k}(x) }};
+export function pick{k}(key: 'a' | 'b', x: number) {{
+  const first = table{k}[key];
+  const second = first;
+  return second(x);
+}}
+export const held{k} = writable<number>(-1);
+export function bump{k}() {{ held{k}.update((x) => x + 1); }}
+export default own{k};
+own{k}(0);
+"""
+    parts = re.split(r"\{(k|n|m|next|called)\}", text.replace("{{", "\1").replace("}}", "\2"))
+    known = {"k": "k", "n": "n", "m": "m", "next": F.concat(F.lit("import main from './s"), F.col("after").cast("string"), F.lit("';")), "called": F.when(F.col("after").isNotNull(), "main").otherwise("String")}
+    pieces = [F.lit(p.replace("\1", "{").replace("\2", "}")) if i % 2 == 0 else F.coalesce(F.col(p).cast("string") if isinstance(known[p], str) else known[p], F.lit("")) for i, p in enumerate(parts)]
+    own = s.select(F.concat(F.lit("src/lib/services/s"), F.col("k").cast("string"), F.lit(".ts")).alias("path"), F.concat(*pieces).alias("text"))
+    nations = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").cast("string").alias("n"))
+    hubs = nations.select(F.concat(F.lit("src/lib/core/n"), "n", F.lit(".ts")).alias("path"), F.concat(F.lit("export function hub"), "n", F.lit("(x: number) {\n  return x;\n}\n")).alias("text"))
+    index = nations.agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("export * from './n"), "n", F.lit("';")))), "\n").alias("text")).select(F.lit("src/lib/core/index.ts").alias("path"), "text")
+    return own.unionByName(hubs).unionByName(index)
+
+
+def _extracted(spark: SparkSession, sf: str) -> Graph:
+    return build.extract(_sources(spark, sf), Config(name="sources"), {"$lib": "src/lib"})
+
+
+def _named_edges(g: Graph) -> DataFrame:
+    name = g.nodes.select("id", "name")
+    return g.edges.join(name.toDF("src", "caller"), "src").join(name.toDF("dst", "callee"), "dst").select("caller", "callee", "cnt")
+
+
 def _page_files(spark, sf):
     p = _page_paths(spark, sf)
     ext = F.element_at(F.array(*[F.lit(x) for x in (".md", ".service", ".json", ".sh", ".bin", ".mdx", "")]), (F.col("page_id") % 7 + 1).cast("int"))

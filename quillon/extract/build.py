@@ -9,16 +9,17 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator, Mapping
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..config import Config, Project, tsconfig
 from ..functions import names
 from ..graph import Graph, with_degrees
 from ..operators import paths, rollups
-from ..shared import global_index, local_part
+from ..shared import global_index, local_part, reach_workers
 from . import scan
 
 
@@ -50,56 +51,76 @@ def crate_warnings(present: DataFrame, configured: list[str]) -> DataFrame:
     return missing.unionByName(present.join(listed, "crate", "left_anti").withColumn("problem", F.lit("unlisted")))
 
 
-def _declarations(files: DataFrame, config: Config, rust_crates: tuple[str, ...]) -> DataFrame:
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            found = []
-            for path, text in zip(f["path"], f["text"], strict=True):
-                if path.endswith(".rs"):
-                    found += [d for d in scan.rust(path, text, path.split("/")[0])] if path.split("/")[0] in rust_crates else []
-                elif not path.endswith((".test.ts", ".d.ts")):
-                    parts = scan.module_name(path).split("/")
-                    grp = parts[1] if parts[0] == config.namespace_prefix and len(parts) > 1 else parts[0]
-                    found += scan.typescript(path, text, grp)
-            yield scan.frame(iter(found), scan.DECLARATIONS)
-
-    return files.mapInPandas(rows, scan.DECLARATIONS)
-
-
-def _calls(files: DataFrame, rust_crates: tuple[str, ...]) -> DataFrame:
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            found = []
-            for path, text in zip(f["path"], f["text"], strict=True):
-                if path.endswith(".rs"):
-                    crate = path.split("/")[0]
-                    module = f"{crate}/{path.rsplit('/', 1)[-1].removesuffix('.rs')}"
-                    found += scan.calls(path, text, module) if crate in rust_crates else []
-                elif not path.endswith((".d.ts", ".test.ts")) or (path.endswith(".test.ts") and "/src/" in "/" + path):
-                    found += scan.calls(path, text, scan.module_name(path), path.endswith(".test.ts"))
-            yield scan.frame(iter(found), scan.CALLS)
-
-    return files.mapInPandas(rows, scan.CALLS)
+def _facts(files: DataFrame, config: Config, aliases: Mapping[str, str], rust_crates: tuple[str, ...]) -> dict[str, DataFrame]:
+    """Everything the scanners find in one pass over the texts, a table a kind."""
+    known, prefix = dict(aliases), config.namespace_prefix
+    kinds = [f.name for f in StructType.fromDDL(scan.FACTS)]
+    schema = to_arrow_schema(StructType.fromDDL(scan.FACTS))
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [f for p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for f in scan.facts(p, t or "", known, rust_crates, prefix)]
+            yield pa.record_batch([pa.array([row if kind == k else None for kind, row in found], schema.field(k).type) for k in kinds], schema=schema)
 
-def _imports(files: DataFrame, aliases: Mapping[str, str]) -> DataFrame:
-    known = dict(aliases)
+    reach_workers(files.sparkSession)
+    found = paths.checkpointed(files.select("path", "text").mapInArrow(rows, scan.FACTS))
+    return {k: found.filter(F.col(k).isNotNull()).select(f"{k}.*") for k in kinds}
 
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            found = [r for p, t in zip(f["path"], f["text"], strict=True) if not p.endswith(".rs") for r in scan.imports(p, t, scan.module_name(p), known)]
-            yield scan.frame(iter(found), scan.IMPORTS)
 
-    return files.mapInPandas(rows, scan.IMPORTS)
+def module_places(files: DataFrame) -> DataFrame:
+    """place, m: the module that each path without suffix means; of a file and a folder's index the file."""
+    bare = F.regexp_replace("path", r"\.ts$", "")
+    found = files.filter(F.col("path").rlike(r"\.(ts|svelte)$")).select(
+        names.module_of(F.col("path")).alias("m"),
+        F.explode(F.array(F.struct(bare.alias("place"), F.lit(0).alias("rank")), F.struct(F.regexp_replace(bare, r"(/index|\.svelte)$", "").alias("place"), F.lit(1).alias("rank")))).alias("p"),
+    )
+    return found.groupBy("p.place").agg(F.min_by("m", F.struct("p.rank", "m")).alias("m"))
 
 
-def _entries(files: DataFrame) -> DataFrame:
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            found = [r for p, t in zip(f["path"], f["text"], strict=True) if not p.endswith((".rs", ".d.ts", ".test.ts")) for r in scan.entries(p, t, scan.module_name(p))]
-            yield scan.frame(iter(found), scan.ENTRIES)
+def exported_names(wanted: DataFrame, gives: DataFrame, brings: DataFrame) -> DataFrame:
+    """What names of modules stand for: wanted (module, name) with d_module, d_name, where the name is declared ('*': a whole module).
 
-    return files.mapInPandas(rows, scan.ENTRIES)
+    ``gives``: module, name, source (null: own), original. ``brings``: module, local, source, name. Names are followed
+    through lists of exports, renamings, imports that are exported again, and ``export *`` (which a module's own exports
+    shadow, and which has no default), level by level until nothing new comes; cycles end because no step is taken twice.
+    """
+    explicit = gives.filter("name <> '*'").select(F.col("module").alias("e_m"), F.col("name").alias("e_n"), "source", "original")
+    star = gives.filter("name = '*'").select(F.col("module").alias("s_m"), F.col("source").alias("s_source")).distinct()
+    passed = brings.select(F.col("module").alias("b_m"), F.col("local").alias("b_local"), F.col("source").alias("b_source"), F.col("name").alias("b_name"))
+    front = wanted.select("module", "name", F.col("module").alias("m"), F.col("name").alias("n")).distinct()
+    seen, done = front, None
+    while True:
+        met = front.join(explicit, (F.col("m") == F.col("e_m")) & (F.col("n") == F.col("e_n")), "left")
+        met = met.join(passed, F.col("source").isNull() & (F.col("e_m") == F.col("b_m")) & (F.col("original") == F.col("b_local")), "left")
+        met = met.join(star, F.col("e_m").isNull() & (F.col("n") != "default") & (F.col("m") == F.col("s_m")), "left")
+        further = F.when(F.col("source").isNotNull(), F.struct(F.col("source").alias("m"), F.col("original").alias("n"))).when(F.col("b_source").isNotNull(), F.struct(F.col("b_source").alias("m"), F.col("b_name").alias("n")))
+        further = further.when(F.col("s_source").isNotNull(), F.struct(F.col("s_source").alias("m"), F.col("n").alias("n")))
+        met = paths.checkpointed(met.select("module", "name", "m", "n", "original", further.alias("to")))
+        ends = met.filter("to IS NULL OR (to.n = '*')").select("module", "name", F.coalesce("to.m", "m").alias("d_module"), F.when(F.col("to").isNotNull(), F.lit("*")).otherwise(F.coalesce("original", "n")).alias("d_name"))
+        done = ends if done is None else done.unionByName(ends)
+        front = paths.checkpointed(met.filter("to IS NOT NULL AND to.n <> '*'").select("module", "name", "to.m", "to.n").distinct().join(seen, ["module", "name", "m", "n"], "left_anti"))
+        if front.isEmpty():
+            return done.distinct()
+        seen = seen.unionByName(front)
+
+
+def registry_bases(keyed: DataFrame, holders: DataFrame, most: int = 6) -> DataFrame:
+    """``keyed`` (module, receiver, steps) with ``base``: every name that its receiver's value may come from, itself included.
+
+    A value that is an access of another (``const h = this.handlers[key]``) leads to that one's name; an access and a
+    value each count as a step, and what lies more than ``most`` steps away isn't reached.
+    """
+    columns = keyed.columns
+    link = holders.select(F.col("module").alias("h_m"), F.col("name").alias("h_n"), F.col("base").alias("h_base"), (F.col("steps") + 1).alias("h_steps")).distinct()
+    front, done = keyed.withColumn("base", F.col("receiver")), None
+    for _ in range(most + 1):
+        done = front if done is None else done.unionByName(front)
+        nearer = front.join(link, (F.col("module") == F.col("h_m")) & (F.col("base") == F.col("h_n")))
+        nearer = nearer.withColumns({"base": F.col("h_base"), "steps": F.col("steps") + F.col("h_steps")}).filter(F.col("steps") <= most).select(*columns, "base").distinct()
+        front = paths.checkpointed(nearer)
+        if front.isEmpty():
+            break
+    return done
 
 
 def innermost(points: DataFrame, spans: DataFrame, at: str, key: str = "file") -> DataFrame:
@@ -145,8 +166,8 @@ def extract(files: DataFrame, config: Config, aliases: Mapping[str, str] | None
     exports is a call of that function.
     """
     files = paths.checkpointed(files)
-    d = paths.checkpointed(_declarations(files, config, rust_crates))
-    own = d.filter("NOT in_test").drop("in_test")
+    found = _facts(files, config, aliases or {}, rust_crates)
+    own = found["decl"].filter("NOT in_test").drop("in_test")
     number = F.row_number().over(Window.partitionBy("lang", "module").orderBy("start", "short")) - 1
     rust_id = F.concat(F.lit("rust:"), "module", F.lit("::"), "short", F.lit("@"), F.col("line").cast("string"))
     nodes = own.withColumn("id", F.when(F.col("lang") == "rust", rust_id).otherwise(names.make_id(F.col("module"), F.col("short"), F.col("line"), number)))
@@ -155,23 +176,40 @@ def extract(files: DataFrame, config: Config, aliases: Mapping[str, str] | None
     nodes = nodes.join(parents.select(F.col("child").alias("id"), F.col("owner").alias("parent")), "id", "left")
     nodes = paths.checkpointed(nodes.withColumn("last", F.regexp_extract("short", r"([^.]*)$", 1)))
 
-    sites = _calls(files, rust_crates)
-    spread = innermost(sites.distinct(), nodes.filter("kind NOT IN ('component', 'store')").select("file", "id", F.col("body").alias("start"), "stop"), "at")
+    # a body holds its first character, which is all of a call in `() => f()`; what stands before it, among the parameters,
+    # is called by nobody
+    bodies = nodes.filter("kind NOT IN ('component', 'store')").select("file", "id", "start", (F.col("body") - 1).alias("body"), "stop")
+    heads = bodies.filter("body > start").select("file", F.concat(F.lit("#"), "id").alias("id"), "start", F.col("body").alias("stop"))
+    spread = innermost(found["call"].distinct(), bodies.select("file", "id", F.col("body").alias("start"), "stop").unionByName(heads), "at")
+    spread = spread.filter("owner IS NULL OR NOT startswith(owner, '#')")
     component = nodes.filter("kind = 'component'").select(F.col("file").alias("c_file"), F.col("id").alias("component"))
     sites = paths.checkpointed(spread.join(component, F.col("file") == F.col("c_file"), "left").withColumn("owner", F.coalesce("owner", "component")).drop("c_file", "component"))
 
-    target = nodes.select(F.col("id").alias("target"), F.col("module").alias("t_module"), F.col("short").alias("t_short"), "last", F.col("kind").alias("t_kind"), F.col("class_name").alias("t_class"), F.col("lang").alias("t_lang"))
-    brought = paths.checkpointed(_imports(files, aliases or {}).select(F.col("file").alias("i_file"), "local", "original", F.col("target").alias("i_module")))
+    target = nodes.select(F.col("id").alias("target"), F.col("module").alias("t_module"), F.col("short").alias("t_short"), "last", F.col("kind").alias("t_kind"), F.col("class_name").alias("t_class"), F.col("lang").alias("t_lang"), (F.col("stop") > F.col("body")).alias("has_body"))
+    # a function inside a class is called by its own name
+    target = paths.checkpointed(target.withColumn("t_call", F.when(F.col("t_class").isNotNull() & (F.col("t_kind") == "function"), F.col("last")).otherwise(F.col("t_short"))))
+    places = module_places(files)
+    brings = paths.checkpointed(found["brings"].join(places, "place").withColumn("source", F.col("m")).select("file", "module", "local", "name", "source"))
+    gives = found["gives"].join(places, "place", "left").filter("place IS NULL OR m IS NOT NULL").select("module", "name", F.col("m").alias("source"), "original")
+    gives = paths.checkpointed(gives)
+    named = exported_names(brings.filter("name <> '*'").select(F.col("source").alias("module"), "name"), gives, brings)
+    plainly = brings.join(named.withColumnsRenamed({"module": "n_module", "name": "n_name"}), (F.col("source") == F.col("n_module")) & (F.col("name") == F.col("n_name")))
+    brought = plainly.select(F.col("file").alias("i_file"), "local", F.col("d_module").alias("i_module"), F.col("d_name").alias("original"))
+    whole = brings.filter("name = '*'").select(F.col("file").alias("i_file"), "local", F.col("source").alias("i_module")).unionByName(brought.filter("original = '*'").select("i_file", "local", "i_module"))
+    brought, whole = paths.checkpointed(brought.filter("original <> '*'")), paths.checkpointed(whole)
     site = sites.withColumn("lang", F.when(F.col("file").endswith(".rs"), "rust").otherwise("ts"))
     ts = site.filter("lang = 'ts' AND how <> 'dispatch'")
     plain = ts.filter("receiver IS NULL")
-    here = plain.join(target, (F.col("module") == F.col("t_module")) & (F.col("name") == F.col("t_short"))).withColumn("tier", F.lit(1))
+    here = plain.join(target, (F.col("module") == F.col("t_module")) & (F.col("name") == F.col("t_call"))).withColumn("tier", F.lit(1))
     from_import = plain.join(brought, (F.col("file") == F.col("i_file")) & (F.col("name") == F.col("local"))).join(target, (F.col("i_module") == F.col("t_module")) & (F.col("original") == F.col("t_short"))).withColumn("tier", F.lit(2))
     full = F.concat("receiver", F.lit("."), "name")
     dotted = ts.filter("receiver IS NOT NULL AND receiver <> '$'")
     own_dotted = dotted.join(target, (F.col("module") == F.col("t_module")) & (full == F.col("t_short"))).withColumn("tier", F.lit(1))
     far_dotted = dotted.join(brought, (F.col("file") == F.col("i_file")) & (F.col("receiver") == F.col("local"))).join(target, (F.col("i_module") == F.col("t_module")) & (F.concat("original", F.lit("."), "name") == F.col("t_short"))).withColumn("tier", F.lit(2))
-    methods = target.filter("t_kind IN ('method', 'accessor') AND t_lang = 'ts'").withColumn("same", F.count("*").over(Window.partitionBy("last"))).filter("same = 1").drop("same")
+    asked = dotted.join(whole, (F.col("file") == F.col("i_file")) & (F.col("receiver") == F.col("local")))
+    member = exported_names(asked.select(F.col("i_module").alias("module"), "name"), gives, brings).withColumnsRenamed({"module": "n_module", "name": "n_name"})
+    of_module = asked.join(member, (F.col("i_module") == F.col("n_module")) & (F.col("name") == F.col("n_name"))).join(target, (F.col("d_module") == F.col("t_module")) & (F.col("d_name") == F.col("t_short"))).withColumn("tier", F.lit(2))
+    methods = target.filter("t_kind IN ('method', 'accessor') AND t_lang = 'ts' AND has_body").withColumn("same", F.count("*").over(Window.partitionBy("last"))).filter("same = 1").drop("same")
     by_name = dotted.join(methods, F.col("name") == F.col("last")).withColumn("tier", F.lit(3))
     reads = ts.filter("receiver = '$'").join(brought, (F.col("file") == F.col("i_file")) & (F.col("name") == F.col("local"))).join(target.filter("t_kind = 'store'"), (F.col("i_module") == F.col("t_module")) & (F.col("original") == F.col("t_short"))).withColumn("tier", F.lit(1))
     rust = site.filter("lang = 'rust'").join(target.filter("t_lang = 'rust'"), (F.col("module") == F.col("t_module")) & (F.col("name") == F.col("last"))).withColumn("tier", F.lit(1))
@@ -180,11 +218,11 @@ def extract(files: DataFrame, config: Config, aliases: Mapping[str, str] | None
     store_use = ts.filter("receiver IS NOT NULL AND receiver NOT IN ('$', '') AND how = 'call'").join(brought, (F.col("file") == F.col("i_file")) & (F.col("receiver") == F.col("local")))
     store_use = store_use.join(target.filter("t_kind = 'store'"), (F.col("i_module") == F.col("t_module")) & (F.col("original") == F.col("t_short")))
     own_store = ts.filter("receiver IS NOT NULL AND receiver NOT IN ('$', '') AND how = 'call'").join(target.filter("t_kind = 'store'"), (F.col("module") == F.col("t_module")) & (F.col("receiver") == F.col("t_short")))
-    dispatched = _dispatched(site, files, brought, target)
+    dispatched = _dispatched(site, found["entry"], found["holder"], brought, target)
     columns = ["file", "at", "how", "owner", "in_test", "target", "tier"]
-    here, from_import, own_dotted, far_dotted, by_name = (df.filter(handed | callable_) for df in (here, from_import, own_dotted, far_dotted, by_name))
+    here, from_import, own_dotted, far_dotted, of_module, by_name = (df.filter(handed | callable_) for df in (here, from_import, own_dotted, far_dotted, of_module, by_name))
     hits = here.select(columns)
-    for part in (from_import, own_dotted, far_dotted, by_name, reads, rust):
+    for part in (from_import, own_dotted, far_dotted, of_module, by_name, reads, rust):
         hits = hits.unionByName(part.select(columns))
     best = hits.withColumn("best", F.min("tier").over(Window.partitionBy("file", "at", "how"))).filter("tier = best").drop("best")
     best = paths.checkpointed(best)
@@ -207,7 +245,7 @@ def extract(files: DataFrame, config: Config, aliases: Mapping[str, str] | None
     plane = F.when(F.col("lang") == "rust", 2).when(F.col("file").endswith(".svelte"), 1).otherwise(0)
     auto = F.when(F.col("doc") != "", F.col("doc")).otherwise(names.auto_describe(F.col("last")))
     nodes = nodes.join(tested, "id", "left").join(used, "id", "left").select(
-        "id", F.col("short").alias("name"), "short", "file", "module", "grp", "line", "end_line", "kind", "class_name", "exported", "signature", "doc",
+        "id", F.col("short").alias("name"), F.when(F.col("class_name").isNotNull() & (F.col("lang") == "ts"), F.concat("class_name", F.lit("."), "last")).otherwise(F.col("short")).alias("short"), "file", "module", "grp", "line", "end_line", "kind", "class_name", "exported", "signature", "doc",
         names.humanize(F.col("last")).alias("humanized"), auto.alias("descr"), F.greatest(F.lit(1), F.col("end_line") - F.col("line") + 1).alias("loc"), (F.col("stop") - F.col("start") + 1).alias("chars"), "numeric_ops",
         F.coalesce("tested", F.lit(False)).alias("tested"), "legacy_reactive", "module_used", F.col("parent").isNotNull().alias("nested"), "parent", "lang", plane.alias("plane"), "start",
     )
@@ -239,23 +277,26 @@ def extract_project(spark: SparkSession, root: str, project: Project) -> tuple[G
     return g, warnings
 
 
-def _dispatched(site: DataFrame, files: DataFrame, brought: DataFrame, target: DataFrame) -> DataFrame:
-    """Calls through keys: every function that the registry, own or imported, holds under the called name."""
-    e = _entries(files)
-    own = e.filter("receiver IS NULL").join(target, (F.col("module") == F.col("t_module")) & (F.col("name") == F.col("t_short")))
+def _dispatched(site: DataFrame, e: DataFrame, holders: DataFrame, brought: DataFrame, target: DataFrame) -> DataFrame:
+    """Calls through keys, and through values that come from registries: every function that the registry, own or imported, holds under the called name."""
+    own = e.filter("receiver IS NULL").join(target, (F.col("module") == F.col("t_module")) & ((F.col("name") == F.col("t_short")) | (F.col("name") == F.col("t_call"))))
     far = e.filter("receiver IS NULL").join(brought, (F.col("file") == F.col("i_file")) & (F.col("name") == F.col("local"))).join(target, (F.col("i_module") == F.col("t_module")) & (F.col("original") == F.col("t_short")))
     member = e.filter("receiver IS NOT NULL").join(target, (F.col("module") == F.col("t_module")) & (F.col("name") == F.col("last")))
-    literal = target.filter("t_kind = 'function' AND t_short LIKE '%.%'").select(F.col("t_module").alias("r_module"), F.substring_index("t_short", ".", 1).alias("registry"), F.substring_index("t_short", ".", -1).alias("key"), "target")
-    held = literal
+    held = None
     for part in (own, far, member):
-        held = held.unionByName(part.filter("t_kind IN ('function', 'method')").select(F.col("module").alias("r_module"), "registry", "key", "target"))
+        part = part.filter("t_kind IN ('function', 'method')").select(F.col("module").alias("r_module"), "registry", "key", "target")
+        held = part if held is None else held.unionByName(part)
     held = paths.checkpointed(held.distinct())
-    keyed = site.filter("how = 'dispatch'").withColumnsRenamed({"module": "own_module"})
+    keyed = site.filter("how = 'dispatch'").select("file", "at", "how", "owner", "in_test", F.col("module"), "receiver", "name", "steps")
+    # only what may come to a registry: values that hold accesses, registries, and what is imported
+    first = held.select(F.col("r_module").alias("module"), F.col("registry").alias("receiver")).unionByName(holders.select("module", F.col("name").alias("receiver"))).distinct()
+    bases = registry_bases(keyed.join(first, ["module", "receiver"], "left_semi").unionByName(keyed.join(brought.select(F.col("i_file").alias("file"), F.col("local").alias("receiver")).distinct(), ["file", "receiver"], "left_semi")).distinct(), holders)
+    bases = bases.filter("name IS NOT NULL OR steps > 0")  # a literal itself can't be called
     under = F.col("name").isNull() | (F.col("name") == F.col("key"))
-    near = keyed.join(held, (F.col("own_module") == F.col("r_module")) & (F.col("receiver") == F.col("registry")) & under)
-    away = keyed.join(brought, (F.col("file") == F.col("i_file")) & (F.col("receiver") == F.col("local"))).join(held, (F.col("i_module") == F.col("r_module")) & (F.col("original") == F.col("registry")) & under)
+    near = bases.join(held, (F.col("module") == F.col("r_module")) & (F.col("base") == F.col("registry")) & under)
+    away = bases.join(brought, (F.col("file") == F.col("i_file")) & (F.col("base") == F.col("local"))).join(held, (F.col("i_module") == F.col("r_module")) & (F.col("original") == F.col("registry")) & under)
     columns = ["file", "at", "how", "owner", "in_test", "target"]
-    return near.select(columns).unionByName(away.select(columns)).withColumn("tier", F.lit(4))
+    return near.select(columns).unionByName(away.select(columns)).distinct().withColumn("tier", F.lit(4))
 
 
 def _all_files(g: Graph, listed: DataFrame) -> DataFrame:

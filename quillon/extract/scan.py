@@ -3,42 +3,35 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-
-import pandas as pd
+from collections.abc import Iterator, Mapping, Sequence
 
+from .syntax import Module
 from .text import Source
 
-DECLARATIONS = (
-    "file string, module string, grp string, lang string, short string, kind string, class_name string, exported boolean, start long, body long, stop long, line long, end_line long, "
-    "signature string, doc string, numeric_ops long, legacy_reactive long, wasm boolean, in_test boolean"
+#: What a file's text is found to hold, one kind a row: the other columns of the row are null.
+FACTS = (
+    "decl struct<file string, module string, grp string, lang string, short string, kind string, class_name string, exported boolean, start long, body long, stop long, line long, end_line long, "
+    "signature string, doc string, numeric_ops long, legacy_reactive long, wasm boolean, in_test boolean>, "
+    # how: ``call``, ``pass`` (a function handed over as an argument), ``dispatch`` (a call through a key of the registry
+    # ``receiver``, ``steps`` accesses away; a null name means the value itself is called)
+    "call struct<file string, module string, at long, receiver string, name string, in_test boolean, how string, steps int>, "
+    # functions that object literals hold: under which key, by which name
+    "entry struct<file string, module string, registry string, key string, receiver string, name string>, "
+    # values that are accesses of other values: the name that these start from, how many steps away
+    "holder struct<file string, module string, name string, base string, steps int>, "
+    # place: the path, without suffix, that a specifier means; name: '*' for the whole module
+    "brings struct<file string, module string, local string, name string, place string>, "
+    "gives struct<module string, name string, place string, original string>"
 )
-#: how: ``call``, ``pass`` (a function handed over as an argument), ``dispatch`` (a call through a key of the registry
-#: ``receiver``; a null name means the value itself is called).
-CALLS = "file string, module string, at long, receiver string, name string, in_test boolean, how string"
-#: Functions that an object literal holds: under which key, by which name.
-ENTRIES = "file string, module string, registry string, key string, receiver string, name string"
-IMPORTS = "file string, module string, local string, original string, target string"
 
 _RUST_FN = re.compile(r"(\bpub\b[^\n;{}]*?)?\bfn\s+([A-Za-z_]\w*)\s*(?:<[^>]*>)?\s*(\()")
 _RUST_IMPL = re.compile(r"\bimpl\b(?:\s*<[^>]*>)?\s+(?:[\w:<>, ]+\s+for\s+)?([A-Za-z_]\w*)[^{;]*(\{)")
 _RUST_TEST = re.compile(r"#\[\s*cfg\s*\(\s*test\s*\)\s*\][^{;]*(\{)")
-_TS_FUNCTION = re.compile(r"(\bexport\s+(?:default\s+)?)?(?:async\s+)?\bfunction\s*\*?\s*([A-Za-z_$][\w$]*)\s*(?:<[^>(]*>)?\s*(\()")
-_TS_ARROW = re.compile(r"(\bexport\s+)?\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=;]+?)?=\s*(?:async\s*)?(\(|[A-Za-z_$][\w$]*\s*=>|function\b)")
-_TS_CLASS = re.compile(r"(\bexport\s+(?:default\s+|abstract\s+)*)?\bclass\s+([A-Za-z_$][\w$]*)[^{]*(\{)")
-_TS_OBJECT = re.compile(r"(\bexport\s+)?\bconst\s+([A-Za-z_$][\w$]*)\s*(?::[^=;]+?)?=\s*(\{)")
-_TS_METHOD = re.compile(r"(?:^|(?<=[;{},\n]))\s*(?:(?:public|private|protected|static|async|override|readonly)\s+)*(get\s+|set\s+)?\*?\s*([A-Za-z_$][\w$]*)\s*(?:<[^>(]*>)?(\()")
-_TS_VALUE = re.compile(r"(?:^|(?<=[{,\n]))\s*([A-Za-z_$][\w$]*)\s*:\s*(?:async\s*)?(\(|function\b|[A-Za-z_$][\w$]*\s*=>)")
 _CALL = re.compile(r"(?:\b([A-Za-z_$][\w$]*)\s*(?:\?\.|\.)\s*|(\.)\s*)?\b([A-Za-z_$][\w$]*)\s*(?:<[^<>()]*>)?\(")
 _STORE_READ = re.compile(r"\$([A-Za-z_]\w*)")
-_IMPORT = re.compile(r"\bimport\s+(?:type\s+)?(?:([A-Za-z_$][\w$]*)\s*,?\s*)?(?:\{([^}]*)\})?\s*from\s*['\"]([^'\"]+)['\"]")
 _KEYWORDS = frozenset("if for while switch return catch function fn match loop new typeof await constructor super impl use mod pub let const".split())
-_NUMERIC = re.compile(r"(?<=[\w)\]])\s*(?:\*\*|[-+*/%])(?![=+-])\s*(?=[\w(\[.])|\b(?:for|while)\b|(?<=[\w)\]])\[(?!\s*\])|(?<=[(=,])\s*[-+](?=[\w(.])")
-_OPENS = re.compile(r"\s*(?::[^={;]*?)?\s*\{")
 _DISPATCH = re.compile(r"\b([A-Za-z_$][\w$]*)\s*(\[)")
 _AFTER_KEY = re.compile(r"\s*(?:\?\.|!)?\s*(?:\.?\s*([A-Za-z_$][\w$]*)\s*)?(?:\?\.\s*)?\(")
-_HELD = re.compile(r"\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=;]+?)?=\s*(?:this\s*\.\s*)?([A-Za-z_$][\w$]*)\s*(\[)")
-_LITERAL = re.compile(r"\b([A-Za-z_$][\w$]*)\s*(?:[?!]?:[^=;(){}]+?)?(?<![=!<>])=\s*(\{)")
 _PROPERTY = re.compile(r"\s*(?:\[[^\]]*\]|[A-Za-z_$][\w$]*|[0-9]+)\s*:")
 _NAME = re.compile(r"(?:([A-Za-z_$][\w$]*(?:\s*\.\s*[A-Za-z_$][\w$]*)*)\s*\.\s*)?([A-Za-z_$][\w$]*)")
 _WRAPPED = re.compile(r"\s*(?:\bas\b|\bsatisfies\b).*$|\s*!\s*$", re.S)
@@ -58,16 +51,12 @@ def module_name(path: str) -> str:
     return re.sub(r"\.(ts|svelte)$", "", re.sub(r"^src/", "", re.sub(r"^src/lib/", "", path)))
 
 
-def _numeric(code: str) -> int:
-    """How much a function computes: 1 for an operation, an index or a sign, 2 for a loop."""
-    return sum(2 if m[0] in ("for", "while") else 1 for m in _NUMERIC.finditer(code))
-
-
 def _row(src: Source, path: str, module: str, grp: str, lang: str, short: str, kind: str, cls: str | None, exported: bool, start: int, body: int, stop: int, **more) -> dict:
+    doc_at = more.pop("doc_at", start)
     head = " ".join(src.text[start : min(x for x in (src.code.find("{", start), src.code.find("=>", start) + 2, stop + 1) if x > start)].split())
     return {
         "file": path, "module": module, "grp": grp, "lang": lang, "short": short, "kind": kind, "class_name": cls, "exported": exported, "start": start, "body": body, "stop": stop,
-        "line": src.line(start), "end_line": src.line(stop), "signature": head[:157] + "..." if len(head) > 160 else head, "doc": src.doc_before(start), "numeric_ops": _numeric(src.code[start : stop + 1]) if lang != "rust" else 0,
+        "line": src.line(start), "end_line": src.line(stop), "signature": head[:157] + "..." if len(head) > 160 else head, "doc": src.doc_before(doc_at), "numeric_ops": 0,
         "legacy_reactive": 0, "wasm": False, "in_test": False,
     } | more
 
@@ -90,71 +79,18 @@ def rust(path: str, text: str, crate: str) -> Iterator[dict]:
         )
 
 
-def _body(src: Source, at: int) -> tuple[int, int] | None:
-    """The span of a function whose parameters, name or keyword stand at ``at``."""
-    paren = at if src.code[at] == "(" else src.code.find("(", at) if src.code.startswith("function", at) else -1
-    after = src.end(paren) + 1 if paren >= 0 else at
-    m = re.compile(r"\s*(?::[^={;]*?)?\s*(=>|\{)").match(src.code, after) if paren >= 0 else re.compile(r"[\w$]+\s*(=>)").match(src.code, at)
-    if not m:
-        return None
-    if m[1] == "{":
-        return m.start(1), src.end(m.start(1))
-    first = re.compile(r"\s*").match(src.code, m.end(1)).end()
-    if src.code[first : first + 1] == "{":
-        return first, src.end(first)
-    i = first
-    while i < len(src.code) and src.code[i] not in ",;)}]":
-        i = src.end(i) + 1 if src.code[i] in "([{" else i + 1
-    return first, i - 1
-
-
-def typescript(path: str, text: str, grp: str) -> Iterator[dict]:
-    """Functions, methods, accessors, constructors, object-literal values and stores of a TypeScript or component file."""
-    component = path.endswith(".svelte")
-    source = Source(script_only(text) if component else text)
-    module, code, seen = module_name(path), source.code, set()
-
-    def row(short, kind, cls, exported, start, span):
-        seen.add(start)
-        return _row(source, path, module, grp, "ts", short, kind, cls, exported, start, span[0], span[1])
-
-    if component and text.strip():
-        name, whole = module.rsplit("/", 1)[-1], Source(text)
-        yield _row(whole, path, module, grp, "ts", name, "component", None, True, 0, 0, max(0, len(text) - 1), doc="", signature="", legacy_reactive=len(re.findall(r"(?m)^\s*\$:", code)), end_line=text.count("\n") + 1)
-    classes = [(m, m.start(3), source.end(m.start(3))) for m in _TS_CLASS.finditer(code)]
-    objects = [(m, m.start(3), source.end(m.start(3))) for m in _TS_OBJECT.finditer(code)]
-    for m in _TS_FUNCTION.finditer(code):
-        if span := _body(source, m.start(3)):
-            yield row(m[2], "function", None, bool(m[1]), m.start(), span)
-    for m in _TS_ARROW.finditer(code):
-        if span := _body(source, m.start(3)):
-            yield row(m[2], "function", None, bool(m[1]), m.start(), span)
-    for m, a, b in classes:
-        for f in _TS_METHOD.finditer(code, a, b):
-            if f[2] in _KEYWORDS - {"constructor"} or _depth(source, a, f.start(2)) or not (span := _body(source, f.start(3))):
-                continue
-            yield row(f"{m[2]}.{f[2]}", "accessor" if f[1] else "method", m[2], False, f.start(2), span)
-    for m, a, b in objects:
-        methods = [(f, f[2], f.start(3)) for f in _TS_METHOD.finditer(code, a + 1, b) if f[2] not in _KEYWORDS]
-        values = [(f, f[1], f.start(2)) for f in _TS_VALUE.finditer(code, a + 1, b)]
-        store = any(n == "subscribe" for _, n, _ in methods + values)
-        if store:
-            yield row(m[2], "store", None, bool(m[1]), m.start(), (a, b))
-        for f, name, at in methods + values:
-            if not _depth(source, a, f.start(0) + len(f[0]) - len(f[0].lstrip())) and (span := _body(source, at)):
-                yield row(name if store else f"{m[2]}.{name}", "method" if store else "function", m[2] if store else None, bool(m[1]), f.start(2 if (f, name, at) in methods else 1), span)
-
-
-def _depth(src: Source, opened: int, at: int) -> int:
-    """How many brackets inside the one at ``opened`` are open at ``at``."""
-    i, depth = opened + 1, 0
-    while i < at:
-        if src.code[i] in "([{":
-            if (end := src.end(i)) >= at:
-                return 1
-            i = end
-        i += 1
-    return depth
+def typescript(path: str, text: str, grp: str, found: Module | None = None) -> Iterator[dict]:
+    """Functions, methods, accessors, constructors, object-literal values and stores of a TypeScript file; a component file is one node."""
+    module = module_name(path)
+    if path.endswith(".svelte"):
+        if text.strip():
+            code, name = script_only(text), module.rsplit("/", 1)[-1]
+            more = {"doc": "", "signature": "", "legacy_reactive": len(re.findall(r"(?m)^\s*\$:", code)), "end_line": text.count("\n") + 1}
+            yield _row(Source(text), path, module, grp, "ts", name, "component", None, True, 0, 0, max(0, len(text) - 1), **more)
+        return
+    found, source = found or Module(text), Source(text)
+    for d in found.found:
+        yield _row(source, path, module, grp, "ts", d.short, d.kind, d.cls, d.exported, d.start, d.body, d.stop, doc_at=d.doc_at, numeric_ops=found.tokens.numeric(d.start, d.stop))
 
 
 def bare_argument(text: str) -> str:
@@ -199,37 +135,32 @@ def _values(src: Source, opened: int) -> Iterator[tuple[str, str | None, str, in
             yield key, n[1] and re.sub(r"\s", "", n[1]), n[2], m.end()
 
 
-def entries(path: str, text: str, module: str) -> Iterator[dict]:
-    """Functions that object literals hold under keys; a registry is called by the name that the literal is given."""
-    src = Source(script_only(text) if path.endswith(".svelte") else text)
-    for m in _LITERAL.finditer(src.code):
-        for key, receiver, name, _ in _values(src, m.start(2)):
-            yield {"file": path, "module": module, "registry": m[1], "key": key, "receiver": receiver, "name": name}
-
-
-def calls(path: str, text: str, module: str, test: bool = False) -> Iterator[dict]:
-    """Calls by name and receiver, functions handed over, calls through keys, and, in component files, reads of stores (receiver ``$``)."""
+def calls(path: str, text: str, module: str, test: bool = False, found: Module | None = None) -> Iterator[dict]:
+    """Calls by name and receiver (of ``this``: its class), functions handed over, calls through keys, and, in component files, reads of stores (receiver ``$``)."""
     component, is_rust = path.endswith(".svelte"), path.endswith(".rs")
-    src = Source(script_only(text) if component else text, rust=is_rust)
+    code = script_only(text) if component else text
+    src = Source(code, rust=is_rust)
+    found = found or (None if is_rust else Module(code))
     tests = [(m.start(1), src.end(m.start(1))) for m in _RUST_TEST.finditer(src.code)] if is_rust else []
 
-    def row(at: int, receiver: str | None, name: str | None, how: str) -> dict:
-        return {"file": path, "module": module, "at": at, "receiver": receiver, "name": name, "in_test": test or any(a < at < b for a, b in tests), "how": how}
+    def row(at: int, receiver: str | None, name: str | None, how: str, steps: int = 0) -> dict:
+        if receiver == "this" and found:
+            receiver = max(((a, name) for a, b, name in found.classes if a < at < b), default=(0, ""))[1]
+        return {"file": path, "module": module, "at": at, "receiver": receiver, "name": name, "in_test": test or any(a < at < b for a, b in tests), "how": how, "steps": steps}
 
-    held = {} if is_rust else {m[1]: m[2] for m in _HELD.finditer(src.code)}
     for m in _CALL.finditer(src.code):
         before = src.code[max(0, m.start() - 12) : m.start()]
         if m[3] in _KEYWORDS or re.search(r"\b(function|fn)\s*\*?\s*$", before):
             continue
-        if not m[1] and not m[2] and before.rstrip()[-1:] in ("{", "}", ",", ";") and _OPENS.match(src.code, src.end(m.end() - 1) + 1):
-            continue  # a method where it is declared
+        if found and (m.start(3) in found.named or any(a <= m.start(3) < b for a, b in found.types)):
+            continue  # where it is declared, or a type
         yield row(m.start(3), m[1] or (m[2] and ""), m[3], "call")
         if is_rust:
             continue
-        if m[1] in held:
-            yield row(m.start(3), held[m[1]], m[3], "dispatch")
-        elif not m[1] and not m[2] and m[3] in held:
-            yield row(m.start(3), held[m[3]], None, "dispatch")
+        if m[1] and m[1] != "this":
+            yield row(m.start(3), m[1], m[3], "dispatch")
+        elif not m[1] and not m[2]:
+            yield row(m.start(3), m[3], None, "dispatch")
         opened = m.end() - 1
         for a, b in _parts(src, opened + 1, src.end(opened)):
             argument = bare_argument(src.code[a:b])
@@ -240,34 +171,57 @@ def calls(path: str, text: str, module: str, test: bool = False) -> Iterator[dic
                     yield row(place, receiver, name, "pass")
     if not is_rust:
         for m in _DISPATCH.finditer(src.code):
-            after = _AFTER_KEY.match(src.code, src.end(m.start(2)) + 1)
+            steps, close = 1, src.end(m.start(2))
+            while src.code[close + 1 : close + 2] == "[":  # further keys
+                steps, close = steps + 1, src.end(close + 1)
+            after = _AFTER_KEY.match(src.code, close + 1)
             if after and m[1] not in _KEYWORDS:
-                yield row(m.start(1), m[1], after[1], "dispatch")
+                yield row(m.start(1), m[1], after[1], "dispatch", steps)
     if component:
         for m in _STORE_READ.finditer(text):
             yield row(m.start(), "$", m[1], "call")
 
 
-def imports(path: str, text: str, module: str, aliases: dict[str, str]) -> Iterator[dict]:
-    """Imported names and the modules they come from; path aliases by longest prefix, relative paths by folder."""
-    for m in _IMPORT.finditer(script_only(text) if path.endswith(".svelte") else text):
-        names = [(m[1], "default")] if m[1] else []
-        for part in filter(None, (x.strip() for x in (m[2] or "").split(","))):
-            original, _, local = part.removeprefix("type ").partition(" as ")
-            names.append(((local or original).strip(), original.strip()))
-        target = m[3]
-        known = [a for a in aliases if target == a or target.startswith(a + "/")]
-        if known:
-            best = max(known, key=len)
-            target = aliases[best] + target[len(best) :]
-        elif target.startswith("."):
-            parts: list[str] = path.split("/")[:-1]
-            for step in target.split("/"):
-                parts = parts if step == "." else parts[:-1] if step == ".." else [*parts, step]
-            target = "/".join(parts)
-        for local, original in names:
-            yield {"file": path, "module": module, "local": local, "original": original, "target": module_name(target)}
-
-
-def frame(rows: Iterator[dict], ddl: str) -> pd.DataFrame:
-    return pd.DataFrame(list(rows), columns=[x.split(" ")[0] for x in ddl.split(", ")])
+def place_of(specifier: str, path: str, aliases: Mapping[str, str]) -> str | None:
+    """The path that a module specifier means in a file: by the longest path alias, or relative to the file's folder; None for packages."""
+    known = [a for a in aliases if specifier == a or specifier.startswith(a + "/")]
+    if known:
+        best = max(known, key=len)
+        target = aliases[best] + specifier[len(best) :]
+    elif specifier.startswith("."):
+        target = "/".join([*path.split("/")[:-1], specifier])
+    else:
+        return None
+    parts: list[str] = []
+    for step in target.split("/"):
+        parts = parts if step in (".", "") else parts[:-1] if step == ".." else [*parts, step]
+    return re.sub(r"\.[jt]s$", "", "/".join(parts))
+
+
+def facts(path: str, text: str, aliases: Mapping[str, str], rust_crates: Sequence[str], prefix: str | None) -> Iterator[tuple[str, dict]]:
+    """(kind, row) of everything that a file holds: columns of ``FACTS``."""
+    if path.endswith(".rs"):
+        crate = path.split("/")[0]
+        if crate in rust_crates:
+            module = f"{crate}/{path.rsplit('/', 1)[-1].removesuffix('.rs')}"
+            yield from (("decl", d) for d in rust(path, text, crate))
+            yield from (("call", c) for c in calls(path, text, module))
+        return
+    module, declares = module_name(path), not path.endswith((".test.ts", ".d.ts"))
+    found = Module(script_only(text) if path.endswith(".svelte") else text)
+    if declares:
+        parts = module.split("/")
+        yield from (("decl", d) for d in typescript(path, text, parts[1] if parts[0] == prefix and len(parts) > 1 else parts[0], found))
+        for registry, key, receiver, name in found.entries:
+            yield "entry", {"file": path, "module": module, "registry": registry, "key": key, "receiver": receiver, "name": name}
+    if declares or (path.endswith(".test.ts") and "/src/" in "/" + path):
+        yield from (("call", c) for c in calls(path, text, module, path.endswith(".test.ts"), found))
+    for name, base, steps in found.holders:
+        yield "holder", {"file": path, "module": module, "name": name, "base": base, "steps": steps}
+    for local, name, specifier in found.links.imports:
+        if place := place_of(specifier, path, aliases):
+            yield "brings", {"file": path, "module": module, "local": local, "name": name, "place": place}
+    for name, specifier, original in found.links.exports:
+        place = place_of(specifier, path, aliases) if specifier else None
+        if place or not specifier:
+            yield "gives", {"module": module, "name": name, "place": place, "original": original}

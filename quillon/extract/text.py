@@ -5,8 +5,8 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 
-_TS = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|[`{}]", re.S)
-_TEMPLATE = re.compile(r"\\.|`|\$\{", re.S)
+from .syntax import Tokens
+
 _RUST = re.compile(r"//[^\n]*|/\*|\bb?r(#*)\".*?\"\1|b?\"(?:\\.|[^\"\\])*\"|b?'(?:\\(?:x..|u\{[^}]*\}|.)|[^'\\\n])'", re.S)
 _RUST_COMMENT = re.compile(r"/\*|\*/")
 _BRACKET = re.compile(r"[(){}\[\]]")
@@ -25,43 +25,6 @@ def _blanked(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def _typescript_spans(text: str) -> list[tuple[int, int]]:
-    """Comments, strings and the literal parts of templates; the code in a template's ``${...}`` is code."""
-    spans, at, braces = [], 0, []  # braces: how many are open inside each template that is left for its code
-
-    def template(start: int) -> int:
-        i = start
-        while m := _TEMPLATE.search(text, i):
-            i = m.end()
-            if m[0] == "`":
-                spans.append((start, i))
-                return i
-            if m[0] == "${":
-                spans.append((start, i))
-                braces.append(0)
-                return i
-        spans.append((start, len(text)))
-        return len(text)
-
-    while m := _TS.search(text, at):
-        at = m.end()
-        if m[0] == "`":
-            at = template(m.start() + 1)
-            spans[-1] = (m.start(), spans[-1][1])
-        elif m[0] == "{":
-            if braces:
-                braces[-1] += 1
-        elif m[0] == "}":
-            if braces and not braces[-1]:
-                braces.pop()
-                at = template(m.start())
-            elif braces:
-                braces[-1] -= 1
-        else:
-            spans.append(m.span())
-    return spans
-
-
 def _rust_spans(text: str) -> list[tuple[int, int]]:
     """Comments (which nest), strings, raw strings and characters; a lifetime's mark is code."""
     spans, at = [], 0
@@ -79,7 +42,7 @@ def _rust_spans(text: str) -> list[tuple[int, int]]:
 
 def blank(source: str, rust: bool = False) -> str:
     """The same length and lines, with nothing in comments and strings."""
-    return _blanked(source, _rust_spans(source) if rust else _typescript_spans(source))
+    return _blanked(source, _rust_spans(source) if rust else Tokens(source).blanks)
 
 
 class Source:

@@ -346,6 +346,14 @@ best AS (SELECT min(path) AS path FROM trail WHERE id = 'part/150'), steps AS (S
       SELECT page_id AS src, target AS dst, CAST(sum(n) AS BIGINT) AS cnt FROM (SELECT *, min(tier) OVER (PARTITION BY page_id, link) AS best FROM hits) WHERE tier = best AND page_id <> target GROUP BY 1, 2"""
     out["scan_svelte"] = r"SELECT page_id, array_to_string(regexp_extract_all(html, '(?is)<script\b[^>]*>(.*?)</script>', 1), chr(10)) AS script FROM pages"
     unit, script, conf = names.UNIT_FILE, names.SCRIPT_FILE, names.CONFIG_FILE
+    known = "s AS (SELECT a.s_suppkey AS k, a.s_nationkey AS n, a.s_suppkey * 7 % 25 AS m, b.s_suppkey AS after FROM supplier a LEFT JOIN supplier b ON b.s_suppkey = a.s_suppkey + 1)"
+    out["extract_declarations"] = f"""WITH {known}, d(name, kind, cls, exported, line, loc, numeric_ops) AS (VALUES ('twice{{}}', 'function', false, true, 4, 1, 1), ('own{{}}', 'function', false, true, 5, 3, 3), ('Box{{}}.get v', 'accessor', true, false, 10, 1, 1),
+        ('Box{{}}.set v', 'accessor', true, false, 11, 1, 0), ('Box{{}}.run', 'method', true, false, 12, 1, 0), ('Box{{}}.step', 'method', true, false, 13, 1, 2), ('table{{}}.b', 'function', false, false, 15, 1, 0), ('pick{{}}', 'function', false, true, 16, 5, 1), ('held{{}}', 'store', false, true, 21, 1, 1), ('bump{{}}', 'function', false, true, 22, 1, 1))
+      SELECT replace(name, '{{}}', CAST(k AS VARCHAR)) AS name, 'services/s' || k AS module, 'services' AS grp, kind, CASE WHEN cls THEN 'Box' || k END AS class_name, exported, CAST(line AS BIGINT) AS line, CAST(loc AS BIGINT) AS loc, CAST(numeric_ops AS BIGINT) AS numeric_ops, name = 'own{{}}' AS module_used FROM s, d
+      UNION ALL SELECT 'hub' || n_nationkey, 'core/n' || n_nationkey, 'core', 'function', NULL, true, 1, 3, 0, false FROM nation"""
+    out["extract_edges"] = f"""WITH {known}, e(caller, callee) AS (VALUES ('twice{{}}', 'hub<n>'), ('own{{}}', 'twice{{}}'), ('own{{}}', 'hub<m>'), ('Box{{}}.set v', 'own{{}}'), ('Box{{}}.run', 'Box{{}}.step'), ('Box{{}}.step', 'own<after>'), ('table{{}}.b', 'own{{}}'), ('pick{{}}', 'twice{{}}'), ('pick{{}}', 'table{{}}.b'), ('bump{{}}', 'held{{}}'))
+      SELECT replace(caller, '{{}}', CAST(k AS VARCHAR)) AS caller, replace(replace(replace(replace(callee, '{{}}', CAST(k AS VARCHAR)), '<n>', CAST(n AS VARCHAR)), '<m>', CAST(m AS VARCHAR)), '<after>', coalesce(CAST(after AS VARCHAR), '')) AS callee, CAST(1 AS BIGINT) AS cnt
+      FROM s, e WHERE callee <> 'own<after>' OR after IS NOT NULL"""
     out["page_files"] = f"""WITH {paths}, f AS (SELECT page_id, html, regexp_extract(path, '^([^/]*)', 1) AS dir0, ['/.docs/', '/scripts/', '/node_modules/', '/x/'][page_id % 4 + 1] AS folder, ['.md', '.service', '.json', '.sh', '.bin', '.mdx', ''][page_id % 7 + 1] AS ext FROM pg),
       g AS (SELECT *, dir0 || folder || 'f' || page_id || ext AS path, 'f' || page_id || ext AS base, CAST(octet_length(encode(html)) AS BIGINT) AS n FROM f)
       SELECT page_id, path, CASE WHEN regexp_matches(base, '{unit}') THEN 'systemd' WHEN ext IN ('.md', '.mdx') THEN CASE WHEN folder = '/.docs/' THEN 'docs' ELSE 'notes' END

@@ -3,15 +3,24 @@
 from __future__ import annotations
 
 import contextlib
+import os
 import re
 import tempfile
 import uuid
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def reach_workers(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it (a cluster gets it with --py-files as well)."""
+    here, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    if here not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), here]))
+
+
 def local_part(path: str) -> str:
     """A path without scheme and authority, as it stands in the paths that a scan returns, with a slash behind it."""
     return re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", path).rstrip("/") + "/"

@@ -5,7 +5,7 @@ import json
 import pytest
 
 from quillon.config import Config, load_project, tsconfig
-from quillon.extract import build, scan, text
+from quillon.extract import build, scan, syntax, text
 from quillon.operators import endpoints, paths, rules
 from quillon.plans.dispatch import dispatch
 from quillon.sources import graph_json
@@ -157,8 +157,8 @@ def test_declarations(farm):
         by_kind.setdefault(r["kind"], set()).add(short)
     assert by_kind == {
         "function": {"rowsOf", "median", "ranked", "byValue", "prune", "water", "rest", "advance", "finish", "schedule", "relay", "millAll", "weigh", "grind_all"},
-        "method": {"Plot.describe", "Orchard.constructor", "Orchard.area", "Orchard.harvest", "Market.open", "subscribe", "update", "Mill.feed", "Mill.sign"},
-        "accessor": {"Plot.label"}, "store": {"sold"}, "component": {"Stall"},
+        "method": {"Plot.area", "Plot.describe", "Orchard.constructor", "Orchard.area", "Orchard.harvest", "Market.open", "subscribe", "update", "Mill.feed", "Mill.sign"},
+        "accessor": {"Plot.get label"}, "store": {"sold"}, "component": {"Stall"},
     }
     assert {s for s, r in got.items() if r["exported"] and r["lang"] == "ts" and r["kind"] == "function"} == {"rowsOf", "median", "advance", "finish", "schedule", "millAll"}
     assert got["rowsOf"]["doc"] == "Splits a list into rows of a width." and (got["rowsOf"]["line"], got["rowsOf"]["end_line"], got["rowsOf"]["loc"]) == (6, 12, 7)
@@ -174,7 +174,7 @@ def test_calls_by_name_and_import(calls):
 
 
 def test_code_in_templates_is_code(calls):
-    assert {b for a, b in calls if a == "Plot.label"} == {"Plot.describe", "median"} and not any(a == "Plot.describe" for a, _ in calls)
+    assert {b for a, b in calls if a == "Plot.get label"} == {"Plot.describe", "median"} and not any(a == "Plot.describe" for a, _ in calls)
 
 
 def test_functions_handed_over(calls):
@@ -222,10 +222,10 @@ def test_endpoints(farm):
     assert not dispatch(farm, "/path", {"from": "byValue", "to": "finish"})[1]["reachable"] and not dispatch(farm, "/path", {"from": "finish", "to": "byValue", "max": "4"})[1]["reachable"]
     assert not dispatch(farm, "/path", {"from": "rest", "to": "rest"})[1]["reachable"]
     assert {c["name"] for c in dispatch(farm, "/callers", {"name": "prune"})[1]["callers"]} == {"advance", "finish"}
-    assert dispatch(farm, "/stats")[1]["functions"] == 26 and dispatch(farm, "/function", {"name": "none such"})[0] == 404
+    assert dispatch(farm, "/stats")[1]["functions"] == 27 and dispatch(farm, "/function", {"name": "none such"})[0] == 404
     assert dispatch(farm, "/function", {"name": "e"})[1]["ambiguous"] is True and dispatch(farm, "/function")[0] == 400 and dispatch(farm, "/else")[0] == 404
     assert dispatch(farm, "/functions", {"testReachable": "true", "module": "utils/spans"})[1]["count"] == 4
-    assert len(dispatch(farm, "/functions", {"limit": "-20"})[1]["functions"]) == 6 and dispatch(farm, "/functions", {"module": "nowhere"})[1]["count"] == 0
+    assert len(dispatch(farm, "/functions", {"limit": "-20"})[1]["functions"]) == 7 and dispatch(farm, "/functions", {"module": "nowhere"})[1]["count"] == 0
     assert dispatch(farm, "/module", {"name": "spans"})[1]["used_by"] == [{"module": "core/Orchard", "callSites": 3}]
     assert dispatch(farm, "/files", {"q": "TYPES"})[1]["count"] == 1
 
@@ -325,3 +325,139 @@ def test_scripts_and_blanks_keep_their_place():
 @pytest.mark.parametrize(("given", "bare"), [("f", "f"), (" (f) ", "f"), ("f as Handler", "f"), ("({ a: b } satisfies T)", "{ a: b }"), ("f!", "f"), ("(a)(b)", "(a)(b)"), ("x.y as unknown as Z", "x.y")])
 def test_arguments_without_wrappers(given, bare):
     assert scan.bare_argument(given) == bare
+
+
+GROVE = {
+    "src/lib/a/body.ts": """const own = (n: number) => n, foo = (n) => { n; };
+const p = () => own(1);
+const q = () => 1 + own(2);
+const r = async (x) => await own(x);
+const s = x => foo(x);
+export function t() { return foo(3) }
+const memo = lazily(() => foo(4));
+function lazily(make = own(5)) { return make; }
+""",
+    "src/lib/a/kinds.ts": """import { writable as made, derived } from 'svelte/store';
+export class Pump {
+  private state = { a: 1 };
+  get level(): number { return this.read(); }
+  set level(n: number) { this.write(n); }
+  read = () => 1;
+  write = async (n: number): Promise<void> => { const local = () => this.read(); local(); };
+  idle = function () { return 0; };
+}
+export const count = made(0);
+export const twice = derived<number>(count, ($c) => $c * 2);
+export const plain = { size: 1 };
+export function raise() { count.update((n) => n + 1); }
+""",
+    "src/lib/a/Meter.svelte": """<script lang="ts">
+  import { count, twice as double } from './kinds';
+  function local() { return 1; }
+</script>
+<p>{$count} {$double}</p>
+""",
+    "src/lib/b/one.ts": "export function alpha() {}\nexport function beta() {}\nexport default function gamma() {}\nfunction hidden() {}\nexport { hidden as shown };\n",
+    "src/lib/b/two.ts": "import { beta } from './one';\nexport function alpha() {}\nexport { beta as relayed };\nexport * from './three';\n",
+    "src/lib/b/three.ts": "export * from './two';\nexport * from './one';\nexport function delta() {}\n",
+    "src/lib/b/index.ts": "export * from './two';\nexport { default as fifth } from './one';\nexport * as inner from './one';\n",
+    "src/lib/c/use.ts": """import * as ns from '../b/one';
+import main from '../b/one';
+import { alpha, delta, relayed, fifth, shown, inner } from '../b';
+import type { Nothing } from './none';
+export function u1() { ns.alpha(); }
+export function u2() { main(); }
+export function u3() { alpha(); }
+export function u4() { delta(); }
+export function u5() { relayed(); }
+export function u6() { fifth(); }
+export function u7() { shown(); }
+export function u8() { inner.beta(); }
+export function u9() { ns.missing(); }
+""",
+    "src/lib/d/registry.ts": """export const table = { open: { run: first }, shut: { run: second, other: () => third() } };
+function first() {}
+function second() {}
+function third() {}
+export class Desk {
+  handlers = { go: first, stop: (n) => second() };
+  act(key) { const h1 = this.handlers[key]; const h2 = h1; const h3 = h2; h3(1); }
+  far(key) { const w1 = this.handlers[key]; const w2 = w1; const w3 = w2; const w4 = w3; const w5 = w4; const w6 = w5; const w7 = w6; w7(1); }
+}
+export function each(key) { table[key].run(); }
+export function any(a, b) { table[a][b](); }
+export function list(xs) { xs[0].map(first); }
+""",
+    "src/lib/d/away.ts": "import { table as held } from './registry';\nexport function there(k) { const now = held[k]; now.run(); }\n",
+}
+
+
+@pytest.fixture(scope="module")
+def grove(spark, tmp_path_factory):
+    g = build.extract(build.read_files(spark, tree(tmp_path_factory.mktemp("grove"), GROVE)), CONFIG, ALIASES)
+    name = {r["id"]: r["name"] for r in g.nodes.collect()}
+    return {(r["file"].rsplit("/", 1)[-1], r["name"]): r for r in g.nodes.collect()}, {(name[r["src"]], name[r["dst"]]) for r in g.edges.collect()}
+
+
+def test_an_expression_that_is_the_body_belongs_to_it(grove):
+    nodes, calls = grove
+    assert {(a, b) for a, b in calls if b in ("own", "foo")} == {("p", "own"), ("q", "own"), ("r", "own"), ("s", "foo"), ("t", "foo")}
+    used = {name for (file, name), r in nodes.items() if file == "body.ts" and r["module_used"]}
+    assert used == {"lazily", "foo"}  # foo by the function that only lazily() gets; own(5) stands among parameters
+
+
+def test_members_and_accessors_are_kept_apart(grove):
+    nodes, calls = grove
+    kinds = {name: (r["kind"], r["class_name"]) for (file, name), r in nodes.items() if file == "kinds.ts"}
+    assert kinds == {
+        "Pump.get level": ("accessor", "Pump"), "Pump.set level": ("accessor", "Pump"), "Pump.read": ("method", "Pump"), "Pump.write": ("method", "Pump"), "Pump.idle": ("method", "Pump"), "Pump.local": ("function", "Pump"),
+        "count": ("store", None), "twice": ("store", None), "raise": ("function", None),
+    }
+    assert {(a, b) for a, b in calls if a.startswith("Pump.")} == {("Pump.get level", "Pump.read"), ("Pump.set level", "Pump.write"), ("Pump.local", "Pump.read"), ("Pump.write", "Pump.local")}
+
+
+def test_stores_of_factories_are_read_and_updated(grove):
+    nodes, calls = grove
+    assert {(a, b) for a, b in calls if b in ("count", "twice")} == {("raise", "count"), ("Meter", "count"), ("Meter", "twice")}
+    assert [name for file, name in nodes if file == "Meter.svelte"] == ["Meter"]
+
+
+def test_names_are_followed_through_modules(grove):
+    nodes, calls = grove
+    assert {(a, b) for a, b in calls if a.startswith("u")} == {("u1", "alpha"), ("u2", "gamma"), ("u3", "alpha"), ("u4", "delta"), ("u5", "beta"), ("u6", "gamma"), ("u7", "hidden"), ("u8", "beta")}
+
+
+def test_own_exports_shadow_starred_ones(spark):
+    gives = spark.createDataFrame([("m", "*", "n", "*"), ("m", "a", None, "a0"), ("n", "a", None, "a1"), ("n", "b", None, "b1"), ("n", "default", None, "d"), ("n", "*", "m", "*"), ("m", "k", "n", "b"), ("p", "q", None, "local")], "module string, name string, source string, original string")
+    brings = spark.createDataFrame([("p", "local", "m", "k"), ("x", "ns", "n", "*")], "module string, local string, source string, name string")
+    wanted = spark.createDataFrame([("m", "a"), ("m", "b"), ("m", "default"), ("m", "none"), ("p", "q"), ("z", "free")], "module string, name string")
+    got = {(r["module"], r["name"]): (r["d_module"], r["d_name"]) for r in build.exported_names(wanted, gives, brings).collect()}
+    assert (got["m", "a"], got["m", "b"], got["p", "q"], got["z", "free"], got["m", "default"]) == (("m", "a0"), ("n", "b1"), ("n", "b1"), ("z", "free"), ("m", "default"))
+
+
+def test_registries_are_found_through_values(grove):
+    nodes, calls = grove
+    assert {b for a, b in calls if a == "Desk.act"} == {"first", "Desk.handlers.stop"} and not any(a == "Desk.far" for a, _ in calls)
+    assert {b for a, b in calls if a == "each"} == {"first", "second"} and {b for a, b in calls if a == "any"} == {"first", "second", "table.shut.other"}
+    assert {b for a, b in calls if a == "there"} == {"first", "second"} and {b for a, b in calls if a == "list"} == {"first"}
+    assert nodes["registry.ts", "Desk.handlers.stop"]["short"] == "Desk.stop"
+
+
+@pytest.mark.parametrize(
+    ("code", "weight"),
+    [
+        ("a + b", 1), ("-x", 1), ("+x + -y", 3), ("x[i]", 1), ("x[0][1]", 2), ("x?.[0]", 1), ("f(x, y)[0]", 1), ("for (;;) {}", 2), ("for (const a of b) {}", 2), ("for await (const a of b) {}", 2), ("for (const a in b) {}", 0),
+        ("while (x) {}", 2), ("do { x } while (y)", 0), ("a * b / c % d ** e", 4), ("i++; --j; k += 1", 0), ("'a' + b", 1), ("let x: number[] = y;", 0), ("const x: Foo['bar'] = y", 0), ("const [a, b] = c", 0), ("f(a as Foo[], b)", 0),
+        ("/a+b/.test(c)", 0), ("a / b / c", 2), ("if (a) /b+/.exec(c)", 0), ("return /x*[/]y/g", 0), ("function* g() {}", 0), ("a < b && c > d", 0), ("new Map<string, number[]>()", 0), ("`${a + b} + c`", 1), ("(a: number[]) => a[0]", 1),
+        ("x = y ? [1] : [2]", 0), ("type A = B[0];", 0), ("{ [k]: 1 }", 0), ("return [a][0] - 1", 2), ("// a + b\n/* c * d */ '+'", 0),
+    ],
+)
+def test_numeric_weights(code, weight):
+    assert syntax.Tokens(code).numeric(0, len(code)) == weight
+
+
+@pytest.mark.parametrize("code", ["", "}", "(", "`${", "`${a", "class", "class {", "const", "const x", "export", "export {", "export default", "import", "import {", "x => ", "a ? b :", "({", "function", "function f(", "get", "'", "/", "<", "type", "type A", "async", "@", "\\", "export const x: Map<", "class A { static", "class A { get", "class A { x", "for (", "\u2028 é"])
+def test_broken_sources_end(code):
+    module = syntax.Module(code)
+    list(scan.calls("a.ts", code, "a")), list(scan.typescript("a.ts", code, "g"))
+    assert module.tokens.numeric(0, len(code)) >= 0
