@@ -102,15 +102,17 @@ class Commands:
         self.say(reports.diff_report(graph_json.read(self.spark, old), g)[0])
         return 0
 
-    def watch(self, name: str | None, every: str | None = "1 second") -> int:
-        """Builds again after each burst of changed sources, until it is stopped (``every`` unset: what is there, once)."""
+    def watch(self, name: str | None, every: str | None = "200 milliseconds") -> int:
+        """Builds again after each burst of changed, new or deleted sources, until it is stopped (``every`` unset: one look)."""
         r = self.registered(name)
         project = load_project(os.path.join(r["path"], SETTINGS))
         self.build(r["name"])
-        changes = watch.watched(self.spark, os.path.join(r["path"], project.component_root))
         state = os.path.join(self.data, f".watch-{r['name']}-{os.getpid()}")
-        query = watch.rebuild_on_change(changes, lambda batch: self.build(r["name"]), state, every)
-        query.awaitTermination()
+        watcher = watch.Watcher(self.spark, os.path.join(r["path"], project.component_root), lambda changed: self.build(r["name"]), f"{state}/state")
+        if every:
+            watcher.start(f"{state}/ticks", every).awaitTermination()
+        else:
+            watcher.look()
         return 0
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
-from datetime import datetime
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +17,7 @@ from ..config import Config
 from ..functions import names
 from ..graph import Graph, with_degrees
 from ..operators import rollups
-from ..shared import global_index, local_part
+from ..shared import global_index, local_part, reach_workers, save
 
 
 @dataclass(frozen=True)
@@ -38,62 +41,90 @@ def kept(files: DataFrame, config: FsConfig) -> DataFrame:
     return files.filter(~names.ignored(path, list(config.ignore)) & names.keep_file(path, list(config.extensions), list(config.name_globs)))
 
 
-def _listing(spark: SparkSession, root: str, ignore: tuple[str, ...]) -> tuple[list[tuple], list[str]]:
-    """(path, size, mtime) of all files below a root, and its hidden folders. Ignored folders, links and what can't be read are left out.
+def _children(uri: str, folder: str) -> Iterator[tuple[str, bool, int, float]]:
+    """(name, whether a folder, size, seconds of the last change) of what a folder holds, links left out."""
+    if uri.startswith("file:"):
+        with os.scandir(os.path.join(local_part(uri), folder)) as entries:
+            for e in entries:
+                if not e.is_symlink():
+                    stat = e.stat()
+                    yield e.name, e.is_dir(), stat.st_size, stat.st_mtime
+        return
+    store, base = fs.FileSystem.from_uri(uri)
+    for info in store.get_file_info(fs.FileSelector(f"{base.rstrip('/')}/{folder}".rstrip("/"))):
+        yield info.base_name, info.type == fs.FileType.Directory, info.size or 0, info.mtime.timestamp() if info.mtime else 0.0
 
-    The driver lists, as it does for any scan; only names, sizes and times are held.
-    """
-    skip = re.compile("|".join(map(names.glob_pattern, ignore))) if ignore else None
-    base, found, hidden = local_part(root), [], []
+
+def _uri(spark: SparkSession, root: str) -> str:
     where = spark._jvm.org.apache.hadoop.fs.Path(root)
-    store = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    local = store.getUri().getScheme() == "file"
-
-    def children(folder: str):
-        if local:
-            with os.scandir(base + folder) as entries:
-                for e in sorted(entries, key=lambda e: e.name):
-                    if not e.is_symlink():
-                        stat = e.stat()
-                        yield e.name, e.is_dir(), stat.st_size, stat.st_mtime
-        else:
-            for s in sorted(store.listStatus(spark._jvm.org.apache.hadoop.fs.Path(where, folder) if folder else where), key=lambda s: s.getPath().getName()):
-                if not s.isSymlink():
-                    yield s.getPath().getName(), s.isDirectory(), s.getLen(), s.getModificationTime() / 1000
-
-    folders = [""]
-    while folders:
-        folder = folders.pop()
-        try:
-            for name, is_folder, size, mtime in children(folder):
-                path = f"{folder}/{name}" if folder else name
-                if skip and skip.search(path):
-                    continue
-                if is_folder:
-                    folders.append(path)
-                    if name.startswith((".", "_")):
-                        hidden.append(path)
-                else:
-                    found.append((path, size, datetime.fromtimestamp(mtime)))
-        except OSError:
-            continue
-    return found, hidden
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(where).toString()
+
+
+def listing(spark: SparkSession, root: str, ignore: tuple[str, ...] = (), label: str = "level") -> DataFrame:
+    """path, size, mtime of all files below a root. Links are left out, as is what can't be read.
+
+    The tree is listed level by level: tasks list the folders of a level, drop what an ignore glob matches before they go
+    down, and hand on files and folders as a table; the driver learns whether there is a further level, and no names. The
+    root has to be a folder that the executors see.
+    """
+    uri, skip = _uri(spark, root), "|".join(map(names.glob_pattern, ignore))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ignored = re.compile(skip) if skip else None
+        for batch in batches:
+            found = []
+            for folder in batch.column(0).to_pylist():
+                with contextlib.suppress(OSError):
+                    for name, is_folder, size, mtime in _children(uri, folder):
+                        path = f"{folder}/{name}" if folder else name
+                        if not (ignored and ignored.search(path)):
+                            found.append((path, is_folder, size, int(mtime * 1_000_000)))
+            yield pa.record_batch([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.bool_(), pa.int64(), pa.int64()))], names=["path", "is_folder", "size", "micros"])
+
+    reach_workers(spark)
+    level, levels = spark.createDataFrame([("",)], "path string"), []
+    while True:
+        found = save(level.mapInArrow(rows, "path string, is_folder boolean, size long, micros long"), label)
+        levels.append(found.filter("NOT is_folder").select("path", "size", F.timestamp_micros("micros").alias("mtime")))
+        folders = found.filter("is_folder").select("path")
+        if folders.isEmpty():
+            break
+        level = folders.repartition("path")  # what a folder holds may be uneven, so its folders are dealt anew
+    out = levels[0]
+    for further in levels[1:]:
+        out = out.unionByName(further)
+    return out
 
 
 def walk(spark: SparkSession, root: str, config: FsConfig, content: bool = True) -> DataFrame:
     """path, size, mtime (and text of files that aren't too large) of the kept files of a folder tree; links are not followed.
 
-    The guard on the size reaches the scan of the texts, so large files are not read. A scan leaves hidden folders and
-    empty files out by itself, so the files come from a listing, and hidden folders are scanned as roots of their own.
+    Tasks list the folders and read the texts. The guard on the size stands before the reading, so large files aren't read.
     """
-    found, hidden = _listing(spark, root, config.ignore)
-    listed = kept(spark.createDataFrame(found, "path string, size long, mtime timestamp"), config)
+    listed = kept(listing(spark, root, config.ignore), config)
     if not content:
         return listed
-    roots = [root, *(f"{root.rstrip('/')}/{h}" for h in hidden)]
-    texts = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots).filter(F.col("length") <= config.most_bytes)
-    texts = texts.select(F.substring_index("path", local_part(root), -1).alias("path"), F.decode("content", "UTF-8").alias("text"))
-    return listed.join(texts, "path", "left")
+    uri, most = _uri(spark, root), config.most_bytes
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = None if uri.startswith("file:") else fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for i, (path, size) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                text = None
+                if size <= most:
+                    with contextlib.suppress(OSError):
+                        if store:
+                            with store[0].open_input_file(f"{store[1].rstrip('/')}/{path}") as f:
+                                text = f.read()
+                        else:
+                            with open(os.path.join(local_part(uri), path), "rb") as f:
+                                text = f.read()
+                row = batch.slice(i, 1)
+                yield pa.record_batch([*row.columns, pa.array([text.decode("utf-8", "replace") if text is not None else None], pa.string())], names=["path", "size", "mtime", "text"])
+
+    reach_workers(spark)
+    # the files of a listing are few bytes each: deal them out, so that their texts are read by many tasks
+    return save(listed.select("path", "size", "mtime").repartition("path"), "files").mapInArrow(texts, "path string, size long, mtime timestamp, text string")
 
 
 def _targets(files: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import subprocess
 import threading
+import time
 from collections.abc import Callable, Mapping
 from concurrent.futures import Future
 from datetime import datetime
@@ -76,11 +77,20 @@ def check(spark: SparkSession, folder: str | None, document: Mapping[str, Any] |
 
 
 class Rebuilds:
-    """Runs ``extract(project)`` once for all who ask at a time; different projects run side by side."""
+    """Runs ``extract(project)`` once for all who ask at a time; different projects run side by side.
+
+    ``jobs`` tells of each project how its last run stands, as long as the service lives: ``running``, ``idle`` or ``failed``.
+    """
 
     def __init__(self, extract: Callable[[str], Any]):
         self.extract, self.lock = extract, threading.Lock()
         self.running: dict[str, Future] = {}
+        self.jobs: dict[str, dict[str, Any]] = {}
+
+    def state(self, project: str) -> dict[str, Any]:
+        """state, and when the last run began and ended (seconds; null where there was none)."""
+        with self.lock:
+            return {"state": "idle", "began": None, "ended": None} | self.jobs.get(project, {})
 
     def busy(self, project: str | None = None) -> bool:
         with self.lock:
@@ -91,6 +101,8 @@ class Rebuilds:
         with self.lock:
             mine = project not in self.running
             future = self.running.setdefault(project, Future())
+            if mine:
+                self.jobs[project] = {"state": "running", "began": time.time()}
         if mine:
             try:
                 done = self.extract(project) is not False
@@ -98,6 +110,7 @@ class Rebuilds:
                 done = False
             with self.lock:
                 del self.running[project]
+                self.jobs[project] |= {"state": "idle" if done else "failed", "ended": time.time()}
             future.set_result(done)
         return future.result()
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import num
 from ..graph import Graph
 from ..operators import endpoints, paths, rollups, rules, view
+from ..operators.freshness import Rebuilds
 
 ENDPOINTS = (
     "/stats /graph /modules /module /functions /function /callers /callees /search /path /hubs /check /recommendations /port-candidates /orphans /duplicates /files /calls".split()
@@ -28,25 +29,34 @@ def _error(status: int, message: str, **more: Any) -> tuple[int, dict]:
 HEADERS = {"Access-Control-Allow-Origin": "*", "Access-Control-Allow-Methods": "GET, OPTIONS", "Cache-Control": "no-store"}
 
 
-def respond(graphs: Mapping[str, Callable[[], Graph | None]], path: str, params: Mapping[str, str] | None = None, method: str = "GET") -> tuple[int, dict | str, dict[str, str]]:
+def respond(
+    graphs: Mapping[str, Callable[[], Graph | None]], path: str, params: Mapping[str, str] | None = None, method: str = "GET", rebuilds: Rebuilds | None = None
+) -> tuple[int, dict | str, dict[str, str]]:
     """(status, body, headers) for a service with several graphs: ``project`` picks one, the first by default.
 
-    204 for OPTIONS, 405 for other methods than GET, 503 and the known projects where there is no such graph.
+    204 for OPTIONS, 405 for other methods than GET, 503 and the known projects where there is no such graph. With
+    ``rebuilds``, which outlives requests, POST /refresh builds a project's graph again (400 for an unknown project, 429 while
+    it is being built, 500 where that fails), and /stats and answers of 503 tell how that stands.
     """
     kind = {"Content-Type": "application/json; charset=utf-8"} | HEADERS
+    if rebuilds:
+        kind |= {"Access-Control-Allow-Methods": "GET, POST, OPTIONS"}
     if method == "OPTIONS":
         return 204, "", kind
+    params = dict(params or {})
+    if method == "POST" and rebuilds and path.rstrip("/") == "/refresh":
+        return *rebuilds.refresh(params.get("project"), list(graphs)), kind
     if method != "GET":
         return 405, {"error": "GET only"}, kind
-    params = dict(params or {})
     name = params.pop("project", None) or next(iter(graphs), None)
+    job = {"rebuild": rebuilds.state(name)} if rebuilds and name in graphs else {}
     g = graphs[name]() if name in graphs else None
     if g is None:
-        return 503, {"error": "graph not built yet", "projects": list(graphs)}, kind
+        return 503, {"error": "graph not built yet", "projects": list(graphs)} | job, kind
     if params.pop("format", None) == "md" and (text := markdown(g, path, params)) is not None:
         return 200, text, kind | {"Content-Type": "text/markdown; charset=utf-8"}
     status, body = dispatch(g, path, params)
-    return status, body, kind
+    return status, body | job if path.rstrip("/") == "/stats" else body, kind
 
 
 def markdown(g: Graph, path: str, params: Mapping[str, str]) -> str | None:

@@ -6,14 +6,17 @@ import json
 import os
 import shutil
 import uuid
-from collections.abc import Mapping
-from typing import Any
+from collections.abc import Iterator, Mapping
+from typing import Any, BinaryIO
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..graph import EDGES, NODES, Graph
+from ..shared import new_path, reach_workers
 
 _NODE = (
     "id string, name string, short string, file string, module string, group string, line long, endLine long, kind string, className string, exported boolean, signature string, "
@@ -65,31 +68,74 @@ def list_graphs(folder: str) -> list[str]:
     return [f.removesuffix(".json") for f in found if f.endswith(".json") and not f.endswith(".snapshot.json")]
 
 
-def to_document(g: Graph, **meta: Any) -> dict:
-    """A graph as one document. The document is the product, so its rows come to the driver."""
-    rows = lambda df, order: [r.asDict() for r in df.orderBy(order).collect()]
-    have = set(g.nodes.columns)
-    back = {"grp": "group", "end_line": "endLine", "class_name": "className", "descr": "desc", "numeric_ops": "numeric", "test_depth": "testDepth", "in_degree": "inDegree", "out_degree": "outDegree", "legacy_reactive": "legacyReactive", "module_used": "moduleUsed"}
-    nodes = [{back.get(k, k): v for k, v in r.items() if k in have and k != "node_ord" and (v is not None or k in ("class_name", "test_depth"))} for r in rows(g.nodes, "node_ord")]
-    ends = lambda r: {"from": r["src"], "to": r["dst"], "count": r["cnt"]}
-    edges, module_edges = [ends(r) for r in rows(g.edges, "edge_ord")], [ends(r) for r in rows(g.module_edges, "medge_ord")]
-    plain = lambda df, order: [{back.get(k, k): v for k, v in r.items() if k != order} for r in rows(df, order)]
-    modules, files = plain(g.module_nodes, "mod_ord"), plain(g.files, "file_ord")
-    c = g.config
-    told = {"layers": dict(c.layers), "godFunctions": c.god_functions, "namespacePrefix": c.namespace_prefix, "adrRules": [{"adr": r.adr, "type": r.type, "severity": r.severity, "msg": r.msg, "module": r.module, "allowFrom": list(r.allow_from), "callees": list(r.callees), "checkable": r.checkable} for r in c.rules]}
-    stats = {"files": len(files), "functions": len(nodes), "edges": len(edges), "modules": len(modules)}
-    adrs = [r.asDict() for r in g.adrs.collect()] if g.adrs is not None else []
-    return dict(meta) | {"project": c.name, "config": told, "adrs": adrs, "stats": stats, "nodes": nodes, "edges": edges, "moduleNodes": modules, "moduleEdges": module_edges, "files": files}
+#: Columns whose keys in a document differ from their names (fixed values of the format).
+_KEYS = {
+    "grp": "group", "end_line": "endLine", "class_name": "className", "descr": "desc", "numeric_ops": "numeric", "test_depth": "testDepth", "in_degree": "inDegree", "out_degree": "outDegree",
+    "legacy_reactive": "legacyReactive", "module_used": "moduleUsed", "src": "from", "dst": "to", "cnt": "count",
+}
 
 
-def write(g: Graph, path: str, **meta: Any) -> dict:
-    """Writes a graph document to a local path, whole or not at all: a temporary file takes the old one's place."""
-    document = to_document(g, **meta)
-    own = f"{path}.{uuid.uuid4().hex}.tmp"
-    with open(own, "w") as f:
-        json.dump(document, f, ensure_ascii=False)
+def _arrays(g: Graph) -> dict[str, tuple[DataFrame, str]]:
+    """The tables that are arrays of a document, in its order, and their columns of order."""
+    return {
+        "nodes": (g.nodes, "node_ord"), "edges": (g.edges.select("edge_ord", "src", "dst", "cnt"), "edge_ord"), "moduleNodes": (g.module_nodes, "mod_ord"),
+        "moduleEdges": (g.module_edges.select("medge_ord", "src", "dst", "cnt"), "medge_ord"), "files": (g.files, "file_ord"),
+    }
+
+
+def _json_rows(df: DataFrame, order: str, drop_nulls: bool) -> DataFrame:
+    """value: each row as JSON, in files whose names follow the order; tasks write them out."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = [{_KEYS.get(k, k): v for k, v in r.items() if k != order and (v is not None or not drop_nulls or k in ("class_name", "test_depth"))} for r in batch.to_pylist()]
+            yield pa.record_batch([pa.array([json.dumps(r, ensure_ascii=False) for r in told], pa.string())], names=["value"])
+
+    reach_workers(df.sparkSession)
+    return df.orderBy(order).mapInArrow(rows, "value string")
+
+
+def _about(g: Graph, meta: Mapping[str, Any]) -> dict:
+    """What a document tells beside its tables."""
+    c = g.config
+    rule = lambda r: {"adr": r.adr, "type": r.type, "severity": r.severity, "msg": r.msg, "module": r.module, "allowFrom": list(r.allow_from), "callees": list(r.callees), "checkable": r.checkable}
+    told = {"layers": dict(c.layers), "godFunctions": c.god_functions, "namespacePrefix": c.namespace_prefix, "adrRules": [rule(r) for r in c.rules]}
+    counts = {k: _arrays(g)[a][0].count() for k, a in (("files", "files"), ("functions", "nodes"), ("edges", "edges"), ("modules", "moduleNodes"))}
+    adrs = [r.asDict() for r in g.adrs.collect()] if g.adrs is not None else []  # headings of one text
+    return dict(meta) | {"project": c.name, "config": told, "adrs": adrs, "stats": counts}
+
+
+def write(g: Graph, path: str, **meta: Any) -> None:
+    """Writes a graph document to a local path, whole or not at all: a temporary file takes the old one's place.
+
+    Tasks write the rows of each array as JSON, in order, to files of the shared folder; these are copied one behind another
+    into the document, a buffer at a time, so no rows are collected.
+    """
+    spark, own = g.nodes.sparkSession, f"{path}.{uuid.uuid4().hex}.tmp"
+    folder = new_path(spark, "document")
+    with open(own, "wb") as out:
+        out.write(json.dumps(_about(g, meta), ensure_ascii=False).encode()[:-1])
+        for name, (df, order) in _arrays(g).items():
+            _json_rows(df, order, name == "nodes").write.text(f"{folder}/{name}")
+            out.write(f', "{name}": ['.encode())
+            _copy_lines(f"{folder}/{name}", out)
+            out.write(b"]")
+        out.write(b"}")
     os.replace(own, path)
-    return document
+
+
+def _copy_lines(folder: str, out: BinaryIO) -> None:
+    """Copies the lines of a folder's files, in the order of their names, with commas between them."""
+    store, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    files = sorted(f.path for f in store.get_file_info(fs.FileSelector(base)) if f.base_name.startswith("part-") and f.size)
+    for i, name in enumerate(files):
+        out.write(b", " if i else b"")
+        held = b""  # a line's end is written when another line follows
+        with store.open_input_stream(name) as f:
+            while buffer := f.read(1 << 20):
+                text = held + buffer
+                held = b"\n" if text.endswith(b"\n") else b""
+                out.write(text[: len(text) - len(held)].replace(b"\n", b", "))
 
 
 def write_tables(g: Graph, folder: str, label: str) -> None:

@@ -15,6 +15,7 @@ from quillon.extract import fsplane
 from quillon.operators import endpoints, freshness, view
 from quillon.plans.dispatch import respond
 from quillon.sources import graph_json
+from quillon.streaming import watch
 
 
 def git(folder, *arguments):
@@ -184,3 +185,122 @@ def test_service_answers(spark, tmp_path):
     start = {r["id"]: (r["x"], r["y"]) for r in endpoints.layout_seed(g).collect()}
     apart = lambda p: sum((a - b) ** 2 for a, b in zip(*p.values(), strict=True)) ** 0.5
     assert apart(placed) < apart(start)
+
+
+def test_changes_of_a_folder_are_seen(spark, tmp_path):
+    folder, now, built = tmp_path / "src", [0.0], []
+    (folder / "deep").mkdir(parents=True)
+    for name in ("a.ts", "b.ts", "deep/c.svelte", "a.test.ts", "note.md"):
+        (folder / name).write_text("one")
+    make = lambda: watch.Watcher(spark, str(folder), lambda found: built.append({(r["path"].rsplit("/", 1)[-1], r["kind"]) for r in found.collect()}), str(tmp_path / "state"), clock=lambda: now[0])
+    w = make()
+
+    def look(after: float) -> bool:
+        now[0] += after
+        return w.look()
+
+    assert not look(0) and not look(1) and built == []
+    (folder / "a.ts").write_text("edited")
+    assert not look(0.1) and not look(0.3) and look(0.2) and not look(5)
+    (folder / "b.ts").unlink()
+    (folder / "a.test.ts").write_text("no source")
+    assert not look(0.1) and look(0.5) and not look(5)
+    for i in range(3):  # a burst: one rebuild after its end
+        (folder / f"n{i}.ts").write_text("new")
+        assert not look(0.3)
+    (folder / "deep/c.svelte").rename(folder / "deep/d.svelte")
+    assert not look(0.3) and not look(0.3) and look(0.2)
+    assert built == [{("a.ts", "edited")}, {("b.ts", "gone")}, {("n0.ts", "new"), ("n1.ts", "new"), ("n2.ts", "new"), ("c.svelte", "gone"), ("d.svelte", "new")}]
+    (folder / "n0.ts").write_text("while nobody watched")
+    w = make()  # started again: what changed meanwhile is built
+    assert not look(0) and look(1) and built[-1] == {("n0.ts", "edited")}
+
+
+def test_a_watching_query_rebuilds_once_for_an_edit(spark, tmp_path):
+    folder, built = tmp_path / "src", []
+    folder.mkdir()
+    (folder / "a.ts").write_text("one")
+    w = watch.Watcher(spark, str(folder), lambda found: built.append({(r["path"].rsplit("/", 1)[-1], r["kind"]) for r in found.collect()}), str(tmp_path / "state"))
+    query = w.start(str(tmp_path / "ticks"))
+
+    def until(n: int) -> None:
+        for _ in range(300):
+            if len(built) >= n and w.clock() - w.quiet_since > 1:
+                break
+            time.sleep(0.1)
+
+    try:
+        for _ in range(300):
+            if w.built is not None:
+                break
+            time.sleep(0.1)
+        (folder / "a.ts").write_text("edited")
+        until(1)
+        (folder / "a.ts").unlink()
+        until(2)
+    finally:
+        query.stop()
+    assert built == [{("a.ts", "edited")}, {("a.ts", "gone")}]
+
+
+def test_refresh_through_the_service(spark):
+    g, began, go = graph_json.empty(spark, config_of("one")), threading.Event(), threading.Event()
+
+    def extract(project):
+        began.set()
+        go.wait(20)
+        return project != "bad"
+
+    rebuilds = freshness.Rebuilds(extract)
+    graphs = {"one": lambda: g, "bad": lambda: None}
+    ask = lambda path, method="GET", **p: respond(graphs, path, p, method, rebuilds)[:2]
+    assert ask("/refresh", "POST", project="none") == (400, {"error": "unknown project"}) and ask("/stats", "POST")[0] == 405
+    assert ask("/stats")[1]["rebuild"] == {"state": "idle", "began": None, "ended": None}
+    answers = []
+    worker = threading.Thread(target=lambda: answers.append(ask("/refresh", "POST")))
+    worker.start()
+    assert began.wait(20) and ask("/refresh", "POST") == (429, {"error": "already rebuilding"})
+    status, body = ask("/stats")
+    assert status == 200 and body["rebuild"]["state"] == "running" and body["functions"] == 0
+    go.set()
+    worker.join()
+    assert answers == [(200, {"ok": True})]
+    assert ask("/refresh", "POST", project="bad") == (500, {"error": "extract failed"})
+    assert ask("/stats", project="bad")[0] == 503 and ask("/stats", project="bad")[1]["rebuild"]["state"] == "failed" and ask("/stats")[1]["rebuild"]["state"] == "idle"
+    assert "POST" in respond(graphs, "/stats", method="OPTIONS", rebuilds=rebuilds)[2]["Access-Control-Allow-Methods"]
+
+
+def config_of(name):
+    from quillon.config import Config
+
+    return Config(name=name)
+
+
+def test_listing_goes_down_level_by_level(spark, tmp_path):
+    for name in ("a/b/c/d/e.md", "a/b/x.md", ".hid/_den/y.md", "skip/z.md", "a/skip/w.md", "top.md", "empty.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name if name != "empty.md" else "")
+    os.symlink(tmp_path / "a", tmp_path / "link")
+    os.symlink(tmp_path / "top.md", tmp_path / "other.md")
+    os.utime(tmp_path / "top.md", (1_700_000_000, 1_700_000_000.5))
+    got = {r["path"]: (r["size"], r["mtime"]) for r in fsplane.listing(spark, str(tmp_path), ("skip",)).collect()}
+    assert set(got) == {"a/b/c/d/e.md", "a/b/x.md", ".hid/_den/y.md", "top.md", "empty.md"}
+    assert got["top.md"] == (6, datetime.fromtimestamp(1_700_000_000.5)) and got["empty.md"][0] == 0
+    walked = {r["path"]: r["text"] for r in fsplane.walk(spark, f"file://{tmp_path}", fsplane.FsConfig(ignore=("skip",), most_bytes=10)).collect()}
+    assert walked == {"a/b/c/d/e.md": None, "a/b/x.md": "a/b/x.md", ".hid/_den/y.md": None, "top.md": "top.md", "empty.md": ""}
+    assert fsplane.listing(spark, str(tmp_path / "nowhere")).collect() == []
+
+
+def test_documents_are_written_by_tasks(spark, tmp_path):
+    n = [(i, f"id{i}", f"né\n\"{i}", f"s{i}", "f", "m", "g", i, "function", None if i % 2 else "C", True) for i in range(300)]
+    nodes = spark.createDataFrame(n, "node_ord long, id string, name string, short string, file string, module string, grp string, line long, kind string, class_name string, exported boolean").repartition(7)
+    edges = spark.createDataFrame([(i, f"id{i}", f"id{i + 1}", i) for i in range(299)], "edge_ord long, src string, dst string, cnt long").repartition(5)
+    none = spark.createDataFrame([], "mod_ord long, module string, grp string, file string, fns long")
+    g = graph_json.empty(spark, config_of("doc")).having(nodes=nodes, edges=edges, given_module_nodes=none, given_module_edges=edges.limit(0).withColumnRenamed("edge_ord", "medge_ord"), given_files=none.limit(0).withColumnRenamed("mod_ord", "file_ord"))
+    graph_json.write(g, str(tmp_path / "doc.json"), root="/r")
+    raw = (tmp_path / "doc.json").read_text()
+    told = json.loads(raw)
+    assert raw == json.dumps(told, ensure_ascii=False) and told["root"] == "/r" and told["stats"] == {"files": 0, "functions": 300, "edges": 299, "modules": 0}
+    assert [x["id"] for x in told["nodes"]] == [f"id{i}" for i in range(300)] and told["nodes"][1] == {"id": "id1", "name": 'né\n"1', "short": "s1", "file": "f", "module": "m", "group": "g", "line": 1, "kind": "function", "className": None, "exported": True}
+    assert told["edges"][7] == {"from": "id7", "to": "id8", "count": 7} and told["moduleNodes"] == [] and list(told)[-5:] == ["nodes", "edges", "moduleNodes", "moduleEdges", "files"]
+    assert os.listdir(tmp_path) == ["doc.json"]
