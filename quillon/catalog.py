@@ -111,7 +111,7 @@ def _register() -> None:
     _on_lens("god_modules", rules.god_modules)
     _on_lens("orphans_check", lambda g: rules.orphans(g, dotted=False).select("id", "short", "module"))
     _on_lens("orphans_list", lambda g: rules.orphans(g).select("id", "short", "module"))
-    _on_lens("duplicate_findings", lambda g: rules.run_checks(g).filter("rule = 'duplicate'").select("level", "rule", "msg", "module", "id"))
+    _on_lens("duplicate_findings", lambda g: rules.duplicate_findings(g).select("level", "rule", "msg", "module", "id"))
     _on_lens("adr_coverage", rules.adr_coverage)
     _on_lens("forbidden_module", lambda g: rules.forbidden_module(g, g.config.rules[0]))
     _on_lens("restricted_callee", lambda g: rules.restricted_callee(g, g.config.rules[1]))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..shared import new_path, save
+from ..shared import save, save_measured
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -18,25 +18,22 @@ def reach_depth(edges: DataFrame, sources: DataFrame, most: int | None = None) -
     """id, depth: hops from the nearest source over directed edges; ids that can't be reached are left out.
 
     One join a level, of the newly reached ids with the edges, which are dealt out by their start once; a small level is
-    broadcast and moves no edge. Levels are written side by side and read as one table, so plans stay short. The loop ends
-    with an empty level.
+    broadcast and moves no edge. Levels are tables, so plans stay short, and each is counted while it is written: a level is
+    one job. The loop ends with an empty level.
     """
-    spark = edges.sparkSession
     hops = edges.select("src", "dst").distinct().repartition("src").persist()
-    path = new_path(spark, "levels")
-
-    def reached(depth: int, ids: DataFrame) -> DataFrame:
-        ids.write.parquet(f"{path}/depth={depth}")
-        return spark.read.schema("id string").parquet(f"{path}/depth={depth}")
-
-    level, depth = reached(0, sources.select("id").distinct()), 0
-    while (most is None or depth < most) and level.take(1):
+    everything = F.count(F.lit(1))
+    level, told = save_measured(sources.select("id").distinct(), "level", n=everything)
+    seen, depth = level.withColumn("depth", F.lit(0).cast("long")), 0
+    while (most is None or depth < most) and told["n"]:
         depth += 1
-        seen = spark.read.schema("id string").parquet(*[f"{path}/depth={d}" for d in range(depth)])
         following = level.select(F.col("id").alias("src")).join(hops, "src").select(F.col("dst").alias("id")).distinct()
-        level = reached(depth, following.join(seen, "id", "left_anti"))
+        level, told = save_measured(following.join(seen.select("id"), "id", "left_anti"), "level", n=everything)
+        seen = seen.unionByName(level.withColumn("depth", F.lit(depth).cast("long")))
+        if depth % 16 == 0:
+            seen = checkpointed(seen)  # one table again, so that no plan reads very many
     hops.unpersist()
-    return spark.read.schema("id string, depth long").parquet(path)
+    return seen
 
 
 def with_test_depth(g: Graph) -> DataFrame:
@@ -57,18 +54,21 @@ def shortest_path(g: Graph, start: str, end: str, most: int = 12) -> DataFrame:
     seen, found = level.select("id"), None
     if start == end:
         most = 0
-    for _ in range(most):
+    for step in range(most):
         grown = level.withColumnRenamed("id", "src").join(hops, "src").select(F.col("dst").alias("id"), F.concat("path", F.array("edge_ord")).alias("path"))
-        level = checkpointed(grown.join(seen, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path")))
-        found = level.filter(F.col("id") == end).first()
-        if found or not level.take(1):
+        grown = grown.join(seen, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path"))
+        level, told = save_measured(grown, "graph", n=F.count(F.lit(1)), path=F.min(F.when(F.col("id") == end, F.col("path"))))
+        found = told["path"]
+        if found or not told["n"]:
             break
         seen = seen.unionByName(level.select("id"))
+        if step % 16 == 15:
+            seen = checkpointed(seen)
     hops.unpersist()
     nodes = g.nodes.select("id", F.col("short").alias("name"))
     if not found:
         return nodes.limit(0).select(F.lit(0).cast("long").alias("hop"), "id", "name")
-    steps = [(i + 1, e) for i, e in enumerate(found["path"])]
+    steps = [(i + 1, e) for i, e in enumerate(found)]
     rows = g.spark.createDataFrame(steps, "hop long, edge_ord long").join(g.edges, "edge_ord").select("hop", F.col("dst").alias("id"))
     first = g.spark.createDataFrame([(0, start)], "hop long, id string")
     return first.unionByName(rows).join(nodes, "id").select("hop", "id", "name")
@@ -85,17 +85,17 @@ def strong_components(edges: DataFrame) -> DataFrame:
     found = None
     while True:
         left = _trimmed(left)
-        if not left.take(1):
+        if left.isEmpty():
             break
         colour = _least_reaching(left)
         marked = left.join(colour.select(F.col("id").alias("src"), F.col("least").alias("c")), "src").join(colour.select(F.col("id").alias("dst"), F.col("least").alias("d")), "dst")
         same = checkpointed(marked.filter("c = d").select("src", "dst", "c"))
         back = same.select(F.col("c").alias("id")).distinct().withColumn("c", F.col("id"))
-        back = checkpointed(back)
+        back, told = save_measured(back, "graph", n=F.count(F.lit(1)))
         newest = back
-        while newest.take(1):
+        while told["n"]:
             step = newest.select(F.col("id").alias("dst"), "c").join(same, ["dst", "c"]).select(F.col("src").alias("id"), "c").distinct()
-            newest = checkpointed(step.join(back, ["id", "c"], "left_anti"))
+            newest, told = save_measured(step.join(back, ["id", "c"], "left_anti"), "graph", n=F.count(F.lit(1)))
             back = back.unionByName(newest)
         members = back.select("id", F.col("c").alias("component"))
         found = members if found is None else found.unionByName(members)
@@ -111,22 +111,22 @@ def _trimmed(edges: DataFrame) -> DataFrame:
     n = edges.count()
     while n:
         kept = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        kept = checkpointed(kept)
-        m = kept.count()
-        if m == n:
+        kept, told = save_measured(kept, "graph", n=F.count(F.lit(1)))
+        if told["n"] == n:
             break
-        edges, n = kept, m
+        edges, n = kept, told["n"]
     return edges
 
 
 def _least_reaching(edges: DataFrame) -> DataFrame:
+    """id, least: the least id that reaches it. Only labels that a round has lowered go on to the next."""
     ids = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
-    label = checkpointed(ids.withColumn("least", F.col("id")))
+    label, told = save_measured(ids.withColumn("least", F.col("id")), "graph", n=F.count(F.lit(1)))
     changed = label
-    while changed.take(1):
+    while told["n"]:
         offered = changed.select(F.col("id").alias("src"), "least").join(edges, "src").groupBy(F.col("dst").alias("id")).agg(F.min("least").alias("offer"))
-        joined = checkpointed(label.join(offered, "id", "left"))
         better = F.coalesce(F.col("offer") < F.col("least"), F.lit(False))
+        joined, told = save_measured(label.join(offered, "id", "left"), "graph", n=F.count_if(better))
         changed = joined.filter(better).select("id", F.col("offer").alias("least"))
         label = joined.select("id", F.when(better, F.col("offer")).otherwise(F.col("least")).alias("least"))
     return label

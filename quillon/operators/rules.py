@@ -101,6 +101,16 @@ def adr_coverage(g: Graph) -> DataFrame:
     return g.adrs.join(known, "id", "left_anti").select("id", "title")
 
 
+def duplicate_findings(g: Graph) -> DataFrame:
+    """One finding for each name that several modules define, at its first node."""
+    shorts = F.array_join(F.transform("modules", lambda m: names.short_module(m, g.config.namespace_prefix)), ", ")
+    msg = F.concat("name", F.lit(" is defined in "), F.col("n_modules").cast("string"), F.lit(" modules ("), shorts, F.lit(") — consolidate into one shared util"))
+    return _finding(duplicates(g), "warn", "duplicate", msg, F.element_at("modules", 1), F.col("first_id"))
+
+
+# Fixed texts: the messages of the findings, here and above.
+
+
 def run_checks(g: Graph) -> DataFrame:
     """All findings: rule_ord (the order of the checks), level, rule, msg, module, id."""
     sm, parts = g.short_module, []
@@ -123,10 +133,7 @@ def run_checks(g: Graph) -> DataFrame:
     parts.append(_finding(orphans(g, dotted=False), "warn", "orphan", msg, F.col("module"), F.col("id")))
     msg = F.concat("id", F.lit(" ("), "title", F.lit(") is not onboarded into the checks"))
     parts.append(_finding(adr_coverage(g), "warn", "adr-coverage", msg))
-    d = duplicates(g)
-    shorts = F.array_join(F.transform("modules", lambda m: names.short_module(m, g.config.namespace_prefix)), ", ")
-    msg = F.concat("name", F.lit(" is defined in "), F.col("n_modules").cast("string"), F.lit(" modules ("), shorts, F.lit(") — consolidate into one shared util"))
-    parts.append(_finding(d, "warn", "duplicate", msg, F.element_at("modules", 1), F.col("first_id")))
+    parts.append(duplicate_findings(g))
     return reduce(DataFrame.unionByName, [p.withColumn("rule_ord", F.lit(i).cast("long")) for i, p in enumerate(parts)]).select("rule_ord", *FINDING)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from . import endpoints, rules
+from . import endpoints, paths, rules
 
 #: Sort keys of the lists, the first one being the default; ``name`` is sorted as text, ascending, all others downwards.
 LISTS = {
@@ -90,14 +90,15 @@ def hover_split(g: Graph, node_id: str) -> DataFrame:
 def insight_rows(g: Graph, component_lines: int = 200, function_lines: int = 80) -> DataFrame:
     """section, section_ord, group_ord, sev, title, why, label, sub, row_ord: all findings of the insights panel.
 
-    A group without findings is a row with a null label.
+    A group without findings is a row with a null label. Checks are run once; the rows are a table that others read.
     """
-    checks, found = rules.run_checks(g), rules.rule_list(g)
+    checks, found = paths.checkpointed(rules.run_checks(g)), rules.rule_list(g)
     rule = g.spark.createDataFrame([(r, i) for i, r in enumerate(dict.fromkeys(found))], "title string, group_ord long")
     places = g.nodes.select(F.col("id").alias("n_id"), "file", "line")
     where = F.coalesce(F.concat("file", F.lit(":"), F.col("line").cast("string")), F.lit(""))
     c = checks.join(places, F.col("id") == F.col("n_id"), "left").select(F.col("rule").alias("title"), "level", F.col("msg").alias("label"), where.alias("sub"), F.concat_ws(" ", F.lpad(F.col("rule_ord").cast("string"), 3, "0"), "module", "id", "msg").alias("row_ord"))
-    c = rule.join(c, "title", "left").withColumn("worst", F.max(F.when(F.col("level") == "error", 2).when(F.col("level").isNotNull(), 1).otherwise(0)).over(Window.partitionBy("title")))
+    worst = rules.findings_by_rule(g, checks).select(F.col("rule").alias("title"), F.when(F.col("has_error"), 2).when(F.col("hits") > 0, 1).otherwise(0).alias("worst"))
+    c = rule.join(worst, "title").join(c, "title", "left")
     c = c.select(F.lit("check").alias("section"), F.lit(0).alias("section_ord"), "group_ord", F.when(F.col("worst") == 2, "error").when(F.col("worst") == 1, "warn").otherwise("info").alias("sev"), "title", F.lit(None).cast("string").alias("why"), "label", "sub", "row_ord")
     r = rules.recommendations(g, component_lines, function_lines).join(rules.recommendation_titles(g, component_lines, function_lines), "rec_id")
     number = F.lpad(F.col("rank").cast("string"), 12, "0")
@@ -111,7 +112,7 @@ def insight_rows(g: Graph, component_lines: int = 200, function_lines: int = 80)
     sub = F.concat(F.col("module"), F.lit(" · "), F.col("at"), F.lit(":"), F.col("at_line").cast("string"))
     o = one.select(F.lit("Dead-code candidates").alias("title")).join(o.select(F.col("short").alias("label"), sub.alias("sub"), F.lpad(F.col("at_ord").cast("string"), 20, "0").alias("row_ord")), how="left")
     o = o.select(F.lit("orphans").alias("section"), F.lit(3).alias("section_ord"), F.lit(0).cast("long").alias("group_ord"), F.lit("info").alias("sev"), "title", F.lit(None).cast("string").alias("why"), "label", "sub", "row_ord")
-    return c.unionByName(r).unionByName(p).unionByName(o)
+    return paths.checkpointed(c.unionByName(r).unionByName(p).unionByName(o))
 
 
 _GROUP = ("section_ord", "section", "group_ord", "sev", "title", "why")
@@ -250,8 +251,6 @@ def force_layout(g: Graph, rounds: int | None = None, gravity: float = 1.2, scal
     Each step is a few joins and sums, written to the shared folder: attraction goes over the edges; repulsion comes from
     the centres of the cells of a grid, so it grows with nodes times cells instead of pairs of nodes.
     """
-    from . import paths
-
     n = max(1, g.nodes.count())
     rounds = rounds if rounds is not None else (120 if n > 600 else 250)
     e = paths.checkpointed(g.edges.filter("src <> dst").select("src", "dst").unionByName(g.edges.filter("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())

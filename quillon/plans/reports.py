@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..operators import diff, rules
+from ..shared import global_index
 
 #: Findings of a rule and new or gone dependencies that a report shows.
 RULE_ROWS, DEP_ROWS = 25, 30
@@ -53,12 +54,13 @@ def diff_lines(base: Graph, current: Graph, most: int = DEP_ROWS) -> DataFrame:
     """section, rank, line of what changed: totals, modules, sizes, dependencies (the first of each direction)."""
     sm = current.short_module
     number = lambda c: F.col(c).cast("string")
-    ranked = lambda df, *order: df.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    ranked = lambda df, *order: df.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))  # noqa: E731  (of few rows)
+    placed = lambda df, *order: global_index(df, order, "diff-lines").withColumn("rank", F.col("idx") + 1)  # noqa: E731  (of any number)
     totals = ranked(diff.totals(base, current), "what").select(F.lit("totals").alias("section"), "rank", F.concat("what", F.lit(" "), number("was"), F.lit(" → "), number("now"), F.lit(" ("), "delta", F.lit(")")).alias("line"))
     added = F.col("change") == "added"
-    mods = ranked(diff.modules(base, current), F.when(added, 0).otherwise(1), "module").select(F.lit("modules").alias("section"), "rank", F.concat(F.when(added, "+ ").otherwise("- "), sm(), F.when(added, " (").otherwise(" (was "), number("fns"), F.lit(" fns)")).alias("line"))
+    mods = placed(diff.modules(base, current), F.when(added, 0).otherwise(1), "module").select(F.lit("modules").alias("section"), "rank", F.concat(F.when(added, "+ ").otherwise("- "), sm(), F.when(added, " (").otherwise(" (was "), number("fns"), F.lit(" fns)")).alias("line"))
     warned = F.when(F.col("now_god"), F.concat(F.lit("  ⚠ now a god-module (>"), F.lit(str(current.config.god_functions)), F.lit(")"))).otherwise("")
-    sizes = ranked(diff.sizes(base, current), F.desc("delta"), "module").select(F.lit("sizes").alias("section"), "rank", F.concat(F.when(F.col("now") > F.col("was"), "▲ ").otherwise("▼ "), sm(), F.lit(" "), number("was"), F.lit(" → "), number("now"), F.lit(" fns"), warned).alias("line"))
+    sizes = placed(diff.sizes(base, current), F.desc("delta"), "module").select(F.lit("sizes").alias("section"), "rank", F.concat(F.when(F.col("now") > F.col("was"), "▲ ").otherwise("▼ "), sm(), F.lit(" "), number("was"), F.lit(" → "), number("now"), F.lit(" fns"), warned).alias("line"))
     parts = [totals, mods, sizes]
     for change, sign in (("new", "+ "), ("gone", "- ")):
         d = diff.dependencies(base, current).filter(F.col("change") == change).orderBy("src", "dst").limit(most)

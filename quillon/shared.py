@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Sequence
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -53,6 +53,13 @@ def save(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     return out
 
 
+def save_measured(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``save``, and aggregates of the rows that are taken while they are written, which spares a job that would read them again."""
+    seen = Observation()
+    out = save(df.observe(seen, *[c.alias(k) for k, c in metrics.items()]), label)
+    return out, seen.get
+
+
 def drop_saved(*tables: DataFrame) -> None:
     """Deletes tables of ``save`` that nothing reads any more."""
     for df in tables:
