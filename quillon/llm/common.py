@@ -2,25 +2,16 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import drop_saved, global_index, new_path, save, shared_dir
+from ..shared import drop_saved, global_index, new_path, reach_workers, save, shared_dir
 
 __all__ = ["drop_saved", "global_index", "new_path", "pick", "packed_row", "reach_workers", "read_table", "save", "shared_dir", "unpacked"]
 
 
-def reach_workers(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it (a cluster gets it with --py-files as well)."""
-    here, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    if here not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), here]))
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

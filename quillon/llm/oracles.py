@@ -23,8 +23,8 @@ def license_scan() -> str:
     known = ", ".join(f"('{d}', '{n}')" for d, n in sorted(licenses.known_digests().items()))
     return f"""WITH known AS (SELECT * FROM (VALUES {known}) AS k(digest, license)),
       docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-      lines AS (SELECT doc_id, line, regexp_matches(lower(line), '{licenses._HINT}') AS hint FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs)),
-      hits AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM (SELECT doc_id, sha256({_canonical('line')}) AS digest FROM lines WHERE hint) JOIN known USING (digest) GROUP BY 1),
+      lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs),
+      hits AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM (SELECT doc_id, sha256({_canonical('line')}) AS digest FROM lines) JOIN known USING (digest) GROUP BY 1),
       whole AS (SELECT doc_id, sha256({_canonical('text')}) AS digest FROM docs)
       SELECT w.doc_id, w.digest, k.license, coalesce(h.n, 0) AS n_notices, coalesce(h.notices, '') AS notices FROM whole w LEFT JOIN known k USING (digest) LEFT JOIN hits h USING (doc_id)"""
 
