@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping
 from typing import Any
 
@@ -68,12 +69,12 @@ def markdown(g: Graph, path: str, params: Mapping[str, str]) -> str | None:
     if p == "/function":
         return view.function_markdown(g, g.nodes.filter(F.col("id") == body["id"]).select("id")).first()["markdown"]
     if p == "/module":
-        return view.module_markdown(g).filter(F.col("module") == body["full_module"]).first()["markdown"]
+        return view.module_markdown(g).filter(F.col("module") == body["fullModule"]).first()["markdown"]
     if p == "/search":
         listed = [(title, body[key]) for title, key in (("Functions", "functions"), ("Modules", "modules"))]
         parts = [f"# Search: {body['query']}"]
         for title, rows in listed:
-            parts += ["", f"## {title} ({len(rows)})", *(f"- {r.get('name') or r.get('full_module')} — {r['description']}" for r in rows)]
+            parts += ["", f"## {title} ({len(rows)})", *(f"- {r.get('name') or r.get('fullModule')} — {r['description']}" for r in rows)]
         return "\n".join(parts)
     if p == "/path":
         steps = [f"{i}. {s['name']} ({s['module']})" for i, s in enumerate(body.get("path") or [], 1)]
@@ -81,8 +82,27 @@ def markdown(g: Graph, path: str, params: Mapping[str, str]) -> str | None:
     return None
 
 
+#: Columns whose keys in an answer aren't their names in camel case (fixed values of the format).
+_KEYS = {"grp": "group", "numeric_ops": "numeric", "cnt": "count", "src": "from", "dst": "to", "coupling": "couplingToHigherLayers"}
+
+
+def _keyed(value: Any, special: Mapping[str, str]) -> Any:
+    """An answer with the keys that clients know."""
+    if isinstance(value, list):
+        return [_keyed(x, special) for x in value]
+    if not isinstance(value, dict):
+        return value
+    camel = lambda k: re.sub(r"_([a-z])", lambda m: m[1].upper(), k)
+    return {special.get(k) or camel(k): _keyed(v, special) for k, v in value.items()}
+
+
 def dispatch(g: Graph, path: str, params: Mapping[str, str] | None = None) -> tuple[int, dict]:
     """(status, body) of one query. Lists are cut before they come to the driver; ``count`` is from before the cut."""
+    status, body = _answer(g, path, params)
+    return status, _keyed(body, _KEYS | ({"numeric_ops": "numericOps"} if path.rstrip("/") == "/port-candidates" else {}))
+
+
+def _answer(g: Graph, path: str, params: Mapping[str, str] | None = None) -> tuple[int, dict]:
     p, q = path.rstrip("/"), params or {}
     limit = lambda d: int(num(q.get("limit"), d))
     if p == "":
@@ -118,7 +138,7 @@ def dispatch(g: Graph, path: str, params: Mapping[str, str] | None = None) -> tu
             return _error(404, f'no function matches "{name}"')
         if len(hits) > 1:
             matches = endpoints.fn_rows(g).filter(F.col("id").isin([h["id"] for h in hits]))
-            return 200, {"ambiguous": True, "query": name, "matches": _rows(matches, "node_ord")}
+            return 200, {"ambiguous": True} | ({"query": name} if p == "/function" else {}) | {"matches": _rows(matches, "node_ord")}
         if p == "/function":
             one = g.nodes.filter(F.col("id") == hits[0]["id"]).select("id")
             body = _rows(endpoints.fn_details(g, one), "node_ord")[0]
@@ -140,7 +160,8 @@ def dispatch(g: Graph, path: str, params: Mapping[str, str] | None = None) -> tu
             ends[side] = hits
         for side, hits in ends.items():
             if len(hits) > 1:
-                return 200, {"ambiguous": side, "matches": [h["short"] for h in hits]}
+                matches = endpoints.fn_rows(g).filter(F.col("id").isin([h["id"] for h in hits]))
+                return 200, {"ambiguous": side, "matches": _rows(matches, "node_ord")}
         a, b = ends["from"][0], ends["to"][0]
         steps = paths.shortest_path(g, a["id"], b["id"], int(num(q.get("max"), 12))).orderBy("hop").collect()
         base = {"from": a["short"], "to": b["short"]}

@@ -226,7 +226,7 @@ def test_endpoints(farm):
     assert dispatch(farm, "/function", {"name": "e"})[1]["ambiguous"] is True and dispatch(farm, "/function")[0] == 400 and dispatch(farm, "/else")[0] == 404
     assert dispatch(farm, "/functions", {"testReachable": "true", "module": "utils/spans"})[1]["count"] == 4
     assert len(dispatch(farm, "/functions", {"limit": "-20"})[1]["functions"]) == 7 and dispatch(farm, "/functions", {"module": "nowhere"})[1]["count"] == 0
-    assert dispatch(farm, "/module", {"name": "spans"})[1]["used_by"] == [{"module": "core/Orchard", "callSites": 3}]
+    assert dispatch(farm, "/module", {"name": "spans"})[1]["usedBy"] == [{"module": "core/Orchard", "callSites": 3}]
     assert dispatch(farm, "/files", {"q": "TYPES"})[1]["count"] == 1
 
 

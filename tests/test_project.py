@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillon.cli import Commands
 from quillon.extract import fsplane
 from quillon.operators import endpoints, freshness, view
-from quillon.plans.dispatch import respond
+from quillon.plans.dispatch import dispatch, respond
 from quillon.sources import graph_json
 from quillon.streaming import watch
 
@@ -304,3 +304,29 @@ def test_documents_are_written_by_tasks(spark, tmp_path):
     assert [x["id"] for x in told["nodes"]] == [f"id{i}" for i in range(300)] and told["nodes"][1] == {"id": "id1", "name": 'né\n"1', "short": "s1", "file": "f", "module": "m", "group": "g", "line": 1, "kind": "function", "className": None, "exported": True}
     assert told["edges"][7] == {"from": "id7", "to": "id8", "count": 7} and told["moduleNodes"] == [] and list(told)[-5:] == ["nodes", "edges", "moduleNodes", "moduleEdges", "files"]
     assert os.listdir(tmp_path) == ["doc.json"]
+
+
+def test_answers_have_the_keys_that_clients_know(spark):
+    n = [(i, f"{m}::{x}@{i}#0", x, x, f"src/{m}.ts", m, "core", i, i + 1, "function", None, True, "f()", "", x, x, 2, 9, 3, i == 0, i, 0, 1) for i, (x, m) in enumerate([("ab", "core/m"), ("ac", "core/m"), ("b", "core/n")])]
+    nodes = spark.createDataFrame(n, "node_ord long, id string, name string, short string, file string, module string, grp string, line long, end_line long, kind string, class_name string, exported boolean, signature string, doc string, humanized string, descr string, loc long, chars long, numeric_ops long, tested boolean, test_depth long, in_degree long, out_degree long")
+    edges = spark.createDataFrame([(0, n[0][1], n[2][1], 2)], "edge_ord long, src string, dst string, cnt long")
+    g = graph_json.empty(spark, config_of("keys")).having(nodes=nodes, edges=edges)
+    ask = lambda path, **p: dispatch(g, path, p)[1]
+    row = {"id", "name", "module", "group", "kind", "exported", "tested", "testDepth", "file", "line", "loc", "chars", "numeric", "description", "descriptionSource", "inDegree", "outDegree"}
+    ref, module = {"name", "module", "file", "line", "description"}, {"module", "fullModule", "group", "file", "functionCount", "description", "loc", "chars", "dependsOnCount", "usedByCount"}
+    assert set(ask("/functions")["functions"][0]) == row and set(ask("/functions")) == {"count", "sort", "functions"}
+    one = ask("/function", name="ab")
+    assert set(one) == row | {"signature", "calls", "calledBy"} and set(one["calls"][0]) == ref and one["numeric"] == 3
+    assert set(ask("/function", name="a")) == {"ambiguous", "query", "matches"} and set(ask("/callers", name="a")) == {"ambiguous", "matches"} and set(ask("/path", **{"from": "a", "to": "b"})["matches"][0]) == row
+    assert set(ask("/callees", name="ab")) == {"function", "module", "callees"} and set(ask("/callees", name="ab")["callees"][0]) == ref
+    assert all(set(m) == module for m in ask("/modules")["modules"])
+    own = ask("/module", name="m")
+    assert set(own) == module | {"dependsOn", "usedBy", "functions"} and own["dependsOn"] == [{"module": "core/n", "callSites": 2}] and set(own["functions"][0]) == {"name", "line", "inDegree", "description"}
+    assert set(ask("/search", q="a")["functions"][0]) == row and set(ask("/search", q="core")["modules"][0]) == module
+    hubs = ask("/hubs")
+    assert set(hubs["mostCalledFunctions"][0]) == row and set(hubs["mostDependedOnModules"][0]) == module | {"incomingCallSites"}
+    assert set(ask("/calls")["calls"][0]) == {"caller", "callee", "fromModule", "toModule", "count", "crossModule", "callerId", "calleeId"}
+    assert set(ask("/files")["files"][0]) >= {"file", "module", "group", "functions", "loc", "chars"} and set(ask("/path", **{"from": "ab", "to": "b"})["path"][0]) == ref
+    assert set(ask("/port-candidates")["candidates"][0]) == {"module", "fullModule", "group", "functions", "loc", "numericOps", "couplingToHigherLayers", "hottestFunction", "score"}
+    dump = ask("/graph")
+    assert set(dump["nodes"][0]) == row and dump["edges"] == [{"from": n[0][1], "to": n[2][1], "count": 2}] and dump["moduleEdges"] == [{"from": "core/m", "to": "core/n", "count": 2}]
