@@ -39,29 +39,40 @@ def with_lanes(df: DataFrame, text: str, out: str) -> DataFrame:
     hashed = F.transform(paragraphs(whole), lambda p: F.array(*[F.xxhash64(F.lit(i), p) for i in range(HASHES)]))
     pieces = F.filter(F.flatten(F.transform(paragraphs(whole), lambda p: F.split(p, r"[.!?;:,|] +", -1))), lambda c: c != "")
     parts = F.transform(pieces, lambda c: F.xxhash64(F.lit(HASHES), c))
-    of_class = lambda g: F.filter("__p", lambda h: F.pmod(h, F.lit(CLASSES)) == g)
     df = df.select(*kept, hashed.alias("__h"), parts.alias("__p"))
-    df = df.select(*kept, "__h", *[of_class(g).alias(f"__g{g}") for g in range(CLASSES)])
+    # loops over lanes are lambdas too: trees that list every lane cost each task seconds before its first row
+    df = df.select(*kept, "__h", _each(CLASSES, lambda g: F.filter("__p", lambda h: F.pmod(h, F.lit(CLASSES)) == g)).alias("__g"))
 
-    def strong(i: int, high: bool) -> Column:
-        lane = lambda h: (F.shiftrightunsigned(h[i], 32) if high else h[i]).bitwiseAND(F.lit(MASK))
+    def strong(i: Column) -> Column:
+        lane = lambda h: _shifted(F.get(h, _half(i)), 32 * (i % 2)).bitwiseAND(F.lit(MASK))
         return F.aggregate("__h", zero, lambda a, h: (a + lane(h)).bitwiseAND(F.lit(MASK)))
 
     def summed(chunk: Column) -> Column:
-        lane = lambda j: F.aggregate(chunk, zero, lambda a, h: a + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(ONES)))
-        return F.array(*[lane(j) for j in range(8)])
+        return _each(8, lambda j: F.aggregate(chunk, zero, lambda a, h: a + _shifted(h, j).bitwiseAND(F.lit(ONES))))
 
-    def chunks(g: int) -> Column:
-        n = F.ceil(F.size(f"__g{g}") / CHUNK).cast("int")
-        return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), n - 1)), lambda k: summed(F.slice(f"__g{g}", k * CHUNK + 1, F.lit(CHUNK))))
+    def chunks(pieces: Column) -> Column:
+        n = F.ceil(F.size(pieces) / CHUNK).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), n - 1)), lambda k: summed(F.slice(pieces, k * CHUNK + 1, F.lit(CHUNK))))
 
-    df = df.select(*kept, "__h", *[F.size(f"__g{g}").cast("long").alias(f"__n{g}") for g in range(CLASSES)], *[chunks(g).alias(f"__s{g}") for g in range(CLASSES)])
+    df = df.select(*kept, "__h", F.transform("__g", lambda c: F.size(c).cast("long")).alias("__n"), F.transform("__g", chunks).alias("__s"))
     # lanes at bytes 0 to 3 of a sum go with those at bytes 4 to 7, so that each long of the result holds two counts
-    cell = lambda c, w, q: F.shiftrightunsigned(F.get(c, w), 8 * q).bitwiseAND(F.lit(255 | 255 << 32))
-    total = lambda g, w, q: F.aggregate(f"__s{g}", zero, lambda a, c: a + cell(c, w, q))
-    wide = [F.array(*[total(g, F.lit(w), q) for w in range(8) for q in range(4)]) for g in range(CLASSES)]
-    fp = F.concat(F.array(*[strong(i, high) for i in range(HASHES) for high in (False, True)]), *wide, F.array(*[f"__n{g}" for g in range(CLASSES)]))
-    return df.select(*kept, fp.alias(out))
+    cell = lambda c, i: _shifted(F.get(c, F.floor(i / 4).cast("int")), 8 * (i % 4)).bitwiseAND(F.lit(255 | 255 << 32))
+    wide = F.flatten(F.transform("__s", lambda s: _each(32, lambda i: F.aggregate(s, zero, lambda a, c: a + cell(c, i)))))
+    return df.select(*kept, F.concat(_each(STRONG, strong), wide, "__n").alias(out))
+
+
+def _each(n: int, of) -> Column:
+    """The array of ``of(0)`` to ``of(n - 1)``."""
+    return F.transform(F.array(*map(F.lit, range(n))), of)
+
+
+def _half(i: Column) -> Column:
+    return F.floor(i / 2).cast("int")
+
+
+def _shifted(x: Column, bits: Column) -> Column:
+    """``x`` shifted right by a number of bits that is a column."""
+    return F.call_function("shiftrightunsigned", x, bits.cast("int"))
 
 
 def _counts(a: Column, b: Column, sign: int) -> Column:
@@ -97,24 +108,48 @@ def _pieces(fp: Column) -> Column:
     return F.aggregate(F.slice(fp, STRONG + PACKED + 1, CLASSES), F.lit(0).cast("long"), lambda a, n: a + n)
 
 
-def centred(fp: Column) -> Column:
-    """All lanes with a one read as +1 and a zero as -1, as an array of doubles."""
-    each = PACKED // CLASSES
+def _of_classes(each) -> Column:
+    """The sum of ``each(class, first long of its counts, how many)``."""
+    width = PACKED // CLASSES
+    return F.aggregate(F.array(*map(F.lit, range(CLASSES))), F.lit(0.0), lambda acc, g: acc + each(g, g * width + STRONG + 1, F.lit(width)))
+
+
+def _lanes(x: Column, n: Column) -> tuple[Column, Column]:
+    """Both lanes of a long, a one read as +1 and a zero as -1, ``n`` pieces being in the class."""
+    return (2 * x.bitwiseAND(F.lit(MASK)) - n).cast("double"), (2 * F.shiftrightunsigned(x, 32) - n).cast("double")
+
+
+def squared_size(fp: Column) -> Column:
+    """64 times the estimated squared size of a fingerprint's multiset of pieces: the sum of its lanes' squares."""
+
+    def of_class(g: Column, start: Column, width: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            low, high = _lanes(x, F.get(fp, g + STRONG + PACKED))
+            return acc + low * low + high * high
+
+        return F.aggregate(F.slice(fp, start, width), F.lit(0.0), step)
+
+    return _of_classes(of_class)
+
+
+def _product(a: Column, b: Column) -> Column:
+    """The sum of the products of two fingerprints' lanes."""
+
+    def of_class(g: Column, start: Column, width: Column) -> Column:
+        def both(x: Column, y: Column) -> Column:
+            (low, high), (low2, high2) = _lanes(x, F.get(a, g + STRONG + PACKED)), _lanes(y, F.get(b, g + STRONG + PACKED))
+            return low * low2 + high * high2
 
-    def of_class(g: int) -> Column:
-        n = fp[STRONG + PACKED + g]
-        both = lambda x: F.array((2 * x.bitwiseAND(F.lit(MASK)) - n).cast("double"), (2 * F.shiftrightunsigned(x, 32) - n).cast("double"))
-        return F.flatten(F.transform(F.slice(fp, STRONG + each * g + 1, each), both))
+        return F.aggregate(F.zip_with(F.slice(a, start, width), F.slice(b, start, width), both), F.lit(0.0), lambda acc, v: acc + v)
 
-    return F.concat(*[of_class(g) for g in range(CLASSES)])
+    return _of_classes(of_class)
 
 
-def _likeness(a: Column, b: Column, x: Column, y: Column) -> Column:
-    """``likeness`` from fingerprints and their centred lanes."""
-    squares = lambda of: F.aggregate(of, F.lit(0.0), lambda acc, v: acc + v * v)
-    apart, both = squares(F.zip_with(x, y, lambda v, w: v - w)), squares(x) + squares(y)
+def _likeness(a: Column, b: Column, size_a: Column, size_b: Column) -> Column:
+    """``likeness`` from fingerprints and their squared sizes: the squared size of a difference is both less twice the product."""
     n, m = _pieces(a), _pieces(b)
-    return F.when(a == b, 1.0).when((n == 0) | (m == 0), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - apart / both)))
+    near = 2 * _product(a, b) / (size_a + size_b)
+    return F.when(a == b, 1.0).when((n == 0) | (m == 0), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), near)))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -123,7 +158,7 @@ def likeness(a: Column, b: Column) -> Column:
     Read as +1 or -1, a lane's sum squared estimates the squared size of its class of a multiset; so does a difference of
     sums for the difference of two multisets. The classes' estimates add up.
     """
-    return _likeness(a, b, centred(a), centred(b))
+    return _likeness(a, b, squared_size(a), squared_size(b))
 
 
 def _slots(ids: DataFrame) -> tuple[list[int], list[int], list[int]]:
@@ -153,10 +188,10 @@ def _range(doc_id: Column, bounds: list[int]) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, fp, and those of the next document in descending doc_id, then a hash of the text (after the last: the first).
+    """doc_id, text, fp, its squared size, and those of the next document in descending doc_id, then a hash of the text (after the last: the first).
 
-    Rows are dealt to slots of bounded size (their number follows the rows; the driver gets the cuts and each slot's first
-    row, no texts). The first document of a slot is sent to the slot before it as well, so every slot is done by itself.
+    Rows are dealt to slots of about 1,000 rows up to 20 million rows, beyond which there are 20,000 slots and each grows
+    with the rows and is sorted with spilling (the driver gets the cuts and each slot's first row, no texts). The first document of a slot is sent to the slot before it as well, so every slot is done by itself.
     Fingerprints are made behind the exchange, which moves texts only.
     """
     docs = pick(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
@@ -177,10 +212,13 @@ def with_next(docs: DataFrame) -> DataFrame:
     leads = F.when(of(single, "boolean"), F.col("h") == of(least, "long")).otherwise(F.col("doc_id").eqNullSafe(of(top, "long")))
     spots = F.when(~leads, F.array(F.struct(F.col("slot").alias("r"), F.lit(0).alias("g"))))
     spots = spots.otherwise(F.array(F.struct(F.col("slot").alias("r"), F.lit(0).alias("g")), F.struct(of(to, "int").alias("r"), F.lit(1).alias("g"))))
-    dealt = placed.select("doc_id", "text", "h", F.explode(spots).alias("s")).select("doc_id", "text", "h", "s.r", "s.g").repartition("r")
+    dealt = placed.select("doc_id", "text", "h", F.explode(spots).alias("s")).select("doc_id", "text", "h", "s.r", "s.g")
+    # a number of partitions keeps adaptive coalescing from putting small tables, whose fingerprints are the work, into one task
+    dealt = dealt.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "r")
     down = Window.partitionBy("r").orderBy("g", F.desc_nulls_last("doc_id"), "h", "text")
-    made = with_lanes(dealt, "text", "fp")
-    return made.select("doc_id", "text", "fp", "g", F.lead("text").over(down).alias("next_text"), F.lead("fp").over(down).alias("next_fp")).filter("g = 0").drop("g")
+    made = with_lanes(dealt, "text", "fp").withColumn("size", squared_size(F.col("fp")))
+    after = [F.lead(c).over(down).alias(f"next_{c}") for c in ("text", "fp", "size")]
+    return made.select("doc_id", "text", "fp", "size", "g", *after).filter("g = 0").drop("g")
 
 
 def _rank(of: Column, bounds: list[int]) -> Column:
@@ -206,10 +244,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     paired = with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next_text", F.lit(1), half))
-    paired = with_lanes(paired.select("doc_id", "n_chars", "fp", "next_fp", edited.alias("edited")), "edited", "efp")
-    paired = paired.withColumns({"__c": centred(F.col("fp")), "__ce": centred(F.col("efp")), "__cn": centred(F.col("next_fp"))})
-    near = lambda other, lanes: _likeness(F.col("fp"), F.col(other), F.col("__c"), F.col(lanes))
+    paired = with_lanes(paired.select("doc_id", "n_chars", "fp", "size", "next_fp", "next_size", edited.alias("edited")), "edited", "efp")
+    near = lambda other, size: _likeness(F.col("fp"), F.col(other), F.col("size"), size)
     return paired.select(
         "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), as_text(F.col("fp")).alias("fingerprint"),
-        as_text(F.col("efp")).alias("edited_fingerprint"), near("efp", "__ce").alias("near_edited"), near("next_fp", "__cn").alias("near_next"),
+        as_text(F.col("efp")).alias("edited_fingerprint"), near("efp", squared_size(F.col("efp"))).alias("near_edited"), near("next_fp", F.col("next_size")).alias("near_next"),
     )
