@@ -103,7 +103,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     counterfactuals: the term as every other member of its category, in both directions, and the sentence without the
     term, so that neither one group's name nor what all names of a category share moves a score. The squared change of
     the logit, averaged over all counterfactuals of the sample, is a penalty. Identity terms are always among the
-    features. The driver gets the chosen features' numbers for the bounded sample and counts of pairs of terms, no texts.
+    features; weights of 0.0001 and less are left out of the model. The driver gets the chosen features' numbers for the bounded sample and counts of pairs of terms, no texts.
 
     Defined results: labels other than 0 and 1 and null labels are no labels; a document labelled both ways is toxic;
     null texts and null doc_ids are left out; a text under a repeated doc_id counts as often as it is there; with no

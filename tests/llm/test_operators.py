@@ -234,7 +234,7 @@ def test_toxicity_ignores_swapped_groups(spark):
 
 
 def test_toxicity_reduces_what_a_category_shares(spark):
-    """Every group is named mostly in toxic texts: without the penalty a neutral mention is scored toxic, with it not."""
+    """Every group is named mostly in toxic texts: a strong penalty takes most of what a group's name moves off the score."""
     groups = "muslims jews hindus christians".split()
     rows = [(i, f"{'idiot' if i % 2 and i % 6 != 1 else 'calm'} words number{i % 5}. Some talk about {groups[i // 2 % 4] if i % 2 or i % 10 == 0 else 'gardens'} here") for i in range(600)]
     d, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
