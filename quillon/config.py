@@ -114,27 +114,48 @@ def _plain_json(text: str) -> str:
     return re.sub(r'("(?:\\.|[^"\\])*")|,(?=\s*[}\]])', lambda m: m[1] or "", out)
 
 
+def _extended(place: Path, parent: str) -> Path | None:
+    """The file that a configuration's ``extends`` names: by path, or in the nearest package folder that has it."""
+    if parent.startswith(".") or os.path.isabs(parent):
+        near = [place.parent / parent]
+    else:
+        near = [folder / "node_modules" / parent for folder in place.resolve().parents]
+    for target in near:
+        named = []
+        if (target / "package.json").is_file():
+            named = [target / str(json.loads((target / "package.json").read_text()).get("tsconfig") or "tsconfig.json")]
+        for file in (target, Path(f"{target}.json"), *named, target / "tsconfig.json"):
+            if file.is_file():
+                return file
+    return None
+
+
 def tsconfig(path: str, own: Mapping[str, list[str]]) -> tuple[dict[str, str], list[str]]:
     """Path aliases (without the stars) of a compiler configuration and what it extends, ``own`` ones on top, and warnings.
 
-    A file that is extended but not there loses its aliases silently elsewhere; it is warned about unless ``own`` has some.
+    What is extended may be one file or a list (later ones win), by path or by package; a file that extends itself counts
+    once. A file that is extended by path but not there loses its aliases silently elsewhere; it is warned about unless
+    ``own`` has some.
     """
-    found, warnings, place, base = [], [], Path(path), Path(path).parent
-    while place.is_file():
+    found, warnings, base = [], [], Path(path).parent
+
+    def follow(place: Path, above: frozenset[Path]) -> None:
+        if not place.is_file() or place.resolve() in above:
+            return
         told = json.loads(_plain_json(place.read_text()))
+        parents = told.get("extends") or []
+        for parent in [parents] if isinstance(parents, str) else [p for p in parents if isinstance(p, str)]:
+            target = _extended(place, parent)
+            if target:
+                follow(target, above | {place.resolve()})
+            elif parent.startswith(".") and not own:
+                warnings.append(f'{place.name} extends "{parent}", which does not exist: imports by its path aliases do not resolve. Generate it, or set "paths" in the project settings.')
         options = told.get("compilerOptions") or {}
-        folder = place.parent / (options.get("baseUrl") or ".")
-        found.append((folder, options.get("paths") or {}))
-        parent = told.get("extends")
-        if not isinstance(parent, str) or not parent.startswith("."):
-            break
-        target = place.parent / parent
-        target = target if target.is_file() else Path(f"{target}.json")
-        if not target.is_file() and not own:
-            warnings.append(f'{place.name} extends "{parent}", which does not exist: imports by its path aliases do not resolve. Generate it, or set "paths" in the project settings.')
-        place = target
+        found.append((place.parent / (options.get("baseUrl") or "."), options.get("paths") or {}))
+
+    follow(Path(path), frozenset())
     aliases: dict[str, str] = {}
-    for folder, paths in [*reversed(found), (base, own)]:
+    for folder, paths in [*found, (base, own)]:
         for alias, targets in paths.items():
             if targets:
                 aliases[alias.removesuffix("/*")] = os.path.normpath(os.path.relpath(folder / targets[0].removesuffix("/*"), base))
