@@ -461,3 +461,10 @@ def test_broken_sources_end(code):
     module = syntax.Module(code)
     list(scan.calls("a.ts", code, "a")), list(scan.typescript("a.ts", code, "g"))
     assert module.tokens.numeric(0, len(code)) >= 0
+
+
+def test_few_bytes_of_texts_are_many_tasks(spark):
+    files = spark.range(40).selectExpr("concat('src/lib/s', id, '.ts') AS path", "concat('export function f', id, '() { return 1; }') AS text").coalesce(1)
+    found = build._facts(files, Config(name="many"), {}, ())["decl"]
+    assert found.count() == 40 and found.select("module").distinct().count() == 40
+    assert len(found.inputFiles()) > 2
