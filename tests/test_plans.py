@@ -33,3 +33,18 @@ def test_insights_are_cut_before_they_meet(many):
     assert "Partial" in "".join(x for x in plan_of(shown).splitlines() if "WindowGroupLimit" in x)
     got = shown.collect()
     assert len(got) == view.GROUP_ROWS and {r["more"] for r in got} == {5000 - view.GROUP_ROWS} and {r["label"] for r in got} == {f"finding {i:05d}" for i in range(view.GROUP_ROWS)}
+
+
+def test_tables_of_nodes_are_not_broadcast(spark):
+    g = lens.graph(spark, "/root/testdata/sf0.001", 48)
+    for df in (g.nodes, g.edge_ends("module"), rules.orphans(g), rules.core_functions(g), rules.duplicates(g)):
+        assert "Broadcast" not in plan_of(df)
+
+
+def test_insights_without_findings_are_rows(spark):
+    g = lens.graph(spark, "/root/testdata/sf0.001", 48)
+    g = g.having(nodes=g.nodes.filter("kind <> 'function'"))
+    rows = view.insight_rows(g)
+    got = {(r["section"], r["title"]): r["n"] for r in view.insight_groups(rows).collect()}
+    assert got["orphans", "Dead-code candidates"] == 0 and got["check", "orphan"] == 0
+    assert rows.filter("label IS NULL").count() == sum(n == 0 for n in got.values())
