@@ -68,3 +68,29 @@ def test_layout_of_odd_graphs(spark):
     g = graph_of(spark, 3, [(0, 1), (0, 1), (1, 0)])
     start = {r["id"]: (r["x"], r["y"]) for r in endpoints.layout_seed(g).collect()}
     assert {r["id"]: (r["x"], r["y"]) for r in layout.force_layout(g, 0).collect()} == start
+
+
+def test_forces_are_cheap_and_those_of_all_cells():
+    """One point against the sum over the cells that count for it, spelled out."""
+    depth, side = 3, 8
+    kind = np.random.default_rng(3)
+    x, y, mass = kind.uniform(0, 8, 60), kind.uniform(0, 8, 60), kind.integers(1, 5, 60).astype(float)
+    cell = np.minimum(7, y.astype(int)) * side + np.minimum(7, x.astype(int))
+    tree = layout.tree_of(cell, mass, mass * x, mass * y, depth)
+    fx, fy = layout.repulsion(x, y, mass, tree, 0.0, 0.0, 8.0, 12.0)
+    for i in range(60):
+        want = np.zeros(2)
+        for level in range(1, depth + 1):
+            n = 1 << level
+            ix, iy = min(n - 1, int(x[i] / 8 * n)), min(n - 1, int(y[i] / 8 * n))
+            for jx in range(max(0, ix // 2 * 2 - 2), min(n, ix // 2 * 2 + 4)):
+                for jy in range(max(0, iy // 2 * 2 - 2), min(n, iy // 2 * 2 + 4)):
+                    if level < depth and abs(jx - ix) <= 1 and abs(jy - iy) <= 1:
+                        continue
+                    m, sx, sy = (t[jy, jx] for t in tree[level])
+                    if (jx, jy) == (ix, iy) and level == depth:
+                        m, sx, sy = m - mass[i], sx - mass[i] * x[i], sy - mass[i] * y[i]
+                    if m > 1e-9:
+                        d = np.array([x[i] - sx / m, y[i] - sy / m])
+                        want += d * 12.0 * mass[i] * m / (d @ d + 1)
+        assert np.allclose([fx[i], fy[i]], want)
